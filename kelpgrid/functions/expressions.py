@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def col(c: str | Column) -> Column:
@@ -28,12 +29,12 @@ def normal_pdf(c: Column) -> Column:
     return F.exp(-c * c / 2.0) / math.sqrt(2 * math.pi)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     return pd.Series([0.5 * math.erfc(-v / math.sqrt(2)) if v == v else None for v in z])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     from statistics import NormalDist
     inv = NormalDist().inv_cdf

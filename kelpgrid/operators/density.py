@@ -356,3 +356,58 @@ def st_dbscan(points: DataFrame, eps_s: float, eps_t: float, min_points: int, bu
     hood = Neighborhood(points, eps_s, eps_t, min_points, budget=budget)
     labeled = materialize(labels(hood))
     return number_clusters(labeled).select("id", "flag", "cluster")
+
+
+def local_clusters(copies: DataFrame, eps_s: float, eps_t: float, min_points: int, budget: int = PAIR_BUDGET) -> tuple[DataFrame, DataFrame]:
+    """Cluster every part on its own.
+
+    Returns the labels ``(part, id, flag, root)`` and the contacts ``(part, id,
+    root)``: all local clusters that a copy belongs to or touches.
+    """
+    hood = Neighborhood(copies, eps_s, eps_t, min_points, by=["part"], budget=budget)
+    labeled = materialize(labels(hood))
+    roots = labeled.filter("flag = 'core'").select("part", F.col("id").alias("node"), "root")
+    touch = hood.links.join(roots, ["part", "node"]).select("part", "id", "root")
+    own = labeled.filter("root is not null").select("part", "id", "root")
+    return labeled, own.unionByName(touch).distinct()
+
+
+def merge_edges(labeled: DataFrame, contacts: DataFrame) -> DataFrame:
+    """Links between local clusters through points that are core in some part.
+
+    Per point the clusters are tied to the first of them, not to each other.
+    """
+    core = labeled.filter("flag = 'core'").select("id").distinct()
+    node = contacts.join(core, "id", "left_semi").select("id", F.struct("part", "root").alias("node"))
+    first = node.groupBy("id").agg(F.min("node").alias("first"))
+    return (node.join(first, "id").filter("node <> first")
+            .select(F.col("node").alias("src"), F.col("first").alias("dst")).distinct())
+
+
+def global_cluster_ids(labeled: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(part, root, global_root, cluster)``: linked local clusters share a number from 1."""
+    local = labeled.filter("root is not null").select(F.struct("part", "root").alias("node"))
+    comp = connected_components(edges, local)
+    flat = comp.select(F.col("node.part").alias("part"), F.col("node.root").alias("root"), F.col("root").alias("rep"))
+    least = flat.groupBy("rep").agg(F.min("root").alias("global_root"))
+    named = materialize(flat.join(least, "rep").select("part", "root", "global_root"))
+    numbers = with_row_number(named.select("global_root").distinct(), [], ["global_root"], "cluster")
+    return named.join(numbers, "global_root")
+
+
+def resolve_labels(labeled: DataFrame, contacts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Strongest label over the copies of a point: core > border > noise."""
+    strength = F.when(F.col("flag") == "core", 2).when(F.col("flag") == "border", 1).otherwise(0)
+    best = labeled.groupBy("id").agg(F.max(strength).alias("s"))
+    seen = contacts.join(ids, ["part", "root"]).groupBy("id").agg(F.min("cluster").alias("cluster"))
+    return best.join(seen, "id", "left").select(
+        "id", F.when(F.col("s") == 2, "core").when(F.col("s") == 1, "border").otherwise("noise").alias("flag"),
+        F.coalesce("cluster", F.lit(0)).alias("cluster"))
+
+
+def st_dbscan_partitioned(copies: DataFrame, eps_s: float, eps_t: float, min_points: int, budget: int = PAIR_BUDGET) -> DataFrame:
+    """Same result as ``st_dbscan`` by way of halo copies, local clusters and a merge."""
+    labeled, contacts = local_clusters(copies, eps_s, eps_t, min_points, budget)
+    contacts = materialize(contacts)
+    ids = global_cluster_ids(labeled, merge_edges(labeled, contacts))
+    return resolve_labels(labeled, contacts, ids)

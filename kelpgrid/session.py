@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,27 +14,29 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; a fresh local one only in local mode."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared is None:
-        if not sc.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         shared = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    sc.setCheckpointDir(shared)
+        spark.sparkContext.setCheckpointDir(shared)
+    return shared
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read on from there.
+    """Write ``df`` as a table in the shared checkpoint folder and read on from there.
 
     Used where a result is consumed several times or inside a loop: the plan is
-    cut, values such as sampled split points cannot drift on a recomputation,
-    and a lost executor costs one read of the file instead of the whole lineage.
+    cut, values such as sampled split points cannot drift on a recomputation, a
+    lost executor costs one read of the file instead of the whole lineage, and
+    the written size lets the planner choose broadcast joins safely.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bucket_count(spark: SparkSession) -> int:
