@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from kelpgrid.session import bucket_count
 
-BUCKET = "__b"
+BUCKET = "__bucket"
 
 
 def _splits(df: DataFrame, cols: list[str]) -> list[list[float]]:
@@ -43,7 +43,7 @@ def _bucketize(df: DataFrame, col: str, splits: list[float], out: str) -> DataFr
 
 
 def add_order_bucket(df: DataFrame, order: list[str]) -> DataFrame:
-    """Add ``__b``, an integer that never decreases along ``order``.
+    """Add ``__bucket``, an integer that never decreases along ``order``.
 
     The first order column must be numeric; the second one, when numeric, splits
     the ranges that hold a single heavy value of the first.

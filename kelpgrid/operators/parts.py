@@ -85,7 +85,7 @@ def swap_gain(edges: DataFrame, assigned: DataFrame) -> DataFrame:
             .select("src", "dst", (F.col("gain_a") + F.col("gain_b") - 2 * F.col("w")).alias("gain")))
 
 
-def refine_parts(edges: DataFrame, assigned: DataFrame, max_load: int, max_rounds: int = 12) -> DataFrame:
+def refine_parts(edges: DataFrame, assigned: DataFrame, max_load: int, max_rounds: int = 4) -> DataFrame:
     """Rounds of moves that raise the internal weight and keep every load <= cap.
 
     Per round each cell names its best part; of two adjacent movers only the

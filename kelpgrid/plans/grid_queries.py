@@ -51,10 +51,10 @@ def sample_fraction(spark, sf):
     return G.sample_fraction(points(spark, sf), 0.1)
 
 
-@query("sample_n", f"""WITH {ORACLE_POINTS} SELECT id, x, y, round(t, 6) AS t FROM p
+@query("sample_n", f"""WITH {ORACLE_POINTS} SELECT id, x, y FROM p
 ORDER BY md5(CAST(id AS VARCHAR) || ':9961'), id LIMIT 20000""")
 def sample_n(spark, sf):
-    return G.sample_n(points(spark, sf), 20_000).withColumn("t", r("t"))
+    return G.sample_n(points(spark, sf).select("id", "x", "y"), 20_000)
 
 
 @query("bounding_cube", CELLS + "SELECT x0, x1, y0, y1, round(t0, 6) AS t0, round(t1, 6) AS t1 FROM lim")
