@@ -14,7 +14,7 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a fresh local one only in local mode."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared is None:
@@ -34,7 +34,7 @@ def materialize(df: DataFrame) -> DataFrame:
     the written size lets the planner choose broadcast joins safely.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
