@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from kelpgrid.functions.ordering import with_row_number
 from kelpgrid.operators.components import connected_components
-from kelpgrid.session import materialize
+from kelpgrid.session import bucket_count, materialize
 
 # Relative slack between a cell edge and the radius; covers rounding of x / edge.
 SLACK = 1e-6
@@ -124,7 +124,9 @@ def ball_counts(queries: DataFrame, points: DataFrame, unit_table: DataFrame, ep
     Both radii are closed and a point is its own neighbour.
     """
     by = list(by)
-    q = _around(_coarse(queries.select(*by, "id", "x", "y", "t", *UNIT))).select(
+    # Every row becomes 27 probes: spread the rows evenly first (by id, so hot cells do not matter).
+    even = queries.select(*by, "id", "x", "y", "t", *UNIT).repartition(bucket_count(queries.sparkSession), "id")
+    q = _around(_coarse(even)).select(
         *by, *[F.col(c).alias(f"q_{c}") for c in ("id", "x", "y", "t")], "nx", "ny", "nt")
     box = _prefixed(unit_table, "b_", keep=by)
     cand = q.join(box, [q[c] == box[c] for c in by] + [q[f"n{a}"] == box[f"b_c{a}"] for a in "xyt"])
@@ -132,11 +134,11 @@ def ball_counts(queries: DataFrame, points: DataFrame, unit_table: DataFrame, ep
         cand = cand.drop(box[c])
     may, whole = _box_tests("q_", "b_", eps_s, eps_t, point_a=True)
     cand = cand.filter(may).withColumn("whole", whole)
-    single = F.col("b_n") == 1
-    as_node = F.col("whole") & (single | F.col("b_dense")) if per_node else F.col("whole")
-    cand = cand.withColumn("settled", as_node)
-    probe = cand.agg(F.coalesce(F.sum(F.when(~F.col("settled"), F.col("b_n"))), F.lit(0)))
-    open_points = probe.first()[0]
+    as_node = F.col("whole") & ((F.col("b_n") == 1) | F.col("b_dense")) if per_node else F.col("whole")
+    # Read three times below; the written table is about as long as the result.
+    cand = materialize(cand.withColumn("settled", as_node).select(
+        *by, "q_id", "q_x", "q_y", "q_t", *[f"b_{k}" for k in UNIT], "b_n", "b_first_id", "b_dense", "settled"))
+    open_points = cand.agg(F.coalesce(F.sum(F.when(~F.col("settled"), F.col("b_n"))), F.lit(0))).first()[0]
     cols = [*by, F.col("q_id").alias("id"), F.col("b_first_id").alias("node"), F.col("b_n").alias("n")]
     done = cand.filter("settled").select(*cols)
     rest = cand.filter(~F.col("settled"))
@@ -320,13 +322,10 @@ def labels(hood: Neighborhood) -> DataFrame:
     by = hood.by
     core, edges = materialize(hood.core_nodes()), hood.core_edges()
     if by:
-        pack = lambda c: F.struct(*by, F.col(c))
-        comp = connected_components(edges.select(pack("src").alias("src"), pack("dst").alias("dst")),
-                                    core.select(F.struct(*by, "node").alias("node")))
-        last = len(by)
-        comp = comp.select(*[F.col("node")[b].alias(b) for b in by],
-                           F.col("node")[_field(comp, "node", last)].alias("node"),
-                           F.col("root")[_field(comp, "root", last)].alias("root"))
+        def pack(c, name):
+            return F.struct(*by, F.col(c).alias("node")).alias(name)
+        comp = connected_components(edges.select(pack("src", "src"), pack("dst", "dst")), core.select(pack("node", "node")))
+        comp = comp.select(*[F.col(f"node.{k}").alias(k) for k in by], F.col("node.node").alias("node"), F.col("root.node").alias("root"))
     else:
         comp = connected_components(edges, core)
     comp = materialize(comp)
@@ -340,10 +339,6 @@ def labels(hood: Neighborhood) -> DataFrame:
     return cores.unionByName(rest)
 
 
-def _field(df: DataFrame, struct: str, i: int) -> str:
-    return df.schema[struct].dataType.fields[i].name
-
-
 def number_clusters(labeled: DataFrame) -> DataFrame:
     """Replace ``root`` by dense cluster numbers from 1 (0 = noise)."""
     roots = labeled.filter("root is not null").select("root").distinct()

@@ -143,11 +143,11 @@ lk AS (SELECT src_part*1000000000+src_root AS a, dst_part*1000000000+dst_root AS
 lk2 AS MATERIALIZED (SELECT a, b FROM lk UNION SELECT b, a FROM lk),
 lcl AS MATERIALIZED (SELECT DISTINCT part*1000000000+root AS node, root FROM local WHERE root IS NOT NULL),
 walk(node, root) AS (SELECT node, node FROM lcl UNION SELECT lk2.b, walk.root FROM walk JOIN lk2 ON lk2.a = walk.node AND lk2.b > walk.root),
-glob AS MATERIALIZED (SELECT node, root, dense_rank() OVER (ORDER BY g) AS cluster FROM (
+gid AS MATERIALIZED (SELECT node, root, dense_rank() OVER (ORDER BY g) AS cluster FROM (
  SELECT w.node, l.root, min(l.root) OVER (PARTITION BY w.top) AS g FROM (SELECT node, min(root) AS top FROM walk GROUP BY node) w
  JOIN lcl l ON l.node = w.node)),
 done AS (SELECT l.id, CASE max(CASE flag WHEN 'core' THEN 2 WHEN 'border' THEN 1 ELSE 0 END) WHEN 2 THEN 'core' WHEN 1 THEN 'border' ELSE 'noise' END AS flag,
- coalesce(min(g.cluster), 0) AS cluster FROM local l LEFT JOIN contact c USING (part, id) LEFT JOIN glob g ON g.node = c.part*1000000000+c.root GROUP BY l.id)
+ coalesce(min(g.cluster), 0) AS cluster FROM local l LEFT JOIN contact c USING (part, id) LEFT JOIN gid g ON g.node = c.part*1000000000+c.root GROUP BY l.id)
 """
 
 
@@ -164,7 +164,7 @@ def merge_edges(spark, sf):
         F.col("dst.part").alias("dst_part"), F.col("dst.root").alias("dst_root"))
 
 
-@query("global_cluster_ids", LOCAL + "SELECT node // 1000000000 AS part, root, cluster FROM glob")
+@query("global_cluster_ids", LOCAL + "SELECT node // 1000000000 AS part, root, cluster FROM gid")
 def global_cluster_ids(spark, sf):
     labeled, contacts = D.local_clusters(_copies(spark, sf), EPS_S, EPS_T, MIN_POINTS)
     return D.global_cluster_ids(labeled, D.merge_edges(labeled, contacts)).select("part", "root", "cluster")
