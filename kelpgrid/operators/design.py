@@ -164,13 +164,13 @@ def score_lcb(mu: str, sigma: str, kappa: float = 1.96) -> Column:
 def score_ei(mu: str, sigma: str, y_opt: Column, xi: float = 0.01) -> Column:
     """Negative expected improvement (smaller is better)."""
     gain = y_opt - xi - F.col(mu)
-    z = gain / F.col(sigma)
+    z = F.try_divide(gain, F.col(sigma))
     return F.when(F.col(sigma) > 0, -(gain * normal_cdf(z) + F.col(sigma) * normal_pdf(z))).otherwise(0.0)
 
 
 def score_pi(mu: str, sigma: str, y_opt: Column, xi: float = 0.01) -> Column:
     """Negative probability of improvement."""
-    return F.when(F.col(sigma) > 0, -normal_cdf((y_opt - xi - F.col(mu)) / F.col(sigma))).otherwise(0.0)
+    return F.when(F.col(sigma) > 0, -normal_cdf(F.try_divide(y_opt - xi - F.col(mu), F.col(sigma)))).otherwise(0.0)
 
 
 def top_candidates(scored: DataFrame, score: str, key: str, k: int) -> DataFrame:

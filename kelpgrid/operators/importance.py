@@ -35,7 +35,7 @@ def _cell_variance(binned: DataFrame, sets: list[tuple[str, ...]], y: str) -> Da
         name = F.when(F.col("gid") == gid, label) if name is None else name.when(F.col("gid") == gid, label)
     total = binned.agg(F.var_pop(y)).scalar()
     v = cells.withColumn("params", name).groupBy("params").agg(F.var_pop("m").alias("v"))
-    return v.select("params", (F.col("v") / total).alias("v"))
+    return v.select("params", F.try_divide("v", total).alias("v"))
 
 
 def anova_main(binned: DataFrame, params: list[str], y: str) -> DataFrame:

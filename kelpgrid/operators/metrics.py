@@ -23,5 +23,5 @@ def counter_delta(log: DataFrame, order: list[str]) -> DataFrame:
 def ratio_series(log: DataFrame, interval: str, part: str) -> DataFrame:
     """100 * value of one metric / value of all metrics, per interval."""
     return log.groupBy(F.window("ts", interval).alias("w")).agg(
-        (F.lit(100.0) * F.sum(F.when(F.col("metric") == part, F.col("value")).otherwise(0.0)) / F.sum("value")).alias("percent")
+        F.try_divide(F.lit(100.0) * F.sum(F.when(F.col("metric") == part, F.col("value")).otherwise(0.0)), F.sum("value")).alias("percent")
     ).select(F.col("w.start").alias("start"), "percent")

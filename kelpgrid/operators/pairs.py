@@ -129,7 +129,7 @@ def ndcg(df: DataFrame, keys: list[str], key: str, y: str, score: str) -> DataFr
     t = with_row_number(t, keys, ["__y", key], "__i")
     disc = {c: 1.0 / (F.log2(F.col(c) + 1)) for c in ("__r", "__i")}
     ties = t.groupBy(*keys, "__s").agg((F.avg(y) * F.sum(disc["__r"])).alias("dcg"), F.sum(F.col(y) * disc["__i"]).alias("ideal"))
-    return ties.groupBy(*keys).agg((F.sum("dcg") / F.sum("ideal")).alias("ndcg"))
+    return ties.groupBy(*keys).agg(F.try_divide(F.sum("dcg"), F.sum("ideal")).alias("ndcg"))
 
 
 def tournament_wins(pairs: DataFrame) -> DataFrame:

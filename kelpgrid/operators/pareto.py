@@ -144,7 +144,7 @@ def chebyshev(df: DataFrame, keys: list[str], objs: list[str], weights: list[flo
     for o in objs:
         stats[f"__lo_{o}"], stats[f"__hi_{o}"] = F.min(o), F.max(o)
     t = with_group_stats(df, keys, **stats)
-    terms = [F.lit(w) * ((F.col(o) - F.col(f"__lo_{o}")) / (F.col(f"__hi_{o}") - F.col(f"__lo_{o}"))) for o, w in zip(objs, weights)]
+    terms = [F.lit(w) * F.try_divide(F.col(o) - F.col(f"__lo_{o}"), F.col(f"__hi_{o}") - F.col(f"__lo_{o}")) for o, w in zip(objs, weights)]
     return t.withColumn("scalar", F.greatest(*terms) + F.lit(alpha) * sum(terms[1:], terms[0])).drop(*stats)
 
 

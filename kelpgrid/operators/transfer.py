@@ -137,7 +137,7 @@ def order_preserving(df: DataFrame, keys: list[str], row: str, y: str, p: str) -
     t = df.select(*keys, row, y, p).withColumn("__one", F.lit(1))
     both = dominated(t, keys, [y, row], [p, row], row, {"__both": ("count", "__one")})
     n = F.count(F.lit(1))
-    return both.groupBy(*keys).agg((F.sum("__both") / (n * (n - 1) / 2)).alias("share"))
+    return both.groupBy(*keys).agg(F.try_divide(F.sum("__both"), n * (n - 1) / 2).alias("share"))
 
 
 def ranking_loss_sampled(df: DataFrame, keys: list[str], row: str, y: str, mu: str, var: str, draws: int = DRAWS, seed: int = 1) -> DataFrame:
@@ -170,7 +170,7 @@ def power_weights(shares: DataFrame, keys: list[str], power: int = 3) -> DataFra
     """share^3 normalized over the models of a task."""
     p = F.col("share") * F.col("share") * F.col("share") if power == 3 else F.pow("share", F.lit(power))
     t = with_group_stats(shares.withColumn("__p", p), keys, __t=F.sum("__p"))
-    return t.withColumn("weight", F.col("__p") / F.col("__t")).drop("__p", "__t")
+    return t.withColumn("weight", F.try_divide("__p", "__t")).drop("__p", "__t")
 
 
 def fit_fidelity_weights(df: DataFrame, keys: list[str], row: str, y: str, p: str, min_rows: int = 5) -> DataFrame:

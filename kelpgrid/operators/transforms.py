@@ -19,7 +19,8 @@ UNITS = "gmk"
 
 
 def scale_01(x: Column, lo: Column, hi: Column) -> Column:
-    return (x - lo) / (hi - lo)
+    """Null where the column is constant."""
+    return F.try_divide(x - lo, hi - lo)
 
 
 def unscale_01(u: Column, lo: Column, hi: Column) -> Column:
@@ -57,8 +58,8 @@ def gaussian_rank(df: DataFrame, col: str, keys: list[str], tie: str, out: str =
     t = with_row_number(df, keys, [col, tie], "__rn")
     t = with_group_stats(t, keys, __n=F.count(F.lit(1)))
     n = F.col("__n").cast("double")
-    delta = F.lit(1.0) / (F.lit(4.0) * F.pow(n, 0.25) * F.sqrt(F.lit(math.pi) * F.log(n)))
-    t = t.withColumn("clipped", F.least(F.greatest((F.col("__rn") - 1) / (n - 1), delta), 1 - delta))
+    delta = F.try_divide(F.lit(1.0), F.lit(4.0) * F.pow(n, 0.25) * F.sqrt(F.lit(math.pi) * F.log(n)))
+    t = t.withColumn("clipped", F.least(F.greatest(F.try_divide(F.col("__rn") - 1, n - 1), delta), 1 - delta))
     return t.withColumn(out, normal_quantile("clipped")).drop("__rn", "__n")
 
 
