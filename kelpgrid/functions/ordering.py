@@ -14,7 +14,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpgrid.session import bucket_count
+from kelpgrid.session import bucket_count, materialize
 
 BUCKET = "__bucket"
 
@@ -150,9 +150,10 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     """Exact linearly interpolated quantiles per group.
 
     Equal values are counted before the shuffle; positions come from the running
-    count over distinct values, so no task ever holds a group's values.
+    count over distinct values, so no task ever holds a group's values.  The
+    counts are written once because the scan over them reads them three times.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    counts = materialize(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n")))
     cum = with_running(counts, keys, [value], {"__cum": ("sum", "__n")})
     totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
     joined = cum.join(totals, keys) if keys else attach_row(cum, totals)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from kelpgrid.functions.ordering import with_row_number
 from kelpgrid.operators.components import connected_components
-from kelpgrid.session import bucket_count, materialize
+from kelpgrid.session import materialize
 
 # Relative slack between a cell edge and the radius; covers rounding of x / edge.
 SLACK = 1e-6
@@ -125,7 +125,8 @@ def ball_counts(queries: DataFrame, points: DataFrame, unit_table: DataFrame, ep
     """
     by = list(by)
     # Every row becomes 27 probes: spread the rows evenly first (by id, so hot cells do not matter).
-    even = queries.select(*by, "id", "x", "y", "t", *UNIT).repartition(bucket_count(queries.sparkSession), "id")
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    even = queries.select(*by, "id", "x", "y", "t", *UNIT).repartition(parts, "id")
     q = _around(_coarse(even)).select(
         *by, *[F.col(c).alias(f"q_{c}") for c in ("id", "x", "y", "t")], "nx", "ny", "nt")
     box = _prefixed(unit_table, "b_", keep=by)

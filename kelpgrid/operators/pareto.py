@@ -21,7 +21,7 @@ def pareto_front(df: DataFrame, keys: list[str], objs: list[str]) -> DataFrame:
     """
     if len(objs) == 2:
         a, b = objs
-        low = df.groupBy(*keys, a).agg(F.min(b).alias("__low"))
+        low = materialize(df.groupBy(*keys, a).agg(F.min(b).alias("__low")))
         low = with_running(low, keys, [a], {"__before": ("min", "__low")}, exclusive=True)
         edge = low.filter(F.col("__before").isNull() | (F.col("__before") > F.col("__low"))).drop("__before")
         return df.join(edge, [*keys, a]).filter(F.col(b) == F.col("__low")).drop("__low")

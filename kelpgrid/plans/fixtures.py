@@ -37,12 +37,12 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
                     ((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1704067200000000)) / F.lit(1e8)).alias("t"))
 
 
-def trials(spark: SparkSession, sf: str) -> DataFrame:
-    """lineitem as a run history: one task per return flag, iterations from 1."""
+def trials(spark: SparkSession, sf: str, numbered: bool = True) -> DataFrame:
+    """lineitem as a run history: one task per return flag, iterations from 1 (if asked for)."""
     li = table(spark, sf, "lineitem").withColumn("task_id", F.col("l_returnflag"))
-    numbered = with_row_number(li, ["task_id"], TRIAL_KEY, "iter")
-    return numbered.select(
-        "task_id", "iter", F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"),
+    rows = with_row_number(li, ["task_id"], TRIAL_KEY, "iter") if numbered else li
+    return rows.select(
+        "task_id", *(["iter"] if numbered else []), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"),
         F.col("l_tax").alias("tax"), F.col("l_linestatus").alias("status"), F.col("l_extendedprice").alias("f1"),
         (-F.col("l_quantity")).alias("f2"), F.when(F.col("l_linenumber") == 7, 1).otherwise(0).alias("trial_state"),
         (F.col("l_tax") - 0.06).alias("c1"))

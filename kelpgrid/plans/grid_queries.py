@@ -38,12 +38,12 @@ pcube AS (SELECT cube.*, packed.part FROM cube JOIN packed USING (cell_id))
 def histogram(spark, sf):
     pts = points(spark, sf)
     corner = G.bounding_cube(pts)
-    return pts, corner, G.cell_histogram(G.grid_cells(pts, CELL, corner))
+    return pts, corner, P.materialize(G.cell_histogram(G.grid_cells(pts, CELL, corner)))
 
 
 def packed_cubes(spark, sf):
     pts, corner, hist = histogram(spark, sf)
-    return pts, corner, G.cell_cubes(P.pack_cells(hist, PARTS), corner, CELL)
+    return pts, corner, P.materialize(G.cell_cubes(P.pack_cells(hist, PARTS), corner, CELL))
 
 
 @query("sample_fraction")
@@ -178,20 +178,20 @@ def _cap(hist):
 
 @query("refine_parts")
 def refine_parts(spark, sf):
-    hist = P.materialize(histogram(spark, sf)[2])
+    hist = histogram(spark, sf)[2]
     out = P.refine_parts(G.cell_adjacency(hist), P.round_robin_parts(hist, PARTS), _cap(hist))
     return out.select("cell_id", "n", "part")
 
 
 @query("merge_adjacent")
 def merge_adjacent(spark, sf):
-    hist = P.materialize(histogram(spark, sf)[2])
+    hist = histogram(spark, sf)[2]
     return P.merge_adjacent(hist, G.cell_adjacency(hist), _cap(hist)).select("cell_id", "n", "part")
 
 
 @query("seed_grow")
 def seed_grow(spark, sf):
-    hist = P.materialize(histogram(spark, sf)[2])
+    hist = histogram(spark, sf)[2]
     return P.seed_grow(hist, G.cell_adjacency(hist), _cap(hist)).select("cell_id", "n", "part")
 
 

@@ -27,8 +27,8 @@ def status():
     return H.trial_status("trial_state", OBJ, ["c1"])
 
 
-def ok_trials(spark, sf):
-    return trials(spark, sf).filter(status() == "success")
+def ok_trials(spark, sf, numbered=True):
+    return trials(spark, sf, numbered).filter(status() == "success")
 
 
 def _imputed(spark, sf):
@@ -57,7 +57,7 @@ def trial_status(spark, sf):
 @query("append_observation", T + """SELECT task_id, count(*) AS n_trials, count(*) FILTER (outcome = 'success') AS n_success,
 count(*) FILTER (outcome = 'failed') AS n_failed, min(CASE WHEN outcome = 'success' THEN f1 END) AS best FROM st GROUP BY task_id""")
 def append_observation(spark, sf):
-    t = trials(spark, sf)
+    t = trials(spark, sf, False)
     return H.history_summary(H.append_observation(t.filter("status = 'O'"), t.filter("status <> 'O'")), "f1", status())
 
 
@@ -87,7 +87,7 @@ def impute_constraints(spark, sf):
 @query("history_stats", T + """SELECT task_id, round(quantile_cont(f1, 0.05), 6) AS p5, min(f1) AS min_y, max(f1) AS max_y
 FROM st WHERE outcome <> 'failed' GROUP BY task_id""")
 def history_stats(spark, sf):
-    return H.history_stats(trials(spark, sf), "f1", status()).withColumn("p5", r("p5"))
+    return H.history_stats(trials(spark, sf, False), "f1", status()).withColumn("p5", r("p5"))
 
 
 @query("dedup_configs", T + """SELECT task_id, quantity, discount, tax, status, min(iter) AS iter, min_by(f1, iter) AS f1
@@ -231,7 +231,7 @@ cells AS (SELECT task_id, coalesce(p1, 0) AS a0, f1 AS a1, -60.0::DOUBLE AS b0,
 
 @query("hypervolume", HV + "SELECT task_id, round(hypervolume, 3) AS hypervolume FROM hv")
 def hypervolume(spark, sf):
-    front = P.pareto_front(ok_trials(spark, sf).select("task_id", "f1", "f2"), H.KEYS, OBJ)
+    front = materialize(P.pareto_front(ok_trials(spark, sf, False).select("task_id", "f1", "f2"), H.KEYS, OBJ))
     return P.hypervolume_2d(front, H.KEYS, "f1", "f2", REF).withColumn("hypervolume", r("hypervolume", 3))
 
 
@@ -247,7 +247,7 @@ def hypervolume_3d(spark, sf):
 
 
 def _cells(spark, sf):
-    front = P.pareto_front(ok_trials(spark, sf).select("task_id", "f1", "f2"), H.KEYS, OBJ)
+    front = materialize(P.pareto_front(ok_trials(spark, sf, False).select("task_id", "f1", "f2"), H.KEYS, OBJ))
     return P.nondominated_cells_2d(front, H.KEYS, "f1", "f2", REF, IDEAL)
 
 
@@ -295,7 +295,7 @@ def restart_pareto(spark, sf):
 @query("exclude_seen", T + """SELECT DISTINCT quantity, discount, tax, status FROM trials t WHERE task_id = 'A' AND NOT EXISTS (
 SELECT 1 FROM trials s WHERE s.task_id = 'R' AND s.quantity = t.quantity AND s.discount = t.discount AND s.tax = t.tax AND s.status = t.status)""")
 def exclude_seen(spark, sf):
-    t = trials(spark, sf)
+    t = trials(spark, sf, False)
     return H.exclude_seen(t.filter("task_id = 'A'").select(*CONFIG).distinct(), t.filter("task_id = 'R'"), CONFIG)
 
 
