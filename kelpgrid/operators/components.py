@@ -6,7 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from kelpgrid.functions.ordering import with_row_number
 from kelpgrid.session import materialize
 
 MAX_ROUNDS = 100
@@ -54,6 +56,21 @@ def _finish(batches):
     yield pd.DataFrame({"node": nodes, "root": nodes[label]})
 
 
+def _numbered(edges: DataFrame, nodes: DataFrame | None, local_edges: int) -> DataFrame:
+    """Components over composite vertices, by way of order-preserving numbers."""
+    fields = edges.schema["src"].dataType.fieldNames()
+    ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node")))
+    if nodes is not None:
+        ends = ends.unionByName(nodes.select("node"))
+    flat = ends.distinct().select("node", *[F.col(f"node.{f}").alias(f"f{i}") for i, f in enumerate(fields)])
+    ids = materialize(with_row_number(flat, [], [f"f{i}" for i in range(len(fields))], "num").select("node", "num"))
+    e = (edges.join(ids.select(F.col("node").alias("src"), F.col("num").alias("s")), "src")
+         .join(ids.select(F.col("node").alias("dst"), F.col("num").alias("d")), "dst"))
+    comp = connected_components(e.select(F.col("s").alias("src"), F.col("d").alias("dst")), ids.select(F.col("num").alias("node")), local_edges)
+    return (comp.select(F.col("node").alias("num"), F.col("root").alias("top")).join(ids, "num").drop("num")
+            .join(ids.select(F.col("num").alias("top"), F.col("node").alias("root")), "top").select("node", "root"))
+
+
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None,
                          local_edges: int = LOCAL_EDGES) -> DataFrame:
     """``edges(src, dst)`` -> ``(node, root)``, root = smallest node of the component.
@@ -64,8 +81,11 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None,
     round is written to the checkpoint folder; the loop ends when a round changes
     nothing, and raises rather than return an unfinished result.  Once at most
     ``local_edges`` edges are left (a checked count) one task finishes them.
-    ``nodes(node)`` adds isolated vertices.
+    ``nodes(node)`` adds isolated vertices.  Vertices are integers, or structs of
+    integers, which are numbered in order first.
     """
+    if isinstance(edges.schema["src"].dataType, StructType):
+        return _numbered(materialize(edges.select("src", "dst").distinct()), nodes, local_edges)
     e = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
     e = materialize(e.filter("src <> dst").distinct())
     before = _signature(e)

@@ -365,7 +365,7 @@ def local_clusters(copies: DataFrame, eps_s: float, eps_t: float, min_points: in
     roots = labeled.filter("flag = 'core'").select("part", F.col("id").alias("node"), "root")
     touch = hood.links.join(roots, ["part", "node"]).select("part", "id", "root")
     own = labeled.filter("root is not null").select("part", "id", "root")
-    return labeled, own.unionByName(touch).distinct()
+    return labeled, materialize(own.unionByName(touch).distinct())
 
 
 def merge_edges(labeled: DataFrame, contacts: DataFrame) -> DataFrame:
@@ -388,7 +388,7 @@ def global_cluster_ids(labeled: DataFrame, edges: DataFrame) -> DataFrame:
     least = flat.groupBy("rep").agg(F.min("root").alias("global_root"))
     named = materialize(flat.join(least, "rep").select("part", "root", "global_root"))
     numbers = with_row_number(named.select("global_root").distinct(), [], ["global_root"], "cluster")
-    return named.join(numbers, "global_root")
+    return materialize(named.join(numbers, "global_root"))
 
 
 def resolve_labels(labeled: DataFrame, contacts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -404,6 +404,5 @@ def resolve_labels(labeled: DataFrame, contacts: DataFrame, ids: DataFrame) -> D
 def st_dbscan_partitioned(copies: DataFrame, eps_s: float, eps_t: float, min_points: int, budget: int = PAIR_BUDGET) -> DataFrame:
     """Same result as ``st_dbscan`` by way of halo copies, local clusters and a merge."""
     labeled, contacts = local_clusters(copies, eps_s, eps_t, min_points, budget)
-    contacts = materialize(contacts)
     ids = global_cluster_ids(labeled, merge_edges(labeled, contacts))
     return resolve_labels(labeled, contacts, ids)
