@@ -78,7 +78,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cap
     # Chains: only documents whose hash occurs again bring their texts.
     shared = materialize(index.select("doc_id", "hash").join(owned.filter("n > 1"), "hash").select("doc_id", "hash", "bucket").distinct())
     ids = F.col(doc_id).alias("doc_id")
-    texts = join_null_safe(docs.select(ids, whole(F.col(text)).alias("body")), shared, ["doc_id"])
+    # A shuffle at every size: how many documents share a hash has no bound.
+    texts = join_null_safe(docs.select(ids, whole(F.col(text)).alias("body")), shared.hint("merge"), ["doc_id"])
     texts = texts.select("doc_id", "hash", "bucket", lower_ascii(F.col("body")).alias("norm"))
     texts = texts.filter(F.xxhash64("norm") == F.col("hash"))
     chains = texts.groupBy("bucket", "hash", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
