@@ -283,7 +283,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     body = whole(F.col(text))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("key"), body.alias("text"))
     found = repeats(rows.mapInArrow(_find, "doc_id long, key long, " + BLOCKS))
-    found = with_need(found).groupBy("doc_id", "key").agg(F.array_distinct(F.collect_list(F.struct("first", "n", "dist", "all", "need"))).alias("found"))
+    found = with_need(found).groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "n", "dist", "all", "need")).alias("found"))
     opened = join_null_safe(rows, found, ["doc_id", "key"], "left").select("doc_id", "key", "text", "found")
     opened = materialize(opened.mapInArrow(_open_texts, "doc_id long, key long, n_bytes long, text string, sha string, "
                                            f"done array<struct<first:int,n:int>>, open {FINE_BLOCKS}"))
@@ -292,7 +292,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     single = fine.filter("need").select("doc_id", "key", "core", "first", F.posexplode("each").alias("i", "whole"))
     single = repeats(single.select("doc_id", "key", (F.col("first") + F.col("i")).alias("first"), F.lit(1).alias("n"), "core", "whole")).filter("all")
     late = fine.filter("all").select("doc_id", "key", "first", "n").union(single.select("doc_id", "key", "first", "n"))
-    late = late.groupBy("doc_id", "key").agg(F.array_distinct(F.collect_list(F.struct("first", "n"))).alias("late"))
+    late = late.groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "n")).alias("late"))
     touched = join_null_safe(opened.filter("text is not null").select("doc_id", "key", "n_bytes", "text", "done"), late, ["doc_id", "key"], "left")
     touched = touched.select("doc_id", "key", "n_bytes", "text", "done", "late").mapInArrow(_finish, RESULT)
     none = opened.filter("text is null").select("doc_id", "key", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
