@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpgrid.functions.ordering import with_row_number, with_running
+from kelpgrid.functions.ordering import join_keys, with_row_number, with_running
 from kelpgrid.session import materialize
 
 BITS = 3
@@ -52,4 +52,4 @@ def dominated(df: DataFrame, keys: list[str], first: list[str], second: list[str
         else:
             pick, agg = (F.least, F.min) if f == "min" else (F.greatest, F.max)
             out.append(agg(pick(*below)).alias(name))
-    return df.join(lv.groupBy(*keys, row).agg(*out), [*keys, row])
+    return join_keys(df, lv.groupBy(*keys, row).agg(*out), [*keys, row])

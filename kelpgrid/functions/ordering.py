@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from kelpgrid.session import bucket_count, materialize
 
 BUCKET = "__bucket"
+GROUP = "__group"
+NULLS_FIRST = -1  # bucket of rows without an order value
 
 
 def _splits(df: DataFrame, cols: list[str]) -> list[list[float]]:
@@ -63,7 +65,7 @@ def add_order_bucket(df: DataFrame, order: list[str]) -> DataFrame:
     probe = tmp.select([f"__v{i}" for i in range(len(cols))])
     splits = _splits(probe, probe.columns)
     tmp = _bucketize(tmp, "__v0", splits[0], "__q0")
-    code = F.col("__q0").cast("long")
+    code = F.coalesce(F.col("__q0").cast("long"), F.lit(NULLS_FIRST))
     if len(cols) == 2:
         edges = splits[0]
         single = [i for i in range(len(edges) - 1)
@@ -71,12 +73,23 @@ def add_order_bucket(df: DataFrame, order: list[str]) -> DataFrame:
         if single:
             tmp = _bucketize(tmp, "__v1", splits[1], "__q1")
             width = len(splits[1]) + 2
-            sub = F.when(F.col("__q0").isin([float(i) for i in single]), F.col("__q1").cast("long")).otherwise(F.lit(0))
-            code = F.col("__q0").cast("long") * F.lit(width) + sub
+            # Within a single value nulls of the second column come first: their codes start at 0.
+            sub = F.when(F.col("__q0").isin([float(i) for i in single]), F.coalesce(F.col("__q1").cast("long") + 1, F.lit(0))).otherwise(F.lit(0))
+            code = F.coalesce(F.col("__q0").cast("long") * F.lit(width) + sub, F.lit(NULLS_FIRST))
     tmp = tmp.withColumn(BUCKET, code)
     return tmp.drop("__v0", "__v1", "__q0", "__q1")
 
 
+def grouped(df: DataFrame, keys: list[str], name: str = GROUP) -> DataFrame:
+    """Add the keys as one struct, which equals itself where keys are null, so a join on it loses no row."""
+    return df.withColumn(name, F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.lit(0).alias("all")))
+
+
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left.join(right, keys, how)`` in which null keys meet."""
+    return grouped(left, keys, "__join").join(grouped(right, keys, "__join").drop(*keys), "__join", how).drop("__join")
+
+
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a one-row frame (a global aggregate) to every row."""
     packed = one_row.select(F.struct(*one_row.columns).alias("__one")).scalar()
@@ -84,10 +97,6 @@ def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return out.select(*df.columns, *[F.col(f"__one.{c}").alias(c) for c in one_row.columns])
 
 
-def _key_window(keys: list[str]):
-    return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-
-
 def _asc(order: list[str]) -> list[Column]:
     return [F.col(c).asc_nulls_first() for c in order]
 
@@ -106,15 +115,15 @@ def with_running(df: DataFrame, keys: list[str], order: list[str],
     src = df
     for name, (_, col) in aggs.items():
         src = src.withColumn(f"__in_{name}", F.col(col) if isinstance(col, str) else col)
-    src = add_order_bucket(src, order)
-    per_bucket = src.groupBy(*keys, BUCKET).agg(
+    src = grouped(add_order_bucket(src, order), keys)
+    per_bucket = src.groupBy(GROUP, BUCKET).agg(
         *[_AGG[f](f"__in_{n}").alias(f"__t_{n}") for n, (f, _) in aggs.items()])
-    across = _key_window(keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(*keys, BUCKET, *[
+    across = Window.partitionBy(GROUP).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bucket.select(GROUP, BUCKET, *[
         _SEED[f](f"__t_{n}").over(across).alias(f"__o_{n}") for n, (f, _) in aggs.items()])
-    inside = (Window.partitionBy(*keys, BUCKET).orderBy(*_asc(order))
+    inside = (Window.partitionBy(GROUP, BUCKET).orderBy(*_asc(order))
               .rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow))
-    out = src.join(offsets, [*keys, BUCKET])
+    out = src.join(offsets, [GROUP, BUCKET])
     for name, (f, _) in aggs.items():
         within = _AGG[f](f"__in_{name}").over(inside)
         if f in ("sum", "count"):
@@ -123,7 +132,7 @@ def with_running(df: DataFrame, keys: list[str], order: list[str],
             pick = F.least if f == "min" else F.greatest
             value = pick(within, F.col(f"__o_{name}"))
         out = out.withColumn(name, value)
-    return out.drop(BUCKET, *[f"__in_{n}" for n in aggs], *[f"__o_{n}" for n in aggs])
+    return out.drop(GROUP, BUCKET, *[f"__in_{n}" for n in aggs], *[f"__o_{n}" for n in aggs])
 
 
 def with_row_number(df: DataFrame, keys: list[str], order: list[str], name: str = "rn") -> DataFrame:
@@ -133,17 +142,17 @@ def with_row_number(df: DataFrame, keys: list[str], order: list[str], name: str
 
 def with_previous(df: DataFrame, keys: list[str], order: list[str], cols: dict[str, str]) -> DataFrame:
     """``lag`` of several columns: output name -> input column of the row before."""
-    src = add_order_bucket(df, order)
-    rank = F.struct(*[F.col(c) for c in order])
-    lasts = src.groupBy(*keys, BUCKET).agg(
+    src = grouped(add_order_bucket(df, order), keys)
+    rank = F.struct(*[F.col(c) for c in order])  # nulls come first in a struct too
+    lasts = src.groupBy(GROUP, BUCKET).agg(
         F.max_by(F.struct(*[F.col(c).alias(o) for o, c in cols.items()]), rank).alias("__last"))
-    across = _key_window(keys).orderBy(BUCKET)
-    carry = lasts.select(*keys, BUCKET, F.lag("__last").over(across).alias("__carry"))
-    inside = Window.partitionBy(*keys, BUCKET).orderBy(*_asc(order))
-    out = src.join(carry, [*keys, BUCKET]).withColumn("__first", F.row_number().over(inside) == 1)
+    across = Window.partitionBy(GROUP).orderBy(BUCKET)
+    carry = lasts.select(GROUP, BUCKET, F.lag("__last").over(across).alias("__carry"))
+    inside = Window.partitionBy(GROUP, BUCKET).orderBy(*_asc(order))
+    out = src.join(carry, [GROUP, BUCKET]).withColumn("__first", F.row_number().over(inside) == 1)
     for o, c in cols.items():
         out = out.withColumn(o, F.when(F.col("__first"), F.col(f"__carry.{o}")).otherwise(F.lag(c).over(inside)))
-    return out.drop(BUCKET, "__carry", "__first")
+    return out.drop(GROUP, BUCKET, "__carry", "__first")
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
@@ -156,7 +165,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     counts = materialize(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n")))
     cum = with_running(counts, keys, [value], {"__cum": ("sum", "__n")})
     totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-    joined = cum.join(totals, keys) if keys else attach_row(cum, totals)
+    joined = join_keys(cum, totals, keys) if keys else attach_row(cum, totals)
     picks = []
     for name, q in probs.items():
         pos = (F.col("__total") - 1) * F.lit(q)
@@ -173,4 +182,4 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
 def with_group_stats(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
     """Join per-group aggregates to every row (partial aggregation, no group sort)."""
     stats = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
-    return df.join(stats, keys) if keys else attach_row(df, stats)
+    return join_keys(df, stats, keys) if keys else attach_row(df, stats)

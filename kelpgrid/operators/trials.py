@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelpgrid.functions.expressions import bilog
-from kelpgrid.functions.ordering import quantiles, with_group_stats, with_row_number, with_running
+from kelpgrid.functions.ordering import join_keys, quantiles, with_group_stats, with_row_number, with_running
 
 KEYS = ["task_id"]
 
@@ -96,8 +96,7 @@ def impute_constraints(trials: DataFrame, c: str, status: Column, out: str = "c"
 def history_stats(trials: DataFrame, y: str, status: Column) -> DataFrame:
     """5th percentile (linear), minimum and maximum of completed runs."""
     done = trials.filter(status != "failed")
-    return quantiles(done, KEYS, y, {"p5": 0.05}).join(
-        done.groupBy(*KEYS).agg(F.min(y).alias("min_y"), F.max(y).alias("max_y")), KEYS)
+    return join_keys(quantiles(done, KEYS, y, {"p5": 0.05}), done.groupBy(*KEYS).agg(F.min(y).alias("min_y"), F.max(y).alias("max_y")), KEYS)
 
 
 def dedup_configs(trials: DataFrame, config: list[str]) -> DataFrame:
@@ -111,7 +110,7 @@ def incumbents(trials: DataFrame, y: str, config: list[str], keys: list[str] = K
     """Configurations tied at the minimum, each at its first run."""
     firsts = dedup_configs(trials, config)
     best = firsts.groupBy(*keys).agg(F.min(y).alias("best"))
-    return firsts.join(best, keys).filter(F.col(y) == F.col("best")).drop("best")
+    return join_keys(firsts, best, keys).filter(F.col(y) == F.col("best")).drop("best")
 
 
 def trial_lookup(trials: DataFrame, config: dict, cols: list[str]) -> DataFrame:
@@ -149,26 +148,26 @@ def promising_threshold(trials: DataFrame, y: str, default: dict, quantile: floa
     base = default_perf(trials, y, default)
     if quantile == 0:
         return base.withColumnRenamed("default_perf", "threshold")
-    q = quantiles(trials, KEYS, y, {"q": 1.0 - quantile}).join(base, KEYS)
+    q = join_keys(quantiles(trials, KEYS, y, {"q": 1.0 - quantile}), base, KEYS)
     return q.select(*KEYS, (F.col("q") if respect else F.least("q", "default_perf")).alias("threshold"))
 
 
 def promising_region(trials: DataFrame, y: str, threshold: DataFrame, numeric: list[str]) -> DataFrame:
     """Range of good values per numeric knob, widened to the nearest bad value on each side."""
-    good = trials.join(threshold, KEYS).withColumn("good", F.col(y) <= F.col("threshold"))
+    good = join_keys(trials, threshold, KEYS).withColumn("good", F.col(y) <= F.col("threshold"))
     long = good.select(*KEYS, "good", *[F.col(c).cast("double").alias(c) for c in numeric]).unpivot(
         [*KEYS, "good"], numeric, "knob", "v")
     values = long.groupBy(*KEYS, "knob", "v").agg(F.max("good").alias("any_good"), F.min("good").alias("all_good"))
     span = values.filter("any_good").groupBy(*KEYS, "knob").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    bad = values.filter("not all_good").join(span, [*KEYS, "knob"]).groupBy(*KEYS, "knob").agg(
+    bad = join_keys(values.filter("not all_good"), span, [*KEYS, "knob"]).groupBy(*KEYS, "knob").agg(
         F.max(F.when(F.col("v") < F.col("lo"), F.col("v"))).alias("below"), F.min(F.when(F.col("v") > F.col("hi"), F.col("v"))).alias("above"))
-    return span.join(bad, [*KEYS, "knob"], "left").select(
+    return join_keys(span, bad, [*KEYS, "knob"], "left").select(
         *KEYS, "knob", F.coalesce("below", "lo").alias("low"), F.coalesce("above", "hi").alias("high"))
 
 
 def promising_categories(trials: DataFrame, y: str, threshold: DataFrame, categorical: list[str]) -> DataFrame:
     """Distinct good values per categorical knob."""
-    good = trials.join(threshold, KEYS).filter(F.col(y) <= F.col("threshold"))
+    good = join_keys(trials, threshold, KEYS).filter(F.col(y) <= F.col("threshold"))
     return good.select(*KEYS, *categorical).unpivot(KEYS, categorical, "knob", "value").distinct()
 
 

@@ -24,19 +24,29 @@ LATENCY_PATTERN = r"95th.*?(\d+.\d+),"
 
 def _json_knobs(text: Column) -> Column:
     """Python-style dict text -> map of strings; bare decimals are cut to integers, +5 and 007 normalized."""
-    js = F.regexp_replace(F.regexp_replace(text, "'", '"'), r'(: *)(-?\d+)\.\d+(?=[,}\s])', "$1$2")
+    # Literals of Python that JSON spells differently; only as whole values.
+    js = F.regexp_replace(text, "'", '"')
+    for name, literal in (("True", "true"), ("False", "false"), ("None", "null")):
+        js = F.regexp_replace(js, rf"(: *){name}(?=\s*[,}}])", f"$1{literal}")
+    js = F.regexp_replace(js, r'(: *)(-?\d+)\.\d+(?=[,}\s])', "$1$2")
     knobs = F.from_json(js, "map<string,string>")
     return F.transform_values(knobs, lambda k, v: F.when(
         v.rlike(r"^\s*[-+]?\d+\s*$"), F.trim(v).try_cast("bigint").cast("string")).otherwise(v))
 
 
+def last_wins(entries: Column) -> Column:
+    """Map of (k, v) entries in order; a name that comes again replaces the one before."""
+    later = F.transform(entries, lambda e, i: F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["k"] == e["k"]))
+    return F.map_from_entries(F.filter(entries, lambda e, i: ~F.get(later, i) & e["k"].isNotNull()))
+
+
 def parse_trial_log(lines: DataFrame, line: str = "line", valid_only: bool = False) -> DataFrame:
     """``{knobs}|name_value|...|[internal metrics]|65d`` -> knobs, metrics, internal."""
     body = F.when(F.instr(line, "{") > 0, F.expr(f"substr({line}, instr({line}, '{{'))")).otherwise(F.col(line))
     t = lines.withColumn("__t", F.split(body, r"\|"))
     n = F.size("__t")
     pairs = F.when(n > 3, F.slice("__t", F.lit(2), F.greatest(n - 3, F.lit(0)))).otherwise(F.array().cast("array<string>"))
-    metrics = F.map_from_entries(F.transform(pairs, lambda p: F.struct(
+    metrics = last_wins(F.transform(pairs, lambda p: F.struct(
         F.get(F.split(p, "_"), 0).alias("k"), F.get(F.split(p, "_"), 1).try_cast("double").alias("v"))))
     tail = F.when(F.trim(F.get(F.col("__t"), n - 1)) == FULL_MARK, F.get(F.col("__t"), n - 2)).otherwise(F.get(F.col("__t"), n - 1))
     values = F.when(n > 2, F.from_json(F.trim(tail), "array<double>"))
@@ -129,7 +139,7 @@ def bench_job(lines: DataFrame, n_queries: int, timeout: float) -> DataFrame:
 
 def bench_cloud(lines: DataFrame) -> DataFrame:
     hit = lines.filter(F.col("line").contains("Request/s"))
-    value = F.get(F.split(F.get(F.split(F.trim("line"), r"\s+"), 6), ":"), 1).cast("double")
+    value = F.get(F.split(F.get(F.split(F.trim("line"), r"\s+"), 6), ":"), 1).try_cast("double")
     return hit.groupBy("file").agg(F.avg(value).alias("qps"))
 
 
@@ -138,8 +148,8 @@ def bench_oltp(lines: DataFrame) -> DataFrame:
     t = lines.withColumns({"__a": F.nullif(F.regexp_extract("line", THROUGHPUT_PATTERN, 1), F.lit("")),
                            "__b": F.nullif(F.regexp_extract("line", LATENCY_PATTERN, 1), F.lit(""))})
     return t.groupBy("file").agg(
-        F.min_by(F.col("__a").cast("double"), F.when(F.col("__a").isNotNull(), F.col("line_no"))).alias("tps"),
-        F.min_by(F.col("__b").cast("double"), F.when(F.col("__b").isNotNull(), F.col("line_no"))).alias("latency"))
+        F.min_by(F.col("__a").try_cast("double"), F.when(F.col("__a").isNotNull(), F.col("line_no"))).alias("tps"),
+        F.min_by(F.col("__b").try_cast("double"), F.when(F.col("__b").isNotNull(), F.col("line_no"))).alias("latency"))
 
 
 def parse_kv_config(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -161,8 +171,10 @@ def parse_run_log(lines: DataFrame) -> DataFrame:
     t = t.withColumns({"__k": F.nullif(F.regexp_extract("line", entry, 1), F.lit("")), "__v": F.regexp_extract("line", entry, 2),
                        "__p": F.nullif(F.regexp_extract("line", r"^, result is: (.*)", 1), F.lit(""))})
     it = t.filter("iter > 0").groupBy("file", "iter").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("__k").isNotNull(), F.struct("__k", "__v"))))).alias("config"),
+        F.sort_array(F.collect_list(F.when(F.col("__k").isNotNull(), F.struct("line_no", F.col("__k").alias("k"), F.col("__v").alias("v"))))).alias("__e"),
         F.max(F.col("__p").try_cast("double")).alias("perf"))
+    entries = F.transform("__e", lambda e: F.struct(e["k"].alias("k"), e["v"].alias("v")))
+    it = it.select("file", "iter", last_wins(entries).alias("config"), "perf")
     return with_running(it, ["file"], ["iter"], {"lower_bound": ("min", "perf")})
 
 

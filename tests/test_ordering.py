@@ -72,3 +72,27 @@ def test_ranking_loss_with_ties(spark):
         assert got.loc[k, "misranked"] == sum((a < b) != (c < d) for a, c in zip(v, w) for b, d in zip(v, w))
         pairs = [(i, j) for i in range(len(g)) for j in range(i + 1, len(g))]
         assert abs(share.loc[k, "share"] - np.mean([(v[i] > v[j]) == (w[i] > w[j]) for i, j in pairs])) < 1e-12
+
+
+def test_null_keys_and_order_values_survive(spark):
+    from kelpgrid.functions.ordering import quantiles, with_group_stats, with_previous, with_row_number, with_running
+
+    rows = [("a", 1.0, 1), ("a", None, 2), ("a", None, 3), (None, 2.0, 4), (None, None, 5), ("a", 5.0, 6)]
+    df = spark.createDataFrame(rows, "k string, v double, id long")
+    got = {r["id"]: r["rn"] for r in with_row_number(df, ["k"], ["v", "id"]).collect()}
+    assert got == {2: 1, 3: 2, 1: 3, 6: 4, 5: 1, 4: 2}
+    assert sorted(r["rn"] for r in with_row_number(df, [], ["v", "id"]).collect()) == [1, 2, 3, 4, 5, 6]
+    run = {r["id"]: r["s"] for r in with_running(df, ["k"], ["v", "id"], {"s": ("sum", "id")}).collect()}
+    assert run == {2: 2, 3: 5, 1: 6, 6: 12, 5: 5, 4: 9}
+    prev = {r["id"]: r["p"] for r in with_previous(df, ["k"], ["v", "id"], {"p": "id"}).collect()}
+    assert prev == {2: None, 3: 2, 1: 3, 6: 1, 5: None, 4: 5}
+    assert {r["k"]: r["m"] for r in quantiles(df, ["k"], "v", {"m": 0.5}).collect()} == {"a": 3.0, None: 2.0}
+    assert {r["id"]: r["n"] for r in with_group_stats(df, ["k"], n=F.count("id")).collect()} == {1: 4, 2: 4, 3: 4, 4: 2, 5: 2, 6: 4}
+
+
+def test_trial_log_with_python_literals_and_repeated_names(spark):
+    from kelpgrid.sources.logs import parse_trial_log
+
+    line = "{'a': True, 'b': 3, 'c': None}|tps_1.5|tps_2.5|lat_x|[]|"
+    r = parse_trial_log(spark.createDataFrame([(line,)], "line string")).first()
+    assert r["knobs"] == {"a": "true", "b": "3", "c": None} and r["metrics"] == {"tps": 2.5, "lat": None}
