@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpgrid.llm.common import BASE, PART, with_bases
-from kelpgrid.llm.encoding import Encoder, Vocabulary, groups_of
+from kelpgrid.llm.encoding import Vocabulary, groups_of, worker_encoder
 from kelpgrid.session import materialize
 
 WINDOW = 2048
@@ -29,7 +29,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def _encode(vocabulary: Vocabulary, end: int):
     def run(batches):
-        encoder, first, part = Encoder(vocabulary), 0, TaskContext.get().partitionId()
+        encoder, first, part = worker_encoder(vocabulary), 0, TaskContext.get().partitionId()
         width = encoder.dtype.itemsize
         for batch in batches:
             at = 0

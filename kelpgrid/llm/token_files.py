@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpgrid.llm.encoding import Encoder, Vocabulary, groups_of
+from kelpgrid.llm.encoding import Vocabulary, groups_of, worker_encoder
 from kelpgrid.session import materialize, shared_folder
 
 END = 2
@@ -50,7 +50,7 @@ def _writer(folder: str, vocabulary: Vocabulary, end: int):
         task = TaskContext.get()
         part = task.partitionId()
         name, draft = f"part-{part:05d}", f"draft-{part:05d}-{uuid.uuid4().hex}"
-        encoder = Encoder(vocabulary)
+        encoder = worker_encoder(vocabulary)
         counts, docs = [], []
         with store.open_output_stream(f"{path}/{draft}.ids") as out:
             for batch in batches:
