@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-PIECES, PARTS = 1_000_000, 300_000  # entries kept in a worker
+PIECES, PARTS = 600_000, 200_000  # entries kept in a worker
 MARKS = ",."
 PLAIN = r"[\n\r\t!-;=-~¡-ÿ]+"  # no "<", which may begin a special token
 
