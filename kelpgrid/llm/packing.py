@@ -9,6 +9,7 @@ piece on either side.  Only the last window is not full.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -27,9 +28,9 @@ STREAM = f"doc_id long, ids binary, first long, n_tokens long, width int, {PART}
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _encode(vocabulary: Vocabulary, end: int):
+def _encode(vocabulary: Vocabulary, end: int, name: str):
     def run(batches):
-        encoder, first, part = worker_encoder(vocabulary), 0, TaskContext.get().partitionId()
+        encoder, first, part = worker_encoder(vocabulary, name), 0, TaskContext.get().partitionId()
         width = encoder.dtype.itemsize
         for batch in batches:
             at = 0
@@ -74,7 +75,7 @@ def pack(docs: DataFrame, vocabulary: Vocabulary, window: int = WINDOW, end: int
     other.  An empty table gives no rows.  Other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    stream = materialize(rows.mapInArrow(_encode(vocabulary, end), STREAM))
+    stream = materialize(rows.mapInArrow(_encode(vocabulary, end, uuid.uuid4().hex), STREAM))
     placed = with_bases(stream, F.sum("n_tokens"))
     placed = placed.select("doc_id", "ids", "n_tokens", "width", (F.col("first") + F.col(BASE)).alias("place"))
     return placed.mapInArrow(_cut(window), PIECES)

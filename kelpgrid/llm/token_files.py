@@ -43,20 +43,20 @@ def _local(uri: str) -> str:
     return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
-def _writer(folder: str, vocabulary: Vocabulary, end: int):
+def _writer(folder: str, vocabulary: Vocabulary, end: int, run: str):
     def write(batches):
         store, path = _open_store(folder)
         store.create_dir(path, recursive=True)
         task = TaskContext.get()
         part = task.partitionId()
         name, draft = f"part-{part:05d}", f"draft-{part:05d}-{uuid.uuid4().hex}"
-        encoder = worker_encoder(vocabulary)
+        encoder = worker_encoder(vocabulary, run)
         counts, docs = [], []
         with store.open_output_stream(f"{path}/{draft}.ids") as out:
             for batch in batches:
                 docs.append(batch.column(0).fill_null(int(NULL_ID)).to_numpy(zero_copy_only=False).astype("<i8"))
-                for run in groups_of(t.as_py() for t in batch.column(1)):
-                    for ids in encoder.encode(run, end):
+                for texts in groups_of(t.as_py() for t in batch.column(1)):
+                    for ids in encoder.encode(texts, end):
                         out.write(ids)
                         counts.append(len(ids) // encoder.dtype.itemsize)
         if not counts:
@@ -85,7 +85,7 @@ def write_token_files(docs: DataFrame, vocabulary: Vocabulary, folder: str, end:
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = materialize(rows.mapInArrow(_writer(_local(folder), vocabulary, end), MANIFEST))
+    manifest = materialize(rows.mapInArrow(_writer(_local(folder), vocabulary, end, uuid.uuid4().hex), MANIFEST))
     before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
