@@ -35,16 +35,21 @@ def random_design(base: DataFrame, space: list[dict], seed: int, key: str = "row
     return base.select(key, *[_knob(k, F.rand(seed + i)).alias(k["name"]) for i, k in enumerate(space)])
 
 
-def random_design_distinct(base: DataFrame, space: list[dict], seen: DataFrame, n: int, seed: int, tries: int = 4) -> DataFrame:
-    """n distinct configurations that are not in ``seen``; a bounded number of redraws."""
+def random_design_distinct(base: DataFrame, space: list[dict], seen: DataFrame, n: int, seed: int) -> DataFrame:
+    """n distinct configurations that are not in ``seen``; redrawn until there are n, an error once draws bring nothing new."""
     names = [k["name"] for k in space]
-    found = None
-    for t in range(tries):
+    found, before, idle, t = None, 0, 0, 0
+    while True:
         draw = random_design(base, space, seed + 1000 * t).select(*names)
         draw = draw if found is None else found.unionByName(draw)
         found = materialize(draw.distinct().join(seen.select(*names), names, "left_anti"))
-        if found.count() >= n:
+        have = found.count()
+        if have >= n:
             break
+        idle = idle + 1 if have == before else 0
+        if idle == 5:
+            raise ValueError(f"only {have} of {n} distinct configurations found")
+        before, t = have, t + 1
     return found.orderBy(F.xxhash64(*names), *names).limit(n)
 
 

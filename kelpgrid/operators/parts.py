@@ -9,7 +9,7 @@ from kelpgrid.functions.ordering import attach_row, with_row_number, with_runnin
 from kelpgrid.operators.grid import AXES, both_directions, cube_almost_contains, cube_contains_point
 from kelpgrid.session import materialize
 
-MORTON_BITS = 20
+MORTON_BITS = 21  # three coordinates in the 63 bits of a long
 
 
 def round_robin_parts(hist: DataFrame, k: int) -> DataFrame:
@@ -17,20 +17,21 @@ def round_robin_parts(hist: DataFrame, k: int) -> DataFrame:
 
 
 def morton_code(cx: str = "cx", cy: str = "cy", ct: str = "ct") -> Column:
-    """Interleaved bits of three non-negative cell coordinates."""
+    """Interleaved bits of three cell coordinates from 0 to 2**21 - 1; others end the job."""
     out = F.lit(0).cast("long")
     for i in range(MORTON_BITS):
         for j, c in enumerate((cx, cy, ct)):
             bit = F.shiftright(F.col(c), i).bitwiseAND(F.lit(1).cast("long"))
             out = out.bitwiseOR(F.shiftleft(bit, 3 * i + j))
-    return out
+    fits = (F.least(cx, cy, ct) >= 0) & (F.greatest(cx, cy, ct) < 1 << MORTON_BITS)
+    return F.when(fits, out).otherwise(F.raise_error(F.lit("cell coordinate outside the Morton code")).cast("long"))
 
 
 def pack_cells(hist: DataFrame, k: int) -> DataFrame:
     """Parts of nearly equal load whose cells are close: cut the Morton order in k."""
     total = hist.agg(F.sum("n").alias("total"))
     coded = hist.withColumn("z", morton_code())
-    run = with_running(coded, [], ["z"], {"before": ("sum", "n")}, exclusive=True)
+    run = with_running(coded, [], ["z", "cell_id"], {"before": ("sum", "n")}, exclusive=True)
     part = F.floor(F.lit(k) * F.col("before") / F.col("total"))
     return attach_row(run, total).withColumn("part", part).drop("before", "total", "z")
 
@@ -85,16 +86,16 @@ def swap_gain(edges: DataFrame, assigned: DataFrame) -> DataFrame:
             .select("src", "dst", (F.col("gain_a") + F.col("gain_b") - 2 * F.col("w")).alias("gain")))
 
 
-def refine_parts(edges: DataFrame, assigned: DataFrame, max_load: int, max_rounds: int = 4) -> DataFrame:
-    """Rounds of moves that raise the internal weight and keep every load <= cap.
+def refine_parts(edges: DataFrame, assigned: DataFrame, max_load: int) -> DataFrame:
+    """Rounds of moves that raise the internal weight and keep every load <= cap, until none is left.
 
     Per round each cell names its best part; of two adjacent movers only the
     better one moves, so the gains add up; arrivals are accepted by gain until
-    the target is full.
+    the target is full.  Every round raises the internal weight, so the rounds end.
     """
     edges = materialize(edges)
     state = materialize(assigned)
-    for _ in range(max_rounds):
+    while True:
         best = (move_gain(edges, state).filter("gain > 1e-9").groupBy("cell_id")
                 .agg(F.max_by(F.struct("target", "gain"), F.struct("gain", -F.col("target"))).alias("m"))
                 .select("cell_id", "m.target", "m.gain"))
@@ -118,11 +119,14 @@ def refine_parts(edges: DataFrame, assigned: DataFrame, max_load: int, max_round
     return state
 
 
-def merge_adjacent(hist: DataFrame, edges: DataFrame, cap: int, max_rounds: int = 50) -> DataFrame:
-    """Contract mutually best neighbouring groups while the joint count stays <= cap."""
+def merge_adjacent(hist: DataFrame, edges: DataFrame, cap: int) -> DataFrame:
+    """Contract mutually best neighbouring groups while the joint count stays <= cap.
+
+    The best of all edges is mutual and every round lowers the number of groups, so the rounds end.
+    """
     state = materialize(hist.withColumn("part", F.col("cell_id")))
     edges = materialize(edges)
-    for _ in range(max_rounds):
+    while True:
         size = state.groupBy("part").agg(F.sum("n").alias("size"))
         g = _labelled(edges, state).filter("src_part <> dst_part").groupBy("src_part", "dst_part").agg(F.sum("w").alias("w"))
         g = (g.join(size.select(F.col("part").alias("src_part"), F.col("size").alias("sa")), "src_part")

@@ -11,6 +11,8 @@ from kelpgrid.functions.expressions import bilog
 from kelpgrid.functions.ordering import join_keys, quantiles, with_group_stats, with_row_number, with_running
 
 KEYS = ["task_id"]
+# Fixed value: an objective that says "no value".
+MAXINT = 2 ** 31 - 1
 
 
 def objective_values(metrics: str, names: list[str]) -> dict[str, Column]:
@@ -42,10 +44,12 @@ def constraint_values(exprs: list[str], allowed: set[str]) -> list[Column]:
 
 
 def trial_status(state: str, objectives: list[str], constraints: list[str] = ()) -> Column:
-    """success / failed / infeasible of one run; a missing objective or constraint is a failure."""
+    """success / failed / infeasible of one run; a missing objective (null or MAXINT) or constraint is a failure."""
     bad = F.col(state) != 0
     for c in (*objectives, *constraints):
         bad = bad | F.col(c).isNull()
+    for c in objectives:
+        bad = bad | (F.col(c) >= MAXINT)
     broken = F.lit(False)
     for c in constraints:
         broken = broken | (F.col(c) > 0)

@@ -96,8 +96,8 @@ def _group(pattern: str, i: int, line: str = "line") -> Column:
 
 
 def bench_tpcc(lines: DataFrame) -> DataFrame:
-    hit = lines.filter(F.col("line").rlike(TPCC_PATTERN))
-    return hit.groupBy("file").agg(F.avg(_group(TPCC_PATTERN, 1)).alias("tps"), F.avg(_group(TPCC_PATTERN, 3)).alias("latency"))
+    """Means over the matching lines of a file; a file without one has zeros."""
+    return lines.groupBy("file").agg(*[F.coalesce(F.avg(_group(TPCC_PATTERN, i)), F.lit(0.0)).alias(c) for c, i in (("tps", 1), ("latency", 3))])
 
 
 def bench_sysbench(lines: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def bench_job(lines: DataFrame, n_queries: int, timeout: float) -> DataFrame:
     """Latency of every query (last tab field, ms), unfinished ones at the timeout: p95, throughput, variance."""
     body = lines.filter((F.col("line_no") > 0) & (F.trim("line") != ""))
     lat = body.select("file", (F.trim(F.element_at(F.split("line", "\t"), -1)).try_cast("double") / 1000).alias("v"))
-    counts = lat.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    counts = lines.groupBy("file").agg(F.count_if((F.col("line_no") > 0) & (F.trim("line") != "")).alias("n"))
     pad = counts.filter(F.col("n") < n_queries).select("file", F.explode(F.sequence(F.col("n") + 1, F.lit(n_queries).cast("long"))).alias("i"))
     full = lat.unionByName(pad.select("file", F.lit(float(timeout)).alias("v")))
     stats = full.groupBy("file").agg(

@@ -123,11 +123,11 @@ def test_parts_keep_all_cells_and_caps(spark):
     start = P.round_robin_parts(hist, 4)
     cost = lambda a: P.graph_totals(edges, a).first()["cost"]
     high = max(cap, P.part_loads(start).groupBy().max("load").first()[0])
-    better = P.refine_parts(edges, start, high, max_rounds=2)
+    better = P.refine_parts(edges, start, high)
     assert better.count() == n and cost(better) >= cost(start)
     assert P.part_loads(better).groupBy().max("load").first()[0] <= high
     biggest = hist.groupBy().max("n").first()[0]
-    merged = P.merge_adjacent(hist, edges, cap, max_rounds=3)
+    merged = P.merge_adjacent(hist, edges, cap)
     assert merged.count() == n and P.part_loads(merged).groupBy().max("load").first()[0] <= max(cap, biggest)
     grown = P.seed_grow(hist, edges, cap)
     assert grown.count() == n and grown.select("cell_id").distinct().count() == n

@@ -86,6 +86,19 @@ def test_trial_log_edge_lines(spark):
     assert L.parse_trial_log(spark.createDataFrame([(s,) for s in lines], "line string"), valid_only=True).count() == 1
 
 
+def test_benchmark_files_without_a_result(spark):
+    lines = spark.createDataFrame([("a", 0, "trx: 10, 95%: 1.5, 99%: 2.5, max_rt:"), ("b", 0, "warm up")], "file string, line_no long, line string")
+    assert {tuple(x) for x in L.bench_tpcc(lines).collect()} == {("a", 10.0, 2.5), ("b", 0.0, 0.0)}
+    jobs = spark.createDataFrame([("a", 0, "head"), ("a", 1, "q\t2000"), ("b", 0, "head")], "file string, line_no long, line string")
+    got = {x["file"]: (x["tps"], x["p95"], x["latency_var"]) for x in L.bench_job(jobs, 2, 4.0).collect()}
+    assert got["b"] == (30.0, 4.0, 0.0) and got["a"][0] == 30.0 and got["a"][2] == 2.0
+
+
+def test_maxint_objective_is_a_failure(spark):
+    rows = spark.createDataFrame([(0, 2.0 ** 31 - 1), (0, 5.0), (1, 5.0), (0, None)], "state int, y double")
+    assert [x[0] for x in rows.select(H.trial_status("state", ["y"])).collect()] == ["failed", "success", "failed", "failed"]
+
+
 def test_sysbench_accept_rule(spark):
     def file(name, n):
         return [(name, f"tps: {i}.0 qps: 1.0 (r/w/o: 1.0/1.0/1.0) lat (ms,95%): 1.0 err/s: 0.0 reconn/s: 0.0") for i in range(10, 10 + n)]
