@@ -7,7 +7,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpgrid.functions.expressions import normal_cdf, normal_pdf
+from kelpgrid.functions.expressions import hash_unit, normal_cdf, normal_pdf
 from kelpgrid.functions.ordering import with_row_number
 from kelpgrid.operators.nearest import nearest_k
 from kelpgrid.session import materialize
@@ -31,8 +31,8 @@ def _knob(k: dict, u: Column) -> Column:
 
 
 def random_design(base: DataFrame, space: list[dict], seed: int, key: str = "row") -> DataFrame:
-    """One uniform configuration per row of ``base`` (use ``spark.range(n)`` for n rows)."""
-    return base.select(key, *[_knob(k, F.rand(seed + i)).alias(k["name"]) for i, k in enumerate(space)])
+    """One uniform configuration per row of ``base`` (use ``spark.range(n)`` for n rows); draws depend on key and seed alone."""
+    return base.select(key, *[_knob(k, hash_unit(F.col(key), f"{seed}:{i}")).alias(k["name"]) for i, k in enumerate(space)])
 
 
 def random_design_distinct(base: DataFrame, space: list[dict], seen: DataFrame, n: int, seed: int) -> DataFrame:
@@ -50,7 +50,7 @@ def random_design_distinct(base: DataFrame, space: list[dict], seen: DataFrame,
         if idle == 5:
             raise ValueError(f"only {have} of {n} distinct configurations found")
         before, t = have, t + 1
-    return found.orderBy(F.xxhash64(*names), *names).limit(n)
+    return found.orderBy(F.md5(F.concat_ws(":", *names)), *names).limit(n)
 
 
 def lhs_design(base: DataFrame, dims: int, seed: int, key: str = "row", criterion: str | None = None, draws: int = 4) -> DataFrame:
@@ -64,12 +64,11 @@ def lhs_design(base: DataFrame, dims: int, seed: int, key: str = "row", criterio
     best, best_score = None, None
     n = base.count()
     for d in range(draws if criterion else 1):
-        t = base.select(key, *[F.rand(seed + 100 * d + i).alias(f"r{i}") for i in range(dims)],
-                        *[F.rand(seed + 100 * d + 50 + i).alias(f"j{i}") for i in range(dims)])
-        t = materialize(t)
-        for i in range(dims):
-            t = with_row_number(t, [], [f"r{i}", key], f"s{i}")
-        t = materialize(t.select(key, *[((F.col(f"s{i}") - F.col(f"j{i}")) / n).alias(f"u{i}") for i in range(dims)]))
+        spots = [F.struct(F.lit(i).alias("dim"), hash_unit(F.col(key), f"{seed}:{d}:r{i}").alias("r"), hash_unit(F.col(key), f"{seed}:{d}:j{i}").alias("j"))
+                 for i in range(dims)]
+        t = materialize(base.select(key, F.inline(F.array(*spots))))
+        t = with_row_number(t, ["dim"], ["r", key], "s").withColumn("u", (F.col("s") - F.col("j")) / n)
+        t = materialize(t.groupBy(key).agg(*[F.max(F.when(F.col("dim") == i, F.col("u"))).alias(f"u{i}") for i in range(dims)]))
         if criterion is None:
             return t
         u = [f"u{i}" for i in range(dims)]

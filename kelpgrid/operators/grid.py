@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kelpgrid.functions.expressions import hash_unit
 from kelpgrid.functions.ordering import attach_row, with_row_number
 
 AXES = ("x", "y", "t")
 SAMPLE_SEED = 9961
 
 
-def sample_fraction(df: DataFrame, fraction: float, seed: int = SAMPLE_SEED) -> DataFrame:
-    """Bernoulli sample without replacement."""
-    return df.sample(withReplacement=False, fraction=fraction, seed=seed)
+def sample_fraction(df: DataFrame, fraction: float, key: str = "id", seed: int = SAMPLE_SEED) -> DataFrame:
+    """Bernoulli sample without replacement, the same rows for any partitioning."""
+    return df.filter(hash_unit(F.col(key), str(seed)) < fraction)
 
 
 def sample_n(df: DataFrame, n: int, key: str = "id", seed: int = SAMPLE_SEED) -> DataFrame:

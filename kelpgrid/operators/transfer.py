@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelpgrid.functions.dominance import dominated
-from kelpgrid.functions.ordering import quantiles, with_group_stats, with_previous, with_row_number, with_running
+from kelpgrid.functions.expressions import hash_unit, normal_quantile
+from kelpgrid.functions.ordering import join_keys, quantiles, with_group_stats, with_previous, with_row_number, with_running
 from kelpgrid.operators.pairs import hash_order
 from kelpgrid.operators.transforms import STD_FLOOR, decile_bin, decile_points
 from kelpgrid.session import materialize
@@ -22,12 +23,20 @@ BLOCK = 1024
 # --- linear models from sufficient statistics -------------------------------------------------
 
 
-def _moments(df: DataFrame, keys: list[str], xs: list[str], y: str) -> DataFrame:
-    """Sums of products per group: everything a ridge fit needs, combined before the shuffle."""
-    cols = ["__1", *xs, y]
-    t = df.withColumn("__1", F.lit(1.0))
-    return t.groupBy(*keys).agg(*[F.sum(F.col(a) * F.col(b)).alias(f"m_{i}_{j}")
-                                  for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j])
+def _moments(df: DataFrame, keys: list[str], xs: list[str], y: str, part: tuple[str, ...] = ()) -> DataFrame:
+    """Sums of products per group (and ``part`` of it): everything a ridge fit needs, combined before the shuffle.
+
+    Columns are first centred and scaled by their group, so that large means do not cancel;
+    ``c_i`` and ``s_i`` hold centre and scale (the objective last).
+    """
+    names = [*xs, y]
+    stats = {f"c_{i}": F.avg(F.col(c).cast("double")) for i, c in enumerate(names)}
+    stats |= {f"s_{i}": F.stddev_pop(F.col(c).cast("double")) for i, c in enumerate(names)}
+    t = with_group_stats(df.select(*keys, *part, *names), keys, **stats)
+    t = t.withColumns({f"s_{i}": F.when(F.col(f"s_{i}") > 0, F.col(f"s_{i}")).otherwise(1.0) for i in range(len(names))})
+    z = [F.lit(1.0), *[(F.col(c) - F.col(f"c_{i}")) / F.col(f"s_{i}") for i, c in enumerate(names)]]
+    return t.groupBy(*keys, *part).agg(*[F.sum(a * b).alias(f"m_{i}_{j}") for i, a in enumerate(z) for j, b in enumerate(z) if i <= j],
+                                       *[F.max(c).alias(c) for c in stats])
 
 
 def _solve(stats: DataFrame, keys: list[str], d: int) -> DataFrame:
@@ -45,14 +54,18 @@ def _solve(stats: DataFrame, keys: list[str], d: int) -> DataFrame:
                     _, i, j = n.split("_")
                     m[int(i), int(j)] = m[int(j), int(i)] = rec[n]
                 n_rows = m[0, 0]
+                centre, scale = np.array([rec[f"c_{i}"] for i in range(d)]), np.array([rec[f"s_{i}"] for i in range(d)])
                 mean = m[0, d + 1] / n_rows
-                std = max(m[d + 1, d + 1] / n_rows - mean ** 2, 0.0) ** 0.5 + STD_FLOOR
+                y_std = max(m[d + 1, d + 1] / n_rows - mean ** 2, 0.0) ** 0.5 * rec[f"s_{d}"] + STD_FLOOR
+                std = y_std / rec[f"s_{d}"]
                 xx = m[:d + 1, :d + 1]
                 xy = (m[:d + 1, d + 1] - mean * m[:d + 1, 0]) / std
                 coef = np.linalg.solve(xx + RIDGE * np.eye(d + 1), xy)
                 yy = (m[d + 1, d + 1] - n_rows * mean ** 2) / std ** 2
                 var = max((yy - 2 * coef @ xy + coef @ xx @ coef) / n_rows, VAR_FLOOR)
-                rows.append({**{k: rec[k] for k in keys}, "coef": coef.tolist(), "y_mean": mean, "y_std": std, "var": var})
+                coef[1:] /= scale
+                coef[0] -= coef[1:] @ centre
+                rows.append({**{k: rec[k] for k in keys}, "coef": coef.tolist(), "y_mean": rec[f"c_{d}"] + mean * rec[f"s_{d}"], "y_std": y_std, "var": var})
             yield pd.DataFrame(rows, columns=[*keys, "coef", "y_mean", "y_std", "var"])
 
     return stats.mapInPandas(fit, schema)
@@ -81,12 +94,13 @@ def kfold_assign(df: DataFrame, keys: list[str], order: list[str], folds: int =
 def oof_predictions(df: DataFrame, keys: list[str], order: list[str], xs: list[str], y: str) -> DataFrame:
     """Out-of-fold mean and variance: a fold's model uses the task's moments minus the fold's own."""
     t = materialize(kfold_assign(df, keys, order))
-    own = materialize(_moments(t, [*keys, "fold"], xs, y))
+    own = materialize(_moments(t, keys, xs, y, ("fold",)))
     sums = [c for c in own.columns if c.startswith("m_")]
     total = own.groupBy(*keys).agg(*[F.sum(c).alias(f"t_{c}") for c in sums])
-    rest = own.join(total, keys).select(*keys, "fold", *[(F.col(f"t_{c}") - F.col(c)).alias(c) for c in sums])
+    rest = join_keys(own, total, keys).select(*keys, "fold", *[(F.col(f"t_{c}") - F.col(c)).alias(c) for c in sums],
+                                        *[c for c in own.columns if c[:2] in ("c_", "s_")])
     models = _solve(rest.filter("m_0_0 > 0"), [*keys, "fold"], len(xs))
-    return t.join(models, [*keys, "fold"]).withColumns({"mu": predict(xs), "mu_var": F.col("var")}).drop("coef", "var")
+    return join_keys(t, models, [*keys, "fold"]).withColumns({"mu": predict(xs), "mu_var": F.col("var")}).drop("coef", "var")
 
 
 def fit_residual_chain(df: DataFrame, xs: list[str], y: str, tasks: list) -> DataFrame:
@@ -143,7 +157,8 @@ def order_preserving(df: DataFrame, keys: list[str], row: str, y: str, p: str) -
 def ranking_loss_sampled(df: DataFrame, keys: list[str], row: str, y: str, mu: str, var: str, draws: int = DRAWS, seed: int = 1) -> DataFrame:
     """Misranked pairs of ``draws`` samples N(mu, var); var is the scale, as in the sampled form of the loss."""
     t = df.select(*keys, row, y, mu, var).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    t = materialize(t.withColumn("__p", F.col(mu) + F.randn(seed) * F.col(var)))
+    u = hash_unit(F.concat_ws(":", *keys, row, "draw"), str(seed)) + F.lit(0.5 / (1 << 48))
+    t = materialize(t.withColumn("__p", F.col(mu) + normal_quantile(u) * F.col(var)))
     return ranking_loss(t, [*keys, "draw"], row, y, "__p")
 
 
@@ -253,30 +268,34 @@ def l2_loss(df: DataFrame, keys: list[str], y: str, p: Column) -> DataFrame:
     return df.groupBy(*keys).agg((F.sqrt(F.sum(d * d)) / F.count(F.lit(1))).alias("value"))
 
 
-def simplex_weights(df: DataFrame, row: str, y: str, models: list[str], rounds: int = 25, rate: float = 4.0,
+def simplex_weights(df: DataFrame, row: str, y: str, models: list[str], max_rounds: int = 500, rate: float = 4.0,
                     target: str | None = None, previous_target: float = 0.0, n_min: int = 5) -> dict[str, float]:
     """Weights >= 0 with sum 1 that minimize the logistic pair loss (exponentiated gradient).
 
-    Each round sums over the data in Spark; only the K weights live on the
+    Rounds end when no weight would move by 1e-4; a step that does not lower the loss is
+    taken back and halved, others grow.  Too many rounds raise.  Each round sums over the data in Spark; only the K weights live on the
     driver.  Weights below 1e-3 become 0; with a target its weight is at least
     0.3 and, once there are 10 rows, not below its previous value.
     """
     blocks = pair_blocks(df, [], row, y, models)
     w = np.full(len(models), 1.0 / len(models))
-    best, best_value = w, np.inf
-    for _ in range(rounds):
+    best, best_value, g = w, np.inf, None
+    for _ in range(max_rounds):
         s = pair_loss_sums(blocks, [], list(w), "log").first()
         if not s or not s["pairs"]:
             break
         value = s["total"] / s["pairs"]
-        if value < best_value - 1e-9:
-            best, best_value = w, value
+        if value < best_value:
+            best, best_value, rate = w, value, rate * 1.5
+            g = np.array([s[f"g{i}"] for i in range(len(models))]) / s["pairs"]
         else:
             rate /= 2
-            w = best
-        g = np.array([s[f"g{i}"] for i in range(len(models))]) / s["pairs"]
-        w = w * np.exp(-rate * (g - g.min()))
+        w = best * np.exp(-rate * (g - g.min()))
         w = w / w.sum()
+        if np.abs(w - best).max() < 1e-4:
+            break
+    else:
+        raise RuntimeError("weights did not converge")
     out = {m: (0.0 if v < 1e-3 else float(v)) for m, v in zip(models, best)}
     if target is not None:
         n = df.count()
@@ -338,9 +357,9 @@ def batch_predict(long: DataFrame, row: str, models: list[int]) -> DataFrame:
 def match_workload(observed: DataFrame, predicted: DataFrame, row: str) -> DataFrame:
     """Mean distance between decile-binned predicted and observed metrics per source; ``matched`` marks the closest.
 
-    ``observed(row, metric, value)``, ``predicted(source, row, metric, value)``; both sides use the observed deciles.
+    ``observed(row, metric, value)``, ``predicted(source, row, metric, value)``; both sides use the deciles of all sources.
     """
-    cuts = decile_points(observed, "value", ["metric"])
+    cuts = decile_points(predicted, "value", ["metric"])
     o = observed.join(cuts, "metric").select(row, "metric", decile_bin(F.col("value")).alias("__o"))
     p = predicted.join(cuts, "metric").select("source", row, "metric", decile_bin(F.col("value")).alias("__p"))
     d = F.col("__p") - F.col("__o")
@@ -397,9 +416,9 @@ def important_knobs_vote(regions: DataFrame) -> DataFrame:
     return t.withColumn("__w", F.col("similarity") / total).filter(ok).groupBy("knob").agg(F.sum("__w").alias("weight"))
 
 
-def vote_categories(votes: DataFrame, defaults: dict[str, str]) -> DataFrame:
-    """``votes(task_id, similarity, knob, value)`` -> values with weight > 1/3, at least two per knob."""
-    total = votes.select("task_id", "similarity").distinct().agg(F.sum("similarity")).scalar()
+def vote_categories(votes: DataFrame, defaults: dict[str, str], sampled: DataFrame) -> DataFrame:
+    """``votes(task_id, similarity, knob, value)`` -> values with weight > 1/3 of all ``sampled`` tasks, at least two per knob."""
+    total = sampled.select("task_id", "similarity").distinct().agg(F.sum("similarity")).scalar()
     w = votes.withColumn("__w", F.col("similarity") / total).groupBy("knob", "value").agg(F.sum("__w").alias("w")).filter(F.col("w") > 1 / 3)
     g = w.groupBy("knob").agg(F.array_sort(F.collect_set("value")).alias("choices")).filter(F.size("choices") > 1)
     d = F.try_element_at(F.create_map(*[F.lit(v) for kv in defaults.items() for v in kv]), F.col("knob"))
@@ -433,6 +452,6 @@ def compact_space(regions: DataFrame, votes: DataFrame, defaults: dict, only_ran
         return keep
     num = vote_ranges(regions.filter(F.col("knob").isin(list(numbers))), numbers)
     num = num.select("knob", "low", "high", F.col("default").cast("string").alias("default"), F.lit(None).cast("array<string>").alias("choices"))
-    cat = vote_categories(votes, texts).select("knob", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), "default", "choices")
+    cat = vote_categories(votes, texts, regions).select("knob", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), "default", "choices")
     both = num.unionByName(cat)
     return both if only_range else both.join(keep, "knob", "left_semi")

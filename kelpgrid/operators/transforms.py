@@ -60,7 +60,7 @@ def gaussian_rank(df: DataFrame, col: str, keys: list[str], tie: str, out: str =
     n = F.col("__n").cast("double")
     delta = F.try_divide(F.lit(1.0), F.lit(4.0) * F.pow(n, 0.25) * F.sqrt(F.lit(math.pi) * F.log(n)))
     t = t.withColumn("clipped", F.least(F.greatest(F.try_divide(F.col("__rn") - 1, n - 1), delta), 1 - delta))
-    return t.withColumn(out, normal_quantile("clipped")).drop("__rn", "__n")
+    return t.withColumn(out, normal_quantile(F.col("clipped"))).drop("__rn", "__n")
 
 
 def decile_points(df: DataFrame, col: str, keys: list[str] = ()) -> DataFrame:

@@ -90,7 +90,7 @@ def border_assign(spark, sf):
     return D.labels(hood).filter("flag = 'border'").select("id", "root")
 
 
-GRAPH = CELLS + """, big AS (SELECT cell_id FROM hist WHERE n >= 20),
+GRAPH = CELLS + """, big AS (SELECT cell_id FROM hist),
 be AS MATERIALIZED (SELECT src AS a, dst AS b FROM de WHERE src IN (SELECT cell_id FROM big) AND dst IN (SELECT cell_id FROM big)),
 walk(node, root) AS (SELECT cell_id, cell_id FROM big UNION SELECT be.b, walk.root FROM walk JOIN be ON be.a = walk.node AND be.b > walk.root),
 comp AS (SELECT node, min(root) AS root FROM walk GROUP BY node)
@@ -98,10 +98,9 @@ comp AS (SELECT node, min(root) AS root FROM walk GROUP BY node)
 
 
 def _cell_graph(spark, sf):
-    """Graph of the cells with at least 20 points."""
+    """Graph of the cells."""
     hist = histogram(spark, sf)[2]
-    big = hist.filter("n >= 20")
-    return G.cell_adjacency(big), big.select(F.col("cell_id").alias("node"))
+    return G.cell_adjacency(hist), hist.select(F.col("cell_id").alias("node"))
 
 
 @query("connected_components", GRAPH + "SELECT node, root FROM comp")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelpgrid.functions import expressions as E
 from kelpgrid.functions.ordering import with_row_number
 from kelpgrid.session import configure
 
@@ -52,3 +53,37 @@ def part_trials(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(
         F.col("p_brand").alias("task_id"), F.col("p_partkey").alias("iter"), F.col("p_size").alias("size"),
         F.col("p_type").alias("kind"), F.col("p_retailprice").alias("f1"), (-F.col("p_size").cast("double")).alias("f2"))
+
+
+# SQL counterparts of the expressions that DuckDB has no function for
+
+def _horner(coefs: list[float], x: str) -> str:
+    out = f"{coefs[0]:.17e}"
+    for c in coefs[1:]:
+        out = f"({out} * {x} + {c:.17e})"
+    return out
+
+
+def cdf_sql(z: str) -> str:
+    """Normal distribution function of a name."""
+    near = f"exp(-{z} * {z} / 2) * {_horner(E.CDF_NUM, f'abs({z})')} / {_horner(E.CDF_DEN, f'abs({z})')}"
+    chain = f"(abs({z}) + 0.65e0)"
+    for i in (4, 3, 2, 1):
+        chain = f"(abs({z}) + {i}e0 / {chain})"
+    upper = f"CASE WHEN abs({z}) > 37 THEN 0 WHEN abs({z}) < 7.07106781186547 THEN {near} ELSE exp(-{z} * {z} / 2) / {chain} / sqrt(2 * pi()) END"
+    return f"(CASE WHEN {z} > 0 THEN 1 - ({upper}) ELSE {upper} END)"
+
+
+def quantile_sql(p: str) -> str:
+    """Normal quantile of a name strictly between 0 and 1."""
+    q, tail = f"({p} - 0.5e0)", f"sqrt(-ln(least({p}, 1 - {p})))"
+    mid = f"(0.180625e0 - {q} * {q})"
+    far = f"{_horner(E.INV_FAR_NUM, f'({tail} - 1.6e0)')} / {_horner(E.INV_FAR_DEN, f'({tail} - 1.6e0)')}"
+    end = f"{_horner(E.INV_END_NUM, f'({tail} - 5e0)')} / {_horner(E.INV_END_DEN, f'({tail} - 5e0)')}"
+    return (f"(CASE WHEN abs({q}) <= 0.425 THEN {q} * {_horner(E.INV_MID_NUM, mid)} / {_horner(E.INV_MID_DEN, mid)} "
+            f"ELSE sign({q}) * CASE WHEN {tail} <= 5 THEN {far} ELSE {end} END END)")
+
+
+def unit_sql(key: str, tag: str) -> str:
+    """``hash_unit`` of a text expression and a tag (text expression)."""
+    return f"(CAST('0x' || substr(md5({key} || ':' || {tag}), 1, 12) AS BIGINT) / 281474976710656e0)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kelpgrid.functions.expressions import r
 from kelpgrid.operators import grid as G
 from kelpgrid.operators import parts as P
-from kelpgrid.plans.fixtures import ALPHA, CELL, EPS_S, EPS_T, ORACLE_POINTS, PARTS, points, table
+from kelpgrid.plans.fixtures import ALPHA, CELL, EPS_S, EPS_T, ORACLE_POINTS, PARTS, points, table, unit_sql
 from kelpgrid.plans.registry import query
 
 CELLS = f"""WITH RECURSIVE {ORACLE_POINTS},
@@ -46,9 +46,9 @@ def packed_cubes(spark, sf):
     return pts, corner, P.materialize(G.cell_cubes(P.pack_cells(hist, PARTS), corner, CELL))
 
 
-@query("sample_fraction")
+@query("sample_fraction", f"WITH {ORACLE_POINTS} SELECT id, x, y FROM p WHERE {unit_sql('CAST(id AS VARCHAR)', chr(39) + '9961' + chr(39))} < 0.1")
 def sample_fraction(spark, sf):
-    return G.sample_fraction(points(spark, sf), 0.1)
+    return G.sample_fraction(points(spark, sf).select("id", "x", "y"), 0.1)
 
 
 @query("sample_n", f"""WITH {ORACLE_POINTS} SELECT id, x, y FROM p

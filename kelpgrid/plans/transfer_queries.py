@@ -9,7 +9,7 @@ from kelpgrid.operators import importance as I
 from kelpgrid.operators import pairs as P
 from kelpgrid.operators import transfer as X
 from kelpgrid.operators import trials as H
-from kelpgrid.plans.fixtures import ORACLE_PART_TRIALS, ORACLE_TRIALS, part_trials, table, trials
+from kelpgrid.plans.fixtures import ORACLE_PART_TRIALS, ORACLE_TRIALS, part_trials, quantile_sql, table, trials, unit_sql
 from kelpgrid.plans.registry import query
 from kelpgrid.session import materialize
 
@@ -166,25 +166,27 @@ def ranking_loss(spark, sf):
 
 
 def _sampled(spark, sf):
-    return X.ranking_loss_sampled(long_predictions(spark, sf), ["model"], "vec_id", "y", "mu", "var", draws=20)
+    return X.ranking_loss_sampled(long_predictions(spark, sf), ["model"], "vec_id", "y", "mu", "var")
 
 
-@query("ranking_loss_sampled")
-def ranking_loss_sampled(spark, sf):
-    return _sampled(spark, sf)
+SAMPLED_SQL = LONG_SQL + f""", uu AS (SELECT *, {unit_sql("model || ':' || vec_id || ':' || draw", "'1'")} + 0.5e0 / 281474976710656e0 AS u FROM lg, (SELECT CAST(unnest(range(1, 51)) AS INTEGER) AS draw)),
+dw AS (SELECT vec_id, model, draw, y, mu + {quantile_sql('u')} * var AS p FROM uu),
+ls AS (SELECT a.model, a.draw, count(*) FILTER ((a.y < b.y) <> (a.p < b.p)) AS misranked, avg(CASE WHEN (a.y < b.y) <> (a.p < b.p) THEN 1.0::DOUBLE ELSE 0 END) AS loss
+ FROM dw a JOIN dw b ON a.model = b.model AND a.draw = b.draw GROUP BY ALL)
+"""
 
 
-DRAWN_SQL = LONG_SQL + """, ls AS (SELECT task AS draw, model, count(*) FILTER ((y < 0) <> (mu < 0)) AS misranked FROM lg GROUP BY ALL)
-"""
+@query("ranking_loss_sampled", SAMPLED_SQL + "SELECT model, draw, misranked, round(loss, 6) AS loss FROM ls")
+def ranking_loss_sampled(spark, sf):
+    return _sampled(spark, sf).withColumn("loss", r("loss"))
 
 
-@query("rgpe_weights", DRAWN_SQL + """, win AS (SELECT draw, min_by(model, misranked * 10 + model) AS model FROM ls GROUP BY 1),
+@query("rgpe_weights", SAMPLED_SQL + """, win AS (SELECT draw, min_by(model, misranked * 10 + model) AS model FROM ls GROUP BY 1),
 s AS (SELECT model, list_sort(list(misranked)) AS s FROM ls GROUP BY 1),
-w AS (SELECT s.model, coalesce(n, 0) / 10 AS w, s.model <> 4 AND s.s[6] > (SELECT s[10] FROM s WHERE model = 4) AS ignored FROM s LEFT JOIN (SELECT model, count(*) AS n FROM win GROUP BY 1) k ON k.model = s.model)
+w AS (SELECT s.model, coalesce(n, 0) / 50 AS w, s.model <> 4 AND s.s[26] > (SELECT s[48] FROM s WHERE model = 4) AS ignored FROM s LEFT JOIN (SELECT model, count(*) AS n FROM win GROUP BY 1) k ON k.model = s.model)
 SELECT model, round(CASE WHEN ignored THEN 0 ELSE w END, 6) AS weight, ignored FROM w""")
 def rgpe_weights(spark, sf):
-    losses = long_predictions(spark, sf).groupBy(F.col("task").alias("draw"), "model").agg(F.count_if((F.col("y") < 0) != (F.col("mu") < 0)).alias("misranked"))
-    return X.rgpe_weights(losses, target=4, draws=10).withColumn("weight", r("weight"))
+    return X.rgpe_weights(materialize(_sampled(spark, sf)), target=4).withColumn("weight", r("weight"))
 
 
 SHARE_SQL = LONG_SQL + """, sh AS (SELECT a.task, a.model, avg(CASE WHEN (a.y > b.y) = (a.mu > b.mu) THEN 1.0::DOUBLE ELSE 0 END) AS share
@@ -206,10 +208,10 @@ def power_weights(spark, sf):
     return X.power_weights(materialize(_shares(spark, sf)), ["task"]).select("task", "model", r("weight").alias("weight"))
 
 
-@query("fit_fidelity_weights", SHARE_SQL + """SELECT sh.task, model, round(CASE WHEN n >= 50 THEN share*share*share / sum(share*share*share) OVER (PARTITION BY sh.task) ELSE 0.25 END, 6) AS weight
+@query("fit_fidelity_weights", SHARE_SQL + """SELECT sh.task, model, round(CASE WHEN n >= 5 THEN share*share*share / sum(share*share*share) OVER (PARTITION BY sh.task) ELSE 0.25 END, 6) AS weight
 FROM sh JOIN (SELECT task, count(*) AS n FROM e GROUP BY 1) c ON c.task = sh.task""")
 def fit_fidelity_weights(spark, sf):
-    w = X.fit_fidelity_weights(long_predictions(spark, sf), ["task"], "vec_id", "y", "mu", min_rows=50)
+    w = X.fit_fidelity_weights(long_predictions(spark, sf), ["task"], "vec_id", "y", "mu")
     return w.withColumn("weight", r("weight"))
 
 
@@ -250,7 +252,7 @@ def pair_loss_gradient(spark, sf):
 
 @query("simplex_weights")
 def simplex_weights(spark, sf):
-    w = X.simplex_weights(_vectors(spark, sf), "vec_id", "y", XS, rounds=8, target="x4")
+    w = X.simplex_weights(_vectors(spark, sf), "vec_id", "y", XS, target="x4")
     return spark.createDataFrame(list(w.items()), "model string, weight double")
 
 
@@ -293,9 +295,9 @@ def batch_predict(spark, sf):
     return X.batch_predict(long_predictions(spark, sf), "vec_id", MODELS)
 
 
-MATCH_SQL = """WITH o AS (SELECT vec_id, j AS metric, embedding[j + 20]::DOUBLE AS value FROM embeddings, (SELECT unnest(range(1, 9)) AS j)),
-pd AS (SELECT s AS source, vec_id, j AS metric, embedding[j + 20 + s]::DOUBLE AS value FROM embeddings, (SELECT unnest(range(1, 9)) AS j), (SELECT unnest(range(1, 5)) AS s)),
-q AS (SELECT metric, quantile_cont(value, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS q FROM o GROUP BY 1),
+MATCH_SQL = """WITH o AS (SELECT vec_id, j AS metric, embedding[j]::DOUBLE AS value FROM embeddings, (SELECT unnest(range(1, 61)) AS j)),
+pd AS (SELECT s AS source, vec_id, j AS metric, embedding[j + s]::DOUBLE AS value FROM embeddings, (SELECT unnest(range(1, 61)) AS j), (SELECT unnest(range(1, 5)) AS s)),
+q AS (SELECT metric, quantile_cont(value, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS q FROM pd GROUP BY 1),
 ob AS (SELECT vec_id, metric, len(list_filter(q, lambda x: x < value)) AS b FROM o JOIN q USING (metric)),
 pb AS (SELECT source, vec_id, metric, len(list_filter(q, lambda x: x < value)) AS b FROM pd JOIN q USING (metric)),
 sc AS (SELECT source, avg(dist) AS score FROM (SELECT source, vec_id, sqrt(sum((pb.b - ob.b) * (pb.b - ob.b))) AS dist FROM pb JOIN ob USING (vec_id, metric) GROUP BY ALL) GROUP BY 1)
@@ -307,7 +309,7 @@ def match_workload(spark, sf):
     e = table(spark, sf, "embeddings")
 
     def metrics(shift, *extra):
-        return e.select("vec_id", *extra, F.posexplode(F.transform(F.slice("embedding", 21 + shift, 8), lambda x: x.cast("double"))).alias("metric", "value"))
+        return e.select("vec_id", *extra, F.posexplode(F.transform(F.slice("embedding", 1 + shift, 60), lambda x: x.cast("double"))).alias("metric", "value"))
     pred = None
     for s in MODELS:
         one = metrics(s, F.lit(s).alias("source"))
@@ -351,7 +353,7 @@ REG_SQL = LOSS_SQL + """, av AS (SELECT task_id, avg(f1) AS m FROM part_trials G
 good AS (SELECT p.* FROM part_trials p JOIN av USING (task_id) WHERE f1 <= m),
 reg AS (SELECT task_id, similarity, 'size' AS knob, min(size) / 60.0::DOUBLE AS low, max(size) / 60.0::DOUBLE AS high, avg(size) / 100 AS gain FROM good JOIN sim USING (task_id) GROUP BY ALL
  UNION ALL SELECT task_id, similarity, 'price', min(f1) / 3000, max(f1) / 3000, avg(size) / 10000 FROM good JOIN sim USING (task_id) GROUP BY ALL),
-vt AS (SELECT DISTINCT task_id, similarity, 'kind' AS knob, kind AS value FROM good JOIN sim USING (task_id) WHERE size < 10),
+vt AS (SELECT DISTINCT task_id, similarity, 'kind' AS knob, kind AS value FROM good JOIN sim USING (task_id)),
 tot AS (SELECT sum(similarity) AS s FROM sim)
 """
 
@@ -362,7 +364,7 @@ def _regions(spark, sf):
     g = p.groupBy("task_id", "similarity")
     size = g.agg((F.min("size") / 60.0).alias("low"), (F.max("size") / 60.0).alias("high"), (F.avg("size") / 100).alias("gain")).withColumn("knob", F.lit("size"))
     price = g.agg((F.min("f1") / 3000).alias("low"), (F.max("f1") / 3000).alias("high"), (F.avg("size") / 10000).alias("gain")).withColumn("knob", F.lit("price"))
-    votes = p.filter("size < 10").select("task_id", "similarity", F.lit("kind").alias("knob"), F.col("kind").alias("value")).distinct()
+    votes = p.select("task_id", "similarity", F.lit("kind").alias("knob"), F.col("kind").alias("value")).distinct()
     return size.unionByName(price), votes
 
 
@@ -372,7 +374,7 @@ def important_knobs_vote(spark, sf):
     return X.important_knobs_vote(_regions(spark, sf)[0]).withColumn("weight", r("weight"))
 
 
-CAT_SQL = REG_SQL + """, cats AS (SELECT knob, list_sort(list(value)) AS c FROM (SELECT knob, value FROM vt, (SELECT sum(similarity) AS s FROM (SELECT DISTINCT task_id, similarity FROM vt)) GROUP BY ALL HAVING sum(similarity / s) > 1/3) GROUP BY 1 HAVING count(*) > 1),
+CAT_SQL = REG_SQL + """, cats AS (SELECT knob, list_sort(list(value)) AS c FROM (SELECT knob, value FROM vt, tot GROUP BY ALL HAVING sum(similarity / s) > 1/3) GROUP BY 1 HAVING count(*) > 1),
 ends AS (SELECT knob, low AS x FROM reg WHERE low <> high UNION SELECT knob, high FROM reg WHERE low <> high),
 iv AS (SELECT knob, x AS a, lead(x) OVER (PARTITION BY knob ORDER BY x) AS b FROM ends),
 hull AS (SELECT knob, min(a) AS low, max(b) AS high FROM (SELECT iv.knob, a, b FROM iv JOIN reg ON reg.knob = iv.knob AND reg.low <= a AND reg.high >= b CROSS JOIN tot WHERE reg.low <> reg.high GROUP BY ALL HAVING sum(similarity / s) > 1/3 + 1e-12) GROUP BY 1)
@@ -381,7 +383,8 @@ hull AS (SELECT knob, min(a) AS low, max(b) AS high FROM (SELECT iv.knob, a, b F
 
 @query("vote_categories", CAT_SQL + """SELECT knob, array_to_string(c, ',') AS choices, CASE WHEN list_contains(c, 'PROMO') THEN 'PROMO' ELSE c[1] END AS "default" FROM cats""")
 def vote_categories(spark, sf):
-    return X.vote_categories(_regions(spark, sf)[1], {"kind": "PROMO"}).withColumn("choices", F.array_join("choices", ","))
+    reg, votes = _regions(spark, sf)
+    return X.vote_categories(votes, {"kind": "PROMO"}, reg).withColumn("choices", F.array_join("choices", ","))
 
 
 @query("vote_ranges", CAT_SQL + """SELECT knob, round(low, 6) AS low, round(high, 6) AS high, round(least(greatest(CASE knob WHEN 'size' THEN 0.1 ELSE 0.99 END, low), high), 6) AS "default" FROM hull""")

@@ -10,7 +10,7 @@ from kelpgrid.operators import design as D
 from kelpgrid.operators import metrics as M
 from kelpgrid.operators import transforms as X
 from kelpgrid.operators.trials import incumbents
-from kelpgrid.plans.fixtures import ORACLE_PART_TRIALS, ORACLE_TRIALS, part_trials, table, trials
+from kelpgrid.plans.fixtures import ORACLE_PART_TRIALS, ORACLE_TRIALS, cdf_sql, part_trials, quantile_sql, table, trials, unit_sql
 from kelpgrid.plans.registry import query
 from kelpgrid.plans.source_queries import CATALOG_SQL, RUNS_SQL, catalog_docs, runs
 from kelpgrid.sources.history import load_knob_catalog
@@ -58,14 +58,17 @@ def bilog_query(spark, sf):
     return trials(spark, sf).select("task_id", "iter", r(bilog("f2")).alias("v"))
 
 
-@query("gaussian_rank")
+RANK_SQL = PT + """, k AS (SELECT task_id, iter, row_number() OVER (PARTITION BY task_id ORDER BY f1, iter) AS rn, count(*) OVER (PARTITION BY task_id) AS n FROM part_trials),
+d AS (SELECT *, 1 / (4 * pow(n, 0.25) * sqrt(pi() * ln(n))) AS delta FROM k), cl AS (SELECT task_id, iter, least(greatest((rn - 1) / (n - 1), delta), 1 - delta) AS c FROM d)
+"""
+
+
+@query("gaussian_rank", RANK_SQL + f"SELECT task_id, iter, round({quantile_sql('c')}, 6) + 0.0 AS g FROM cl")
 def gaussian_rank(spark, sf):
     return X.gaussian_rank(part_trials(spark, sf), "f1", ["task_id"], "iter").select("task_id", "iter", r("g").alias("g"))
 
 
-@query("clipped_rank", PT + """, k AS (SELECT task_id, iter, row_number() OVER (PARTITION BY task_id ORDER BY f1, iter) AS rn, count(*) OVER (PARTITION BY task_id) AS n FROM part_trials),
-d AS (SELECT *, 1 / (4 * pow(n, 0.25) * sqrt(pi() * ln(n))) AS delta FROM k)
-SELECT task_id, iter, round(least(greatest((rn - 1) / (n - 1), delta), 1 - delta), 6) AS clipped FROM d""")
+@query("clipped_rank", RANK_SQL + "SELECT task_id, iter, round(c, 6) AS clipped FROM cl")
 def clipped_rank(spark, sf):
     return X.gaussian_rank(part_trials(spark, sf), "f1", ["task_id"], "iter").select("task_id", "iter", r("clipped").alias("clipped"))
 
@@ -239,22 +242,39 @@ def _base(spark, sf):
     return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("row"))
 
 
-@query("random_design")
+KNOB_SQL = "b AS (SELECT min(l_quantity)::BIGINT AS q0, max(l_quantity)::BIGINT AS q1, min(l_tax) AS t0, max(l_tax) AS t1 FROM lineitem)"
+
+
+def _draw_sql(seed: str, i: int) -> str:
+    return unit_sql("CAST(s_suppkey AS VARCHAR)", f"{seed} || ':{i}'")
+
+
+@query("random_design", f"""WITH {KNOB_SQL} SELECT s_suppkey AS "row", q0 + CAST(floor({_draw_sql("'7'", 0)} * (q1 - q0 + 1)) AS BIGINT) AS quantity,
+round(t0 + {_draw_sql("'7'", 1)} * (t1 - t0), 6) AS tax, CASE WHEN {_draw_sql("'7'", 2)} < 0.5 THEN 'on' ELSE 'off' END AS mode FROM supplier, b""")
 def random_design(spark, sf):
     s = space(spark, sf) + [{"name": "mode", "type": "enum", "choices": ["on", "off"]}]
-    return D.random_design(_base(spark, sf), s, seed=7)
+    return D.random_design(_base(spark, sf), s, seed=7).withColumn("tax", r("tax"))
 
 
-@query("random_design_distinct")
+@query("random_design_distinct", f"""WITH {KNOB_SQL}, t AS (SELECT unnest(range(0, 30)) AS t),
+dr AS (SELECT t, q0 + CAST(floor({_draw_sql("(7 + 1000 * t)::VARCHAR", 0)} * (q1 - q0 + 1)) AS BIGINT) AS quantity, CASE WHEN {_draw_sql("(7 + 1000 * t)::VARCHAR", 1)} < 0.5 THEN 'on' ELSE 'off' END AS mode FROM supplier, b, t),
+fi AS (SELECT quantity, mode, min(t) AS t FROM dr WHERE NOT (mode = 'on' AND quantity IN (SELECT l_quantity FROM lineitem WHERE l_quantity < 5)) GROUP BY ALL),
+st AS (SELECT min(t) AS t FROM (SELECT t, sum(count(*)) OVER (ORDER BY t) AS n FROM fi GROUP BY t) WHERE n >= 40)
+SELECT quantity, mode FROM fi WHERE t <= (SELECT t FROM st) ORDER BY md5(quantity || ':' || mode), quantity, mode LIMIT 40""")
 def random_design_distinct(spark, sf):
     s = space(spark, sf)[:1] + [{"name": "mode", "type": "enum", "choices": ["on", "off"]}]
     seen = table(spark, sf, "lineitem").filter("l_quantity < 5").select(F.col("l_quantity").cast("long").alias("quantity"), F.lit("on").alias("mode")).distinct()
     return D.random_design_distinct(_base(spark, sf), s, seen, 40, seed=7)
 
 
-@query("lhs_design")
+@query("lhs_design", f"""WITH s AS (SELECT s_suppkey AS k, d, i, {unit_sql("CAST(s_suppkey AS VARCHAR)", "'5:' || d || ':r' || i")} AS r, {unit_sql("CAST(s_suppkey AS VARCHAR)", "'5:' || d || ':j' || i")} AS j
+ FROM supplier, (SELECT unnest(range(0, 4)) AS d), (SELECT unnest(range(0, 3)) AS i)),
+u AS (SELECT k, d, i, (row_number() OVER (PARTITION BY d, i ORDER BY r, k) - j) / count(*) OVER (PARTITION BY d, i) AS u FROM s),
+w AS (SELECT d, k, max(u) FILTER (i = 0) AS u0, max(u) FILTER (i = 1) AS u1, max(u) FILTER (i = 2) AS u2 FROM u GROUP BY ALL),
+sc AS (SELECT d, greatest(abs(corr(u0, u1)), abs(corr(u0, u2)), abs(corr(u1, u2))) AS c FROM w GROUP BY 1)
+SELECT k AS "row", round(u0, 6) AS u0, round(u1, 6) AS u1, round(u2, 6) AS u2 FROM w WHERE d = (SELECT min_by(d, c) FROM sc)""")
 def lhs_design(spark, sf):
-    return D.lhs_design(_base(spark, sf), 3, seed=5, criterion="correlation", draws=2)
+    return D.lhs_design(_base(spark, sf), 3, seed=5, criterion="correlation").withColumns({u: r(u) for u in ("u0", "u1", "u2")})
 
 
 @query("sobol_design")
@@ -304,15 +324,18 @@ def score_lcb(spark, sf):
 
 def _scored(spark, sf, fn):
     p = predictions(spark, sf)
-    return p.withColumn("best", p.agg(F.min("mu")).scalar()).select("vec_id", fn("mu", "sigma", F.col("best")).alias("score"))
+    return p.withColumn("best", p.agg(F.min("mu")).scalar()).select("vec_id", r(fn("mu", "sigma", F.col("best"))).alias("score"))
+
+
+SCORE_SQL = f"WITH {PRED}, g AS (SELECT vec_id, sigma, (SELECT min(mu) FROM pr) - 0.01 - mu AS gain FROM pr), z AS (SELECT *, gain / nullif(sigma, 0) AS z FROM g)"
 
 
-@query("score_ei")
+@query("score_ei", SCORE_SQL + f"SELECT vec_id, round(CASE WHEN sigma > 0 THEN -(gain * {cdf_sql('z')} + sigma * exp(-z * z / 2) / sqrt(2 * pi())) ELSE 0 END, 6) + 0.0 AS score FROM z")
 def score_ei(spark, sf):
     return _scored(spark, sf, D.score_ei)
 
 
-@query("score_pi")
+@query("score_pi", SCORE_SQL + f"SELECT vec_id, round(CASE WHEN sigma > 0 THEN -{cdf_sql('z')} ELSE 0 END, 6) + 0.0 AS score FROM z")
 def score_pi(spark, sf):
     return _scored(spark, sf, D.score_pi)
 

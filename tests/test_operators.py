@@ -172,8 +172,12 @@ def test_ridge_models(spark):
     assert abs(m["coef"][1] * m["y_std"] - 3) < 0.05 and abs(m["coef"][2] * m["y_std"] + 1) < 0.05
     oof = X.oof_predictions(df, ["task_id"], ["id"], ["a", "b"], "y").toPandas()
     assert len(oof) == 80 and np.abs(oof.mu * oof.y_std + oof.y_mean - oof.y).max() < 0.2
+    far = df.withColumns({"a": F.col("a") + 1e9, "y": F.col("y") + 1e9})
+    g = X.fit_per_task(far, ["a", "b"], "y").first()
+    assert abs(g["y_mean"] - 1e9 - m["y_mean"]) < 1e-3 and abs(g["var"] - m["var"]) < 1e-4
+    assert np.allclose(g["coef"][1:], m["coef"][1:], rtol=1e-4)
     noise = df.withColumns({"m1": F.col("y") / 10, "m2": -F.col("y")})
-    w = X.simplex_weights(noise, "id", "y", ["m1", "m2"], rounds=10)
+    w = X.simplex_weights(noise, "id", "y", ["m1", "m2"])
     assert w["m1"] > 0.9 and abs(sum(w.values()) - 1) < 0.01
 
 
@@ -197,3 +201,18 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     got = spark.table("series").orderBy("start").select("mean").toPandas()["mean"].tolist()
     assert got == [2.5, 12.5, 22.5, 32.5, 42.5]
+
+
+def test_normal_functions_and_draws(spark):
+    from kelpgrid.functions.expressions import hash_unit, normal_cdf, normal_quantile
+    zs = [-40.0, -8.0, -3.3, -1.0, 0.0, 0.2, 2.5, 7.5, None, float("nan")]
+    got = [x[0] for x in spark.createDataFrame([(z,) for z in zs], "z double").select(normal_cdf(F.col("z"))).collect()]
+    for z, v in zip(zs, got):
+        assert v is None if z is None or z != z else abs(v - NormalDist().cdf(z)) < 1e-12
+    ps = [1e-300, 1e-12, 0.01, 0.2, 0.5, 0.8, 0.9999, 0.0, 1.0, None]
+    got = [x[0] for x in spark.createDataFrame([(p,) for p in ps], "p double").select(normal_quantile(F.col("p"))).collect()]
+    for p, v in zip(ps, got):
+        assert v is None if not p or p == 1 else abs(v - NormalDist().inv_cdf(p)) < 1e-9
+    ids = spark.range(2000).select(F.col("id"), hash_unit(F.col("id"), "1").alias("u"))
+    one, two = {x.id: x.u for x in ids.collect()}, {x.id: x.u for x in ids.repartition(7).collect()}
+    assert one == two and 0 <= min(one.values()) and max(one.values()) < 1 and abs(np.mean(list(one.values())) - 0.5) < 0.03
