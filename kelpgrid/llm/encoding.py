@@ -2,7 +2,8 @@
 
 The vocabularies used here never let a token cross a single space between two other
 characters, so a text is cut there and pieces seen before in this worker are looked
-up.  New words go through the tokenizers library, many in one call.  Other new pieces of
+up.  New words go through the tokenizers library, many in one text: every word has one id
+that only begins (or only ends) words, so the ids are cut there.  Other new pieces of
 plain Latin-1 characters are first split by the tokenizer's own pattern, so that words
 with marks around them reuse what is known.  Where a space is kept with the word after
 it, a text in which a space meets other white space goes through the library whole.
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 
 PIECES, PARTS = 600_000, 200_000  # entries kept in a worker
+JOINED = 256  # words in one text for the library
 MARKS = ",."
 PLAIN = r"[\n\r\t!-;=-~¡-ÿ]+"  # no "<", which may begin a special token
 
@@ -54,6 +56,8 @@ class Encoder:
         self.glue, self.lower = " " * vocabulary.glue, vocabulary.lower
         self.dtype = np.dtype("<u2" if self.full.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
+        names = map(self.full.id_to_token, range(self.full.get_vocab_size()))
+        self.edge = np.array([(n or "").startswith("\u0120") if vocabulary.glue else (n or "").endswith("</w>") for n in names])
         self.pieces: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -61,6 +65,19 @@ class Encoder:
         code = self.code
         return [array(code, e.ids).tobytes() for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone, each with its ``glue``."""
+        groups = [words[i:i + JOINED] for i in range(0, len(words), JOINED)]
+        size, out = self.dtype.itemsize, []
+        for group, ids in zip(groups, self._run([self.glue + " ".join(g) for g in groups])):
+            edges = np.flatnonzero(self.edge[np.frombuffer(ids, self.dtype)])
+            if len(edges) != len(group):
+                out += self._run([self.glue + w for w in group])
+                continue
+            cuts = [*(edges * size).tolist(), len(ids)] if self.glue else [0, *((edges + 1) * size).tolist()]
+            out += [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        return out
+
     def _parts(self, cut: list[list[str]]) -> list[bytes]:
         """Ids of texts that are given as lists of parts no token crosses."""
         unseen = list(set().union(*cut).difference(self.parts))
@@ -78,7 +95,7 @@ class Encoder:
 
     def _learn(self, new: set[str]) -> list[str]:
         """Put the pieces of ``new`` into the memory; the names put there."""
-        words, marked, rest = set(), [], []
+        words, marked, rest, cuts, skip = set(), [], [], [], len(self.glue)
         for w in new:
             if w.isalpha():
                 words.add(w)
@@ -87,12 +104,22 @@ class Encoder:
                 if w[:-1] not in self.pieces:
                     words.add(w[:-1])
             else:
-                rest.append(w)
-        added = [*words, *marked, *rest]
-        self.pieces.update(zip(words, self._run([self.glue + w for w in words])))
+                cut = self._cut(self.glue + w)
+                base = cut[0][skip:] if cut else ""
+                if base.isalpha():
+                    if base not in self.pieces:
+                        words.add(base)
+                    cut = cut[1:]
+                else:
+                    base = ""
+                rest.append((w, base))
+                cuts.append(cut)
+        words = list(words)
+        added = [*words, *marked, *(w for w, _ in rest)]
+        self.pieces.update(zip(words, self._words(words)))
         ends = dict(zip(MARKS, self._parts([[m] for m in MARKS])))
         self.pieces.update((w, self.pieces[w[:-1]] + ends[w[-1]]) for w in marked)
-        self.pieces.update(zip(rest, self._parts([self._cut(self.glue + w) for w in rest])))
+        self.pieces.update((w, self.pieces[base] + ids if base else ids) for (w, base), ids in zip(rest, self._parts(cuts)))
         return added
 
     def _odd(self, piece: str) -> bool:
