@@ -22,6 +22,7 @@ import numpy as np
 
 PIECES, PARTS = 600_000, 200_000  # entries kept in a worker
 JOINED = 256  # words in one text for the library
+BATCH = 1 << 18  # characters in one call of it, about
 MARKS = ",."
 PLAIN = r"[\n\r\t!-;=-~¡-ÿ]+"  # no "<", which may begin a special token
 
@@ -62,8 +63,10 @@ class Encoder:
         self.parts: dict[str, bytes] = {}
 
     def _run(self, texts: list[str]) -> list[bytes]:
-        code = self.code
-        return [array(code, e.ids).tobytes() for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
+        code, out = self.code, []
+        for batch in groups_of(texts, BATCH):  # its results are large, so few are held at a time
+            out += [array(code, e.ids).tobytes() for e in self.full.encode_batch_fast(batch, add_special_tokens=False)]
+        return out
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters alone, each with its ``glue``."""
