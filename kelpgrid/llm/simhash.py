@@ -16,11 +16,14 @@ fingerprints at most, and one link to the smallest of them joins them all.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from kelpgrid.operators.components import connected_components
 from kelpgrid.session import materialize
@@ -57,13 +60,14 @@ def _fingerprints(batches):
     for batch in batches:
         texts = batch.column(1)
         found = pa.array([fingerprint(t.as_py()) for t in texts], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), found, *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row, written once."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return materialize(rows.mapInArrow(_fingerprints, "doc_id long, fp long"))
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", more: Sequence[Column] = ()) -> DataFrame:
+    """(doc_id, fp) of every row, with ``more`` columns, written once."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *more)
+    schema = StructType([StructField("doc_id", LongType()), StructField("fp", LongType()), *rows.schema.fields[2:]])
+    return materialize(rows.mapInArrow(_fingerprints, schema))
 
 
 def _flips(value: Column, bits: int) -> Column:
@@ -99,6 +103,14 @@ def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
     return pairs.union(met).distinct()
 
 
+def components(rows: DataFrame, dense: int = DENSE) -> tuple[DataFrame, DataFrame]:
+    """``rows(doc_id, fp)`` -> (edges, (fp, class_id, root)), one row for each distinct fingerprint."""
+    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("class_id")))
+    edges = materialize(links(classes.select("fp"), dense))
+    comp = connected_components(edges, classes.select(F.col("fp").alias("node")))
+    return edges, classes.join(comp, F.col("fp") == F.col("node")).select("fp", "class_id", "root")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dense: int = DENSE) -> DataFrame:
     """(doc_id, fingerprint, component_id, class_id, n_links), one row for each row of ``docs``.
 
@@ -108,22 +120,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     component unless all ids of it are null.  Repeated rows fall into one class.  An empty table gives no rows.
     """
     rows = fingerprints(docs, doc_id, text)
-    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("class_id")))
-    edges = materialize(links(classes.select("fp"), dense))
-    comp = connected_components(edges, classes.select(F.col("fp").alias("node")))
-    named = classes.join(comp, F.col("fp") == F.col("node"))
+    edges, named = components(rows, dense)
     least = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
     ends = edges.select(F.col("src").alias("fp")).union(edges.select(F.col("dst").alias("fp"))).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
     named = materialize(named.join(least, "root").join(ends, "fp", "left").select("fp", "class_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "class_id", "n_links")
 
 
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def text_keys(text: Column) -> list[Column]:
+    """Two independent 64-bit hashes; together they stand for the text."""
+    return [F.xxhash64(text).alias("__h1"), F.xxhash64(F.lit(SEED), text).alias("__h2")]
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dense: int = DENSE) -> DataFrame:
     """The rows of ``docs``, with their columns, that stay: one of each component, with the smallest id.
 
-    If rows repeat that id, one of them stays.
+    A null id only stays where all ids of the component are null.  Ids need not be unique:
+    a component is known by its root, and the row that stays by its id and its text.
+    If rows repeat both, one of them stays.
     """
-    stays = near_duplicates(docs, doc_id, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = stays.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).withColumnRenamed("doc_id", "__id")
-    found = docs.join(stays, F.col(doc_id).eqNullSafe(F.col("__id")))
-    return found.filter("__n = 1").unionByName(found.filter("__n > 1").dropDuplicates(["__id"])).select(*docs.columns)
+    rows = fingerprints(docs, doc_id, text, text_keys(F.col(text)))
+    _, named = components(rows, dense)
+    alike = rows.groupBy("fp", "doc_id", "__h1", "__h2").agg(F.count(F.lit(1)).alias("__n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "__h1", "__h2", "__n")).alias("first")
+    least = alike.groupBy("fp").agg(first).join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    stays = materialize(least.select(F.col("first.doc_id").alias("__id"), F.col("first.__h1").alias("__s1"), F.col("first.__h2").alias("__s2"), F.col("first.__n").alias("__n")))
+    keyed = docs.select("*", *text_keys(F.col(text)))
+    found = keyed.join(stays, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__h1") == F.col("__s1")) & (F.col("__h2") == F.col("__s2")))
+    return found.filter("__n = 1").unionByName(found.filter("__n > 1").dropDuplicates(["__id", "__s1", "__s2"])).select(*docs.columns)

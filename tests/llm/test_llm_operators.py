@@ -251,6 +251,37 @@ def test_simhash_links(spark, dense):
     assert len({(find(f), want[f]) for f in fps}) == len({find(f) for f in fps}) == len(set(want.values()))
 
 
+def brute_representatives(rows):
+    """(doc_id, text) that stay: of each component the smallest id, a null id last; rows that may stay, one list for each component."""
+    comp = brute_components([brute_fp(t) for _, t in rows])
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[comp[brute_fp(t)]].append((i, t))
+    return [[(i, t) for i, t in g if i == min((j for j, _ in g if j is not None), default=None)] for g in groups.values()]
+
+
+def assert_representatives(got, rows):
+    want = brute_representatives(rows)
+    assert len(got) == len(want) and all(sum(r in stays for r in got) >= 1 for stays in want)
+
+
+@pytest.mark.parametrize("table", ["docs", "edge", "empty"])
+def test_representatives(request, table):
+    df = request.getfixturevalue(table)
+    got = simhash.representatives(df)
+    assert got.columns == df.columns
+    assert_representatives(pairs(got), pairs(df))
+
+
+def test_representatives_null_and_repeated_ids(spark):
+    a, b, c, d = ("alpha beta gamma delta", "one two three four", "red green blue grey", "north south east west")
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (None, d), (9, c), (None, None), (7, ""), (3, "  ")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, k int").repartition(3)
+    got = pairs(simhash.representatives(df))
+    assert_representatives(got, rows)
+    assert canon(got) == canon([(None, a), (None, b), (7, c), (7, d), (3, "  ")])
+
+
 # --- 5
 
 def brute_budget(caps, weights, budget):
