@@ -2,10 +2,13 @@
 
 Documents start evenly spread.  In each round every linked document counts, over a join
 of links and places, in which shard most of its neighbours are, and asks to go there if
-that cuts fewer links.  Even rounds only move to lower shards and odd ones to higher,
-so two neighbours never swap.  Moves are admitted under quotas: for each one an unlinked
-document goes the other way, whose place cuts nothing; the highest gains come first.
-So every shard keeps its number of rows, and the law of sizes is ``rows``: counts at most one apart.
+that cuts fewer links.  Of two neighbours only one asks, so they never swap.  For each
+document that moves one goes the other way: first one that asks for just that, else the one
+that loses least, an unlinked document or one without a neighbour in its shard at best, if
+less is lost than gained, and none that a document on its way has as its neighbour.  So each
+round with a move cuts fewer links.  In odd rounds half of the shards, by lot, only give, so that those
+who would ask there can make room instead.  Every shard keeps its number of rows, and the
+law of sizes is ``rows``: counts at most one apart.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ from kelpgrid.llm.common import BASE, PART, ROW, ranked, running_index, whole, w
 from kelpgrid.session import materialize
 
 SHARDS = 40
-ROUNDS = 8
+ROUNDS = None  # no bound: until nobody moves
+IDLE = 4
 SEED = 42
 
 
@@ -34,49 +38,65 @@ def equal_links(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(tops, keys).filter(F.col("node") != F.col("dst")).select(F.col("node").alias("src"), "dst")
 
 
-def wishes(places: DataFrame, both: DataFrame, down: bool) -> DataFrame:
-    """(node, shard, to, gain) of the nodes with more neighbours in a shard on this round's side than in their own."""
+def wishes(places: DataFrame, both: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, shard, own) of the linked nodes, ``own``: neighbours in their shard; (node, shard, to, gain) of those with more in another."""
     votes = both.join(places.select(F.col("node").alias("dst"), F.col("shard").alias("to")), "dst").groupBy(F.col("src").alias("node"), "to").agg(F.count(F.lit(1)).alias("n"))
     votes = votes.join(places, "node")
-    side = F.col("to") < F.col("shard") if down else F.col("to") > F.col("shard")
-    best = votes.groupBy("node", "shard").agg(F.coalesce(F.max(F.when(F.col("to") == F.col("shard"), F.col("n"))), F.lit(0)).alias("own"),
-                                              F.max(F.when(side, F.struct("n", (-F.col("to")).alias("to")))).alias("best"))
-    return best.select("node", "shard", (-F.col("best.to")).alias("to"), (F.col("best.n") - F.col("own")).alias("gain")).filter("gain > 0")
+    home = F.col("to") == F.col("shard")
+    best = materialize(votes.groupBy("node", "shard").agg(F.coalesce(F.max(F.when(home, F.col("n"))), F.lit(0)).alias("own"),
+                                                          F.max(F.when(~home, F.struct("n", (-F.col("to")).alias("to")))).alias("best")))
+    asked = best.select("node", "shard", (-F.col("best.to")).alias("to"), (F.col("best.n") - F.col("own")).alias("gain")).filter("gain > 0")
+    return best.select("node", "shard", "own"), asked
 
 
-def propagate(places: DataFrame, links: DataFrame, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
-    """``places(node, shard)`` after label propagation along ``links(src, dst)``; every shard keeps its size."""
+def apart(asked: DataFrame, both: DataFrame, seed: int) -> DataFrame:
+    """The wishes of nodes without a neighbour whose wish gains more; the hash of the node decides ties."""
+    asked = asked.withColumn("first", F.struct("gain", F.xxhash64("node", F.lit(seed)), "node"))
+    rivals = both.join(asked.select(F.col("node").alias("dst"), F.col("first").alias("rival")), "dst").groupBy(F.col("src").alias("node")).agg(F.max("rival").alias("rival"))
+    return asked.join(rivals, "node", "left").filter(F.col("rival").isNull() | (F.col("first") > F.col("rival"))).drop("first", "rival")
+
+
+def propagate(places: DataFrame, links: DataFrame, rounds: int | None = ROUNDS, seed: int = SEED) -> DataFrame:
+    """``places(node, shard)`` after label propagation along ``links(src, dst)``; every shard keeps its size.
+
+    Rounds end when nobody gains by moving, or after ``IDLE`` rounds without a move, or after ``rounds``.
+    """
     both = materialize(links.union(links.select("dst", "src")).filter("src <> dst").distinct())
-    free = places.join(both.select(F.col("src").alias("node")).distinct(), "node", "left_anti").select("node")
-    places, free = materialize(places.select("node", "shard")), materialize(free)
-    idle = 0
-    for k in range(rounds):
-        asked = wishes(places, both, k % 2 == 0)
+    places = materialize(places.select("node", "shard"))
+    idle = k = 0
+    while idle < IDLE and (rounds is None or k < rounds):
+        linked, asked = wishes(places, both)
+        asked = materialize(apart(asked, both, seed + k))
+        if asked.isEmpty():
+            break
+        if k % 2:
+            heads = [F.xxhash64(c, F.lit(seed + k)) % 2 == 0 for c in ("shard", "to")]
+            asked = asked.filter(heads[0] & ~heads[1])
+        # Wishes that meet: the i-th from a to b and the i-th from b to a change places.
         asked = materialize(ranked(asked, ["shard", "to"], [F.col("gain").desc(), "node"], "rank"))
-        # Quotas: at most shards x shards rows.
-        wanted = asked.groupBy("shard", "to").agg(F.count(F.lit(1)).alias("n"))
-        spare = ranked(places.join(free, "node"), ["shard"], [F.xxhash64("node", F.lit(seed + k)), "node"], "rank")
-        spare = materialize(spare.join(wanted.select(F.col("to").alias("shard")).distinct(), "shard"))
-        has = spare.groupBy(F.col("shard").alias("to")).agg(F.count(F.lit(1)).alias("has"))
-        queue = Window.partitionBy("to").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-        quota = wanted.withColumn("first", F.coalesce(F.sum("n").over(queue), F.lit(0))).join(has, "to")
-        quota = quota.withColumn("last", F.least(F.col("first") + F.col("n"), "has")).filter("first < last")
-        quota = materialize(quota.select("shard", "to", "first", "last"))
-        if quota.isEmpty():
+        back = asked.select(F.col("shard").alias("to"), F.col("to").alias("shard"), "rank")
+        swaps = asked.join(back, ["shard", "to", "rank"], "left_semi").select("node", "to")
+        # The others: the i-th to b, from anywhere, and the i-th of those who lose least by leaving b.
+        rest = asked.join(back, ["shard", "to", "rank"], "left_anti").drop("rank")
+        rest = materialize(ranked(rest, ["to"], [F.col("gain").desc(), F.xxhash64("node", F.lit(seed + k)), "node"], "rank"))
+        wanted = rest.groupBy(F.col("to").alias("shard")).agg(F.max("gain").alias("most"))
+        awaited = asked.select(F.col("node").alias("dst"), F.col("to").alias("shard")).join(both, "dst").select(F.col("src").alias("node"), "shard").distinct()
+        spare = places.join(asked.select("node"), "node", "left_anti").join(linked.select("node", "own"), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        spare = spare.join(wanted, "shard").filter("own < most").drop("most").join(awaited, ["node", "shard"], "left_anti")
+        spare = ranked(spare, ["shard"], ["own", F.xxhash64("node", F.lit(seed + k)), "node"], "rank")
+        met = rest.withColumnsRenamed({"shard": "from", "to": "shard"}).join(spare.withColumnRenamed("node", "other"), ["shard", "rank"]).filter("gain > own")
+        met = met.select(F.explode(F.array(F.struct("node", F.col("shard").alias("to")), F.struct(F.col("other").alias("node"), F.col("from").alias("to")))).alias("m")).select("m.*")
+        moves = materialize(swaps.union(met))
+        k += 1
+        if moves.isEmpty():
             idle += 1
-            if idle == 2:
-                break
             continue
         idle = 0
-        going = asked.join(quota, ["shard", "to"]).filter(F.col("rank") < F.col("last") - F.col("first")).select("node", "to")
-        q = quota.select(F.col("to").alias("shard"), F.col("shard").alias("to"), "first", "last")
-        coming = spare.join(F.broadcast(q), "shard").filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last"))).select("node", "to")
-        moves = going.union(coming)
         places = materialize(places.join(moves, "node", "left").select("node", F.coalesce("to", "shard").alias("shard")))
     return places
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, seed: int = SEED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int | None = ROUNDS, seed: int = SEED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, node), one row for each row of ``docs``.
 
     Links join equal texts.  Size: bytes of the text and 16 (null text: none).  Null ids come

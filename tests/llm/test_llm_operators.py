@@ -487,6 +487,18 @@ def test_sharding_cuts_few_links(spark):
     assert max(Counter(r["shard"] for r in got).values()) == 250
 
 
+@pytest.mark.parametrize("group", [2, 4])
+def test_sharding_where_all_rows_have_copies(spark, group):
+    """Production parameters, neighbouring ids, no unlinked row: all groups fit whole."""
+    df = spark.createDataFrame([(i, f"text {i // group}") for i in range(3200)], "doc_id long, text string")
+    got = sharding.shard_documents(df).collect()
+    shards = defaultdict(Counter)
+    for r in got:
+        shards[r["text_crc32"]][r["shard"]] += 1
+    assert set(Counter(r["shard"] for r in got).values()) == {80}
+    assert sum(group - max(c.values()) for c in shards.values()) <= 3200 // 20
+
+
 # --- SQL and the pipeline
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
