@@ -74,11 +74,10 @@ def _flips(value: Column, bits: int) -> Column:
     return F.array(*[value.bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63))) for b in range(bits)])
 
 
-def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
-    """Distinct ``fp`` -> links (src, dst) that connect whatever is at distance 2 or less.
+def meetings(fps: DataFrame, dense: int = DENSE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct ``fp`` -> (pairs (src, dst) verified in the tables, fingerprints ``fp`` that meet at keys, (fp, least, others) of each of their keys).
 
-    Pairs found in the tables are all verified; inside dense entries a chain of links
-    through the smallest fingerprint of each key stands for the pairs.
+    ``least``: the smallest fingerprint at the key; ``others``: how many are there besides ``fp``, none left out.
     """
     upper, lower = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(LOW))
     # table 0: upper segments, table 1: lower segments
@@ -96,34 +95,61 @@ def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
     found = found.filter((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= DISTANCE))
     # Dense entries: everyone who is in one or asks for one meets at single keys instead.
     asked = probes.join(heavy, ["t", "seg"], "left_semi").select("fp").union(table.join(heavy, ["t", "seg"], "left_semi").select("fp")).distinct()
+    asked = materialize(asked)
     near = asked.select("fp", F.explode(F.concat(F.array("fp"), _flips(F.col("fp"), 64))).alias("key"))
-    lowest = near.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("most"), F.collect_set("fp").alias("all"))
-    met = lowest.filter("least <> most").select(F.explode("all").alias("src"), F.col("least").alias("dst")).filter("src <> dst")
-    pairs = found.select(F.greatest("fp", "other").alias("src"), F.least("fp", "other").alias("dst"))
-    return pairs.union(met).distinct()
+    lowest = near.groupBy("key").agg(F.min("fp").alias("least"), F.collect_set("fp").alias("all")).filter(F.size("all") > 1)
+    keys = materialize(lowest.select(F.explode("all").alias("fp"), "least", (F.size("all") - 1).alias("others")))
+    pairs = materialize(found.select(F.greatest("fp", "other").alias("src"), F.least("fp", "other").alias("dst")).distinct())
+    return pairs, asked, keys
+
+
+def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
+    """Distinct ``fp`` -> links (src, dst) that connect whatever is at distance 2 or less.
+
+    Pairs found in the tables are all verified; inside dense entries a chain of links
+    through the smallest fingerprint of each key stands for the pairs.
+    """
+    return _links(*meetings(fps, dense))
+
+
+def _links(pairs: DataFrame, asked: DataFrame, keys: DataFrame) -> DataFrame:
+    return pairs.union(keys.filter("fp <> least").select(F.col("fp").alias("src"), F.col("least").alias("dst"))).distinct()
+
+
+def link_counts(pairs: DataFrame, asked: DataFrame, keys: DataFrame) -> DataFrame:
+    """(fp, n_links): the other fingerprints at distance 2 or less, of each that has one.
+
+    Two fingerprints at distance 1 or 2 share exactly two keys, so those that meet at
+    keys count each other twice; pairs of the tables count unless both ends are among them.
+    """
+    for end in ("src", "dst"):
+        pairs = pairs.join(asked.select(F.col("fp").alias(end), F.lit(True).alias(f"{end}_asked")), end, "left")
+    once = pairs.filter("src_asked is null or dst_asked is null").select(F.explode(F.array("src", "dst")).alias("fp"), F.lit(2).alias("n"))
+    return once.union(keys.select("fp", "others")).groupBy("fp").agg((F.sum("n") / 2).cast("long").alias("n_links"))
 
 
-def components(rows: DataFrame, dense: int = DENSE) -> tuple[DataFrame, DataFrame]:
-    """``rows(doc_id, fp)`` -> (edges, (fp, class_id, root)), one row for each distinct fingerprint."""
+def components(rows: DataFrame, dense: int = DENSE) -> tuple[tuple[DataFrame, DataFrame, DataFrame], DataFrame]:
+    """``rows(doc_id, fp)`` -> (``meetings``, (fp, class_id, root)), one row for each distinct fingerprint."""
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("class_id")))
-    edges = materialize(links(classes.select("fp"), dense))
+    met = meetings(classes.select("fp"), dense)
+    edges = materialize(_links(*met))
     comp = connected_components(edges, classes.select(F.col("fp").alias("node")))
-    return edges, classes.join(comp, F.col("fp") == F.col("node")).select("fp", "class_id", "root")
+    return met, classes.join(comp, F.col("fp") == F.col("node")).select("fp", "class_id", "root")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dense: int = DENSE) -> DataFrame:
     """(doc_id, fingerprint, component_id, class_id, n_links), one row for each row of ``docs``.
 
+    ``n_links``: other fingerprints of the table at distance 2 or less, each counted once.
     ``class_id``: smallest id with the same fingerprint; ``component_id``: smallest id reachable
     over links at distance 2 or less.  Null, empty and wordless texts have fingerprint 0
     and are linked like any other.  A null id is reported but never names a
     component unless all ids of it are null.  Repeated rows fall into one class.  An empty table gives no rows.
     """
     rows = fingerprints(docs, doc_id, text)
-    edges, named = components(rows, dense)
+    met, named = components(rows, dense)
     least = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    ends = edges.select(F.col("src").alias("fp")).union(edges.select(F.col("dst").alias("fp"))).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
-    named = materialize(named.join(least, "root").join(ends, "fp", "left").select("fp", "class_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    named = materialize(named.join(least, "root").join(link_counts(*met), "fp", "left").select("fp", "class_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "class_id", "n_links")
 
 

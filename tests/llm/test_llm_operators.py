@@ -251,6 +251,16 @@ def test_simhash_links(spark, dense):
     assert len({(find(f), want[f]) for f in fps}) == len({find(f) for f in fps}) == len(set(want.values()))
 
 
+@pytest.mark.parametrize("dense", [64, 1000])
+def test_simhash_counts_links_at_every_size(spark, dense):
+    """A cube of seven bits shares one upper segment; a few more differ from it above or stand alone."""
+    fps = [*range(128), 127 ^ 1 << 40, 127 ^ 3 << 40, 1 << 50, 5 << 20, 5 << 20 | 1 << 45]
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    got = {r["fp"]: r["n_links"] for r in simhash.link_counts(*simhash.meetings(df, dense)).collect()}
+    want = {f: sum(0 < bin(f ^ g).count("1") <= 2 for g in fps) for f in fps}
+    assert got == {f: n for f, n in want.items() if n} and want[64] >= 28
+
+
 def brute_representatives(rows):
     """(doc_id, text) that stay: of each component the smallest id, a null id last; rows that may stay, one list for each component."""
     comp = brute_components([brute_fp(t) for _, t in rows])
