@@ -50,7 +50,7 @@ RULES = (
     host_rule("block", "net/"), host_rule("allow", "example.net/en/"),
     host_rule("block", "example.com/de/"), host_rule("allow", "org/fr/"),
     # The method's own verdicts: paths of machinery and of adult or gambling sites.
-    pattern_rule("block", r"(?i)\x00(?s:.*)/wp-login\.php", "wp", "login", "php"),
+    pattern_rule("block", r"(?i)\x00(?s:.*)/wp-login\.php", "wp", "login"),  # what follows may go on: .php5
     pattern_rule("block", r"(?i)\x00(?s:.*)/cgi-bin/", "cgi", "bin"),
     pattern_rule("block", r"(?i)(^|[^0-9a-z])casino([^0-9a-z]|$)", "casino"),
     pattern_rule("block", r"(?i)(^|[^0-9a-z])porn([^0-9a-z]|$)", "porn"),

@@ -174,6 +174,13 @@ def test_url_rules(spark):
     assert url_rules.judge(df.limit(0)).count() == 0
 
 
+def test_url_rules_open_end(spark):
+    """No URL of the table has the token that the pattern ends in."""
+    rows = [(1, "http://a.com/wp-login.php5"), (2, "http://a.com/x/WP-login.phps"), (3, "http://b.com/wp/login"), (4, "http://b.com/wp/login/2")]
+    got = url_rules.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert canon(tuple(r) for r in got) == canon((i, *brute_verdict(u)) for i, u in rows)
+
+
 def test_url_rules_general(spark):
     """Rules without tokens, ties, and rules that end inside a token."""
     rules = (url_rules.host_rule("allow", "a.com/ab"), url_rules.host_rule("block", "b.com/ab"), url_rules.pattern_rule("block", "x{3}"))
