@@ -8,10 +8,10 @@ Main path: DataFrame functions only.
    bucket holds more than ``capacity`` distinct hashes; a bucket that is not
    overfull keeps its shorter prefix.  Distinct hashes are counted, not rows, so
    thousands of copies of one text make one entry and never split a bucket.
-3. Owner tasks process key ranges: rows that share a hash meet, in tasks by bucket, and
-   their texts are compared byte for byte by grouping on the text itself (combined
-   before the shuffle, so a hot text leaves each task once).  Different texts of one
-   hash form a chain: each is an entry of its own.
+3. Rows that share a hash are compared byte for byte by grouping on the text itself
+   (combined before the shuffle, so a hot text leaves each task once).  This shuffle by
+   bucket, hash and text replaces owner tasks for key ranges: the bucket is a label and
+   steers no work.  Different texts of one hash form a chain: each is an entry of its own.
 """
 
 from __future__ import annotations
@@ -63,6 +63,13 @@ def directory(entries: DataFrame, capacity: int = CAPACITY) -> tuple[int, DataFr
     return depth, materialize(out.select("slot", bucket.alias("bucket"), "depth"))
 
 
+def shared_texts(docs: DataFrame, shared: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, hash, bucket, norm) of the rows whose id and hash are in ``shared``."""
+    norm = docs.select(F.col(doc_id).alias("doc_id"), lower_ascii(whole(F.col(text))).alias("norm")).withColumn("hash", F.xxhash64("norm"))
+    # A shuffle at every size: how many documents share a hash has no bound.
+    return join_null_safe(norm, shared.hint("merge"), ["doc_id", "hash"]).select("doc_id", "hash", "bucket", "norm")
+
+
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256, n_bytes, bucket), one row for each row of ``docs``.
 
@@ -77,11 +84,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cap
     owned = entries.withColumn("slot", slot(depth)).join(slots.select("slot", "bucket"), "slot").drop("slot")
     # Chains: only documents whose hash occurs again bring their texts.
     shared = materialize(index.select("doc_id", "hash").join(owned.filter("n > 1"), "hash").select("doc_id", "hash", "bucket").distinct())
-    ids = F.col(doc_id).alias("doc_id")
-    # A shuffle at every size: how many documents share a hash has no bound.
-    texts = join_null_safe(docs.select(ids, whole(F.col(text)).alias("body")), shared.hint("merge"), ["doc_id"])
-    texts = texts.select("doc_id", "hash", "bucket", lower_ascii(F.col("body")).alias("norm"))
-    texts = texts.filter(F.xxhash64("norm") == F.col("hash"))
+    texts = shared_texts(docs, shared, doc_id, text)
     chains = texts.groupBy("bucket", "hash", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     chains = materialize(chains.select("hash", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"))
     out = index.join(owned.select("hash", "bucket", "n", "top"), "hash").join(chains, ["hash", "text_sha256"], "left")

@@ -468,6 +468,15 @@ def test_exact(request, table, capacity):
     assert kept.columns == df.columns and sorted(lower(t) for _, t in pairs(kept)) == sorted(groups)
 
 
+def test_exact_texts_join_on_the_hash(spark):
+    """Null ids meet by hash, not each with every shared hash of null ids."""
+    df = spark.createDataFrame([(None, f"t {i // 2}") for i in range(200)], "doc_id long, text string")
+    shared = exact.write_index(df).select("doc_id", "hash", F.lit("0/0").alias("bucket")).distinct()
+    texts = exact.shared_texts(df, shared)
+    join = re.findall(r"SortMergeJoin \[.*", texts._jdf.queryExecution().executedPlan().toString())[0]
+    assert texts.count() == 200 and "hash" in join.split("]")[0]
+
+
 def test_directory(spark):
     h = spark.range(5000).select(F.xxhash64("id").alias("hash"))
     depth, slots = exact.directory(h, 200)
