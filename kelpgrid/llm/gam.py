@@ -177,21 +177,24 @@ def held_out(doc_id: Column) -> Column:
 def _features(batches):
     for batch in batches:
         found = pa.array([features(t.as_py()) for t in batch.column(0)], pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([found, batch.column(1)], names=["x", "y"])
+        yield pa.RecordBatch.from_arrays([found, *batch.columns[1:]], names=["x", *batch.schema.names[1:]])
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> Model:
     """Model of ``labels(doc_id, quality)``, from at most ``s.sample`` rows in the order of a hash of the id.
 
-    Null ids and labels teach nothing; of several labels of one id the largest counts.
+    Null ids and labels teach nothing; of several labels of one id the largest counts, and of
+    several texts of one id the one whose hash is smallest.
     """
     known = labels.select(F.col("doc_id").alias("__id"), F.col("quality").alias("y")).filter("__id is not null and y is not null")
     known = known.filter(~held_out(F.col("__id"))).groupBy("__id").agg(F.max("y").cast("double").alias("y"))
     known = materialize(known.orderBy(F.xxhash64("__id", F.lit(s.seed)), "__id").limit(s.sample))
     body = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("text"))
     # s.sample rows of two numbers: a bound on the broadcast.
-    rows = body.join(F.broadcast(known), F.col("__doc") == F.col("__id")).select("text", "y", "__id")
-    got = rows.select("text", "y").mapInArrow(_features, "x array<double>, y double").toPandas()
+    rows = body.join(F.broadcast(known), F.col("__doc") == F.col("__id")).select("text", "y", F.col("__id").cast("long"), F.xxhash64("text").alias("h"))
+    rows = rows.mapInArrow(_features, "x array<double>, y double, __id long, h long")
+    # One row for each id before anything leaves the tasks.
+    got = rows.groupBy("__id", "y").agg(F.min_by("x", "h").alias("x")).select("x", "y").toPandas()
     got = got.assign(k=[tuple(v) for v in got["x"]]).sort_values(["k", "y"]) if len(got) else got
     x = np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES))
     return train(x, got["y"].to_numpy(float), s)

@@ -433,6 +433,15 @@ def test_classifier(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_classifier_learns_one_row_of_each_id(spark, monkeypatch):
+    seen, hot = [], next(i for i in range(20) if zlib.crc32(str(i).encode()) % 4 != 2)
+    monkeypatch.setattr(gam, "train", lambda x, y, s: seen.append(len(y)))
+    df = spark.createDataFrame([(i if i < 20 else hot, f"some text number {i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    gam.fit(df, labels)
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(20))]
+
+
 def test_classifier_edges(spark, edge, empty):
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(12)] + [(None, 1, 0), (3, None, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
     got = gam.classify(edge, labels).collect()
