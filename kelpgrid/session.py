@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()  # tables of materialize and their folders
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Pin the time zone; all timestamps in this package are read as UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -36,7 +40,17 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    WRITTEN[out] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` returned; for tables of a finished round that nothing reads again."""
+    path = WRITTEN.pop(df, None)
+    if path is not None:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def bucket_count(spark: SparkSession) -> int:
