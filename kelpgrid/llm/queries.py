@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpgrid.llm import exact, gam, mixing, packing, quality_rules, sharding, simhash, suffix, token_files, url_rules
+from kelpgrid.llm import exact, forest, gam, mixing, packing, quality_rules, shallot, sharding, simhash, suffix, token_files, url_rules, whitening
 from kelpgrid.llm.encoding import byte_bpe, word_bpe
 
 QUERIES = {}
@@ -148,3 +148,19 @@ def op9_packing(spark, sf_dir):
 @query("op10_sharding")
 def op10_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents")).drop("node")
+
+
+@query("op11_whitening")
+def op11_whitening(spark, sf_dir):
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@query("op12_clustering")
+def op12_clustering(spark, sf_dir):
+    return shallot.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_neighbours")
+def op13_neighbours(spark, sf_dir):
+    return forest.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
