@@ -1,48 +1,58 @@
-"""Non-dominated rows, hypervolume, scalarization (all objectives minimized)."""
+"""Non-dominated rows, hypervolume, scalarization (all objectives minimized).
+
+Rows without a value in one of the objectives, such as failed runs, are on no front and
+cover no volume; they never hide other rows.  Rows with null keys form a group of their own.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpgrid.functions.dominance import dominated
-from kelpgrid.functions.ordering import with_group_stats, with_previous, with_running
-from kelpgrid.session import materialize
+from kelpgrid.functions.dominance import dominated, lowest_below
+from kelpgrid.functions.ordering import join_keys, with_group_stats, with_previous, with_row_number, with_running
+from kelpgrid.session import discard, materialize
+
+
+def known(df: DataFrame, objs: list[str]) -> DataFrame:
+    """Rows that have all objectives."""
+    return df.dropna("any", subset=objs)
 
 
 def pareto_front(df: DataFrame, keys: list[str], objs: list[str]) -> DataFrame:
     """Rows not dominated in their group (all <= and any <); equal rows stay together.
 
-    Two objectives: one scan over distinct first objectives, carrying the best
-    second one.  More: fronts of the partitions first, then an anti join of the
-    survivors.
+    Of the rows that agree in all objectives but the last only the lowest counts.  Two
+    objectives: one scan over the first, carrying the lowest second one so far.  More: every row
+    gets the lowest last objective among the rows that come before it in all others
+    (``lowest_below``); blocks of rows drop what a neighbour dominates beforehand.
     """
+    df = known(df, objs)
+    *firsts, last = objs
+    few = df if len(objs) < 3 else _fronts_of_blocks(df.select(*keys, *objs), keys, objs)
+    low = few.groupBy(*keys, *firsts).agg(F.min(last).alias("__low"))
     if len(objs) == 2:
-        a, b = objs
-        low = materialize(df.groupBy(*keys, a).agg(F.min(b).alias("__low")))
-        low = with_running(low, keys, [a], {"__before": ("min", "__low")}, exclusive=True)
-        edge = low.filter(F.col("__before").isNull() | (F.col("__before") > F.col("__low"))).drop("__before")
-        return df.join(edge, [*keys, a]).filter(F.col(b) == F.col("__low")).drop("__low")
-
+        low = with_running(materialize(low), keys, firsts, {"__before": ("min", "__low")}, exclusive=True)
+    elif len(objs) > 2:
+        low = materialize(low.withColumn("__row", F.monotonically_increasing_id()))
+        # Distinct points: a dominating one comes before in each of these total orders.
+        orders = [firsts[i:] + firsts[:i] for i in range(len(firsts))]
+        low = lowest_below(low, keys, orders, "__row", "__low", "__before").drop("__row")
+    if len(objs) > 1:
+        low = low.filter(F.col("__before").isNull() | (F.col("__before") > F.col("__low"))).drop("__before")
+    return join_keys(df, low, [*keys, *firsts]).filter(F.col(last) == F.col("__low")).drop("__low")
+
+
+def _fronts_of_blocks(points: DataFrame, keys: list[str], objs: list[str]) -> DataFrame:
     def local(batches):
-        front = None
         for pdf in batches:
-            pdf = pdf if front is None else pd.concat([front, pdf])
             parts = [pdf] if not keys else [g for _, g in pdf.groupby(keys, dropna=False)]
-            front = pd.concat([g[_mask(g[objs].to_numpy())] for g in parts]) if len(pdf) else pdf
-        if front is not None:
-            yield front
-
-    few = materialize(df.mapInPandas(local, df.schema))
-    other = few.select(*[F.col(c).alias(f"__o_{c}") for c in (*keys, *objs)]).distinct()
-    cond = [few[k] == other[f"__o_{k}"] for k in keys] + [other[f"__o_{o}"] <= few[o] for o in objs]
-    strict = None
-    for o in objs:
-        s = other[f"__o_{o}"] < few[o]
-        strict = s if strict is None else strict | s
-    return few.join(other, [*cond, strict], "left_anti")
+            yield from (g[_mask(g[objs].to_numpy(np.float64))] for g in parts)
+
+    return points.mapInPandas(local, points.schema)
 
 
 def _mask(y: np.ndarray) -> np.ndarray:
@@ -67,24 +77,21 @@ def pareto_history(df: DataFrame, keys: list[str], a: str, b: str, order: str =
     A row enters unless an earlier one is as good in both objectives, and leaves
     when the first later row is.  ``left`` is null for the final front.
     """
-    cols = [*keys, order, a, b]
-    d = df.select(*cols)
+    d = known(df.select(*keys, order, a, b), [a, b])
     # Earlier rows with a' <= a: the smallest b' among them decides the entry.
     seen = dominated(d, keys, [order], [a, order], order, {"best_b": ("min", b)})
     enter = materialize(seen.filter(F.col("best_b").isNull() | (F.col("best_b") > F.col(b))).drop("best_b"))
-    # Later rows with a' <= a and b' <= b leave the front as soon as one of them has entered.
-    later = enter.select(*[F.col(k).alias(f"__l_{k}") for k in keys], F.col(order).alias("__i"), F.col(a).alias("__a"), F.col(b).alias("__b"))
-    same = [F.col(k) == F.col(f"__l_{k}") for k in keys]
-    gone = enter.join(later, [*same, F.col("__i") > F.col(order), F.col("__a") <= F.col(a), F.col("__b") <= F.col(b)])
-    gone = gone.groupBy(*keys, order).agg(F.min("__i").alias("left"))
-    return enter.join(gone, [*keys, order], "left").withColumnRenamed(order, "entered")
+    # The first row to push one out has entered itself, and of two rows that entered only the
+    # later can be as good as the other, so the order of iterations need not be compared again.
+    gone = dominated(enter, keys, [a, b], [b, a], order, {"left": ("min", order)})
+    return gone.withColumnRenamed(order, "entered")
 
 
 def objective_incumbents(df: DataFrame, keys: list[str], objs: list[str], order: str = "iter") -> DataFrame:
     """Per objective all rows tied at its minimum."""
     long = df.select(*keys, order, *objs).unpivot([*keys, order], objs, "objective", "value")
     best = long.groupBy(*keys, "objective").agg(F.min("value").alias("best"))
-    return long.join(best, [*keys, "objective"]).filter("value = best").drop("best")
+    return join_keys(long, best, [*keys, "objective"]).filter("value = best").drop("best")
 
 
 def hypervolume_2d(front: DataFrame, keys: list[str], a: str, b: str, ref: tuple[float, float]) -> DataFrame:
@@ -96,28 +103,146 @@ def hypervolume_2d(front: DataFrame, keys: list[str], a: str, b: str, ref: tuple
     return run.groupBy(*keys).agg(F.sum(area).alias("hypervolume"))
 
 
-def hypervolume_3d(front: DataFrame, keys: list[str], objs: list[str], ref: tuple[float, float, float]) -> DataFrame:
-    """Volume by slices of the third objective: every point of lower height joins the slice's area.
+def area_gains(history: DataFrame, keys: list[str], a: str, b: str, ref: tuple[float, float]) -> DataFrame:
+    """``history`` plus ``gain``: the area up to ``ref`` that a row adds to the running front as it enters.
 
-    ``front`` should be a front (its size bounds the slices).
+    The row adds the corner between it and its two neighbours on the front at that time, less the part
+    that the rows which leave at this moment had covered.  Both neighbours come from
+    scans over the earlier rows, and each row leaves once, so all steps are linear in the history.
     """
-    a, b, c = objs
-    inside = front.filter((F.col(a) < ref[0]) & (F.col(b) < ref[1]) & (F.col(c) < ref[2])).select(*keys, *objs).distinct()
-    inside = materialize(inside)
-    levels = inside.select(*keys, c).distinct()
-    nxt = with_previous(levels.withColumn("__neg", -F.col(c)), keys, ["__neg"], {"__next": c})
-    slices = nxt.select(*keys, F.col(c).alias("__z"), (F.coalesce("__next", F.lit(float(ref[2]))) - F.col(c)).alias("__h"))
-    members = slices.join(inside, keys).filter(F.col(c) <= F.col("__z"))
-    areas = hypervolume_2d(members, [*keys, "__z"], a, b, ref[:2])
-    return areas.join(slices, [*keys, "__z"]).groupBy(*keys).agg(F.sum(F.col("hypervolume") * F.col("__h")).alias("hypervolume"))
+    right, top = F.lit(float(ref[0])), F.lit(float(ref[1]))
+    seen = dominated(history, keys, ["entered"], [b, "entered"], "entered", {"__a": ("min", a)})
+    seen = dominated(seen, keys, ["entered"], [a, "entered"], "entered", {"__b": ("min", b)})
+    seen = materialize(seen.withColumns({"__a": F.least("__a", right), "__b": F.least("__b", top)}))
+    corners = seen.select(*keys, F.col("entered").alias("left"), "__a", "__b")
+    gone = join_keys(seen.filter("left is not null").select(*keys, "left", a, b), corners, [*keys, "left"])
+    gone = gone.withColumns({a: F.least(F.col(a), F.col("__a")), b: F.least(F.col(b), F.col("__b"))}).groupBy(*keys, "left", "__a", "__b", a).agg(F.min(b).alias(b))
+    steps = with_previous(gone, [*keys, "left"], [a], {"__before": b})
+    had = steps.groupBy(*keys, F.col("left").alias("entered")).agg(F.sum((F.col("__a") - F.col(a)) * (F.coalesce("__before", "__b") - F.col(b))).alias("__had"))
+    corner = F.greatest(F.col("__a") - F.col(a), F.lit(0.0)) * F.greatest(F.col("__b") - F.col(b), F.lit(0.0))
+    return join_keys(seen.withColumn("__corner", corner), had, [*keys, "entered"], "left").withColumn(
+        "gain", F.col("__corner") - F.coalesce("__had", F.lit(0.0))).select(*history.columns, "gain")
 
 
 def hypervolume_history(history: DataFrame, keys: list[str], a: str, b: str, ref: tuple[float, float]) -> DataFrame:
     """Hypervolume after each iteration at which the running front changes."""
-    steps = history.select(*keys, F.col("entered").alias("iter")).distinct()
-    alive = steps.join(history, keys).filter((F.col("entered") <= F.col("iter")) & (F.col("left").isNull() | (F.col("left") > F.col("iter"))))
-    hv = hypervolume_2d(alive, [*keys, "iter"], a, b, ref)
-    return steps.join(hv, [*keys, "iter"], "left").fillna(0.0, ["hypervolume"])
+    gains = area_gains(history, keys, a, b, ref).select(*keys, F.col("entered").alias("iter"), "gain")
+    return with_running(materialize(gains), keys, ["iter"], {"hypervolume": ("sum", "gain")}).drop("gain")
+
+
+def hypervolume_3d(front: DataFrame, keys: list[str], objs: list[str], ref: tuple[float, float, float]) -> DataFrame:
+    """Volume dominated up to ``ref``: points enter a running front of the first two objectives by rising third one.
+
+    The area that a point adds at its height stays up to the reference, so the volume is a sum over the points.
+    """
+    a, b, c = objs
+    inside = known(front.select(*keys, *objs), objs).filter((F.col(a) < ref[0]) & (F.col(b) < ref[1]) & (F.col(c) < ref[2])).distinct()
+    inside = materialize(with_row_number(materialize(inside), keys, [c, a, b], "__n"))
+    history = pareto_history(inside, keys, a, b, "__n")
+    gains = area_gains(materialize(history), keys, a, b, ref[:2]).select(*keys, F.col("entered").alias("__n"), "gain")
+    heights = inside.select(*keys, "__n", (F.lit(float(ref[2])) - F.col(c)).alias("__h"))
+    return join_keys(gains, heights, [*keys, "__n"]).groupBy(*keys).agg(F.sum(F.col("gain") * F.col("__h")).alias("hypervolume"))
+
+
+CELL = 256  # points of a box that one call solves
+
+
+def hypervolume(front: DataFrame, keys: list[str], objs: list[str], ref: tuple[float, ...], cell: int = CELL) -> DataFrame:
+    """Volume dominated up to ``ref``, for two or more objectives; points not better than it in all do not count.
+
+    Two and three objectives: sweeps.  More: the space is cut into boxes.  A point counts in each box
+    that it reaches into, cut off at the box's lower corner; a box that a point covers is full.
+    Boxes with at most ``cell`` different points are solved in tasks, others are halved at
+    the median of the objective in which most of their points still differ from the corner.
+    """
+    if len(objs) == 2:
+        return hypervolume_2d(known(front, objs), keys, *objs, ref)
+    if len(objs) == 3:
+        return hypervolume_3d(front, keys, objs, ref)
+    m = len(objs)
+    inside = known(front, objs).filter(_every(F.col(o) < r for o, r in zip(objs, ref)))
+    point = F.array(*[F.col(o).cast("double") for o in objs])
+    low = inside.groupBy(*keys).agg(F.array(*[F.min(o).cast("double") for o in objs]).alias("lo"))
+    rows = join_keys(inside.select(*keys, point.alias("p")).distinct(), low, keys) if keys else inside.select(point.alias("p")).distinct().crossJoin(F.broadcast(low))
+    rows = materialize(rows.select(*keys, "lo", F.array(*[F.lit(float(r)) for r in ref]).alias("hi"), "p"))
+    box, done = [*keys, "lo", "hi"], []
+    while True:
+        sizes = rows.groupBy(*box).agg(
+            F.count(F.lit(1)).alias("__n"), F.max(F.col("p") == F.col("lo")).alias("__full"),
+            *[F.count(F.when(F.col("p")[i] > F.col("lo")[i], 1)).alias(f"__c{i}") for i in range(m)],
+            *[F.percentile_approx(F.when(F.col("p")[i] > F.col("lo")[i], F.col("p")[i]), 0.5, 1000).alias(f"__m{i}") for i in range(m)])
+        most = F.array_max(F.array(*[F.struct(F.col(f"__c{i}").alias("c"), F.lit(i).alias("i"), F.col(f"__m{i}").alias("at")) for i in range(m)]))
+        sizes = materialize(sizes.select(*box, "__n", "__full", most["i"].alias("__i"), most["at"].alias("__at")))
+        full = sizes.filter("__full").select(*keys, _volume("lo", "hi", m).alias("v"))
+        open_ = join_keys(rows, sizes.filter("not __full"), box)
+        small = open_.filter(F.col("__n") <= cell).select(*box, "p").groupBy(*box).agg(F.collect_list("p").alias("ps"))  # at most ``cell`` each
+        solved = small.select(*keys, "lo", "hi", "ps").mapInArrow(_solved(len(keys)), small.select(*keys).schema.add("v", "double"))
+        done.append(materialize(full.unionByName(solved)))
+        large = open_.filter(F.col("__n") > cell)
+        lower = large.filter(_at("p") < F.col("__at")).withColumn("hi", _put("hi"))
+        upper = large.withColumn("lo", _put("lo")).withColumn("p", F.transform("p", lambda x, i: F.greatest(x, F.get("lo", i))))
+        last, rows = rows, materialize(lower.unionByName(upper).select(*box, "p").distinct())
+        discard(last)
+        if rows.isEmpty():
+            break
+    total = done[0]
+    for d in done[1:]:
+        total = total.unionByName(d)
+    return total.groupBy(*keys).agg(F.sum("v").alias("hypervolume"))
+
+
+def _every(conditions) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
+
+
+def _at(name: str) -> Column:
+    return F.get(name, F.col("__i"))
+
+
+def _put(name: str) -> Column:
+    """The corner with the halving value in place of its own."""
+    return F.transform(name, lambda x, i: F.when(i == F.col("__i"), F.col("__at")).otherwise(x))
+
+
+def _volume(lo: str, hi: str, m: int) -> Column:
+    out = F.lit(1.0)
+    for i in range(m):
+        out = out * (F.col(hi)[i] - F.col(lo)[i])
+    return out
+
+
+def _solved(n_keys: int):
+    def solve(batches):
+        for batch in batches:
+            lo, hi, ps = (batch.column(n_keys + i).to_pylist() for i in range(3))
+            v = [box_volume(np.array(p), np.array(h)) for p, h in zip(ps, hi)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keys], pa.array(v, pa.float64())], names=[*batch.schema.names[:n_keys], "v"])
+
+    return solve
+
+
+def box_volume(points: np.ndarray, top: np.ndarray) -> float:
+    """Volume between ``points`` and ``top``: each point adds its box less what the earlier ones, by the last objective, cover of it."""
+    if not len(points):
+        return 0.0
+    points = points[_mask(points)]
+    m = points.shape[1]
+    points = points[np.lexsort(points.T[:m])]
+    points = points[np.append(True, (points[1:] != points[:-1]).any(1))]
+    if m == 1:
+        return float(top[0] - points[0, 0])
+    if m == 2:
+        order = np.argsort(points[:, 0])
+        a, b = points[order, 0], points[order, 1]
+        return float(((top[0] - a) * (np.append(top[1], b[:-1]) - b)).sum())
+    total = 0.0
+    for k, p in enumerate(points):
+        covered = box_volume(np.maximum(points[:k, :-1], p[:-1]), top[:-1])
+        total += (float(np.prod(top[:-1] - p[:-1])) - covered) * float(top[-1] - p[-1])
+    return total
 
 
 def nondominated_cells_2d(front: DataFrame, keys: list[str], a: str, b: str, ref: tuple[float, float],

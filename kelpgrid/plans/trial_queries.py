@@ -189,6 +189,51 @@ def pareto_front_3d(spark, sf):
     return P.pareto_front_distinct(t, H.KEYS, ["f1", "f2", "tax"]).select("task_id", "f1", "f2", "tax")
 
 
+FRONT4 = T + """, l4 AS (SELECT task_id, min(f1) AS f1, f2, tax, discount FROM st WHERE outcome = 'success' GROUP BY ALL)
+"""
+OBJ4 = ["f1", "f2", "tax", "discount"]
+
+
+def _front4(spark, sf):
+    return P.pareto_front_distinct(ok_trials(spark, sf).select("task_id", "iter", *OBJ4), H.KEYS, OBJ4)
+
+
+@query("pareto_front_4d", FRONT4 + """SELECT a.* FROM l4 a WHERE NOT EXISTS (SELECT 1 FROM l4 b WHERE a.task_id = b.task_id AND b.f1 <= a.f1 AND b.f2 <= a.f2
+ AND b.tax <= a.tax AND b.discount <= a.discount AND (b.f1 < a.f1 OR b.f2 < a.f2 OR b.tax < a.tax OR b.discount < a.discount))""")
+def pareto_front_4d(spark, sf):
+    return _front4(spark, sf).select("task_id", *OBJ4)
+
+
+# Failed runs have no first objective, and one task has no name.
+FAILED = f"""WITH {ORACLE_TRIALS}, ft AS (SELECT nullif(task_id, 'N') AS task_id, iter, CASE WHEN trial_state = 0 THEN f1 END AS f1, f2 FROM trials),
+low AS (SELECT task_id, f2, min(f1) AS f1 FROM ft WHERE f1 IS NOT NULL GROUP BY ALL),
+edge AS (SELECT * FROM low a WHERE NOT EXISTS (SELECT 1 FROM low b WHERE b.task_id IS NOT DISTINCT FROM a.task_id AND b.f1 <= a.f1 AND b.f2 <= a.f2
+ AND (b.f1 < a.f1 OR b.f2 < a.f2)))
+"""
+
+
+def failed_trials(spark, sf):
+    t = trials(spark, sf)
+    return t.select(F.nullif("task_id", F.lit("N")).alias("task_id"), "iter", F.when(F.col("trial_state") == 0, F.col("f1")).alias("f1"), "f2")
+
+
+@query("pareto_front_failed", FAILED + "SELECT ft.* FROM ft JOIN edge ON ft.task_id IS NOT DISTINCT FROM edge.task_id AND ft.f1 = edge.f1 AND ft.f2 = edge.f2")
+def pareto_front_failed(spark, sf):
+    return P.pareto_front(failed_trials(spark, sf), H.KEYS, OBJ)
+
+
+@query("pareto_front_distinct_failed", FAILED + """SELECT ft.task_id, min(iter) AS iter, ft.f1, ft.f2 FROM ft
+JOIN edge ON ft.task_id IS NOT DISTINCT FROM edge.task_id AND ft.f1 = edge.f1 AND ft.f2 = edge.f2 GROUP BY ALL""")
+def pareto_front_distinct_failed(spark, sf):
+    return P.pareto_front_distinct(failed_trials(spark, sf), H.KEYS, OBJ)
+
+
+@query("objective_incumbents_failed", FAILED + """, lg AS (SELECT task_id, iter, unnest(['f1', 'f2']) AS objective, unnest([f1, f2]) AS value FROM ft)
+SELECT task_id, iter, objective, value FROM (SELECT *, rank() OVER (PARTITION BY task_id, objective ORDER BY value) AS k FROM lg WHERE value IS NOT NULL) WHERE k = 1""")
+def objective_incumbents_failed(spark, sf):
+    return P.objective_incumbents(failed_trials(spark, sf), H.KEYS, OBJ)
+
+
 HIST = f"""WITH {ORACLE_PART_TRIALS}, ent AS (SELECT * FROM part_trials a WHERE NOT EXISTS (SELECT 1 FROM part_trials b
  WHERE b.task_id = a.task_id AND b.iter < a.iter AND b.f1 <= a.f1 AND b.f2 <= a.f2)),
 ph AS (SELECT a.task_id, a.iter AS entered, a.f1, a.f2, (SELECT min(b.iter) FROM part_trials b WHERE b.task_id = a.task_id
@@ -205,6 +250,19 @@ def pareto_history(spark, sf):
     return _history(spark, sf).select("task_id", "entered", "left", "f1", "f2")
 
 
+HIST_FAILED = """WITH part_trials AS (SELECT nullif(p_brand, 'Brand#13') AS task_id, p_partkey AS iter, CASE WHEN p_partkey % 5 <> 0 THEN p_retailprice END AS f1,
+ -CAST(p_size AS DOUBLE) AS f2 FROM part), kn AS (SELECT * FROM part_trials WHERE f1 IS NOT NULL), ent AS (SELECT * FROM kn a WHERE NOT EXISTS (SELECT 1 FROM kn b
+ WHERE b.task_id IS NOT DISTINCT FROM a.task_id AND b.iter < a.iter AND b.f1 <= a.f1 AND b.f2 <= a.f2))
+SELECT task_id, iter AS entered, f1, f2, (SELECT min(b.iter) FROM kn b WHERE b.task_id IS NOT DISTINCT FROM a.task_id
+ AND b.iter > a.iter AND b.f1 <= a.f1 AND b.f2 <= a.f2) AS "left" FROM ent a"""
+
+
+@query("pareto_history_failed", HIST_FAILED)
+def pareto_history_failed(spark, sf):
+    t = part_trials(spark, sf).withColumns({"task_id": F.nullif("task_id", F.lit("Brand#13")), "f1": F.when(F.col("iter") % 5 != 0, F.col("f1"))})
+    return P.pareto_history(t, H.KEYS, "f1", "f2").select("task_id", "entered", "left", "f1", "f2")
+
+
 @query("hypervolume_history", HIST + """, al AS (SELECT s.task_id, s.entered AS iter, h.f1, h.f2 FROM ph s JOIN ph h ON s.task_id = h.task_id
  AND h.entered <= s.entered AND (h."left" IS NULL OR h."left" > s.entered) WHERE h.f1 < 2000 AND h.f2 < 0),
 ar AS (SELECT task_id, iter, (2000 - f1) * (coalesce(lag(f2) OVER (PARTITION BY task_id, iter ORDER BY f1), 0) - f2) AS a FROM al)
@@ -243,7 +301,18 @@ SELECT task_id, round(sum(h * greatest(cap - f1, 0) * (0 - f2)), 1) AS hypervolu
 def hypervolume_3d(spark, sf):
     t = ok_trials(spark, sf).select("task_id", "iter", "f1", "f2", "tax")
     front = P.pareto_front_distinct(t, H.KEYS, ["f1", "f2", "tax"])
-    return P.hypervolume_3d(front, H.KEYS, ["f1", "f2", "tax"], (100000.0, 0.0, 0.1)).withColumn("hypervolume", r("hypervolume", 1))
+    return P.hypervolume(front, H.KEYS, ["f1", "f2", "tax"], (100000.0, 0.0, 0.1)).withColumn("hypervolume", r("hypervolume", 1))
+
+
+@query("hypervolume_4d", FRONT4 + """, z AS (SELECT *, coalesce(lead(tax) OVER (PARTITION BY task_id ORDER BY tax), 0.1) - tax AS h FROM (SELECT DISTINCT task_id, tax FROM l4)),
+w AS (SELECT *, coalesce(lead(discount) OVER (PARTITION BY task_id ORDER BY discount), 0.2) - discount AS g FROM (SELECT DISTINCT task_id, discount FROM l4)),
+m AS (SELECT z.task_id, z.tax AS z, w.discount AS w, h * g AS h, f2, min(f1) AS f1 FROM z JOIN w USING (task_id)
+ JOIN l4 ON l4.task_id = z.task_id AND l4.tax <= z.tax AND l4.discount <= w.discount AND f1 < 100000 AND f2 < 0 GROUP BY ALL),
+u AS (SELECT *, least(coalesce(min(f1) OVER (PARTITION BY task_id, z, w ORDER BY f2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 100000), 100000) AS cap FROM m)
+SELECT task_id, round(sum(h * greatest(cap - f1, 0) * (0 - f2)), 1) AS hypervolume FROM u GROUP BY task_id""")
+def hypervolume_4d(spark, sf):
+    front = materialize(_front4(spark, sf))
+    return P.hypervolume(front, H.KEYS, OBJ4, (100000.0, 0.0, 0.1, 0.2)).withColumn("hypervolume", r("hypervolume", 1))
 
 
 def _cells(spark, sf):

@@ -24,7 +24,7 @@ def front_of(y):
     return {i for i, a in enumerate(y) if not any((b <= a).all() and (b < a).any() for b in y)}
 
 
-@pytest.mark.parametrize("m", [2, 3])
+@pytest.mark.parametrize("m", [1, 2, 3, 4])
 def test_pareto_front(spark, m):
     y = np.random.default_rng(m).integers(0, 8, (120, m)).astype(float)
     df = spark.createDataFrame(pd.DataFrame(y, columns=[f"f{i}" for i in range(m)]).assign(iter=range(120), task_id="a"))
@@ -50,6 +50,57 @@ def test_pareto_history(spark):
     assert got == want
 
 
+def failed_rows():
+    """Runs of tasks a and null, some without an objective."""
+    rows = [("a", 1, None, 1.0), ("a", 2, 5.0, None), ("a", 3, 5.0, 4.0), ("a", 4, 6.0, 4.0), ("a", 5, 4.0, 9.0), ("a", 6, 5.0, 3.0)]
+    return [*rows, *((None, i, x, y) for _, i, x, y in rows), ("b", 1, None, 2.0)]
+
+
+FAILED = "task_id string, iter long, f1 double, f2 double"
+
+
+def test_fronts_of_failed_runs_and_null_tasks(spark):
+    df = spark.createDataFrame(failed_rows(), FAILED)
+    key = ["task_id"]
+    want = {(t, i) for t in ("a", None) for i in (5, 6)}
+    for objs in (["f1", "f2"], ["f1", "f2", "f3"]):
+        got = PF.pareto_front(df.withColumn("f3", F.lit(1.0)), key, objs).collect()
+        assert {(r["task_id"], r["iter"]) for r in got} == want
+        got = PF.pareto_front_distinct(df.withColumn("f3", F.lit(1.0)), key, objs).collect()
+        assert {(r["task_id"], r["iter"]) for r in got} == want
+    history = PF.pareto_history(df, key, "f1", "f2")
+    assert {(r["task_id"], r["entered"], r["left"]) for r in history.collect()} == {(t, i, x) for t in ("a", None) for i, x in ((3, 6), (5, None), (6, None))}
+    volume = {(r["task_id"], r["iter"]): r["hypervolume"] for r in PF.hypervolume_history(history, key, "f1", "f2", (7.0, 10.0)).collect()}
+    assert volume == {(t, i): v for t in ("a", None) for i, v in ((3, 12.0), (5, 13.0), (6, 15.0))}
+    best = PF.objective_incumbents(df, key, ["f1", "f2"]).collect()
+    assert {(r["task_id"], r["objective"], r["iter"]) for r in best} == {(t, o, i) for t in ("a", None) for o, i in (("f1", 5), ("f2", 1))} | {("b", "f2", 1)}
+    assert PF.pareto_front(df.limit(0), key, ["f1", "f2"]).count() == 0
+
+
+def brute_volume(points, ref):
+    """Volume of a union of boxes on the grid of all coordinates."""
+    axes = [np.unique(np.append(points[:, i], r)) for i, r in enumerate(ref)]
+    axes = [a[a <= r] for a, r in zip(axes, ref)]
+    grid = np.stack(np.meshgrid(*[a[:-1] for a in axes], indexing="ij"), -1)
+    size = np.prod(np.stack(np.meshgrid(*[np.diff(a) for a in axes], indexing="ij"), -1), -1)
+    return float(size[(points <= grid[..., None, :]).all(-1).any(-1)].sum())
+
+
+@pytest.mark.parametrize("m,n,cell", [(2, 40, 256), (3, 40, 256), (4, 40, 4)])
+def test_hypervolume(spark, m, n, cell):
+    rng = np.random.default_rng(m * n)
+    rows, want, ref = [], {}, [9.0] * m
+    for task in ("a", None):
+        y = rng.integers(0, 11, (n, m)).astype(float)
+        want[task] = brute_volume(y[(y < ref).all(1)], ref)
+        rows += [(task, *map(float, p)) for p in y] + [(task, None, *[0.0] * (m - 1))]
+    objs = [f"f{i}" for i in range(m)]
+    df = spark.createDataFrame(rows, "task_id string, " + ", ".join(f"{o} double" for o in objs))
+    front = PF.pareto_front(df, ["task_id"], objs)
+    got = {r["task_id"]: r["hypervolume"] for r in PF.hypervolume(front, ["task_id"], objs, ref, cell).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_failed_only_task_and_ties(spark):
     rows = [("a", 1, 5.0, 1), ("a", 2, 6.0, 1), ("b", 1, 3.0, 0), ("b", 2, 3.0, 0), ("b", 3, 9.0, 1)]
     df = spark.createDataFrame(rows, "task_id string, iter long, y double, state int").withColumn("cfg", F.col("iter"))
