@@ -121,7 +121,7 @@ def op5_mixing(spark, sf_dir):
 @query("op6_suffix_dedup")
 def op6_suffix_dedup(spark, sf_dir):
     out = suffix.repeated_spans(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text")
 
 
 @query("op7_quality_classifier")

@@ -8,7 +8,7 @@ suffix is not needed to find these strings:
   anchor and distance, and strings in a row share one.  A block is a run of up to 128 such
   neighbours, cut at multiples of 128 of the distance.
 * A block stands for two suffixes: the one that all its strings have in common (its
-  core) and the one that they cover together.  Tokens are 64-bit hashes of those bytes.  If the
+  core) and the one that they cover together.  Tokens are hashes of those bytes.  If the
   core occurs nowhere else none of the strings does; if the whole does, all do.
 * Blocks are range-partitioned by their tokens at sampled splitters, each bucket is sorted
   by multikey quicksort, and neighbours are compared, across the bounds of buckets too.  A group of
@@ -16,12 +16,19 @@ suffix is not needed to find these strings:
 * What is still open, the ends of repeated passages, is cut finer, to blocks of 8 and then to
   single strings, and sorted again.
 
-Equality is decided by two 64-bit hashes together.
+Tokens only name candidates.  Before anything is removed, its bytes are compared: what is found in a
+text is cut into segments at places that its content chooses, and segments that occur twice byte for byte are
+settled.  Of the others each block, and of blocks without an equal one each string, is compared
+by its bytes with all that share its tokens.  So a collision never removes a byte.  Core
+and whole are hashed modulo 2^61 - 1 with two bases drawn for each run; that a repeated string is missed needs
+two different blocks to agree in both, at odds of 10^-31 for a pair, whatever the texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +42,7 @@ from kelpgrid.session import materialize
 LENGTH = 400
 GRAM = 32
 COARSE, FINE = 128, 8
+MEAN = 16  # blocks in a compared segment, about
 BASE = 0x9E3779B97F4A7C15 | 1
 BLOCKS = "first int, n int, dist int, core long, whole long"
 FINE_BLOCKS = "array<struct<first:int,n:int,core:long,whole:long,each:array<long>>>"
@@ -46,8 +54,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Hashes:
-    """Hashes of substrings from prefix sums of byte values times powers, modulo 2^64."""
+class Grams:
+    """Where to anchor: hashes of short substrings from prefix sums modulo 2^64, the same for equal bytes."""
 
     values = _mix(np.arange(1, 257, dtype=np.uint64))
     powers = np.ones(1, np.uint64)
@@ -63,16 +71,12 @@ class Hashes:
             base[1:] = np.uint64(pow(BASE, -1, 1 << 64))
             cls.inverse = np.multiply.accumulate(base)
 
-    def __init__(self, body: bytes):
-        a = np.frombuffer(body, np.uint8)
+    def __init__(self, a: np.ndarray):
         self.n = len(a)
         self.prepare(self.n + 1)
         self.sums = np.zeros(self.n + 1, np.uint64)
         np.cumsum(self.values[a] * self.powers[:self.n], out=self.sums[1:])
 
-    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return (self.sums[stop] - self.sums[start]) * self.inverse[start]
-
     def anchors(self, length: int, gram: int) -> np.ndarray:
         """Place of the smallest hash of ``gram`` bytes in each string of ``length`` bytes; the first one of equals."""
         m = self.n - gram + 1
@@ -91,60 +95,131 @@ class Hashes:
         return (np.minimum(behind[:count], ahead[w - 1:w - 1 + count]) & low).astype(np.int64)
 
 
+PRIME = (1 << 61) - 1
+_P = np.uint64(PRIME)
+
+
+def _reduce(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2^61 - 1 of numbers below it, from halves of 30 and 31 bits."""
+    half = np.uint64((1 << 31) - 1)
+    ah, al, bh, bl = a >> np.uint64(31), a & half, b >> np.uint64(31), b & half
+    mid = al * bh + ah * bl
+    return _reduce(ah * bh * np.uint64(2) + (mid >> np.uint64(30)) + ((mid & np.uint64((1 << 30) - 1)) << np.uint64(31)) + al * bl)
+
+
+class Base:
+    """Powers of a base modulo 2^61 - 1 and of its inverse, as many as texts need."""
+
+    kept: dict[int, Base] = {}
+
+    def __init__(self, base: int):
+        self.steps = (base, pow(base, -1, PRIME))
+        self.tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+    @classmethod
+    def of(cls, base: int) -> Base:
+        if base not in cls.kept:
+            if len(cls.kept) > 8:
+                cls.kept.clear()
+            cls.kept[base] = cls(base)
+        return cls.kept[base]
+
+    def up_to(self, n: int) -> list[np.ndarray]:
+        while len(self.tables[0]) <= n:
+            size = len(self.tables[0])
+            self.tables = [np.concatenate([t, _times(t, np.uint64(pow(s, size, PRIME)))]) for t, s in zip(self.tables, self.steps)]
+        return self.tables
+
+
+class Hashes:
+    """Hashes of substrings from prefix sums of byte values times powers of ``base``, modulo 2^61 - 1."""
+
+    values = Grams.values & np.uint64((1 << 60) - 1)
+
+    def __init__(self, a: np.ndarray, base: int):
+        powers, self.inverse = Base.of(base).up_to(len(a) + 1)
+        terms = _times(self.values[a], powers[:len(a)])
+        high, low = np.cumsum(terms >> np.uint64(32)), np.cumsum(terms & np.uint64((1 << 32) - 1))
+        self.sums = np.zeros(len(a) + 1, np.uint64)
+        self.sums[1:] = _reduce((((high << np.uint64(32)) & _P) | (high >> np.uint64(29))) + _reduce(low))
+
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return _times(_reduce(self.sums[stop] + (_P - self.sums[start])), self.inverse[start])
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-def _blocks(h: Hashes, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, size: int):
-    """Tokens of blocks of strings ``first`` to ``last``: of the core, and of all bytes covered."""
-    q = (anchor - first) // size
-    start = anchor - q * size
-    core = _mix(h.of(start, start - size + 1 + LENGTH) + q.astype(np.uint64))
-    span = ((anchor - first).astype(np.uint64) << np.uint64(32)) | (anchor - last).astype(np.uint64)
-    return _signed(core), _signed(_mix(h.of(first, last + LENGTH) ^ _mix(span)))
+class Text:
+    """A text with the sums that name its blocks."""
+
+    def __init__(self, body: bytes, bases: tuple[int, int]):
+        self.bytes = np.frombuffer(body, np.uint8)
+        self.core, self.whole = (Hashes(self.bytes, b) for b in bases)
 
+    def blocks(self, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, size: int):
+        """Tokens of blocks of strings ``first`` to ``last``: of the core, and of all bytes covered."""
+        q = (anchor - first) // size
+        start = anchor - q * size
+        core = _mix(self.core.of(start, start - size + 1 + LENGTH) + q.astype(np.uint64))
+        span = ((anchor - first).astype(np.uint64) << np.uint64(32)) | (anchor - last).astype(np.uint64)
+        return _signed(core), _signed(_mix(self.whole.of(first, last + LENGTH) ^ _mix(span)))
 
-def coarse_blocks(body: bytes):
+
+def coarse_blocks(body: bytes, bases: tuple[int, int]):
     """(first, n, dist, core, whole) of the coarse blocks of a text."""
-    h = Hashes(body)
-    at = h.anchors(LENGTH, GRAM)
+    text = Text(body, bases)
+    at = Grams(text.bytes).anchors(LENGTH, GRAM)
     p = np.arange(len(at))
     cell = (at - p) // COARSE
     cut = np.flatnonzero((at[1:] != at[:-1]) | (cell[1:] != cell[:-1])) + 1
     first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(at)]]) - 1
-    core, both = _blocks(h, first, last, at[first], COARSE)
+    core, both = text.blocks(first, last, at[first], COARSE)
     return first, last - first + 1, at[first] - first, core, both
 
 
-def fine_blocks(h: Hashes, first: int, n: int, dist: int):
+def fine_blocks(text: Text, first: int, n: int, dist: int):
     """Blocks of up to ``FINE`` strings of one coarse block, each with the hashes of its strings."""
     p = np.arange(first, first + n)
     cell = (first + dist - p) // FINE
     cut = np.flatnonzero(cell[1:] != cell[:-1]) + 1
     lo, hi = p[np.concatenate([[0], cut])], p[np.concatenate([cut, [n]]) - 1]
-    core, both = _blocks(h, lo, hi, np.full(len(lo), first + dist), FINE)
-    each = _signed(_mix(h.of(p, p + LENGTH)))
+    core, both = text.blocks(lo, hi, np.full(len(lo), first + dist), FINE)
+    each = _signed(_mix(text.whole.of(p, p + LENGTH)))
     return [(int(a), int(b - a + 1), int(c), int(u), each[a - first:b - first + 1].tolist()) for a, b, c, u in zip(lo, hi, core, both)]
 
 
-def _find(batches):
-    for batch in batches:
-        ids, keys, cols = [], [], [[], [], [], [], []]
-        for i, t in enumerate(batch.column(2)):
-            body = t.as_py().encode("utf-8", "surrogatepass")
-            if len(body) < LENGTH:
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+def _find(bases: tuple[int, int]):
+    def find(batches):
+        for batch in batches:
+            ids, cols = [], [[], [], [], [], []]
+            for i, t in enumerate(batch.column(2)):
+                body = _bytes(t.as_py())
+                if len(body) < LENGTH:
+                    continue
+                found = coarse_blocks(body, bases)
+                ids.append(np.full(len(found[0]), i))
+                for c, v in zip(cols, found):
+                    c.append(v)
+            if not ids:
                 continue
-            found = coarse_blocks(body)
-            ids.append(np.full(len(found[0]), i))
-            for c, v in zip(cols, found):
-                c.append(v)
-        if not ids:
-            continue
-        at = pa.array(np.concatenate(ids))
-        data = [np.concatenate(c) for c in cols]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(at), batch.column(1).take(at), *[pa.array(d.astype(np.int32)) for d in data[:3]], *[pa.array(d) for d in data[3:]]],
-            names=["doc_id", "key", "first", "n", "dist", "core", "whole"])
+            at = pa.array(np.concatenate(ids))
+            data = [np.concatenate(c) for c in cols]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), *[pa.array(d.astype(np.int32)) for d in data[:3]], *[pa.array(d) for d in data[3:]]],
+                names=["doc_id", "key", "first", "n", "dist", "core", "whole"])
+
+    return find
 
 
 def multikey_quicksort(tokens: list[np.ndarray], small: int = 2048) -> np.ndarray:
@@ -219,32 +294,28 @@ def with_need(rows: DataFrame) -> DataFrame:
     return join_null_safe(rows, one, ["doc_id", "key", "first"], "left").withColumn("need", ~F.col("all") | F.coalesce("chosen", F.lit(False))).drop("chosen")
 
 
-def _open_texts(batches):
-    """Texts with a repeated core: keep them, with fine blocks of what is open; finish all others."""
-    kinds = dict(doc_id=pa.int64(), key=pa.int64(), n_bytes=pa.int64(), text=pa.string(), sha=pa.string(),
-                 done=pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())])),
+def _open_texts(bases: tuple[int, int]):
+    """Fine blocks of what is open in texts with a repeated core; the text goes on as it is."""
+    kinds = dict(doc_id=pa.int64(), key=pa.int64(), text=pa.string(), done=pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())])),
                  open=pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32()), ("core", pa.int64()), ("whole", pa.int64()), ("each", pa.list_(pa.int64()))])))
-    for batch in batches:
-        cols = {k: [] for k in kinds}
-        for doc, key, text, found in zip(*(batch.column(i) for i in range(4))):
-            text, found = text.as_py(), found.as_py()
-            body = text.encode("utf-8", "surrogatepass")
-            cols["doc_id"].append(doc.as_py())
-            cols["key"].append(key.as_py())
-            cols["n_bytes"].append(len(body))
-            cols["text"].append(text if found else None)
-            cols["sha"].append(None if found else hashlib.sha256(body).hexdigest())
-            cols["done"].append([{"first": x["first"], "n": x["n"]} for x in found or () if x["all"]])
-            h = Hashes(body) if found and any(x["need"] for x in found) else None
-            cols["open"].append([dict(zip(("first", "n", "core", "whole", "each"), r)) for x in found or () if x["need"]
-                                 for r in fine_blocks(h, x["first"], x["n"], x["dist"])])
-        yield pa.RecordBatch.from_arrays([pa.array(cols[k], t) for k, t in kinds.items()], names=list(kinds))
+
+    def run(batches):
+        for batch in batches:
+            done, opened = [], []
+            for text, found in zip(batch.column(2), batch.column(3)):
+                found = found.as_py() or ()
+                done.append([{"first": x["first"], "n": x["n"]} for x in found if x["all"]] if found else None)
+                t = Text(_bytes(text.as_py()), bases) if any(x["need"] for x in found) else None
+                opened.append([dict(zip(("first", "n", "core", "whole", "each"), r)) for x in found if x["need"] for r in fine_blocks(t, x["first"], x["n"], x["dist"])])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(done, kinds["done"]), pa.array(opened, kinds["open"])], names=list(kinds))
+
+    return run
 
 
 def spans(found, length: int = LENGTH) -> list[tuple[int, int]]:
     """Maximal runs covered by strings ``first .. first + n - 1`` of ``length`` bytes."""
     out: list[list[int]] = []
-    for first, n in sorted((x["first"], x["n"]) for x in found):
+    for first, n in sorted(found):
         stop = first + n - 1 + length
         if out and first <= out[-1][1]:
             out[-1][1] = max(out[-1][1], stop)
@@ -253,48 +324,179 @@ def spans(found, length: int = LENGTH) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-RESULT = "doc_id long, key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>"
+def candidates(done, late) -> list[tuple[int, int]]:
+    """(first, n) of the blocks that were found, without those inside others, in order."""
+    out, end = [], -1
+    for first, n in sorted(((x["first"], x["n"]) for x in [*(done or ()), *(late or ())]), key=lambda x: (x[0], -x[1])):
+        if first + n > end:
+            out.append((first, n))
+            end = first + n
+    return out
+
+
+def segments(body: bytes, found: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """``found`` in runs of adjoining blocks, cut where the bytes at a block's start say so, the same way in every text."""
+    out: list[list[tuple[int, int]]] = []
+    for first, n in found:
+        if out and out[-1][-1][0] + out[-1][-1][1] == first and zlib.crc32(body[first:first + GRAM]) % MEAN:
+            out[-1].append((first, n))
+        else:
+            out.append([(first, n)])
+    return out
+
+
+def _cut(batches):
+    """Segments of each text: their place and bytes."""
+    for batch in batches:
+        at, firsts, counts, parts = [], [], [], []
+        for i, (text, done, late) in enumerate(zip(*(batch.column(c) for c in (2, 3, 4)))):
+            body = _bytes(text.as_py())
+            for seg in segments(body, candidates(done.as_py(), late.as_py())):
+                first, stop = seg[0][0], seg[-1][0] + seg[-1][1]
+                at.append(i)
+                firsts.append(first)
+                counts.append(stop - first)
+                parts.append(body[first:stop - 1 + LENGTH])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), batch.column(1).take(pa.array(at, pa.int64())), pa.array(firsts, pa.int32()),
+                                          pa.array(counts, pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "key", "first", "n", "part"])
+
+
+def _blocks_of(batches):
+    """The blocks of each text, with the place of their segment and a hash of their bytes."""
+    for batch in batches:
+        at, cols = [], [[], [], [], []]
+        for i, (text, done, late) in enumerate(zip(*(batch.column(c) for c in (2, 3, 4)))):
+            body = _bytes(text.as_py())
+            for seg in segments(body, candidates(done.as_py(), late.as_py())):
+                for first, n in seg:
+                    at.append(i)
+                    for c, v in zip(cols, (seg[0][0], first, n, int.from_bytes(hashlib.blake2b(body[first:first + n - 1 + LENGTH], digest_size=8).digest(), "little", signed=True))):
+                        c.append(v)
+        at = pa.array(at, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *[pa.array(c, pa.int32()) for c in cols[:3]], pa.array(cols[3], pa.int64())],
+                                         names=["doc_id", "key", "seg", "first", "n", "x"])
+
+
+def _strings(single: bool):
+    """Bytes of the listed blocks of each text, or of each of their strings."""
+    def run(batches):
+        for batch in batches:
+            for doc, key, text, listed in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                body = _bytes(text)
+                places = sorted({(x["first"], x["n"]) for x in listed})
+                if single:
+                    places = sorted({(p, 1) for first, n in places for p in range(first, first + n)})
+                for i in range(0, len(places), 1000):
+                    some = places[i:i + 1000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([doc] * len(some), pa.int64()), pa.array([key] * len(some), pa.int64()), pa.array([p for p, _ in some], pa.int32()),
+                         pa.array([n for _, n in some], pa.int32()), pa.array([body[p:p + n - 1 + LENGTH] for p, n in some], pa.binary())],
+                        names=["doc_id", "key", "first", "n", "part"])
+
+    return run
+
+
+PLACE = ["doc_id", "key", "first", "n"]
+
+
+def _read(touched: DataFrame, places: DataFrame, single: bool = False) -> DataFrame:
+    """(doc_id, key, first, n, part): bytes of ``places(doc_id, key, first, n)``, once for each row of ``touched`` with the text."""
+    listed = places.groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "n")).alias("listed"))
+    rows = join_null_safe(touched.select("doc_id", "key", "text"), listed, ["doc_id", "key"])
+    return rows.select("doc_id", "key", "text", "listed").mapInArrow(_strings(single), "doc_id long, key long, first int, n int, part binary")
+
+
+def _twice(rows: DataFrame) -> DataFrame:
+    """Places of ``rows(.., part)`` whose bytes occur in another row."""
+    again = rows.groupBy("part").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("part")
+    return rows.join(again, "part", "left_semi").select(*PLACE).distinct()
+
+
+def compared(touched: DataFrame, coarse: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """What the bytes say about the candidates of ``touched``: (blocks to leave out, strings to add); None if all are settled.
+
+    ``coarse(doc_id, key, first, n, core)``: the coarse blocks whose core occurs again.
+    """
+    cut = touched.mapInArrow(_cut, "doc_id long, key long, first int, n int, part binary").withColumn("h", F.xxhash64("part"))
+    # Grouped before the shuffle, so a hot passage leaves each task once.
+    texts = cut.groupBy("h", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"))
+    unsure = materialize(texts.filter("texts > 1 or n = 1").select("h"))
+    if unsure.isEmpty():
+        return None
+    unsure = materialize(cut.drop("part").join(unsure, "h", "left_semi").select("doc_id", "key", F.col("first").alias("seg")).distinct())
+    blocks = materialize(touched.mapInArrow(_blocks_of, "doc_id long, key long, seg int, first int, n int, x long"))
+    open_ = materialize(join_null_safe(blocks, unsure, ["doc_id", "key", "seg"]).distinct())
+    # Settled blocks may be the equals of unsettled ones; one of each hash is enough.
+    settled = join_null_safe(blocks.join(open_.select("x").distinct(), "x", "left_semi"), unsure, ["doc_id", "key", "seg"], "left_anti")
+    settled = settled.groupBy("x").agg(F.min(F.struct(*PLACE)).alias("one")).select("one.*")
+    equal = materialize(_twice(_read(touched, open_.select(*PLACE).union(settled))))
+    out = materialize(join_null_safe(open_.select(*PLACE), equal, PLACE, "left_anti"))
+    if out.isEmpty():
+        return None
+    # Blocks that agree in tokens but not in bytes: all strings that could equal theirs are compared.
+    hit = join_null_safe(coarse.withColumnsRenamed({"first": "from", "n": "many"}), out, ["doc_id", "key"]).filter("first >= `from` and first < `from` + many").select("core").distinct()
+    strings = materialize(_read(touched, coarse.join(hit, "core", "left_semi").select(*PLACE).distinct(), single=True))
+    return out, materialize(_twice(strings))
+
+
+RESULT = "doc_id long, key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>, kept_text string"
 
 
 def _finish(batches):
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     for batch in batches:
         out = [[] for _ in range(7)]
-        for doc, key, n, text, done, late in zip(*(batch.column(i).to_pylist() for i in range(6))):
-            body, runs, at, kept = text.encode("utf-8", "surrogatepass"), spans([*(done or ()), *(late or ())]), 0, hashlib.sha256()
+        for i in range(batch.num_rows):
+            text, done, late, wrong, more = (batch.column(c)[i].as_py() for c in range(2, 7))
+            body, wrong = _bytes(text), {(x["first"], x["n"]) for x in wrong or ()}
+            found = [x for x in candidates(done, late) if x not in wrong] + [(x["first"], x["n"]) for x in more or ()]
+            runs, at, kept = spans(found), 0, []
             for a, b in runs:
-                kept.update(body[at:a])
+                kept.append(body[at:a])
                 at = b
-            kept.update(body[at:])
-            row = (doc, key, n, sum(b - a for a, b in runs), len(runs), kept.hexdigest(), [{"start": a, "stop": b} for a, b in runs])
+            kept = b"".join([*kept, body[at:]])
+            row = (len(body), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest(), [{"start": a, "stop": b} for a, b in runs],
+                   text if not runs else kept.decode("utf-8", "replace"))
             for c, v in zip(out, row):
                 c.append(v)
-        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out[:5]], pa.array(out[5], pa.string()), pa.array(out[6], kind)],
-                                         names=["doc_id", "key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.string()), pa.array(out[4], kind), pa.array(out[5], pa.string())],
+                                         names=["doc_id", "key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"])
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, key, n_bytes, n_removed, n_spans, kept_sha256, spans), one row for each row of ``docs``.
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bases: tuple[int, int] | None = None) -> DataFrame:
+    """(doc_id, key, n_bytes, n_removed, n_spans, kept_sha256, spans, kept_text), one row for each row of ``docs``.
 
-    ``spans``: the maximal removed runs, as byte offsets.  Null text counts as empty; texts under 400
+    ``spans``: the maximal removed runs, as byte offsets; ``kept_text``: the other bytes, with U+FFFD where a
+    cut falls inside a character.  Null text counts as empty; texts under 400
     bytes keep everything.  Repeated rows are separate documents, so long ones remove each
     other.  Null ids are allowed.  An empty table gives no rows; other columns are ignored.
+    ``bases`` of the hashes are drawn anew for each run if not given.
     """
+    bases = bases or (secrets.randbelow(PRIME - 3) + 2, secrets.randbelow(PRIME - 3) + 2)
     body = whole(F.col(text))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("key"), body.alias("text"))
-    found = repeats(rows.mapInArrow(_find, "doc_id long, key long, " + BLOCKS))
-    found = with_need(found).groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "n", "dist", "all", "need")).alias("found"))
+    coarse = materialize(with_need(repeats(rows.mapInArrow(_find(bases), "doc_id long, key long, " + BLOCKS))))
+    found = coarse.groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "n", "dist", "all", "need")).alias("found"))
     opened = join_null_safe(rows, found, ["doc_id", "key"], "left").select("doc_id", "key", "text", "found")
-    opened = materialize(opened.mapInArrow(_open_texts, "doc_id long, key long, n_bytes long, text string, sha string, "
-                                           f"done array<struct<first:int,n:int>>, open {FINE_BLOCKS}"))
+    opened = materialize(opened.mapInArrow(_open_texts(bases), f"doc_id long, key long, text string, done array<struct<first:int,n:int>>, open {FINE_BLOCKS}"))
     fine = repeats(opened.select("doc_id", "key", F.explode("open").alias("b")).select("doc_id", "key", "b.*"))
     fine = materialize(with_need(fine))
     single = fine.filter("need").select("doc_id", "key", "core", "first", F.posexplode("each").alias("i", "whole"))
     single = repeats(single.select("doc_id", "key", (F.col("first") + F.col("i")).alias("first"), F.lit(1).alias("n"), "core", "whole")).filter("all")
     late = fine.filter("all").select("doc_id", "key", "first", "n").union(single.select("doc_id", "key", "first", "n"))
-    late = late.groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "n")).alias("late"))
-    touched = join_null_safe(opened.filter("text is not null").select("doc_id", "key", "n_bytes", "text", "done"), late, ["doc_id", "key"], "left")
-    touched = touched.select("doc_id", "key", "n_bytes", "text", "done", "late").mapInArrow(_finish, RESULT)
-    none = opened.filter("text is null").select("doc_id", "key", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
-                                                F.col("sha").alias("kept_sha256"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"))
-    return touched.union(none)
+    late = materialize(late.groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "n")).alias("late")))
+    touched = join_null_safe(opened.filter("done is not null").select("doc_id", "key", "text", "done"), late, ["doc_id", "key"], "left")
+    touched = touched.select("doc_id", "key", "text", "done", "late")
+    change = compared(touched, coarse.select(*PLACE, "core"))
+    listed = "array<struct<first:int,n:int>>"
+    if change is None:
+        touched = touched.withColumns({c: F.lit(None).cast(listed) for c in ("wrong", "more")})
+    else:
+        for name, places in zip(("wrong", "more"), change):
+            places = places.groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "n")).alias(name))
+            touched = join_null_safe(touched, places, ["doc_id", "key"], "left")
+    touched = touched.select("doc_id", "key", "text", "done", "late", "wrong", "more")
+    none = opened.filter("done is null").select("doc_id", "key", "text", *[F.lit(None).cast(listed).alias(c) for c in ("done", "late", "wrong", "more")])
+    return touched.mapInArrow(_finish, RESULT).union(none.select(
+        "doc_id", "key", F.octet_length("text").cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.sha2("text", 256),
+        F.array().cast("array<struct<start:bigint,stop:bigint>>"), "text"))
