@@ -16,10 +16,9 @@ suffix is not needed to find these strings:
 * What is still open, the ends of repeated passages, is cut finer, to blocks of 8 and then to
   single strings, and sorted again.
 
-Tokens only name candidates.  Before anything is removed, its bytes are compared: what is found in a
-text is cut into segments at places that its content chooses, and segments that occur twice byte for byte are
-settled.  Of the others each block, and of blocks without an equal one each string, is compared
-by its bytes with all that share its tokens.  So a collision never removes a byte.  Core
+Tokens only name candidates.  Before anything is removed, blocks of equal tokens are told apart
+by SHA-256 of their bytes; where a block turns out to be alone, each string that
+could equal one of its own is compared in the same way.  So a collision of tokens removes no byte.  Core
 and whole are hashed modulo 2^61 - 1 with two bases drawn for each run; that a repeated string is missed needs
 two different blocks to agree in both, at odds of 10^-31 for a pair, whatever the texts.
 """
@@ -28,7 +27,6 @@ from __future__ import annotations
 
 import hashlib
 import secrets
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +40,6 @@ from kelpgrid.session import materialize
 LENGTH = 400
 GRAM = 32
 COARSE, FINE = 128, 8
-MEAN = 16  # blocks in a compared segment, about
 BASE = 0x9E3779B97F4A7C15 | 1
 BLOCKS = "first int, n int, dist int, core long, whole long"
 FINE_BLOCKS = "array<struct<first:int,n:int,core:long,whole:long,each:array<long>>>"
@@ -324,119 +321,65 @@ def spans(found, length: int = LENGTH) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def candidates(done, late) -> list[tuple[int, int]]:
-    """(first, n) of the blocks that were found, without those inside others, in order."""
+def candidates(done, late, inner: list | None = None) -> list[tuple[int, int]]:
+    """(first, n) of the blocks that were found, in order; those inside others go to ``inner``."""
     out, end = [], -1
     for first, n in sorted(((x["first"], x["n"]) for x in [*(done or ()), *(late or ())]), key=lambda x: (x[0], -x[1])):
         if first + n > end:
             out.append((first, n))
             end = first + n
+        elif inner is not None:
+            inner.append((first, n))
     return out
 
 
-def segments(body: bytes, found: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """``found`` in runs of adjoining blocks, cut where the bytes at a block's start say so, the same way in every text."""
-    out: list[list[tuple[int, int]]] = []
-    for first, n in found:
-        if out and out[-1][-1][0] + out[-1][-1][1] == first and zlib.crc32(body[first:first + GRAM]) % MEAN:
-            out[-1].append((first, n))
-        else:
-            out.append([(first, n)])
-    return out
-
-
-def _cut(batches):
-    """Segments of each text: their place and bytes."""
-    for batch in batches:
-        at, firsts, counts, parts = [], [], [], []
-        for i, (text, done, late) in enumerate(zip(*(batch.column(c) for c in (2, 3, 4)))):
-            body = _bytes(text.as_py())
-            for seg in segments(body, candidates(done.as_py(), late.as_py())):
-                first, stop = seg[0][0], seg[-1][0] + seg[-1][1]
-                at.append(i)
-                firsts.append(first)
-                counts.append(stop - first)
-                parts.append(body[first:stop - 1 + LENGTH])
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), batch.column(1).take(pa.array(at, pa.int64())), pa.array(firsts, pa.int32()),
-                                          pa.array(counts, pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "key", "first", "n", "part"])
-
-
-def _blocks_of(batches):
-    """The blocks of each text, with the place of their segment and a hash of their bytes."""
+def _digests(batches):
+    """Place and SHA-256 of the bytes of each block that was found; ``inner``: inside another one."""
     for batch in batches:
         at, cols = [], [[], [], [], []]
         for i, (text, done, late) in enumerate(zip(*(batch.column(c) for c in (2, 3, 4)))):
-            body = _bytes(text.as_py())
-            for seg in segments(body, candidates(done.as_py(), late.as_py())):
-                for first, n in seg:
+            body, inner = _bytes(text.as_py()), []
+            outer = candidates(done.as_py(), late.as_py(), inner)
+            for places, inside in ((outer, False), (inner, True)):
+                for first, n in places:
                     at.append(i)
-                    for c, v in zip(cols, (seg[0][0], first, n, int.from_bytes(hashlib.blake2b(body[first:first + n - 1 + LENGTH], digest_size=8).digest(), "little", signed=True))):
+                    for c, v in zip(cols, (first, n, inside, hashlib.sha256(body[first:first + n - 1 + LENGTH]).digest())):
                         c.append(v)
         at = pa.array(at, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *[pa.array(c, pa.int32()) for c in cols[:3]], pa.array(cols[3], pa.int64())],
-                                         names=["doc_id", "key", "seg", "first", "n", "x"])
-
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *[pa.array(c, pa.int32()) for c in cols[:2]], pa.array(cols[2], pa.bool_()),
+                                          pa.array(cols[3], pa.binary())], names=["doc_id", "key", "first", "n", "inner", "sha"])
 
-def _strings(single: bool):
-    """Bytes of the listed blocks of each text, or of each of their strings."""
-    def run(batches):
-        for batch in batches:
-            for doc, key, text, listed in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                body = _bytes(text)
-                places = sorted({(x["first"], x["n"]) for x in listed})
-                if single:
-                    places = sorted({(p, 1) for first, n in places for p in range(first, first + n)})
-                for i in range(0, len(places), 1000):
-                    some = places[i:i + 1000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([doc] * len(some), pa.int64()), pa.array([key] * len(some), pa.int64()), pa.array([p for p, _ in some], pa.int32()),
-                         pa.array([n for _, n in some], pa.int32()), pa.array([body[p:p + n - 1 + LENGTH] for p, n in some], pa.binary())],
-                        names=["doc_id", "key", "first", "n", "part"])
 
-    return run
+def _strings(batches):
+    """SHA-256 of every string of the listed blocks of each text."""
+    for batch in batches:
+        for doc, key, text, listed in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            body = _bytes(text)
+            places = sorted({p for x in listed for p in range(x["first"], x["first"] + x["n"])})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([doc] * len(places), pa.int64()), pa.array([key] * len(places), pa.int64()), pa.array(places, pa.int32()), pa.array([1] * len(places), pa.int32()),
+                 pa.array([hashlib.sha256(body[p:p + LENGTH]).digest() for p in places], pa.binary())], names=["doc_id", "key", "first", "n", "sha"])
 
 
 PLACE = ["doc_id", "key", "first", "n"]
 
 
-def _read(touched: DataFrame, places: DataFrame, single: bool = False) -> DataFrame:
-    """(doc_id, key, first, n, part): bytes of ``places(doc_id, key, first, n)``, once for each row of ``touched`` with the text."""
-    listed = places.groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "n")).alias("listed"))
-    rows = join_null_safe(touched.select("doc_id", "key", "text"), listed, ["doc_id", "key"])
-    return rows.select("doc_id", "key", "text", "listed").mapInArrow(_strings(single), "doc_id long, key long, first int, n int, part binary")
-
-
-def _twice(rows: DataFrame) -> DataFrame:
-    """Places of ``rows(.., part)`` whose bytes occur in another row."""
-    again = rows.groupBy("part").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("part")
-    return rows.join(again, "part", "left_semi").select(*PLACE).distinct()
-
-
 def compared(touched: DataFrame, coarse: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """What the bytes say about the candidates of ``touched``: (blocks to leave out, strings to add); None if all are settled.
+    """What the bytes say about the candidates of ``touched``: (blocks to leave out, strings to add); None if each has an equal.
 
     ``coarse(doc_id, key, first, n, core)``: the coarse blocks whose core occurs again.
     """
-    cut = touched.mapInArrow(_cut, "doc_id long, key long, first int, n int, part binary").withColumn("h", F.xxhash64("part"))
-    # Grouped before the shuffle, so a hot passage leaves each task once.
-    texts = cut.groupBy("h", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"))
-    unsure = materialize(texts.filter("texts > 1 or n = 1").select("h"))
-    if unsure.isEmpty():
-        return None
-    unsure = materialize(cut.drop("part").join(unsure, "h", "left_semi").select("doc_id", "key", F.col("first").alias("seg")).distinct())
-    blocks = materialize(touched.mapInArrow(_blocks_of, "doc_id long, key long, seg int, first int, n int, x long"))
-    open_ = materialize(join_null_safe(blocks, unsure, ["doc_id", "key", "seg"]).distinct())
-    # Settled blocks may be the equals of unsettled ones; one of each hash is enough.
-    settled = join_null_safe(blocks.join(open_.select("x").distinct(), "x", "left_semi"), unsure, ["doc_id", "key", "seg"], "left_anti")
-    settled = settled.groupBy("x").agg(F.min(F.struct(*PLACE)).alias("one")).select("one.*")
-    equal = materialize(_twice(_read(touched, open_.select(*PLACE).union(settled))))
-    out = materialize(join_null_safe(open_.select(*PLACE), equal, PLACE, "left_anti"))
-    if out.isEmpty():
+    blocks = touched.mapInArrow(_digests, "doc_id long, key long, first int, n int, inner boolean, sha binary")
+    alone = blocks.groupBy("sha").agg(F.count(F.lit(1)).alias("again"), F.min(F.struct(*PLACE, "inner")).alias("b"))
+    alone = materialize(alone.filter("again = 1 and not b.inner").select("b.*").drop("inner"))
+    if alone.isEmpty():
         return None
-    # Blocks that agree in tokens but not in bytes: all strings that could equal theirs are compared.
-    hit = join_null_safe(coarse.withColumnsRenamed({"first": "from", "n": "many"}), out, ["doc_id", "key"]).filter("first >= `from` and first < `from` + many").select("core").distinct()
-    strings = materialize(_read(touched, coarse.join(hit, "core", "left_semi").select(*PLACE).distinct(), single=True))
-    return out, materialize(_twice(strings))
+    hit = join_null_safe(coarse.withColumnsRenamed({"first": "from", "n": "many"}), alone, ["doc_id", "key"]).filter("first >= `from` and first < `from` + many").select("core").distinct()
+    listed = coarse.join(hit, "core", "left_semi").groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "n")).alias("listed"))
+    rows = join_null_safe(touched.select("doc_id", "key", "text"), listed, ["doc_id", "key"]).select("doc_id", "key", "text", "listed")
+    strings = materialize(rows.mapInArrow(_strings, "doc_id long, key long, first int, n int, sha binary"))
+    again = strings.groupBy("sha").agg(F.count(F.lit(1)).alias("again")).filter("again > 1")
+    return alone, materialize(strings.join(again, "sha", "left_semi").select(*PLACE).distinct())
 
 
 RESULT = "doc_id long, key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>, kept_text string"
