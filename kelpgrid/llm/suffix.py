@@ -18,9 +18,9 @@ suffix is not needed to find these strings:
 
 Tokens only name candidates.  Before anything is removed, blocks of equal tokens are told apart
 by SHA-256 of their bytes; where a block turns out to be alone, each string that
-could equal one of its own is compared in the same way.  So a collision of tokens removes no byte.  Core
-and whole are hashed modulo 2^61 - 1 with two bases drawn for each run; that a repeated string is missed needs
-two different blocks to agree in both, at odds of 10^-31 for a pair, whatever the texts.
+could equal one of its own is compared in the same way.  So a collision of tokens removes no byte.  It can
+hide a repeat if two blocks of one core differ but share the token of the whole, which joins a sum modulo 2^64 with
+one modulo 2^31 - 1 whose base is drawn for each run, so that no text can be made to collide beforehand.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpgrid.llm.common import join_null_safe, whole
-from kelpgrid.session import materialize
+from kelpgrid.session import discard, materialize
 
 LENGTH = 400
 GRAM = 32
@@ -74,6 +74,9 @@ class Grams:
         self.sums = np.zeros(self.n + 1, np.uint64)
         np.cumsum(self.values[a] * self.powers[:self.n], out=self.sums[1:])
 
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return (self.sums[stop] - self.sums[start]) * self.inverse[start]
+
     def anchors(self, length: int, gram: int) -> np.ndarray:
         """Place of the smallest hash of ``gram`` bytes in each string of ``length`` bytes; the first one of equals."""
         m = self.n - gram + 1
@@ -92,25 +95,18 @@ class Grams:
         return (np.minimum(behind[:count], ahead[w - 1:w - 1 + count]) & low).astype(np.int64)
 
 
-PRIME = (1 << 61) - 1
+PRIME = (1 << 31) - 1
 _P = np.uint64(PRIME)
 
 
 def _reduce(x: np.ndarray) -> np.ndarray:
-    x = (x & _P) + (x >> np.uint64(61))
-    return np.where(x >= _P, x - _P, x)
-
-
-def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Products modulo 2^61 - 1 of numbers below it, from halves of 30 and 31 bits."""
-    half = np.uint64((1 << 31) - 1)
-    ah, al, bh, bl = a >> np.uint64(31), a & half, b >> np.uint64(31), b & half
-    mid = al * bh + ah * bl
-    return _reduce(ah * bh * np.uint64(2) + (mid >> np.uint64(30)) + ((mid & np.uint64((1 << 30) - 1)) << np.uint64(31)) + al * bl)
+    """Modulo 2^31 - 1, of numbers below 2^62; the prime itself may stand for 0."""
+    x = (x & _P) + (x >> np.uint64(31))
+    return (x & _P) + (x >> np.uint64(31))
 
 
 class Base:
-    """Powers of a base modulo 2^61 - 1 and of its inverse, as many as texts need."""
+    """Powers of a base modulo 2^31 - 1 and of its inverse, as many as texts need."""
 
     kept: dict[int, Base] = {}
 
@@ -129,24 +125,25 @@ class Base:
     def up_to(self, n: int) -> list[np.ndarray]:
         while len(self.tables[0]) <= n:
             size = len(self.tables[0])
-            self.tables = [np.concatenate([t, _times(t, np.uint64(pow(s, size, PRIME)))]) for t, s in zip(self.tables, self.steps)]
+            self.tables = [np.concatenate([t, _reduce(t * np.uint64(pow(s, size, PRIME)))]) for t, s in zip(self.tables, self.steps)]
         return self.tables
 
 
-class Hashes:
-    """Hashes of substrings from prefix sums of byte values times powers of ``base``, modulo 2^61 - 1."""
+class Check:
+    """Hashes of substrings from prefix sums of byte values times powers of ``base``, modulo 2^31 - 1."""
 
-    values = Grams.values & np.uint64((1 << 60) - 1)
+    values = Grams.values >> np.uint64(34)
 
     def __init__(self, a: np.ndarray, base: int):
         powers, self.inverse = Base.of(base).up_to(len(a) + 1)
-        terms = _times(self.values[a], powers[:len(a)])
-        high, low = np.cumsum(terms >> np.uint64(32)), np.cumsum(terms & np.uint64((1 << 32) - 1))
+        terms = self.values[a]
+        terms *= powers[:len(a)]
         self.sums = np.zeros(len(a) + 1, np.uint64)
-        self.sums[1:] = _reduce((((high << np.uint64(32)) & _P) | (high >> np.uint64(29))) + _reduce(low))
+        np.cumsum((terms & _P) + (terms >> np.uint64(31)), out=self.sums[1:])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return _times(_reduce(self.sums[stop] + (_P - self.sums[start])), self.inverse[start])
+        h = _reduce(_reduce(self.sums[stop] - self.sums[start]) * self.inverse[start])
+        return np.where(h == _P, np.uint64(0), h)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -156,23 +153,26 @@ def _signed(x: np.ndarray) -> np.ndarray:
 class Text:
     """A text with the sums that name its blocks."""
 
-    def __init__(self, body: bytes, bases: tuple[int, int]):
+    def __init__(self, body: bytes, base: int):
         self.bytes = np.frombuffer(body, np.uint8)
-        self.core, self.whole = (Hashes(self.bytes, b) for b in bases)
+        self.grams, self.check = Grams(self.bytes), Check(self.bytes, base)
+
+    def whole(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return _mix(self.grams.of(start, stop) + _mix(self.check.of(start, stop)))
 
     def blocks(self, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, size: int):
         """Tokens of blocks of strings ``first`` to ``last``: of the core, and of all bytes covered."""
         q = (anchor - first) // size
         start = anchor - q * size
-        core = _mix(self.core.of(start, start - size + 1 + LENGTH) + q.astype(np.uint64))
+        core = _mix(self.grams.of(start, start - size + 1 + LENGTH) + q.astype(np.uint64))
         span = ((anchor - first).astype(np.uint64) << np.uint64(32)) | (anchor - last).astype(np.uint64)
-        return _signed(core), _signed(_mix(self.whole.of(first, last + LENGTH) ^ _mix(span)))
+        return _signed(core), _signed(_mix(self.whole(first, last + LENGTH) ^ _mix(span)))
 
 
-def coarse_blocks(body: bytes, bases: tuple[int, int]):
+def coarse_blocks(body: bytes, base: int):
     """(first, n, dist, core, whole) of the coarse blocks of a text."""
-    text = Text(body, bases)
-    at = Grams(text.bytes).anchors(LENGTH, GRAM)
+    text = Text(body, base)
+    at = text.grams.anchors(LENGTH, GRAM)
     p = np.arange(len(at))
     cell = (at - p) // COARSE
     cut = np.flatnonzero((at[1:] != at[:-1]) | (cell[1:] != cell[:-1])) + 1
@@ -188,7 +188,7 @@ def fine_blocks(text: Text, first: int, n: int, dist: int):
     cut = np.flatnonzero(cell[1:] != cell[:-1]) + 1
     lo, hi = p[np.concatenate([[0], cut])], p[np.concatenate([cut, [n]]) - 1]
     core, both = text.blocks(lo, hi, np.full(len(lo), first + dist), FINE)
-    each = _signed(_mix(text.whole.of(p, p + LENGTH)))
+    each = _signed(text.whole(p, p + LENGTH))
     return [(int(a), int(b - a + 1), int(c), int(u), each[a - first:b - first + 1].tolist()) for a, b, c, u in zip(lo, hi, core, both)]
 
 
@@ -196,7 +196,7 @@ def _bytes(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
-def _find(bases: tuple[int, int]):
+def _find(base: int):
     def find(batches):
         for batch in batches:
             ids, cols = [], [[], [], [], [], []]
@@ -204,7 +204,7 @@ def _find(bases: tuple[int, int]):
                 body = _bytes(t.as_py())
                 if len(body) < LENGTH:
                     continue
-                found = coarse_blocks(body, bases)
+                found = coarse_blocks(body, base)
                 ids.append(np.full(len(found[0]), i))
                 for c, v in zip(cols, found):
                     c.append(v)
@@ -291,7 +291,7 @@ def with_need(rows: DataFrame) -> DataFrame:
     return join_null_safe(rows, one, ["doc_id", "key", "first"], "left").withColumn("need", ~F.col("all") | F.coalesce("chosen", F.lit(False))).drop("chosen")
 
 
-def _open_texts(bases: tuple[int, int]):
+def _open_texts(base: int):
     """Fine blocks of what is open in texts with a repeated core; the text goes on as it is."""
     kinds = dict(doc_id=pa.int64(), key=pa.int64(), text=pa.string(), done=pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())])),
                  open=pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32()), ("core", pa.int64()), ("whole", pa.int64()), ("each", pa.list_(pa.int64()))])))
@@ -302,7 +302,7 @@ def _open_texts(bases: tuple[int, int]):
             for text, found in zip(batch.column(2), batch.column(3)):
                 found = found.as_py() or ()
                 done.append([{"first": x["first"], "n": x["n"]} for x in found if x["all"]] if found else None)
-                t = Text(_bytes(text.as_py()), bases) if any(x["need"] for x in found) else None
+                t = Text(_bytes(text.as_py()), base) if any(x["need"] for x in found) else None
                 opened.append([dict(zip(("first", "n", "core", "whole", "each"), r)) for x in found if x["need"] for r in fine_blocks(t, x["first"], x["n"], x["dist"])])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(done, kinds["done"]), pa.array(opened, kinds["open"])], names=list(kinds))
 
@@ -324,7 +324,7 @@ def spans(found, length: int = LENGTH) -> list[tuple[int, int]]:
 def candidates(done, late, inner: list | None = None) -> list[tuple[int, int]]:
     """(first, n) of the blocks that were found, in order; those inside others go to ``inner``."""
     out, end = [], -1
-    for first, n in sorted(((x["first"], x["n"]) for x in [*(done or ()), *(late or ())]), key=lambda x: (x[0], -x[1])):
+    for first, n in sorted({(x["first"], x["n"]) for x in [*(done or ()), *(late or ())]}, key=lambda x: (x[0], -x[1])):
         if first + n > end:
             out.append((first, n))
             end = first + n
@@ -406,22 +406,25 @@ def _finish(batches):
                                          names=["doc_id", "key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"])
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bases: tuple[int, int] | None = None) -> DataFrame:
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", base: int | None = None) -> DataFrame:
     """(doc_id, key, n_bytes, n_removed, n_spans, kept_sha256, spans, kept_text), one row for each row of ``docs``.
 
     ``spans``: the maximal removed runs, as byte offsets; ``kept_text``: the other bytes, with U+FFFD where a
     cut falls inside a character.  Null text counts as empty; texts under 400
     bytes keep everything.  Repeated rows are separate documents, so long ones remove each
     other.  Null ids are allowed.  An empty table gives no rows; other columns are ignored.
-    ``bases`` of the hashes are drawn anew for each run if not given.
+    The ``base`` of the second sum is drawn anew for each run if not given.
     """
-    bases = bases or (secrets.randbelow(PRIME - 3) + 2, secrets.randbelow(PRIME - 3) + 2)
+    base = base or secrets.randbelow(PRIME - 3) + 2
     body = whole(F.col(text))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("key"), body.alias("text"))
-    coarse = materialize(with_need(repeats(rows.mapInArrow(_find(bases), "doc_id long, key long, " + BLOCKS))))
+    # Written before they are dealt out by ranges, whose sampling would name them twice.
+    named = materialize(rows.mapInArrow(_find(base), "doc_id long, key long, " + BLOCKS))
+    coarse = materialize(with_need(repeats(named)))
+    discard(named)
     found = coarse.groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "n", "dist", "all", "need")).alias("found"))
     opened = join_null_safe(rows, found, ["doc_id", "key"], "left").select("doc_id", "key", "text", "found")
-    opened = materialize(opened.mapInArrow(_open_texts(bases), f"doc_id long, key long, text string, done array<struct<first:int,n:int>>, open {FINE_BLOCKS}"))
+    opened = materialize(opened.mapInArrow(_open_texts(base), f"doc_id long, key long, text string, done array<struct<first:int,n:int>>, open {FINE_BLOCKS}"))
     fine = repeats(opened.select("doc_id", "key", F.explode("open").alias("b")).select("doc_id", "key", "b.*"))
     fine = materialize(with_need(fine))
     single = fine.filter("need").select("doc_id", "key", "core", "first", F.posexplode("each").alias("i", "whole"))
