@@ -79,3 +79,10 @@ def ranked(df: DataFrame, groups: list[str], order: list[str | Column], name: st
     rows = with_bases(running_index(df, [*groups, *order]), F.count(F.lit(1)), tuple(groups))
     inside = F.row_number().over(Window.partitionBy(*groups, PART).orderBy(ROW)) - 1
     return rows.withColumn(name, (inside + F.col(BASE)).cast("long")).drop(PART, ROW, BASE)
+
+
+def running_total(df: DataFrame, groups: list[str], order: list[str | Column], value: str, name: str) -> DataFrame:
+    """Sum of ``value`` up to and with a row inside each group along ``order``, a total order, over range partitions."""
+    rows = with_bases(running_index(df, [*groups, *order]), F.sum(value), tuple(groups))
+    inside = F.sum(value).over(Window.partitionBy(*groups, PART).orderBy(ROW))
+    return rows.withColumn(name, (inside + F.col(BASE)).cast("long")).drop(PART, ROW, BASE)

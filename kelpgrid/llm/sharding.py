@@ -1,27 +1,28 @@
 """Sharding linked documents by balanced label propagation.
 
-Documents start evenly spread.  In each round every linked document counts, over a join
-of links and places, in which shard most of its neighbours are, and asks to go there if
-that cuts fewer links.  Of two neighbours only one asks, so they never swap.  For each
-document that moves one goes the other way: first one that asks for just that, else the one
-that loses least, an unlinked document or one without a neighbour in its shard at best, if
-less is lost than gained, and none that a document on its way has as its neighbour.  So each
-round with a move cuts fewer links.  In odd rounds half of the shards, by lot, only give, so that those
-who would ask there can make room instead.  Every shard keeps its number of rows, and the
-law of sizes is ``rows``: counts at most one apart.
+Documents start evenly spread.  In each round the linked documents of a group are counted, over a
+join of groups and places, by the shard they are in, and the group asks to move to the shard
+that most of them are in.  Shards admit as many documents as their quota has room for, the groups with the
+most votes first, and an admitted group moves there whole.  Groups that found no room give up the places that
+others now hold: they are dealt anew over the room that is left, side by side, and ask again.  Each
+round with an admission joins a group for good, and rounds end when none is admitted.  What is left,
+and documents without links, fill the rooms.
+
+Every shard keeps its number of rows, and the law of sizes is ``rows``: counts at most one
+apart.  A group larger than a shard moves in parts of a shard's size, so no group is ever too large to move.
+Groups are counted before they are shuffled; a round moves one row for each group and shard.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpgrid.llm.common import BASE, PART, ROW, ranked, running_index, whole, with_bases
-from kelpgrid.session import materialize
+from kelpgrid.llm.common import BASE, PART, ROW, ranked, running_index, running_total, whole, with_bases
+from kelpgrid.session import discard, materialize
 
 SHARDS = 40
-ROUNDS = None  # no bound: until nobody moves
-IDLE = 4
 SEED = 42
 
 
@@ -32,71 +33,62 @@ def spread(docs: DataFrame, order: list, shards: int) -> DataFrame:
     return materialize(rows.withColumn("shard", (F.col("node") % shards).cast("int")))
 
 
-def equal_links(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(src, dst): a star around the first node of each group of equal ``keys``, never all pairs."""
-    tops = rows.groupBy(*keys).agg(F.min("node").alias("dst"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return rows.join(tops, keys).filter(F.col("node") != F.col("dst")).select(F.col("node").alias("src"), "dst")
+def linked(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """(node, shard, label) of the rows that share ``keys``; a label names at most ``most`` of them."""
+    groups = rows.groupBy(*keys).agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    members = ranked(rows.join(groups, keys).select("node", "shard", "first"), ["first"], ["node"], "rank")
+    return members.select("node", "shard", F.struct("first", F.floor(F.col("rank") / most).alias("part")).alias("label"))
 
 
-def wishes(places: DataFrame, both: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, shard, own) of the linked nodes, ``own``: neighbours in their shard; (node, shard, to, gain) of those with more in another."""
-    votes = both.join(places.select(F.col("node").alias("dst"), F.col("shard").alias("to")), "dst").groupBy(F.col("src").alias("node"), "to").agg(F.count(F.lit(1)).alias("n"))
-    votes = votes.join(places, "node")
-    home = F.col("to") == F.col("shard")
-    best = materialize(votes.groupBy("node", "shard").agg(F.coalesce(F.max(F.when(home, F.col("n"))), F.lit(0)).alias("own"),
-                                                          F.max(F.when(~home, F.struct("n", (-F.col("to")).alias("to")))).alias("best")))
-    asked = best.select("node", "shard", (-F.col("best.to")).alias("to"), (F.col("best.n") - F.col("own")).alias("gain")).filter("gain > 0")
-    return best.select("node", "shard", "own"), asked
+def dealt(rows: DataFrame, order: list, rooms: dict[int, int], seed: int) -> DataFrame:
+    """(.., shard) of ``rows`` dealt along ``order`` over ``rooms``, the places left in each shard, one shard after the other."""
+    turn = sorted((s for s, n in rooms.items() if n), key=lambda s: hash((seed, s)))
+    ends = [0]
+    for s in turn:
+        ends.append(ends[-1] + rooms[s])
+    spot = with_bases(running_index(rows, order), F.count(F.lit(1))).withColumn("__spot", (F.col(ROW) + F.col(BASE)).cast("double")).drop(PART, ROW, BASE)
+    # Range 0 ends before the first spot, range i is the i-th shard's.
+    found = Bucketizer(splits=[-1.0, *map(float, ends), float("inf")], inputCol="__spot", outputCol="__turn").transform(spot)
+    return found.withColumn("shard", F.get(F.array(*[F.lit(s) for s in (None, *turn)]).cast("array<int>"), F.col("__turn").cast("int"))).drop("__spot", "__turn")
 
 
-def apart(asked: DataFrame, both: DataFrame, seed: int) -> DataFrame:
-    """The wishes of nodes without a neighbour whose wish gains more; the hash of the node decides ties."""
-    asked = asked.withColumn("first", F.struct("gain", F.xxhash64("node", F.lit(seed)), "node"))
-    rivals = both.join(asked.select(F.col("node").alias("dst"), F.col("first").alias("rival")), "dst").groupBy(F.col("src").alias("node")).agg(F.max("rival").alias("rival"))
-    return asked.join(rivals, "node", "left").filter(F.col("rival").isNull() | (F.col("first") > F.col("rival"))).drop("first", "rival")
+def admitted(spark: SparkSession, places: DataFrame, rooms: dict[int, int], seed: int) -> DataFrame:
+    """(label, to, n): the groups of ``places(node, shard, label)`` that move whole into the shard of their choice."""
+    votes = places.groupBy("label", "shard").agg(F.count(F.lit(1)).alias("n"))
+    asked = votes.groupBy("label").agg(F.max_by("shard", F.struct("n", F.xxhash64("label", "shard", F.lit(seed)), "shard")).alias("to"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    order = [F.col("most").desc(), F.col("n").desc(), F.xxhash64("label", F.lit(seed)), "label"]
+    quota = F.broadcast(spark.createDataFrame(list(rooms.items()), "to int, room long"))  # one row for each shard
+    return materialize(running_total(asked, ["to"], order, "n", "held").join(quota, "to").filter("held <= room").select("label", "to", "n"))
 
 
-def propagate(places: DataFrame, links: DataFrame, rounds: int | None = ROUNDS, seed: int = SEED) -> DataFrame:
-    """``places(node, shard)`` after label propagation along ``links(src, dst)``; every shard keeps its size.
+def propagate(places: DataFrame, loose: DataFrame, rooms: dict[int, int], seed: int = SEED) -> DataFrame:
+    """(node, shard) of ``places(node, shard, label)`` and of ``loose(node)``; ``rooms`` says how many rows each shard takes, all in all as many as there are.
 
-    Rounds end when nobody gains by moving, or after ``IDLE`` rounds without a move, or after ``rounds``.
+    The driver holds one number for each shard.
     """
-    both = materialize(links.union(links.select("dst", "src")).filter("src <> dst").distinct())
-    places = materialize(places.select("node", "shard"))
-    idle = k = 0
-    while idle < IDLE and (rounds is None or k < rounds):
-        linked, asked = wishes(places, both)
-        asked = materialize(apart(asked, both, seed + k))
-        if asked.isEmpty():
+    spark, rooms, k, done = places.sparkSession, dict(rooms), 0, []
+    places = materialize(places)
+    while True:
+        moved = admitted(spark, places, rooms, seed + k)
+        taken = moved.groupBy("to").agg(F.sum("n").alias("n")).collect()
+        if not taken:
             break
-        if k % 2:
-            heads = [F.xxhash64(c, F.lit(seed + k)) % 2 == 0 for c in ("shard", "to")]
-            asked = asked.filter(heads[0] & ~heads[1])
-        # Wishes that meet: the i-th from a to b and the i-th from b to a change places.
-        asked = materialize(ranked(asked, ["shard", "to"], [F.col("gain").desc(), "node"], "rank"))
-        back = asked.select(F.col("shard").alias("to"), F.col("to").alias("shard"), "rank")
-        swaps = asked.join(back, ["shard", "to", "rank"], "left_semi").select("node", "to")
-        # The others: the i-th to b, from anywhere, and the i-th of those who lose least by leaving b.
-        rest = asked.join(back, ["shard", "to", "rank"], "left_anti").drop("rank")
-        rest = materialize(ranked(rest, ["to"], [F.col("gain").desc(), F.xxhash64("node", F.lit(seed + k)), "node"], "rank"))
-        wanted = rest.groupBy(F.col("to").alias("shard")).agg(F.max("gain").alias("most"))
-        awaited = asked.select(F.col("node").alias("dst"), F.col("to").alias("shard")).join(both, "dst").select(F.col("src").alias("node"), "shard").distinct()
-        spare = places.join(asked.select("node"), "node", "left_anti").join(linked.select("node", "own"), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-        spare = spare.join(wanted, "shard").filter("own < most").drop("most").join(awaited, ["node", "shard"], "left_anti")
-        spare = ranked(spare, ["shard"], ["own", F.xxhash64("node", F.lit(seed + k)), "node"], "rank")
-        met = rest.withColumnsRenamed({"shard": "from", "to": "shard"}).join(spare.withColumnRenamed("node", "other"), ["shard", "rank"]).filter("gain > own")
-        met = met.select(F.explode(F.array(F.struct("node", F.col("shard").alias("to")), F.struct(F.col("other").alias("node"), F.col("from").alias("to")))).alias("m")).select("m.*")
-        moves = materialize(swaps.union(met))
+        for r in taken:
+            rooms[r["to"]] -= r["n"]
+        done.append(materialize(places.join(moved, "label").select("node", F.col("to").alias("shard"))))
         k += 1
-        if moves.isEmpty():
-            idle += 1
-            continue
-        idle = 0
-        places = materialize(places.join(moves, "node", "left").select("node", F.coalesce("to", "shard").alias("shard")))
-    return places
-
-
-def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int | None = ROUNDS, seed: int = SEED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        left = places.join(moved.select("label"), "label", "left_anti")
+        last, places = places, materialize(dealt(left, [F.xxhash64("label", F.lit(seed + k)), "label", "node"], rooms, seed + k).select("node", "shard", "label"))
+        discard(last)
+        discard(moved)
+    rest = places.select("node", F.lit(0).alias("turn"), "label").unionByName(loose.select("node", F.lit(1).alias("turn")), allowMissingColumns=True)
+    out = dealt(rest, ["turn", "label", "node"], rooms, seed + k).select("node", "shard") if any(rooms.values()) else rest.select("node", F.lit(0).alias("shard")).limit(0)
+    for d in done:
+        out = out.union(d)
+    return out
+
+
+def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, node), one row for each row of ``docs``.
 
     Links join equal texts.  Size: bytes of the text and 16 (null text: none).  Null ids come
@@ -107,7 +99,10 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int | None =
     rows = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 16).cast("long").alias("size"),
                        F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(body).alias("text_hash"))
     rows = spread(rows, ["doc_id", "text_hash"], shards)
-    places = propagate(rows.select("node", "shard"), equal_links(rows.select("node", "size", "text_crc32", "text_hash"), ["text_hash", "text_crc32", "size"]), rounds, seed)
-    out = rows.drop("shard").join(places, "node")
+    total = rows.count()
+    rooms = {s: total // shards + (s < total % shards) for s in range(shards)}
+    places = materialize(linked(rows, ["text_hash", "text_crc32", "size"], max(1, total // shards)))
+    loose = rows.select("node").join(places.select("node"), "node", "left_anti")
+    out = rows.drop("shard").join(propagate(places, loose, rooms, seed), "node")
     return ranked(out, ["shard"], ["node"], "slot").select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "node")

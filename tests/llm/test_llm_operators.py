@@ -556,7 +556,7 @@ def test_sharding(request, table):
 def test_sharding_cuts_few_links(spark):
     rows = [(i, f"text {i % 40}" if i < 120 else f"own {i}") for i in range(2000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sharding.shard_documents(df, shards=8, rounds=12).collect()
+    got = sharding.shard_documents(df, shards=8).collect()
     shards = defaultdict(set)
     for r in got:
         shards[r["text_crc32"]].add(r["shard"])
@@ -564,7 +564,16 @@ def test_sharding_cuts_few_links(spark):
     assert max(Counter(r["shard"] for r in got).values()) == 250
 
 
-@pytest.mark.parametrize("group", [2, 4])
+def test_sharding_of_a_group_larger_than_a_shard(spark):
+    """A third of all rows are one text: it goes to few shards and fills most of them."""
+    df = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"own {i // 2}") for i in range(900)], "doc_id long, text string")
+    got = sharding.shard_documents(df, shards=10).collect()
+    assert set(Counter(r["shard"] for r in got).values()) == {90}
+    hot = Counter(r["shard"] for r in got if r["doc_id"] % 3 == 0)
+    assert len(hot) <= 5 and sorted(hot.values())[-2:] == [90, 90]
+
+
+@pytest.mark.parametrize("group", [2, 3, 4, 8])
 def test_sharding_where_all_rows_have_copies(spark, group):
     """Production parameters, neighbouring ids, no unlinked row: all groups fit whole."""
     df = spark.createDataFrame([(i, f"text {i // group}") for i in range(3200)], "doc_id long, text string")
