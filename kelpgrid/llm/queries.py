@@ -88,8 +88,9 @@ d as (select distinct host, path from u),
 fit as (select d.host, d.path, max({'n': length(rule), 'v': verdict, 'r': rule}) best from d join r
         on (d.host = r.host or suffix(d.host, '.' || r.host)) and prefix(d.path, r.path) group by all)
 select page_id, u.host, u.path, best.r as rule,
-       coalesce(best.v, case when regexp_matches(u.path, '(?is)/wp-login\.php|/cgi-bin/')
-           or regexp_matches(u.host || ' ' || u.path, '(?i)(^|[^0-9a-z])(casino|porn|viagra)([^0-9a-z]|$)') then 'block' else 'allow' end) as verdict
+       coalesce(best.v, case when regexp_matches(translate(u.path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '/wp-login\.php|/cgi-bin/')
+           or regexp_matches(u.host || ' ' || translate(u.path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(^|[^0-9a-z])(casino|porn|viagra)([^0-9a-z]|$)')
+           then 'block' else 'allow' end) as verdict
 from u left join fit on fit.host = u.host and fit.path = u.path"""
 
 

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelpgrid.llm.common import lower_ascii
 from kelpgrid.session import materialize
 
 
@@ -42,7 +43,7 @@ def host_rule(verdict: str, name: str) -> Rule:
 
 
 def pattern_rule(verdict: str, pattern: str, *tokens: str) -> Rule:
-    """A regular expression over host, NUL, path; ``tokens`` are whole tokens in any URL that it fits."""
+    """A regular expression over host, NUL, path, A-Z lower-cased; ``tokens`` are whole tokens in any URL that it fits."""
     return Rule(None, verdict, pattern, tuple(tokens), len(pattern))
 
 
@@ -50,11 +51,11 @@ RULES = (
     host_rule("block", "net/"), host_rule("allow", "example.net/en/"),
     host_rule("block", "example.com/de/"), host_rule("allow", "org/fr/"),
     # The method's own verdicts: paths of machinery and of adult or gambling sites.
-    pattern_rule("block", r"(?i)\x00(?s:.*)/wp-login\.php", "wp", "login"),  # what follows may go on: .php5
-    pattern_rule("block", r"(?i)\x00(?s:.*)/cgi-bin/", "cgi", "bin"),
-    pattern_rule("block", r"(?i)(^|[^0-9a-z])casino([^0-9a-z]|$)", "casino"),
-    pattern_rule("block", r"(?i)(^|[^0-9a-z])porn([^0-9a-z]|$)", "porn"),
-    pattern_rule("block", r"(?i)(^|[^0-9a-z])viagra([^0-9a-z]|$)", "viagra"),
+    pattern_rule("block", r"\x00(?s:.*)/wp-login\.php", "wp", "login"),  # what follows may go on: .php5
+    pattern_rule("block", r"\x00(?s:.*)/cgi-bin/", "cgi", "bin"),
+    pattern_rule("block", r"(^|[^0-9a-z])casino([^0-9a-z]|$)", "casino"),
+    pattern_rule("block", r"(^|[^0-9a-z])porn([^0-9a-z]|$)", "porn"),
+    pattern_rule("block", r"(^|[^0-9a-z])viagra([^0-9a-z]|$)", "viagra"),
 )
 
 
@@ -94,14 +95,14 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, page_id: str = "pag
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"))
     urls = rows.filter(F.col("url").isNotNull()).select("url").distinct()
     subject = F.concat("host", F.lit("\x00"), "path")
-    tokens = F.array_union(F.array(F.lit("")), F.array_distinct(F.split(F.lower(subject), "[^0-9a-z]+")))
+    tokens = F.array_union(F.array(F.lit("")), F.array_distinct(F.split(lower_ascii(subject), "[^0-9a-z]+")))
     urls = materialize(urls.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("tokens", tokens))
     asked = urls.select("url", "host", "path", F.explode("tokens").alias("token"))
     counts = asked.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     filed = file_rules(spark, counts, rules)
     if len(rules) <= 10_000:  # a bound on the rows of the index; beyond it Spark chooses the join
         filed = F.broadcast(materialize(filed))
-    fits = asked.join(filed, "token").filter(F.expr("rlike(concat(host, '\\0', path), pattern)"))
+    fits = asked.join(filed, "token").filter(F.rlike(F.when(F.col("name").isNull(), lower_ascii(subject)).otherwise(subject), F.col("pattern")))
     best = fits.groupBy("url").agg(F.max(F.struct("rank", "verdict", "name")).alias("best"))
     out = (rows.withColumnsRenamed({"url": "page_url"}).join(best, F.col("page_url") == F.col("url"), "left")
            .select("page_id", host_of(F.col("page_url")).alias("host"), path_of(F.col("page_url")).alias("path"),
