@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
@@ -83,11 +85,68 @@ def lhs_design(base: DataFrame, dims: int, seed: int, key: str = "row", criterio
     return best
 
 
+def _times_x(a: int, poly: int, degree: int) -> int:
+    a <<= 1
+    return a ^ poly if a >> degree else a
+
+
+def _product(a: int, b: int, poly: int, degree: int) -> int:
+    out = 0
+    while b:
+        if b & 1:
+            out ^= a
+        a, b = _times_x(a, poly, degree), b >> 1
+    return out
+
+
+def _power_of_x(n: int, poly: int, degree: int) -> int:
+    out, x = 1, _times_x(1, poly, degree)
+    while n:
+        if n & 1:
+            out = _product(out, x, poly, degree)
+        x, n = _product(x, x, poly, degree), n >> 1
+    return out
+
+
+def primitive_polynomials(degree: int) -> list[int]:
+    """Inner coefficients of the primitive polynomials of a degree over two elements: those in which x has order 2^degree - 1."""
+    order = (1 << degree) - 1
+    primes, rest = [], order
+    for q in range(2, order + 1):
+        if rest % q == 0:
+            primes.append(q)
+            while rest % q == 0:
+                rest //= q
+        if rest == 1:
+            break
+    found = []
+    for inner in range(1 << (degree - 1)):
+        poly = 1 << degree | inner << 1 | 1
+        if _power_of_x(order, poly, degree) == 1 and all(_power_of_x(order // q, poly, degree) != 1 for q in primes):
+            found.append(inner)
+    return found
+
+
+def sobol_polynomial(dim: int) -> tuple[int, int, list[int]]:
+    """Degree, inner coefficients and first direction numbers of dimension ``dim``, from 1 on.
+
+    Dimensions of the published table take theirs from it.  The others take the next primitive
+    polynomials by degree and value; their first numbers are odd, as the sequence needs, and drawn by a fixed rule.
+    """
+    if dim <= len(SOBOL_TABLE):
+        return SOBOL_TABLE[dim - 1]
+    degree, left = 1, dim - 1
+    while left >= len(found := primitive_polynomials(degree)):
+        degree, left = degree + 1, left - len(found)
+    draw = random.Random(dim)
+    return degree, found[left], [draw.getrandbits(i) << 1 | 1 if i else 1 for i in range(degree)]
+
+
 def _directions(dim: int) -> list[int]:
     """Direction numbers of one dimension, by the usual recurrence."""
     if dim == 0:
         return [1 << (SOBOL_BITS - 1 - i) for i in range(SOBOL_BITS)]
-    degree, coeff, m = SOBOL_TABLE[dim - 1]
+    degree, coeff, m = sobol_polynomial(dim)
     v = [m[i] << (SOBOL_BITS - 1 - i) for i in range(degree)]
     for i in range(degree, SOBOL_BITS):
         x = v[i - degree] ^ (v[i - degree] >> degree)
@@ -99,10 +158,7 @@ def _directions(dim: int) -> list[int]:
 
 
 def sobol_design(base: DataFrame, dims: int, seed: int | None, key: str = "row") -> DataFrame:
-    """Sobol points, one per row; ``seed`` adds a digital shift. Up to eight dimensions."""
-    if dims > len(SOBOL_TABLE) + 1:
-        raise ValueError("at most eight dimensions")
-    import random
+    """Sobol points, one per row, of any number of dimensions; ``seed`` adds a digital shift."""
     shift = random.Random(seed)
     t = with_row_number(base.select(key), [], [key], "__n").withColumn("__i", F.col("__n") - 1)
     gray = F.col("__i").bitwiseXOR(F.shiftright("__i", 1))

@@ -91,18 +91,53 @@ def kfold_assign(df: DataFrame, keys: list[str], order: list[str], folds: int =
     return t.withColumn("fold", F.least(F.floor((F.col("__rn") - 1) / size), F.lit(folds - 1))).drop("__rn", "__n")
 
 
-def oof_predictions(df: DataFrame, keys: list[str], order: list[str], xs: list[str], y: str) -> DataFrame:
-    """Out-of-fold mean and variance: a fold's model uses the task's moments minus the fold's own."""
+def _fold_models(df: DataFrame, keys: list[str], order: list[str], xs: list[str], y: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with their fold, and a model for each fold: from the task's moments minus the fold's own."""
     t = materialize(kfold_assign(df, keys, order))
     own = materialize(_moments(t, keys, xs, y, ("fold",)))
     sums = [c for c in own.columns if c.startswith("m_")]
     total = own.groupBy(*keys).agg(*[F.sum(c).alias(f"t_{c}") for c in sums])
     rest = join_keys(own, total, keys).select(*keys, "fold", *[(F.col(f"t_{c}") - F.col(c)).alias(c) for c in sums],
                                         *[c for c in own.columns if c[:2] in ("c_", "s_")])
-    models = _solve(rest.filter("m_0_0 > 0"), [*keys, "fold"], len(xs))
+    return t, _solve(rest.filter("m_0_0 > 0"), [*keys, "fold"], len(xs))
+
+
+def oof_predictions(df: DataFrame, keys: list[str], order: list[str], xs: list[str], y: str) -> DataFrame:
+    """Out-of-fold mean and variance: each row from the model that did not see its fold."""
+    t, models = _fold_models(df, keys, order, xs, y)
     return join_keys(t, models, [*keys, "fold"]).withColumns({"mu": predict(xs), "mu_var": F.col("var")}).drop("coef", "var")
 
 
+def fold_predictions(df: DataFrame, keys: list[str], order: list[str], xs: list[str], y: str) -> DataFrame:
+    """Mean and variance of every row from the model without fold ``left_out``, one row for each fold of the task."""
+    t, models = _fold_models(df, keys, order, xs, y)
+    models = models.withColumnRenamed("fold", "left_out")
+    return join_keys(t, models, keys).withColumns({"mu": predict(xs), "mu_var": F.col("var")}).drop("coef", "var")
+
+
+def _count_above(t: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
+    """``t`` plus the rows of its group with a greater ``col``."""
+    counts = materialize(t.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("__c")))
+    cum = with_running(counts, keys, [col], {"__cum": ("sum", "__c")})
+    above = join_keys(cum, counts.groupBy(*keys).agg(F.sum("__c").alias("__all")), keys).select(*keys, col, (F.col("__all") - F.col("__cum")).alias(out))
+    return join_keys(t, above, [*keys, col])
+
+
+def ranking_loss_target(df: DataFrame, keys: list[str], row: str, y: str, p: str, fold: str = "fold", left_out: str = "left_out") -> DataFrame:
+    """Misranked pairs (i, j) of a task's own model: i from a fold, j any row, both as predicted without that fold.
+
+    ``df`` has every row once for each ``left_out`` fold (``fold_predictions``).  Counted by dominance, not by pairs.
+    """
+    group = [*keys, left_out]
+    t = materialize(df.select(*keys, left_out, fold, row, F.col(y).alias("__y"), F.col(p).alias("__p")).withColumns(
+        {"__ny": -F.col("__y"), "__np": -F.col("__p"), "__one": F.lit(1), "__neg": -F.col(row)}))
+    # Rows above in both: as in ranking_loss, with both orders turned round.
+    both = dominated(t, group, ["__ny", "__p", row], ["__np", "__y", "__neg"], row, {"__both": ("count", "__one")})
+    both = _count_above(_count_above(both, group, "__y", "__ay"), group, "__p", "__ap").filter(F.col(fold) == F.col(left_out))
+    lost = both.groupBy(*keys).agg(F.sum(F.col("__ay") + F.col("__ap") - 2 * F.coalesce("__both", F.lit(0))).cast("long").alias("misranked"), F.count(F.lit(1)).alias("__n"))
+    return lost.select(*keys, "misranked", (F.col("misranked") / (F.col("__n") * F.col("__n"))).alias("loss"))
+
+
 def fit_residual_chain(df: DataFrame, xs: list[str], y: str, tasks: list) -> DataFrame:
     """Models in task order (target last), each fit on what the earlier ones leave; one small job per task."""
     left = df.withColumn("__left", F.col(y).cast("double"))
@@ -141,7 +176,7 @@ def ranking_loss(df: DataFrame, keys: list[str], row: str, y: str, p: str) -> Da
     # Ties in y are visited from large to small p and ties in p rank the later visitor lower, so no tie is counted.
     both = dominated(t, keys, [y, "__np", row], [p, "__ny", "__neg"], row, {"__both": ("count", "__one")})
     both = both.groupBy(*keys).agg(F.sum("__both").alias("__both"))
-    lost = both.join(_tied_pairs(t, keys, y, "__ly"), keys).join(_tied_pairs(t, keys, p, "__lp").drop("n"), keys)
+    lost = join_keys(join_keys(both, _tied_pairs(t, keys, y, "__ly"), keys), _tied_pairs(t, keys, p, "__lp").drop("n"), keys)
     miss = F.col("__ly") + F.col("__lp") - 2 * F.col("__both")
     return lost.select(*keys, miss.cast("long").alias("misranked"), (miss / (F.col("n") * F.col("n"))).alias("loss"))
 
@@ -192,7 +227,7 @@ def fit_fidelity_weights(df: DataFrame, keys: list[str], row: str, y: str, p: st
     """Power weights of the fidelity groups; uniform over the sources while a task has fewer than 5 rows."""
     w = power_weights(order_preserving(df, [*keys, "model"], row, y, p), keys)
     size = df.groupBy(*keys).agg(F.countDistinct(row).alias("__n"), F.countDistinct("model").alias("__k"))
-    return w.join(size, keys).select(*keys, "model", F.when(F.col("__n") >= min_rows, F.col("weight")).otherwise(1.0 / F.col("__k")).alias("weight"))
+    return join_keys(w, size, keys).select(*keys, "model", F.when(F.col("__n") >= min_rows, F.col("weight")).otherwise(1.0 / F.col("__k")).alias("weight"))
 
 
 # --- pairwise losses -------------------------------------------------------------------------
@@ -400,11 +435,12 @@ def task_thresholds(trials: DataFrame, similarity: DataFrame, defaults: DataFram
     counts = neg.groupBy("task_id", "__v").agg(F.count(F.lit(1)).alias("__n"))
     cum = with_running(counts, ["task_id"], ["__v"], {"__cum": ("sum", "__n")})
     q = F.lit(q_max) - (1 - 2 * F.greatest(F.col("similarity") - 0.5, F.lit(0.0))) * F.lit(q_max - q_min)
-    goal = similarity.withColumn("q", q).join(counts.groupBy("task_id").agg(F.sum("__n").alias("__t")), "task_id").withColumn("__pos", (F.col("__t") - 1) * F.col("q"))
-    found = cum.join(goal, "task_id").groupBy("task_id", "q", "__pos").agg(
+    key = ["task_id"]
+    goal = join_keys(similarity.withColumn("q", q), counts.groupBy("task_id").agg(F.sum("__n").alias("__t")), key).withColumn("__pos", (F.col("__t") - 1) * F.col("q"))
+    found = join_keys(cum, goal, key).groupBy("task_id", "q", "__pos").agg(
         F.min(F.when(F.col("__cum") > F.floor("__pos"), F.col("__v"))).alias("__lo"), F.min(F.when(F.col("__cum") > F.ceil("__pos"), F.col("__v"))).alias("__hi"))
     value = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * (F.col("__pos") - F.floor("__pos"))
-    t = found.withColumn("threshold", value).join(defaults, "task_id")
+    t = join_keys(found.withColumn("threshold", value), defaults, key)
     return t.select("task_id", F.when(F.col("threshold") < -F.col("default_perf"), 0.0).otherwise(F.col("q")).alias("q"), "threshold")
 
 

@@ -165,6 +165,28 @@ def ranking_loss(spark, sf):
     return X.ranking_loss(long_predictions(spark, sf), ["task", "model"], "vec_id", "y", "mu").withColumn("loss", r("loss"))
 
 
+@query("ranking_loss_target", LONG_SQL + """, f AS (SELECT *, (vec_id % 4 + 1)::INTEGER AS fold FROM lg)
+SELECT a.task, count(*) FILTER ((a.y < b.y) <> (a.mu < b.mu)) AS misranked, round(avg(CASE WHEN (a.y < b.y) <> (a.mu < b.mu) THEN 1.0::DOUBLE ELSE 0 END), 6) AS loss
+FROM f a JOIN f b ON a.task = b.task AND a.model = b.model WHERE a.fold = a.model GROUP BY ALL""")
+def ranking_loss_target(spark, sf):
+    t = long_predictions(spark, sf).withColumn("fold", (F.col("vec_id") % 4 + 1).cast("int"))
+    return X.ranking_loss_target(t, ["task"], "vec_id", "y", "mu", "fold", "model").withColumn("loss", r("loss"))
+
+
+@query("ranking_loss_no_task", LONG_SQL + """, n AS (SELECT nullif(task, 3) AS task, model, y, mu FROM lg)
+SELECT a.task, a.model, count(*) FILTER ((a.y < b.y) <> (a.mu < b.mu)) AS misranked, round(avg(CASE WHEN (a.y < b.y) <> (a.mu < b.mu) THEN 1.0::DOUBLE ELSE 0 END), 6) AS loss
+FROM n a JOIN n b ON a.task IS NOT DISTINCT FROM b.task AND a.model = b.model GROUP BY ALL""")
+def ranking_loss_no_task(spark, sf):
+    """One task has no name."""
+    t = long_predictions(spark, sf).withColumn("task", F.nullif("task", F.lit(3)))
+    return X.ranking_loss(t, ["task", "model"], "vec_id", "y", "mu").withColumn("loss", r("loss"))
+
+
+@query("fold_predictions")
+def fold_predictions(spark, sf):
+    return X.fold_predictions(_vectors(spark, sf), ["task_id"], ["vec_id"], XS, "y").select("vec_id", "task_id", "fold", "left_out", "mu", "mu_var")
+
+
 def _sampled(spark, sf):
     return X.ranking_loss_sampled(long_predictions(spark, sf), ["model"], "vec_id", "y", "mu", "var")
 

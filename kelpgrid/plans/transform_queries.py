@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from kelpgrid.functions.expressions import bilog, is_number, r
@@ -277,11 +279,30 @@ def lhs_design(spark, sf):
     return D.lhs_design(_base(spark, sf), 3, seed=5, criterion="correlation").withColumns({u: r(u) for u in ("u0", "u1", "u2")})
 
 
-@query("sobol_design")
+def _sobol_sql(dims: int, seed: int | None = None) -> str:
+    """The direction numbers of the set bits of the Gray code and the shift of the dimension, joined by xor."""
+    shift = random.Random(seed)
+
+    def point(d: int) -> str:
+        out = f"{shift.getrandbits(D.SOBOL_BITS) if seed is not None else 0}::BIGINT"
+        for x in [f"((g >> {b}) & 1) * {v}" for b, v in enumerate(D._directions(d)[:20])]:
+            out = f"xor({out}, {x})"
+        return f"({out}) / 1073741824.0::DOUBLE AS u{d}"
+
+    return f"""WITH n AS (SELECT s_suppkey AS "row", row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM supplier),
+c AS (SELECT "row", xor(i, i >> 1) AS g FROM n) SELECT "row", {', '.join(map(point, range(dims)))} FROM c"""
+
+
+@query("sobol_design", _sobol_sql(4, 11))
 def sobol_design(spark, sf):
     return D.sobol_design(_base(spark, sf), 4, seed=11)
 
 
+@query("sobol_design_40", _sobol_sql(40))
+def sobol_design_40(spark, sf):
+    return D.sobol_design(_base(spark, sf), 40, seed=None)
+
+
 UNIT = """v AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings)"""
 
 

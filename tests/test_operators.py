@@ -193,8 +193,11 @@ def test_designs(spark):
     lhs = DS.lhs_design(base, 3, seed=1, criterion="maximin", draws=2).toPandas()
     for c in ("u0", "u1", "u2"):
         assert sorted((lhs[c] * 64).astype(int)) == list(range(64))
-    sobol = DS.sobol_design(base, 8, seed=None).toPandas()
-    for c in [f"u{i}" for i in range(8)]:
+    assert [len(DS.primitive_polynomials(n)) for n in range(1, 9)] == [1, 1, 2, 2, 6, 6, 18, 16]
+    assert [(d, a) for d, a, _ in map(DS.sobol_polynomial, range(1, 8))] == [(n, a) for n in range(1, 6) for a in DS.primitive_polynomials(n)][:7]
+    sobol = DS.sobol_design(base, 44, seed=None).toPandas()
+    assert len({tuple(sobol[c]) for c in sobol.columns}) == 45
+    for c in [f"u{i}" for i in range(44)]:
         assert sorted((sobol[c] * 64).round(9).astype(int)) == list(range(64))
     space = [{"name": "a", "type": "integer", "low": 1, "high": 3}, {"name": "m", "type": "enum", "choices": ["x", "y"]}]
     seen = spark.createDataFrame([(1, "x")], "a long, m string")
@@ -267,3 +270,33 @@ def test_normal_functions_and_draws(spark):
     ids = spark.range(2000).select(F.col("id"), hash_unit(F.col("id"), "1").alias("u"))
     one, two = {x.id: x.u for x in ids.collect()}, {x.id: x.u for x in ids.repartition(7).collect()}
     assert one == two and 0 <= min(one.values()) and max(one.values()) < 1 and abs(np.mean(list(one.values())) - 0.5) < 0.03
+
+
+def test_target_loss_and_fold_predictions(spark):
+    rng = np.random.default_rng(5)
+    rows = [(t, i, *map(float, rng.integers(0, 6, 3))) for t in ("a", None) for i in range(23)]
+    df = spark.createDataFrame(rows, "task_id string, i long, x double, z double, y double")
+    every = X.fold_predictions(df, ["task_id"], ["i"], ["x", "z"], "y")
+    got = every.toPandas()
+    assert len(got) == 23 * 5 * 2 and set(got["left_out"]) == set(range(5))
+    own = {(r["task_id"], r["i"]): r["mu"] for r in X.oof_predictions(df, ["task_id"], ["i"], ["x", "z"], "y").collect()}
+    same = every.filter("fold = left_out").collect()
+    assert {(r["task_id"], r["i"]): r["mu"] for r in same} == pytest.approx(own)
+    loss = {r["task_id"]: r["misranked"] for r in X.ranking_loss_target(every, ["task_id"], "i", "y", "mu").collect()}
+    for t in ("a", None):
+        part = got[got["task_id"].isna()] if t is None else got[got["task_id"] == t]
+        want = 0
+        for f, g in part.groupby("left_out"):
+            ys, ps, own_fold = g["y"].to_numpy(), g["mu"].to_numpy(), (g["fold"] == f).to_numpy()
+            want += int((((ys[:, None] < ys) != (ps[:, None] < ps))[own_fold]).sum())
+        assert loss[t] == want
+
+
+def test_transfer_joins_keep_tasks_without_a_name(spark):
+    rows = [(t, i, float(i), float(i % 3)) for t in ("a", None) for i in range(6)]
+    df = spark.createDataFrame(rows, "task_id string, i long, y double, p double").withColumn("model", F.lit(1))
+    assert {r["task_id"] for r in X.ranking_loss(df, ["task_id"], "i", "y", "p").collect()} == {"a", None}
+    assert {r["task_id"] for r in X.fit_fidelity_weights(df, ["task_id"], "i", "y", "p").collect()} == {"a", None}
+    tasks = df.select("task_id").distinct()
+    got = X.task_thresholds(df, tasks.withColumn("similarity", F.lit(0.8)), tasks.withColumn("default_perf", F.lit(3.0)), "y")
+    assert {r["task_id"] for r in got.collect()} == {"a", None}
