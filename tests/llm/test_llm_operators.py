@@ -653,21 +653,11 @@ def test_stage_exact_dedup(staged):
 
 def test_stage_near_dedup(staged):
     given, kept = staged["simhash near-dedup"]
-    prints = [int(brute_fingerprint(r["text"]), 16) for r in given]
-    root = list(range(len(given)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(given)):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 2:
-                root[find(i)] = find(j)
+    prints = [brute_fp(r["text"]) for r in given]
+    root = brute_components(prints)
     parts = defaultdict(list)
-    for i, r in enumerate(given):
-        parts[find(i)].append(r)
+    for fp, r in zip(prints, given):
+        parts[root[fp]].append(r)
     want = Counter(min((r["doc_id"] is None, r["doc_id"] or 0) for r in part) for part in parts.values())
     assert Counter((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == want
     assert not identity(kept) - identity(given)
