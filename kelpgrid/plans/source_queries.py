@@ -254,18 +254,38 @@ def _history(spark, sf, n=-1):
     return HS.parse_history(history_docs(spark, sf), {"size": "8", "codec": "lz4"}, n)
 
 
-@query("read_history_json", HIST_SQL + """SELECT task_id, file, CAST(pos AS INTEGER) AS pos, CAST(p_size AS VARCHAR) AS size, 'lz4' AS codec, p_retailprice AS price, trial_state,
-p_retailprice AS iter_time FROM h WHERE pos < 3""")
-def read_history_json(spark, sf):
-    h = _history(spark, sf, 3)
+HIST_ROW = """SELECT task_id, file, CAST(pos AS INTEGER) AS pos, CAST(p_size AS VARCHAR) AS size, 'lz4' AS codec, p_retailprice AS price, trial_state,
+p_retailprice AS iter_time FROM h"""
+
+
+def _history_rows(h):
     return h.select("task_id", "file", "pos", _at("configuration", "size"), _at("configuration", "codec"), _at("external_metrics", "price"), "trial_state", "iter_time")
 
 
-@query("write_history_json", HIST_SQL + "SELECT task_id, file, CAST(pos AS BIGINT) AS pos, trial_state FROM h")
+@query("read_history_json", HIST_SQL + HIST_ROW)
+def read_history_json(spark, sf):
+    return _history_rows(_history(spark, sf))
+
+
+@query("read_history_first", HIST_SQL + HIST_ROW + " WHERE pos < 3")
+def read_history_first(spark, sf):
+    return _history_rows(_history(spark, sf, 3))
+
+
+@query("write_history_json", HIST_SQL + """SELECT file, pos, CAST(p_size AS VARCHAR) AS size, 'lz4' AS codec, CASE WHEN trial_state = 0 THEN p_retailprice END AS price, CASE WHEN trial_state = 0 THEN p_retailprice END AS obj,
+p_size / 2e0 AS mem, CASE WHEN p_size % 2 = 0 THEN p_size / 4e0 END AS context, trial_state, p_retailprice AS elapsed_time, p_retailprice AS iter_time, '-price' AS objs FROM h""")
 def write_history_json(spark, sf):
+    """Histories as documents of 40 runs, read back; failed runs hold the number that says "no value"."""
+    size = F.try_element_at(F.col("configuration"), F.lit("size")).cast("double")
+    price = F.when(F.col("trial_state") == 1, HS.NO_VALUE).otherwise(F.try_element_at(F.col("external_metrics"), F.lit("price")))
+    runs = _history(spark, sf).withColumns({"external_metrics": F.create_map(F.lit("price"), price), "resource": F.create_map(F.lit("mem"), size / 2),
+                                            "context": F.when(size % 2 == 0, F.array(size / 4))})
     path = _scratch(spark, "history")
-    HS.write_history_json(_history(spark, sf).select("task_id", "file", "pos", "trial_state"), path)
-    return spark.read.schema("file string, pos long, trial_state int, task_id string").json(path).select("task_id", "file", "pos", "trial_state")
+    HS.write_history_documents(runs, path, runs_per_file=40)
+    back = HS.history_objectives(HS.read_history_documents(spark, path, {"size": "8", "codec": "lz4"}, written=True))
+    return back.select(F.col("history").alias("file"), "pos", _at("configuration", "size"), _at("configuration", "codec"), _at("external_metrics", "price"),
+                       F.get("objs", 0).alias("obj"), _at("resource", "mem"), F.get("context", 0).alias("context"), "trial_state", "elapsed_time", "iter_time",
+                       F.array_join("info.objs", ",").alias("objs"))
 
 
 @query("merge_histories", HIST_SQL + """SELECT task_id, count(*) AS n_trials, count(DISTINCT file) AS n_files, min(p_retailprice) AS best FROM h GROUP BY 1""")

@@ -6,9 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-HISTORY_SCHEMA = ("info struct<objs:array<string>,constraints:array<string>>, data array<struct<"
-                  "configuration:map<string,string>, external_metrics:map<string,double>, internal_metrics:array<double>, "
-                  "resource:map<string,double>, context:array<double>, trial_state:int, elapsed_time:double, iter_time:double>>")
+from kelpgrid.functions.ordering import with_row_number
+from kelpgrid.session import materialize
+
+INFO_SCHEMA = "objs array<string>, constraints array<string>"
+RUN_SCHEMA = ("configuration map<string,string>, external_metrics map<string,double>, internal_metrics array<double>, "
+              "resource map<string,double>, context array<double>, trial_state int, elapsed_time double, iter_time double")
+HISTORY_SCHEMA = f"info struct<{INFO_SCHEMA}>, data array<struct<{RUN_SCHEMA}>>"
+# Fixed value: a metric that says "no value".
+NO_VALUE = float(2 ** 31 - 1)
 KNOB_SCHEMA = "map<string,struct<type:string,min:double,max:double,`default`:string,enum_values:array<string>>>"
 SPACE_SCHEMA = ("struct<parameters:map<string,struct<type:string,bound:array<double>,`default`:string,log:string,q:double,"
                 "choice:array<string>,value:string>>>")
@@ -45,19 +51,92 @@ def parse_history(docs: DataFrame, knobs: dict[str, str], first_n: int = -1) ->
     """History documents -> one row per run, with position in its file.
 
     Unknown knobs are dropped and missing ones take the default; ``iter_time``
-    falls back to ``elapsed_time``; ``first_n`` keeps the first runs of a document.
+    falls back to ``elapsed_time``; ``first_n`` keeps the first runs of a document;
+    a metric of 2147483647 says "no value" and becomes null.
     """
     t = docs.withColumn("__d", F.from_json("text", HISTORY_SCHEMA))
     t = t.select(*[c for c in docs.columns if c != "text"], F.col("__d.info").alias("info"), F.posexplode("__d.data").alias("pos", "r"))
     if first_n >= 0:
         t = t.filter(F.col("pos") < first_n)
+    return _run_columns(t, [c for c in docs.columns if c != "text"], knobs)
+
+
+def _run_columns(t: DataFrame, keep: list[str], knobs: dict[str, str]) -> DataFrame:
     conf = F.map_from_entries(F.array(*[F.struct(F.lit(k).alias("k"), F.coalesce(
         F.try_element_at(F.col("r.configuration"), F.lit(k)), F.lit(v)).alias("v")) for k, v in knobs.items()]))
-    keep = [c for c in docs.columns if c != "text"]
-    return t.select(*keep, "info", "pos", conf.alias("configuration"), "r.external_metrics", "r.internal_metrics", "r.resource",
+    metrics = F.transform_values("r.external_metrics", lambda _, v: F.when(v != NO_VALUE, v))
+    return t.select(*keep, "info", "pos", conf.alias("configuration"), metrics.alias("external_metrics"), "r.internal_metrics", "r.resource",
                     "r.context", "r.trial_state", "r.elapsed_time", F.coalesce("r.iter_time", "r.elapsed_time").alias("iter_time"))
 
 
+def history_objectives(runs: DataFrame) -> DataFrame:
+    """``objs`` and ``constraint_values`` in the order of the history's info.
+
+    Metrics come from ``resource`` before ``external_metrics``; an objective ``-m``
+    is the metric m, an objective ``m`` its negative, a constraint the metric as it
+    is; absent metrics are null.
+    """
+    def value(name: Column) -> Column:
+        return F.coalesce(F.try_element_at(F.col("resource"), name), F.try_element_at(F.col("external_metrics"), name))
+    objs = F.transform("info.objs", lambda n: F.when(n.startswith("-"), value(F.substring(n, 2, 1 << 30))).otherwise(-value(n)))
+    return runs.withColumns({"objs": objs, "constraint_values": F.transform("info.constraints", value)})
+
+
+def write_history_documents(runs: DataFrame, path: str, history: str = "file", runs_per_file: int = 10_000) -> None:
+    """History documents ``{"info": ..., "data": [...]}``, one folder per history, ``runs_per_file`` runs in each.
+
+    ``runs`` has the columns of ``parse_history``; ``pos`` counts the runs of a
+    history from 0.  A history of any size is written by many tasks, each of which
+    holds one document at a time; every document can be read on its own.  Missing
+    values are written as null, so they come back as null.  Histories whose runs
+    disagree about ``info`` end the job; a null or empty name is one history.
+    """
+    fields = ["configuration", "external_metrics", "internal_metrics", "resource", "context", "trial_state", "elapsed_time", "iter_time"]
+    absent = {"ignoreNullFields": "false"}
+    inner = F.regexp_replace(F.to_json(F.struct(*fields), absent), r"^\{|\}$", "")
+    rows = runs.select(F.col(history).cast("string").alias("history"), F.floor(F.col("pos") / runs_per_file).alias("part"), F.col("pos").cast("long").alias("pos"),
+                       F.to_json("info", absent).alias("info"), inner.alias("run"))
+    docs = rows.groupBy("history", "part").agg(F.min("info").alias("info"), F.max("info").alias("other"), F.sort_array(F.collect_list(F.struct("pos", "run"))).alias("runs"))
+    infos = rows.groupBy("history").agg(F.min("info").alias("first"), F.max("info").alias("last")).withColumnRenamed("history", "__history")
+    docs = docs.join(infos, F.col("history").eqNullSafe(F.col("__history")))
+    data = F.array_join(F.transform("runs", lambda x: F.concat(F.lit("\n    {\n      "), x["run"], F.lit("\n    }"))), ",")
+    text = F.concat(F.lit('{\n  "info": '), F.coalesce("info", F.lit("null")), F.lit(',\n  "data": ['), data, F.lit("\n  ]\n}"))
+    checked = F.when(F.col("first") == F.col("last"), text).when(F.col("first").isNull(), text).otherwise(
+        F.raise_error(F.concat(F.lit("runs disagree about info: "), F.coalesce("history", F.lit("null")))))
+    docs.select("history", "part", checked.alias("value")).write.partitionBy("history", "part").text(path)
+
+
+def read_history_documents(spark: SparkSession, paths: str | list[str], knobs: dict[str, str], first_n: int = -1, written: bool = False) -> DataFrame:
+    """Documents of any size -> the rows of ``parse_history``, one per run, by ``file``.
+
+    In a document indented by two spaces every run begins on a line of its own,
+    ``    {``: Spark's text source splits the bytes there, so that many tasks read
+    one document and none holds more than a run.  JSON text has no raw line
+    break, so no value can look like that line.  Other layouts come as one record
+    and are parsed whole.  ``written``: the folder is one that
+    ``write_history_documents`` made; rows are then by ``history``, counted on over
+    its documents.
+    """
+    source = spark.read.option("lineSep", "\n    {\n")
+    if written:
+        source = source.schema("value string, history string, part long")
+    key, order = ("history", ["part", "__block", "__row"]) if written else ("file", ["__block", "__row"])
+    text = source.text(paths).select(*([key, "part"] if written else [F.col("_metadata.file_path").alias("file")]), F.col("_metadata.file_path").alias("__file"),
+                                     F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__row"), "value")
+    text = materialize(text)
+    is_head = F.ltrim("value").startswith("{")
+    heads = text.filter(is_head).select(F.col("__file").alias("__of"), F.from_json(F.regexp_extract("value", r'(?s)^\s*\{\s*"info":\s*(\{.*\}),\s*"data":\s*\[\s*$', 1), INFO_SCHEMA).alias("info"))
+    body = F.concat(F.lit("{"), F.regexp_replace("value", r"(?s)\n    \}(,|\s*\]\s*\}\s*)?$", ""), F.lit("}"))
+    split = text.filter(~is_head).withColumn("r", F.from_json(body, RUN_SCHEMA)).withColumn("__at", F.lit(0))
+    split = split.join(heads, F.col("__file") == F.col("__of")).drop("__of", "value")
+    whole = text.filter(is_head).withColumn("__d", F.from_json("value", HISTORY_SCHEMA)).select(
+        *[c for c in text.columns if c != "value"], F.col("__d.info").alias("info"), F.posexplode("__d.data").alias("__at", "r"))
+    runs = with_row_number(split.unionByName(whole), [key], [*order, "__at"], "pos").withColumn("pos", F.col("pos") - 1)
+    if first_n >= 0:
+        runs = runs.filter(F.col("pos") < first_n)
+    return _run_columns(runs, [key], knobs)
+
+
 def write_history_json(trials: DataFrame, path: str) -> None:
     """One JSON line per run, a folder per task; a task of any size is written by many tasks."""
     trials.write.mode("overwrite").partitionBy("task_id").json(path)

@@ -169,6 +169,44 @@ def test_history_documents(spark, tmp_path):
     assert HS.valid_histories(runs).count() == 0
 
 
+@pytest.mark.parametrize("indent", [None, 1, 2, 4])
+def test_split_documents(spark, tmp_path, indent):
+    """One document read by many tasks in any layout; the order of its runs is kept."""
+    data = [{"configuration": {"a": str(i), "t": 'x\n    {\n"y'}, "external_metrics": {"p": 2147483647 if i % 7 == 0 else i / 4}, "internal_metrics": [i, 0.5],
+             "resource": {"m": i}, "trial_state": int(i % 7 == 0), "elapsed_time": 1.0, "iter_time": 2.0} for i in range(300)]
+    (tmp_path / "h.json").write_text(json.dumps({"info": {"objs": ["-p", "m"], "constraints": ["m"]}, "data": data}, indent=indent))
+    (tmp_path / "none.json").write_text(json.dumps({"info": {"objs": ["-p"], "constraints": []}, "data": []}, indent=indent))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        runs = HS.history_objectives(HS.read_history_documents(spark, str(tmp_path), {"a": "5", "t": "d", "new": "n"})).orderBy("pos").collect()
+        first = HS.read_history_documents(spark, [str(tmp_path / "h.json")], {"a": "5"}, first_n=4)
+        assert first.select(F.max("pos")).first()[0] == 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r["pos"] for r in runs] == list(range(300))
+    for i, r in enumerate(runs):
+        p = None if i % 7 == 0 else i / 4
+        assert r["configuration"] == {"a": str(i), "t": 'x\n    {\n"y', "new": "n"} and r["external_metrics"] == {"p": p}
+        assert r["objs"] == [p, -float(i)] and r["constraint_values"] == [float(i)] and r["internal_metrics"] == [float(i), 0.5] and r["context"] is None
+
+
+def test_documents_come_back(spark, tmp_path):
+    schema = ("file string, info struct<objs:array<string>,constraints:array<string>>, pos long, configuration map<string,string>, external_metrics map<string,double>, "
+              "internal_metrics array<double>, resource map<string,double>, context array<double>, trial_state int, elapsed_time double, iter_time double")
+    info = (["-p"], [])
+    rows = [(f, info, i, {"a": f"v{i}", "q": '"}{'}, {"p": i / 3}, None, {"m": None}, [1.0 / (i + 1)], i % 2, None, 1e-300) for f in ("x y/z", "007", None) for i in range(25)]
+    HS.write_history_documents(spark.createDataFrame(rows, schema), str(tmp_path / "d"), runs_per_file=10)
+    files = sorted((tmp_path / "d").rglob("part-*"))
+    assert len(files) == 9 and all(json.loads(f.read_text())["info"] == {"objs": ["-p"], "constraints": []} for f in files)
+    back = HS.read_history_documents(spark, str(tmp_path / "d"), {"a": "", "q": ""}, written=True)
+    got = {(r["history"], r["pos"]): tuple(r)[1:] for r in back.collect()}
+    assert got == {(f, i): (info, i, *rest) for f, _, i, *rest in rows}
+    bad = spark.createDataFrame([*rows, ("007", (["q"], []), 25, {}, {}, None, None, None, 0, 1.0, 1.0)], schema)
+    with pytest.raises(Exception, match="runs disagree about info"):
+        HS.write_history_documents(bad, str(tmp_path / "e"))
+
+
 def test_catalog_oversize(spark):
     text = json.dumps({"big": {"type": "integer", "min": 1024, "max": 2 ** 64, "default": 4096}, "m": {"type": "enum", "enum_values": ["on", "off"], "default": "on"}})
     rows = HS.load_knob_catalog(spark.createDataFrame([(text,)], "text string")).collect()
