@@ -162,7 +162,12 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     count over distinct values, so no task ever holds a group's values.  The
     counts are written once because the scan over them reads them three times.
     """
-    counts = materialize(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n")))
+    return count_quantiles(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n")), keys, value, "__n", probs)
+
+
+def count_quantiles(counts: DataFrame, keys: list[str], value: str, count: str, probs: dict[str, float]) -> DataFrame:
+    """``quantiles`` of a table that holds every value once per group, with its number of rows."""
+    counts = materialize(counts.select(*keys, value, F.col(count).alias("__n")))
     cum = with_running(counts, keys, [value], {"__cum": ("sum", "__n")})
     totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
     joined = join_keys(cum, totals, keys) if keys else attach_row(cum, totals)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelpgrid.functions.expressions import bilog
-from kelpgrid.functions.ordering import join_keys, quantiles, with_group_stats, with_row_number, with_running
+from kelpgrid.functions.ordering import count_quantiles, join_keys, quantiles, with_group_stats, with_row_number, with_running
 
 KEYS = ["task_id"]
 # Fixed value: an objective that says "no value".
@@ -56,8 +56,56 @@ def trial_status(state: str, objectives: list[str], constraints: list[str] = ())
     return F.when(bad, "failed").when(broken, "infeasible").otherwise("success")
 
 
-def append_observation(history: DataFrame, new: DataFrame) -> DataFrame:
-    return history.unionByName(new)
+def append_observation(history: DataFrame, new: DataFrame, info: str | None = None) -> DataFrame:
+    """History with the new runs; ``info`` names a column in which all runs of a task have to agree (else the job ends)."""
+    both = history.unionByName(new)
+    if info is None:
+        return both
+    infos = both.groupBy(*KEYS).agg(F.min(info).alias("__low"), F.max(info).alias("__high"))
+    return history.unionByName(join_keys(new, infos, KEYS).withColumn(info, _one_info(F.col("__low"), F.col("__high"), F.col(info))).drop("__low", "__high"))
+
+
+def _one_info(low: Column, high: Column, value: Column) -> Column:
+    return F.when(low < high, F.raise_error(F.concat(F.lit("runs disagree about info in task "), F.coalesce(F.col(KEYS[0]).cast("string"), F.lit("null"))))).otherwise(value)
+
+
+STATE = ["n_success", "n_failed", "n_infeasible"]
+
+
+def history_state(trials: DataFrame, y: str, status: Column, info: str | None = None) -> DataFrame:
+    """What is kept of a history between appends: runs per task and objective value, by outcome, and the task's info.
+
+    States of any two sets of runs add up (``merge_states``), in any order, so a new batch is aggregated alone and
+    old runs are not read again.  The table has one row per value that occurs; all statistics come from it, exactly.
+    """
+    counts = [F.count_if(status == n.removeprefix("n_")).alias(n) for n in STATE]
+    named = F.lit(None).cast("string") if info is None else F.col(info)
+    return trials.groupBy(*KEYS, F.col(y).alias("y")).agg(*counts, F.min(named).alias("info"), F.max(named).alias("other_info"))
+
+
+def merge_states(*states: DataFrame) -> DataFrame:
+    """Sum of several states; equal to the state of all their runs together."""
+    rows = states[0]
+    for s in states[1:]:
+        rows = rows.unionByName(s)
+    return rows.groupBy(*KEYS, "y").agg(*[F.sum(n).alias(n) for n in STATE], F.min("info").alias("info"), F.max("other_info").alias("other_info"))
+
+
+def state_summary(state: DataFrame) -> DataFrame:
+    """``(task_id, info, n_trials, n_success, n_failed, n_infeasible, best, p5, min_y, max_y)`` of a state.
+
+    ``best`` is the lowest objective of successful runs; the 5th percentile (linear), minimum and maximum are of all
+    completed runs, infeasible ones included; a run without an objective only counts.  The job ends where runs of one task
+    disagree about ``info``.
+    """
+    n_done = F.col("n_success") + F.col("n_infeasible")
+    done = (F.col("y").isNotNull()) & (n_done > 0)
+    total = state.groupBy(*KEYS).agg(
+        F.min("info").alias("info"), F.max("other_info").alias("__other"), *[F.sum(n).alias(n) for n in STATE],
+        F.min(F.when(F.col("n_success") > 0, F.col("y"))).alias("best"), F.min(F.when(done, F.col("y"))).alias("min_y"), F.max(F.when(done, F.col("y"))).alias("max_y"))
+    p5 = count_quantiles(state.filter(done).withColumn("__done", n_done), KEYS, "y", "__done", {"p5": 0.05})
+    out = join_keys(total.withColumn("info", _one_info(F.col("info"), F.col("__other"), F.col("info"))), p5, KEYS, "left")
+    return out.select(*KEYS, "info", (F.col("n_success") + F.col("n_failed") + F.col("n_infeasible")).alias("n_trials"), *STATE, "best", "p5", "min_y", "max_y")
 
 
 def history_summary(trials: DataFrame, y: str, status: Column) -> DataFrame:
@@ -117,6 +165,12 @@ def incumbents(trials: DataFrame, y: str, config: list[str], keys: list[str] = K
     return join_keys(firsts, best, keys).filter(F.col(y) == F.col("best")).drop("best")
 
 
+def list_trials(trials: DataFrame, config: list[str], y: list[str], context: list[str] = ()) -> DataFrame:
+    """Every run as its configuration, objectives and (if named) context, one array or struct each, in columns of that name."""
+    parts = [F.struct(*config).alias("configuration"), F.array(*[F.col(c).cast("double") for c in y]).alias("objectives")]
+    return trials.select(*KEYS, "iter", *parts, *([F.array(*[F.col(c).cast("double") for c in context]).alias("context")] if context else []))
+
+
 def trial_lookup(trials: DataFrame, config: dict, cols: list[str]) -> DataFrame:
     cond = F.lit(True)
     for k, v in config.items():
@@ -169,6 +223,18 @@ def promising_region(trials: DataFrame, y: str, threshold: DataFrame, numeric: l
         *KEYS, "knob", F.coalesce("below", "lo").alias("low"), F.coalesce("above", "hi").alias("high"))
 
 
+def normalized_importance(region: DataFrame, importance: DataFrame, default: DataFrame) -> DataFrame:
+    """``region`` with the importance of its knob over the absolute default performance of its task.
+
+    ``importance(knob, importance)`` holds for all tasks, or has the task's keys
+    too; ``default`` is ``default_perf``.  Knobs without an importance and tasks
+    whose default performance is 0 or unknown get null.
+    """
+    on = [*(KEYS if KEYS[0] in importance.columns else []), "knob"]
+    out = join_keys(join_keys(region, importance, on, "left"), default, KEYS, "left")
+    return out.withColumn("importance", F.try_divide(F.col("importance"), F.abs("default_perf"))).drop("default_perf")
+
+
 def promising_categories(trials: DataFrame, y: str, threshold: DataFrame, categorical: list[str]) -> DataFrame:
     """Distinct good values per categorical knob."""
     good = join_keys(trials, threshold, KEYS).filter(F.col(y) <= F.col("threshold"))

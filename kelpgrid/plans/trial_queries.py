@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kelpgrid.functions.expressions import r
 from kelpgrid.operators import pareto as P
+from kelpgrid.operators import importance as I
 from kelpgrid.operators import trials as H
 from kelpgrid.operators.nearest import nearest_distance
 from kelpgrid.plans.fixtures import ORACLE_PART_TRIALS, ORACLE_TRIALS, part_trials, table, trials
@@ -61,6 +62,28 @@ def append_observation(spark, sf):
     return H.history_summary(H.append_observation(t.filter("status = 'O'"), t.filter("status <> 'O'")), "f1", status())
 
 
+STATE_SQL = T + """, ap AS (SELECT *, '-price,' || task_id AS info, outcome <> 'failed' AS done FROM st)
+SELECT task_id, any_value(info) AS info, count(*) AS n_trials, count(*) FILTER (outcome = 'success') AS n_success, count(*) FILTER (outcome = 'failed') AS n_failed, count(*) FILTER (outcome = 'infeasible') AS n_infeasible,
+min(f1) FILTER (outcome = 'success') AS best, round(quantile_cont(f1, 0.05) FILTER (done), 4) AS p5, min(f1) FILTER (done) AS min_y, max(f1) FILTER (done) AS max_y FROM ap GROUP BY task_id"""
+
+
+@query("append_state", STATE_SQL)
+def append_state(spark, sf):
+    """Runs arrive in three batches; each is aggregated alone and added to the kept state."""
+    t = trials(spark, sf, False).withColumn("info", F.concat(F.lit("-price,"), "task_id"))
+    kept = None
+    for batch in (t.filter("quantity <= 17"), t.filter("quantity > 17 and quantity <= 34"), t.filter("quantity > 34 or quantity is null")):
+        new = H.history_state(batch, "f1", status(), "info")
+        kept = materialize(new if kept is None else H.merge_states(kept, new))
+    return H.state_summary(kept).withColumn("p5", r("p5", 4))
+
+
+@query("list_trials", T + "SELECT task_id, iter, quantity, status, f1 AS y0, f2 AS y1, tax AS context FROM trials")
+def list_trials(spark, sf):
+    rows = H.list_trials(trials(spark, sf), CONFIG, ["f1", "f2"], ["tax"])
+    return rows.select("task_id", "iter", "configuration.quantity", "configuration.status", F.get("objectives", 0).alias("y0"), F.get("objectives", 1).alias("y1"), F.get("context", 0).alias("context"))
+
+
 @query("fill_defaults", T + """SELECT task_id, iter, coalesce(nullif(discount, 0), 0.05) AS discount,
 coalesce(nullif(status, 'F'), 'O') AS status, 'lz4' AS codec FROM trials""")
 def fill_defaults(spark, sf):
@@ -157,6 +180,20 @@ def promising_region(spark, sf):
     return H.promising_region(t, "y", _threshold(t), ["quantity", "discount", "tax"])
 
 
+@query("promising_importance", REGION + """, imps AS (SELECT 'quantity' AS knob, (SELECT var_pop(m) FROM (SELECT avg(f1) AS m FROM trials GROUP BY quantity)) / (SELECT var_pop(f1) FROM trials) AS v
+ UNION ALL SELECT 'discount', (SELECT var_pop(m) FROM (SELECT avg(f1) AS m FROM trials GROUP BY discount)) / (SELECT var_pop(f1) FROM trials))
+SELECT task_id, knob, coalesce(max(v0) FILTER (NOT good AND v0 < lo), any_value(lo)) AS low, coalesce(min(v0) FILTER (NOT good AND v0 > hi), any_value(hi)) AS high,
+ round(any_value(w) / abs(any_value(default_perf)) * 1e6, 6) AS importance FROM (SELECT lg.task_id, lg.knob, good, lg.v AS v0, lo, hi, imps.v AS w, default_perf
+ FROM lg JOIN span USING (task_id, knob) LEFT JOIN imps ON imps.knob = lg.knob JOIN def ON def.task_id = lg.task_id) GROUP BY ALL""")
+def promising_importance(spark, sf):
+    """Regions with the share of the objective's variance between the values of each knob; ``tax`` has none."""
+    t = materialize(_imputed(spark, sf))
+    region = H.promising_region(t, "y", _threshold(t), ["quantity", "discount", "tax"])
+    share = I.anova_main(trials(spark, sf, False), ["quantity", "discount"], "f1").select(F.col("params").alias("knob"), F.col("share").alias("importance"))
+    out = H.normalized_importance(region, share, H.default_perf(t, "y", DEFAULT))
+    return out.select("task_id", "knob", "low", "high", r(F.col("importance") * 1e6).alias("importance"))
+
+
 @query("promising_categories", REGION + "SELECT DISTINCT task_id, 'status' AS knob, status AS value FROM imp JOIN th USING (task_id) WHERE y <= threshold")
 def promising_categories(spark, sf):
     t = materialize(_imputed(spark, sf))

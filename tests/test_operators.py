@@ -169,6 +169,47 @@ def test_history_documents(spark, tmp_path):
     assert HS.valid_histories(runs).count() == 0
 
 
+def test_states_add_up(spark):
+    """Appending batches in any order gives the summary of one pass; tasks without a name and runs without a value included."""
+    rng = np.random.default_rng(4)
+    rows = [(t, None if rng.random() < 0.1 else float(rng.integers(0, 12)), int(rng.random() < 0.2), float(rng.normal())) for t in ("a", None, "b") for _ in range(70)]
+    rows += [("c", None, 1, 0.0), ("d", None, 0, -1.0)]
+    df = spark.createDataFrame([(*r, i, f"i-{r[0]}") for i, r in enumerate(rows)], "task_id string, y double, state int, c double, iter long, info string")
+    status = H.trial_status("state", ["y"], ["c"])
+    parts = [H.history_state(df.filter(f"iter % 3 = {k}"), "y", status, "info") for k in range(3)]
+    merged = [H.merge_states(H.merge_states(parts[a], parts[b]), parts[c]) for a, b, c in ((0, 1, 2), (2, 0, 1))]
+    want = {tuple(r) for r in H.state_summary(H.history_state(df, "y", status, "info")).collect()}
+    assert all({tuple(r) for r in H.state_summary(m).collect()} == want for m in merged)
+    for task, info, n, ok, failed, broken, best, p5, low, high in want:
+        runs = [r for r in rows if r[0] == task]
+        done = [y for _, y, s, c in runs if s == 0 and y is not None]
+        good = [y for _, y, s, c in runs if s == 0 and y is not None and c <= 0]
+        assert (info, n, ok, failed, broken) == (None if task is None else f"i-{task}", len(runs), len(good), len(runs) - len(done), len(done) - len(good)) or task is None
+        assert best == (min(good) if good else None) and (low, high) == ((min(done), max(done)) if done else (None, None))
+        assert p5 == (pytest.approx(np.percentile(done, 5)) if done else None)
+    assert H.state_summary(H.history_state(df.filter("false"), "y", status)).count() == 0
+
+
+def test_one_info_per_task(spark):
+    old = spark.createDataFrame([("a", 1, "x"), (None, 1, "y")], "task_id string, iter int, info string")
+    same = spark.createDataFrame([(None, 2, "y"), ("a", 2, "x"), ("new", 1, "z")], old.schema)
+    assert H.append_observation(old, same, "info").count() == 5
+    other = spark.createDataFrame([(None, 2, "x")], old.schema)
+    with pytest.raises(Exception, match="runs disagree about info in task null"):
+        H.append_observation(old, other, "info").collect()
+    states = [H.history_state(d.withColumn("y", F.lit(1.0)), "y", F.lit("success"), "info") for d in (old, other)]
+    with pytest.raises(Exception, match="runs disagree about info"):
+        H.state_summary(H.merge_states(*states)).collect()
+
+
+def test_normalized_importance(spark):
+    region = spark.createDataFrame([("a", "k", 1.0, 2.0), ("a", "z", 1.0, 2.0), ("b", "k", 0.0, 1.0), (None, "k", 0.0, 1.0)], "task_id string, knob string, low double, high double")
+    share = spark.createDataFrame([("k", 3.0)], "knob string, importance double")
+    default = spark.createDataFrame([("a", -6.0), ("b", 0.0), (None, 2.0)], "task_id string, default_perf double")
+    got = {(r["task_id"], r["knob"]): r["importance"] for r in H.normalized_importance(region, share, default).collect()}
+    assert got == {("a", "k"): 0.5, ("a", "z"): None, ("b", "k"): None, (None, "k"): 1.5}
+
+
 @pytest.mark.parametrize("indent", [None, 1, 2, 4])
 def test_split_documents(spark, tmp_path, indent):
     """One document read by many tasks in any layout; the order of its runs is kept."""
