@@ -8,6 +8,7 @@ from kelpgrid.functions.expressions import r
 from kelpgrid.operators import pareto as P
 from kelpgrid.operators import importance as I
 from kelpgrid.operators import trials as H
+from kelpgrid.operators.metric import nearest_vectors
 from kelpgrid.operators.nearest import nearest_distance
 from kelpgrid.plans.fixtures import ORACLE_PART_TRIALS, ORACLE_TRIALS, part_trials, table, trials
 from kelpgrid.plans.registry import query
@@ -420,3 +421,10 @@ def first_n_trials(spark, sf):
     return H.first_n_trials(trials(spark, sf), 50).select("task_id", "iter", "f1")
 
 
+@query("nearest_evaluated_wide", """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), d AS (SELECT a.vec_id, list_distance(a.e, b.e) AS distance FROM v a JOIN v b ON a.label >= 5 AND b.label < 5)
+SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY distance) AS INTEGER) AS rank, round(distance, 6) AS distance FROM d QUALIFY rank <= 3""")
+def nearest_evaluated_wide(spark, sf):
+    """The three closest evaluated vectors over all dimensions."""
+    e = table(spark, sf, "embeddings")
+    near = nearest_vectors(e.filter("label >= 5"), e.filter("label < 5"), "vec_id", "embedding", 3)
+    return near.select("vec_id", "rank", r("distance").alias("distance"))
