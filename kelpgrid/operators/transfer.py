@@ -79,8 +79,13 @@ def predict(xs: list[str]) -> Column:
     return out
 
 
-def fit_per_task(df: DataFrame, xs: list[str], y: str, keys: list[str] = ("task_id",)) -> DataFrame:
-    """One ridge model per task on the standardized objective (moments in Spark, tiny solves per task)."""
+def fit_per_task(df: DataFrame, xs: list[str], y: str, keys: list[str] = ("task_id",), first_n: int = -1, order: list[str] = ("iter",)) -> DataFrame:
+    """One ridge model per task on the standardized objective (moments in Spark, tiny solves per task).
+
+    ``first_n`` learns from the first runs of each task along ``order`` only (all if -1).
+    """
+    if first_n >= 0:
+        df = with_row_number(df, list(keys), list(order), "__rn").filter(F.col("__rn") <= first_n).drop("__rn")
     return _solve(_moments(df, list(keys), xs, y), list(keys), len(xs))
 
 

@@ -9,6 +9,7 @@ from kelpgrid.operators import grid as G
 from kelpgrid.operators import parts as P
 from kelpgrid.plans.fixtures import ALPHA, CELL, EPS_S, EPS_T, ORACLE_POINTS, PARTS, points, table, unit_sql
 from kelpgrid.plans.registry import query
+from kelpgrid.sources import points as PT
 
 CELLS = f"""WITH RECURSIVE {ORACLE_POINTS},
 lim AS (SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1, min(t) t0, max(t) t1 FROM p),
@@ -249,5 +250,4 @@ def point_zone(spark, sf):
 
 @query("list_inputs")
 def list_inputs(spark, sf):
-    files = table(spark, sf, "events").select(F.col("_metadata.file_path").alias("file"))
-    return files.groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
+    return PT.list_inputs(table(spark, sf, "events"))

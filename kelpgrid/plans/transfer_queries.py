@@ -142,6 +142,14 @@ def fit_per_task(spark, sf):
     return X.fit_per_task(_vectors(spark, sf), XS, "y")
 
 
+@query("fit_per_task_first", """WITH f AS (SELECT label, embedding[1]::DOUBLE AS y, embedding[2]::DOUBLE AS x FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 20)
+SELECT CAST(label AS VARCHAR) AS task_id, round(avg(y), 6) AS y_mean, round(regr_slope(y, x) * count(*) / (count(*) + 0.001), 6) + 0.0 AS slope FROM f GROUP BY 1""")
+def fit_per_task_first(spark, sf):
+    """Models of the first 20 runs of each task on one feature."""
+    m = X.fit_per_task(_vectors(spark, sf), ["x1"], "y", first_n=20, order=["vec_id"])
+    return m.select("task_id", r("y_mean").alias("y_mean"), r(F.get("coef", 1) * F.col("y_std")).alias("slope"))
+
+
 @query("fit_residual_chain")
 def fit_residual_chain(spark, sf):
     v = _vectors(spark, sf)

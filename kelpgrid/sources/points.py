@@ -22,6 +22,15 @@ def list_inputs(scan: DataFrame) -> DataFrame:
     return scan.select(F.col("_metadata.file_path").alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def list_files(spark: SparkSession, paths: list[str], pattern: str = "*") -> DataFrame:
+    """``(file, bytes, modified)`` of the files below ``paths`` whose names fit ``pattern``; no file is opened.
+
+    Files without a byte hold no rows and are not listed.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(paths)
+    return found.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+
+
 def encode_time(ts: Column) -> Column:
     """Timestamp -> units of 100 seconds since the reference instant (session zone UTC)."""
     return (F.unix_millis(ts) - F.unix_millis(F.to_timestamp(F.lit(REFERENCE_TIME), TIME_FORMAT))) / F.lit(UNIT_MS)

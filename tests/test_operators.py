@@ -314,6 +314,27 @@ def test_ridge_models(spark):
     assert w["m1"] > 0.9 and abs(sum(w.values()) - 1) < 0.01
 
 
+def test_models_of_first_runs(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame(pd.DataFrame({"task_id": ["a"] * 30 + ["b"] * 8, "iter": [*range(0, 60, 2), *range(8)], "x": rng.normal(size=38), "y": rng.normal(size=38)}))
+    got = {m["task_id"]: m for m in X.fit_per_task(df, ["x"], "y", first_n=10).collect()}
+    want = {m["task_id"]: m for m in X.fit_per_task(df.filter("iter < 20"), ["x"], "y").collect()}
+    assert set(got) == {"a", "b"} and all(np.allclose(got[t]["coef"], want[t]["coef"]) for t in got)
+
+
+def test_cloud_log_without_a_rate(spark):
+    lines = spark.createDataFrame([("a", "t 0 ok a b c Request/s:4 end"), ("a", "warm up"), ("a", "t 0 ok a b c Request/s:6 end"), ("b", "warm up"), ("c", "Request/s")], "file string, line string")
+    assert {r["file"]: r["qps"] for r in L.bench_cloud(lines).collect()} == {"a": 5.0, "b": None, "c": None}
+
+
+def test_list_files(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for name, text in (("a.csv", "12345"), ("d/b.csv", "1"), ("d/c.txt", "x"), ("none.csv", "")):
+        (tmp_path / name).write_text(text)
+    got = {r["file"].rsplit("/", 1)[1]: r["bytes"] for r in PT.list_files(spark, [str(tmp_path)], "*.csv").collect()}
+    assert got == {"a.csv": 5, "b.csv": 1}
+
+
 def test_pair_blocks_split_a_task(spark):
     rng = np.random.default_rng(2)
     pdf = pd.DataFrame({"task": 1, "id": range(50), "y": rng.integers(0, 9, 50).astype(float), "a": rng.normal(0, 1, 50)})
