@@ -322,12 +322,23 @@ def catalog_docs(spark, sf):
     return a.select("space", F.to_json(m).alias("text"))
 
 
-@query("load_knob_catalog", f"""WITH {CATALOG_SQL} SELECT space, name, type, min, max, "default", array_to_string(choices, ',') AS choices FROM cat WHERE pos < 3""")
-def load_knob_catalog(spark, sf):
-    c = HS.load_knob_catalog(catalog_docs(spark, sf), 3)
+CATALOG_ROW = f"""WITH {CATALOG_SQL} SELECT space, name, type, min, max, "default", array_to_string(choices, ',') AS choices FROM cat"""
+
+
+def _catalog_rows(c):
     return c.select("space", "name", "type", "min", "max", "default", F.array_join("choices", ",").alias("choices"))
 
 
+@query("load_knob_catalog", CATALOG_ROW)
+def load_knob_catalog(spark, sf):
+    return _catalog_rows(HS.load_knob_catalog(catalog_docs(spark, sf)))
+
+
+@query("load_knob_catalog_first", CATALOG_ROW + " WHERE pos < 3")
+def load_knob_catalog_first(spark, sf):
+    return _catalog_rows(HS.load_knob_catalog(catalog_docs(spark, sf), 3))
+
+
 @query("load_space_dict", f"""WITH {CATALOG_SQL} SELECT space, 'kind' AS name, 'enum' AS type, NULL::DOUBLE AS min, NULL::DOUBLE AS max, kinds[1] AS "default", false AS log,
 array_to_string(kinds, ',') AS choices FROM agg UNION ALL SELECT space, 'price', 'float', r0, r1, NULL, true, NULL FROM agg
 UNION ALL SELECT space, 'size', 'integer', s0, s1, '9', false, NULL FROM agg UNION ALL SELECT space, 'fixed', 'constant', NULL, NULL, 'v', false, NULL FROM agg""")
