@@ -89,19 +89,14 @@ def swap_gain(edges: DataFrame, assigned: DataFrame) -> DataFrame:
 def refine_parts(edges: DataFrame, assigned: DataFrame, max_load: int) -> DataFrame:
     """Rounds of moves that raise the internal weight and keep every load <= cap, until none is left.
 
-    Per round each cell names its best part among those it fits into alone; of two
-    adjacent movers only the better one moves, so the gains add up; arrivals are
-    accepted by gain until the target is full.  The first arrival of a target always
-    fits and every round raises the internal weight, so the rounds end only when no
-    single move is left that would raise it.
+    Per round each cell names its best part; of two adjacent movers only the
+    better one moves, so the gains add up; arrivals are accepted by gain until
+    the target is full.  Every round raises the internal weight, so the rounds end.
     """
     edges = materialize(edges)
     state = materialize(assigned)
     while True:
-        loads = part_loads(state).select(F.col("part").alias("target"), "load")
-        fits = (move_gain(edges, state).filter("gain > 1e-9").select("cell_id", "target", "gain").join(loads, "target")
-                .join(state.select("cell_id", "n"), "cell_id").filter(F.col("load") + F.col("n") <= F.lit(max_load)))
-        best = (fits.groupBy("cell_id")
+        best = (move_gain(edges, state).filter("gain > 1e-9").groupBy("cell_id")
                 .agg(F.max_by(F.struct("target", "gain"), F.struct("gain", -F.col("target"))).alias("m"))
                 .select("cell_id", "m.target", "m.gain"))
         score = F.struct(F.col("gain"), -F.col("cell_id"))
@@ -114,8 +109,12 @@ def refine_parts(edges: DataFrame, assigned: DataFrame, max_load: int) -> DataFr
         movers = materialize(movers.withColumn("rank_key", -F.col("gain")))
         if movers.isEmpty():
             break
+        loads = part_loads(state).select(F.col("part").alias("target"), "load")
         run = with_running(movers, ["target"], ["rank_key", "cell_id"], {"arriving": ("sum", "n")})
         ok = run.join(loads, "target").filter(F.col("load") + F.col("arriving") <= F.lit(max_load)).select("cell_id", "target")
+        ok = materialize(ok)
+        if ok.isEmpty():
+            break
         state = materialize(state.join(ok, "cell_id", "left").withColumn("part", F.coalesce("target", "part")).drop("target"))
     return state
 
@@ -144,17 +143,18 @@ def merge_adjacent(hist: DataFrame, edges: DataFrame, cap: int) -> DataFrame:
     return state
 
 
-def seed_grow(hist: DataFrame, edges: DataFrame, cap: int) -> DataFrame:
+def seed_grow(hist: DataFrame, edges: DataFrame, cap: int, max_rounds: int = 200) -> DataFrame:
     """Stars of cells: a seed absorbs unvisited neighbours, lightest edge first, until the cap.
 
     All unvisited cells whose hash is the smallest among their unvisited
-    neighbours are seeds of a round; a wanted cell goes to one seed.  There is a
-    seed in every round, so the rounds end when no cell is left.
+    neighbours are seeds of a round; a wanted cell goes to one seed.
     """
     edges = materialize(both_directions(edges))
     done = None
     left = materialize(hist.select("cell_id", "n"))
-    while not left.isEmpty():
+    for _ in range(max_rounds):
+        if left.isEmpty():
+            break
         pr = left.select("cell_id", F.struct(F.xxhash64("cell_id"), F.col("cell_id")).alias("pr"))
         near = (edges.join(pr.select(F.col("cell_id").alias("src"), F.col("pr").alias("mine")), "src")
                 .join(pr.select(F.col("cell_id").alias("dst"), F.col("pr").alias("theirs")), "dst"))
@@ -169,6 +169,8 @@ def seed_grow(hist: DataFrame, edges: DataFrame, cap: int) -> DataFrame:
         grown = materialize(taken.unionByName(seeds.select("cell_id", F.col("cell_id").alias("part"))))
         done = grown if done is None else materialize(done.unionByName(grown))
         left = materialize(left.join(grown, "cell_id", "left_anti"))
+    else:
+        raise RuntimeError("cells left without a part")
     return hist.join(done, "cell_id") if done is not None else hist.withColumn("part", F.col("cell_id"))
 
 

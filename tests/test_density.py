@@ -131,11 +131,3 @@ def test_parts_keep_all_cells_and_caps(spark):
     assert merged.count() == n and P.part_loads(merged).groupBy().max("load").first()[0] <= max(cap, biggest)
     grown = P.seed_grow(hist, edges, cap)
     assert grown.count() == n and grown.select("cell_id").distinct().count() == n
-
-
-def test_refine_parts_past_a_cell_too_large(spark):
-    """The best mover fits nowhere; a smaller one behind it still moves."""
-    edges = spark.createDataFrame([(1, 3, 5.0), (2, 3, 1.0)], "src long, dst long, w double")
-    start = spark.createDataFrame([(1, 10, 0), (2, 1, 0), (3, 1, 1)], "cell_id long, n long, part long")
-    got = {r["cell_id"]: r["part"] for r in P.refine_parts(edges, start, 5).collect()}
-    assert got == {1: 0, 2: 1, 3: 1}
