@@ -125,9 +125,6 @@ class Encoder:
         self.pieces.update((w, self.pieces[base] + ids if base else ids) for (w, base), ids in zip(rest, self._parts(cuts)))
         return added
 
-    def _odd(self, piece: str) -> bool:
-        return not piece or piece[0].isspace() or piece[-1].isspace()
-
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """Ids of each text (null: none) and ``end``, as little-endian integers of ``dtype``."""
         # Lists of pieces hold no cycles; looking for some among them costs a tenth of the time.
@@ -138,24 +135,35 @@ class Encoder:
             gc.enable()
 
     def _encode(self, texts: list[str | None], end: int) -> list[bytes]:
-        heads, tails, bag = [], [], set()
+        heads, tails, found, gaps = [], [], [], []
+        new, seen, known = set(), 0, self.pieces.get
         for t in texts:
             head, gap, rest = (t or "").partition(" ")
+            tail = rest.split(" ") if gap else []
+            ids = list(map(known, tail))
+            gap = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+            new.update([tail[i] for i in gap])
+            seen += len(tail)
             heads.append(head)
-            tails.append(rest.split(" ") if gap else [])
-            bag.update(tails[-1])
-        bag = bag.difference(self.pieces)
+            tails.append(tail)
+            found.append(ids)
+            gaps.append(gap)
         odd = []
         if self.glue:
-            bad = set(filter(self._odd, bag))
-            odd = [i for i, tail in enumerate(tails) if tail and (heads[i][-1:].isspace() or not bad.isdisjoint(tail))]
-            for i in odd:
-                heads[i], tails[i] = "", []
-            bag -= bad
-        seen = sum(map(len, tails))
-        added = self._learn(bag)
+            bad = {w for w in new if not w or w.strip() != w}
+            new -= bad
+            for i, (head, tail, gap) in enumerate(zip(heads, tails, gaps)):
+                if tail and (head[-1:].isspace() or bad and any(tail[j] in bad for j in gap)):
+                    odd.append(i)
+                    heads[i], found[i], gaps[i] = "", [], []
+        added = self._learn(new)
+        learnt = self.pieces
         mark = np.array([end], self.dtype).tobytes()
-        out = [b"".join([h, *map(self.pieces.__getitem__, tail), mark]) for h, tail in zip(self._parts([self._cut(h) for h in heads]), tails)]
+        out = []
+        for head, tail, ids, gap in zip(self._parts([self._cut(h) for h in heads]), tails, found, gaps):
+            for i in gap:
+                ids[i] = learnt[tail[i]]
+            out.append(b"".join([head, *ids, mark]))
         for i, ids in zip(odd, self._run([texts[i] for i in odd])):
             out[i] = ids + mark
         if len(self.pieces) > PIECES:
