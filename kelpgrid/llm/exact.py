@@ -8,10 +8,11 @@ Main path: DataFrame functions only.
    bucket holds more than ``capacity`` distinct hashes; a bucket that is not
    overfull keeps its shorter prefix.  Distinct hashes are counted, not rows, so
    thousands of copies of one text make one entry and never split a bucket.
-3. Rows that share a hash are compared byte for byte by grouping on the text itself
-   (combined before the shuffle, so a hot text leaves each task once).  This shuffle by
-   bucket, hash and text replaces owner tasks for key ranges: the bucket is a label and
-   steers no work.  Different texts of one hash form a chain: each is an entry of its own.
+3. ``owners``: buckets in key order are dealt to owner tasks by prefix sums of their rows
+   that share a hash.  A bucket above one task's share is cut by a second hash of its
+   keys, a key above a tenth of it by its documents' ids.
+4. An owner task compares texts byte for byte.  Different texts of one hash form a
+   chain: each is an entry of its own.  Parts of a cut key are put together by their texts.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpgrid.llm.common import join_null_safe, lower_ascii, whole
+from kelpgrid.llm.common import join_null_safe, lower_ascii, running_total, whole
 from kelpgrid.session import materialize
 
 CAPACITY = 8192
+PARTS = 10  # a key with more than this part of an owner task's share is hot
 MAX_DEPTH = 62
 
 
@@ -63,33 +65,78 @@ def directory(entries: DataFrame, capacity: int = CAPACITY) -> tuple[int, DataFr
     return depth, materialize(out.select("slot", bucket.alias("bucket"), "depth"))
 
 
+def owners(entries: DataFrame, slots: DataFrame, depth: int, share: int) -> DataFrame:
+    """(slot, bucket, owner, pieces): owner tasks hold consecutive buckets with about ``share`` rows that share a hash.
+
+    A bucket with more rows has as many ``pieces`` as shares.
+    """
+    load = entries.filter("n > 1").groupBy(slot(depth).alias("slot")).agg(F.sum("n").alias("load"))
+    loaded = slots.join(load, "slot", "left").fillna(0, ["load"])
+    buckets = loaded.groupBy("bucket").agg(F.min("slot").alias("first"), F.sum("load").alias("load"))
+    upto = running_total(buckets, [], ["first"], "load", "upto")
+    return slots.select("slot", "bucket").join(upto.select(
+        "bucket", F.floor((F.col("upto") - F.col("load")) / share).alias("owner"),
+        F.greatest(F.lit(1), F.ceil(F.col("load") / share)).alias("pieces")), "bucket")
+
+
+def join_by_hash(rows: DataFrame, entries: DataFrame, keys: list[str], hot: Column, how: str = "inner") -> DataFrame:
+    """``rows`` with the one entry of their keys; hot entries are broadcast, so their many rows stay where they are.
+
+    An entry is hot if it has more than a set part of all rows, which bounds their number.
+    """
+    few = entries.filter(hot)
+    near = rows.join(F.broadcast(few), keys)
+    rest = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(entries.filter(~hot), keys, how)
+    return near.unionByName(rest)
+
+
 def shared_texts(docs: DataFrame, shared: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, hash, bucket, norm) of the rows whose id and hash are in ``shared``."""
+    """``shared``, one row for each id and hash in it, with ``norm`` for every row of ``docs`` that has both."""
     norm = docs.select(F.col(doc_id).alias("doc_id"), lower_ascii(whole(F.col(text))).alias("norm")).withColumn("hash", F.xxhash64("norm"))
     # A shuffle at every size: how many documents share a hash has no bound.
-    return join_null_safe(norm, shared.hint("merge"), ["doc_id", "hash"]).select("doc_id", "hash", "bucket", "norm")
+    return join_null_safe(norm, shared.hint("merge"), ["doc_id", "hash"])
+
+
+def chained(texts: DataFrame, tasks: int) -> DataFrame:
+    """(hash, text_sha256, keep_id, group_size) of every text, compared in its owner task.
+
+    ``texts``: ``owner``, ``piece``, ``salt`` (above 0 parts of a hot key), ``hot``, ``hash``, ``norm``, ``doc_id``.
+    """
+    # The grouping keys hold those of the shuffle, so rows stay with their owner.
+    own = texts.repartition(tasks, "owner", "piece", "salt").groupBy("owner", "piece", "salt", "hot", "hash", "norm").agg(
+        F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # Only parts of hot keys bring their texts to a second comparison.
+    parts = own.select("hash", F.sha2("norm", 256).alias("text_sha256"), F.when(F.col("hot"), F.col("norm")).alias("norm"), "keep_id", "group_size")
+    return parts.groupBy("hash", "text_sha256", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")).drop("norm")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256, n_bytes, bucket), one row for each row of ``docs``.
+    """(doc_id, keep_id, group_size, kept, text_sha256, n_bytes, hash), one row for each row of ``docs``.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty.  The
     largest id of a group stays, a null id only among nulls.  Rows that repeat both id
     and text are alike and all ``kept``; ``kept_documents`` leaves one of them.  An
     empty table gives no rows; other columns are ignored.
     """
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     index = write_index(docs, doc_id, text)
-    entries = materialize(index.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top")))
+    entries = materialize(index.groupBy("hash").agg(F.count(F.lit(1)).alias("n")))
     depth, slots = directory(entries, capacity)
-    owned = entries.withColumn("slot", slot(depth)).join(slots.select("slot", "bucket"), "slot").drop("slot")
-    # Chains: only documents whose hash occurs again bring their texts.
-    shared = materialize(index.select("doc_id", "hash").join(owned.filter("n > 1"), "hash").select("doc_id", "hash", "bucket").distinct())
-    texts = shared_texts(docs, shared, doc_id, text)
-    chains = texts.groupBy("bucket", "hash", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    chains = materialize(chains.select("hash", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"))
-    out = index.join(owned.select("hash", "bucket", "n", "top"), "hash").join(chains, ["hash", "text_sha256"], "left")
-    return out.select("doc_id", F.coalesce("keep_id", "top").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"),
-                      F.col("doc_id").eqNullSafe(F.coalesce("keep_id", "top")).alias("kept"), "text_sha256", "n_bytes", "bucket", "hash")
+    rows = entries.agg(F.sum("n")).first()[0] or 0
+    share = math.ceil(max(1, rows) / tasks)
+    limit = share / PARTS  # fewer than PARTS * tasks keys have more rows
+    # Only documents whose hash occurs again bring their texts.
+    again = entries.filter("n > 1").withColumn("slot", slot(depth)).join(owners(entries, slots, depth, share), "slot")
+    again = materialize(again.select("hash", "n", "owner", F.pmod(F.xxhash64("hash"), "pieces").alias("piece")))
+    hot = F.col("n") > limit
+    cuts = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / limit))
+    shared = join_by_hash(index.select("doc_id", "hash"), again, ["hash"], hot).select(
+        "doc_id", "hash", "owner", "piece", hot.alias("hot"), F.when(hot, cuts).otherwise(F.lit(0)).alias("salt")).distinct()
+    chains = materialize(chained(shared_texts(docs, materialize(shared), doc_id, text), tasks))
+    out = join_by_hash(index, chains, ["hash", "text_sha256"], F.col("group_size") > limit, "left")
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"),
+                      F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", "n_bytes", "hash")
 
 
 def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:

@@ -534,6 +534,25 @@ def test_exact_texts_join_on_the_hash(spark):
     assert texts.count() == 200 and "hash" in join.split("]")[0]
 
 
+def test_exact_hot_texts_are_dealt_to_many_owners(spark):
+    """Two hot texts and one hash per bucket: no owner task has much more than its share, in one shuffle of the texts."""
+    rows = [(i, ("Hot" if i % 3 else "hOT 2") if i < 2000 else f"t {i // 2}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact.deduplicate(df, capacity=50).collect()}
+    last = {lower(t): i for i, t in rows}
+    size = Counter(lower(t) for _, t in rows)
+    assert got == {i: (last[lower(t)], size[lower(t)]) for i, t in rows}
+    entries = exact.write_index(df).groupBy("hash").count().withColumnRenamed("count", "n")
+    depth, slots = exact.directory(entries, 50)
+    owned = exact.owners(entries.filter("n < 100"), slots, depth, 200).collect()
+    assert len(owned) == slots.count() and max(r["owner"] for r in owned) >= 8 and {r["pieces"] for r in owned} == {1}
+    texts = df.select("doc_id", (F.col("doc_id") % 1).alias("owner"), (F.col("doc_id") % 1).alias("piece"), (F.col("doc_id") % 7).alias("salt"),
+                      F.lit(True).alias("hot"), F.xxhash64("text").alias("hash"), F.col("text").alias("norm"))
+    plan = exact.chained(texts, 8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("+- == Initial")[0].count("Exchange hashpartitioning") == 2
+    assert {(r["keep_id"], r["group_size"]) for r in exact.chained(texts, 8).collect()} == {(last[lower(t)], size[lower(t)]) for _, t in rows}
+
+
 def test_directory(spark):
     h = spark.range(5000).select(F.xxhash64("id").alias("hash"))
     depth, slots = exact.directory(h, 200)
