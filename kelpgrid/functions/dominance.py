@@ -14,7 +14,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpgrid.functions.ordering import join_keys, with_row_number, with_running
+from kelpgrid.functions.ordering import join_rows, with_row_number, with_running
 from kelpgrid.session import materialize
 
 BITS = 3
@@ -54,7 +54,7 @@ def dominated(df: DataFrame, keys: list[str], first: list[str], second: list[str
         else:
             pick, agg = (F.least, F.min) if f == "min" else (F.greatest, F.max)
             out.append(agg(pick(*below)).alias(name))
-    return join_keys(df, lv.groupBy(*keys, row).agg(*out), [*keys, row])
+    return join_rows(df, lv.groupBy(*keys, row).agg(*out), [*keys, row])
 
 
 def lowest_below(df: DataFrame, keys: list[str], orders: list[list[str]], row: str, value: str, name: str) -> DataFrame:
@@ -86,7 +86,7 @@ def lowest_below(df: DataFrame, keys: list[str], orders: list[list[str]], row: s
         below.append(F.when(_all([d > x for d, x in zip(digits, spot)]), F.col(at)))
     lv = with_running(lv, [*keys, *groups], [ranks[0]], run, exclusive=True)
     low = F.least(*below) if len(below) > 1 else below[0]
-    return join_keys(df, lv.groupBy(*keys, row).agg(F.min(low).alias(name)), [*keys, row])
+    return join_rows(df, lv.groupBy(*keys, row).agg(F.min(low).alias(name)), [*keys, row])
 
 
 def _all(conditions: list[Column]) -> Column:

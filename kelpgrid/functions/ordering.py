@@ -90,6 +90,20 @@ def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return grouped(left, keys, "__join").join(grouped(right, keys, "__join").drop(*keys), "__join", how).drop("__join")
 
 
+def long_table(df: DataFrame) -> DataFrame:
+    """Mark a side of an equi join whose other side is as long as the data: both are sorted, none is broadcast.
+
+    Spark takes the size of a table from its compressed file and does not count the rows that
+    ``explode`` adds, so without the mark it may send tables to the driver that do not fit there.
+    """
+    return df.hint("merge")
+
+
+def join_rows(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``join_keys`` of two long tables."""
+    return join_keys(left, long_table(right), keys, how)
+
+
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a one-row frame (a global aggregate) to every row."""
     packed = one_row.select(F.struct(*one_row.columns).alias("__one")).scalar()
@@ -123,7 +137,7 @@ def with_running(df: DataFrame, keys: list[str], order: list[str],
         _SEED[f](f"__t_{n}").over(across).alias(f"__o_{n}") for n, (f, _) in aggs.items()])
     inside = (Window.partitionBy(GROUP, BUCKET).orderBy(*_asc(order))
               .rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow))
-    out = src.join(offsets, [GROUP, BUCKET])
+    out = src.join(long_table(offsets), [GROUP, BUCKET])
     for name, (f, _) in aggs.items():
         within = _AGG[f](f"__in_{name}").over(inside)
         if f in ("sum", "count"):
@@ -149,7 +163,7 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], cols: dict[s
     across = Window.partitionBy(GROUP).orderBy(BUCKET)
     carry = lasts.select(GROUP, BUCKET, F.lag("__last").over(across).alias("__carry"))
     inside = Window.partitionBy(GROUP, BUCKET).orderBy(*_asc(order))
-    out = src.join(carry, [GROUP, BUCKET]).withColumn("__first", F.row_number().over(inside) == 1)
+    out = src.join(long_table(carry), [GROUP, BUCKET]).withColumn("__first", F.row_number().over(inside) == 1)
     for o, c in cols.items():
         out = out.withColumn(o, F.when(F.col("__first"), F.col(f"__carry.{o}")).otherwise(F.lag(c).over(inside)))
     return out.drop(GROUP, BUCKET, "__carry", "__first")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpgrid.functions.ordering import with_row_number
+from kelpgrid.functions.ordering import long_table, with_row_number
 from kelpgrid.operators.components import connected_components
 from kelpgrid.session import materialize
 
@@ -65,6 +65,18 @@ def _coarse(df: DataFrame) -> DataFrame:
     return df.withColumns({"cx": F.shiftright("ux", 1), "cy": F.shiftright("uy", 1), "ct": F.shiftright("ut", 1)})
 
 
+def _cells_in_reach(df: DataFrame, eps_s: float, eps_t: float) -> DataFrame:
+    """Repeat each point for the coarse cells that its ball can meet (as key nx, ny, nt), at most 27."""
+    s, t = _edges(eps_s, eps_t)
+    out = df
+    for axis, edge, reach in (("x", 2 * s, eps_s), ("y", 2 * s, eps_s), ("t", 2 * t, eps_t)):
+        slack = F.lit(SLACK) * (F.lit(reach) + F.abs(F.col(axis)) * F.lit(1e-6))
+        low, high = (F.floor((F.col(axis) + sign * (F.lit(reach) + slack)) / F.lit(edge)) for sign in (-1, 1))
+        at = F.col(f"c{axis}")
+        out = out.select("*", F.explode(F.sequence(at - F.when(low < at, 1).otherwise(0), at + F.when(high > at, 1).otherwise(0))).alias(f"n{axis}"))
+    return out
+
+
 def _around(df: DataFrame) -> DataFrame:
     """Repeat each row for the 27 coarse cells around it (as key nx, ny, nt)."""
     out = df
@@ -124,13 +136,13 @@ def ball_counts(queries: DataFrame, points: DataFrame, unit_table: DataFrame, ep
     Both radii are closed and a point is its own neighbour.
     """
     by = list(by)
-    # Every row becomes 27 probes: spread the rows evenly first (by id, so hot cells do not matter).
+    # Every row becomes up to 27 probes: spread the rows evenly first (by id, so hot cells do not matter).
     parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     even = queries.select(*by, "id", "x", "y", "t", *UNIT).repartition(parts, "id")
-    q = _around(_coarse(even)).select(
+    q = _cells_in_reach(_coarse(even), eps_s, eps_t).select(
         *by, *[F.col(c).alias(f"q_{c}") for c in ("id", "x", "y", "t")], "nx", "ny", "nt")
     box = _prefixed(unit_table, "b_", keep=by)
-    cand = q.join(box, [q[c] == box[c] for c in by] + [q[f"n{a}"] == box[f"b_c{a}"] for a in "xyt"])
+    cand = q.join(long_table(box), [q[c] == box[c] for c in by] + [q[f"n{a}"] == box[f"b_c{a}"] for a in "xyt"])
     for c in by:
         cand = cand.drop(box[c])
     may, whole = _box_tests("q_", "b_", eps_s, eps_t, point_a=True)
@@ -166,7 +178,7 @@ def _open_boxes(rest, pts, eps_s, eps_t, by, box_key, level, sub):
         on_pts += ["kx", "ky", "kt"]
     right = inner.select(*[F.col(c).alias(f"p_{c}") for c in (*by, *on_pts, "id", "node", "x", "y", "t")])
     cond = [rest[c] == right[f"p_{c}"] for c in by] + [rest[a] == right[f"p_{b}"] for a, b in zip(on_box, on_pts)]
-    hit = rest.join(right, cond).filter((squared_distance("q_", "p_") <= eps_s * eps_s) & (time_gap("q_", "p_") <= eps_t))
+    hit = rest.join(long_table(right), cond).filter((squared_distance("q_", "p_") <= eps_s * eps_s) & (time_gap("q_", "p_") <= eps_t))
     return hit.select(*by, F.col("q_id").alias("id"), F.col("p_node").alias("node"), F.lit(1).cast("long").alias("n"))
 
 
@@ -179,7 +191,7 @@ def _refine_balls(done, rest, pts, eps_s, eps_t, by, per_node, budget):
         cond = [rest[c] == kid[c] for c in by] + [rest[f"b_{k}"] == kid[f"d_{k}"] for k in UNIT]
         if level > 1:
             cond += [rest[f"b_k{a}"] == kid[f"d_p{a}"] for a in "xyt"]
-        step = rest.join(kid, cond)
+        step = rest.join(long_table(kid), cond)
         for c in by:
             step = step.drop(kid[c])
         may, whole = _box_tests("q_", "d_", eps_s, eps_t, point_a=True)
@@ -206,7 +218,7 @@ def dense_links(points: DataFrame, unit_table: DataFrame, eps_s: float, eps_t: f
     a = a.select(*by, *[F.col(c).alias(f"a_{c}") for c in a.columns if c not in (*by, "nx", "ny", "nt")], "nx", "ny", "nt")
     b = _prefixed(d, "b_", keep=by)
     cond = [a[c] == b[c] for c in by] + [a[f"n{x}"] == b[f"b_c{x}"] for x in "xyt"] + [a["a_first_id"] < b["b_first_id"]]
-    pairs = a.join(b, cond)
+    pairs = a.join(long_table(b), cond)
     for c in by:
         pairs = pairs.drop(b[c])
     may, whole = _box_tests("a_", "b_", eps_s, eps_t, point_a=False)
@@ -233,7 +245,7 @@ def dense_links(points: DataFrame, unit_table: DataFrame, eps_s: float, eps_t: f
             cond = [step[c] == kid[f"{s}k_{c}"] for c in by] + [step[f"{s}_{k}"] == kid[f"{s}k_{k}"] for k in UNIT]
             if level > 1:
                 cond += [step[f"{s}_k{x}"] == kid[f"{s}k_p{x}"] for x in "xyt"]
-            step = step.join(kid, cond)
+            step = step.join(long_table(kid), cond)
         may, whole = _box_tests("ak_", "bk_", eps_s, eps_t, point_a=False)
         step = step.filter(may).withColumn("whole", whole)
         step = materialize(step.select(
@@ -252,7 +264,7 @@ def dense_links(points: DataFrame, unit_table: DataFrame, eps_s: float, eps_t: f
     hit = rest.select(*by, "a_first_id", "b_first_id", *[f"{s}_{k}" for s in "ab" for k in keys])
     for s in "ab":
         side = inner.select(*[F.col(c).alias(f"{s}p_{c}") for c in (*by, *keys, "x", "y", "t")])
-        hit = hit.join(side, [hit[c] == side[f"{s}p_{c}"] for c in by] + [hit[f"{s}_{k}"] == side[f"{s}p_{k}"] for k in keys])
+        hit = hit.join(long_table(side), [hit[c] == side[f"{s}p_{c}"] for c in by] + [hit[f"{s}_{k}"] == side[f"{s}p_{k}"] for k in keys])
     hit = hit.filter((squared_distance("ap_", "bp_") <= eps_s * eps_s) & (time_gap("ap_", "bp_") <= eps_t))
     return found.unionByName(hit.select(*ends).distinct())
 
@@ -274,7 +286,7 @@ class Neighborhood:
         keyed = points.select(*by, "id", "x", "y", "t", *_keys(0, eps_s, eps_t))
         dense = self.units.filter("dense").select(*by, *UNIT, F.col("first_id").alias("unit_node"))
         self.members = materialize(
-            keyed.join(dense, [*by, *UNIT], "left").withColumn("dense", F.col("unit_node").isNotNull())
+            keyed.join(long_table(dense), [*by, *UNIT], "left").withColumn("dense", F.col("unit_node").isNotNull())
             .withColumn("node", F.coalesce("unit_node", "id")).drop("unit_node"))
         self.links = materialize(ball_counts(self.members.filter("not dense"), self.members, self.units, eps_s, eps_t, by,
                                              budget=budget))
@@ -313,7 +325,7 @@ def neighbors_of(queries: DataFrame, points: DataFrame, eps_s: float, eps_t: flo
         *[F.col(c).alias(f"q_{c}") for c in ("id", "x", "y", "t")], "nx", "ny", "nt")
     b = _coarse(points.select("id", "x", "y", "t", *_keys(0, eps_s, eps_t))).select(
         *[F.col(c).alias(f"p_{c}") for c in ("id", "x", "y", "t", "cx", "cy", "ct")])
-    hit = a.join(b, [a[f"n{x}"] == b[f"p_c{x}"] for x in "xyt"])
+    hit = a.join(long_table(b), [a[f"n{x}"] == b[f"p_c{x}"] for x in "xyt"])
     hit = hit.filter((squared_distance("q_", "p_") <= eps_s * eps_s) & (time_gap("q_", "p_") <= eps_t))
     return hit.select(F.col("q_id").alias("id"), F.col("p_id").alias("neighbor"))
 
