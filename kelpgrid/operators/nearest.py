@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelpgrid.functions.ordering import long_table
 from kelpgrid.session import materialize
 
 
@@ -48,7 +49,7 @@ def nearest_k(candidates: DataFrame, evaluated: DataFrame, key: str, dims: list[
             cell = F.floor(F.col(d) / F.lit(edge))
             c = c.select("*", F.explode(F.array(cell - 1, cell, cell + 1)).alias(f"k_{d}"))
             e = e.withColumn(f"k_{d}", F.floor(F.col(f"e_{d}") / F.lit(edge)))
-        near = c.join(e, [f"k_{d}" for d in dims])
+        near = c.join(long_table(e), [f"k_{d}" for d in dims])
         if other_key:
             near = near.filter(F.col(key) != F.col("__ok"))
         near = near.withColumn("distance", F.sqrt(_square(dims))).select(key, "distance", tie, *[f"p_{x}" for x in extra if f"p_{x}" != tie])
