@@ -199,6 +199,10 @@ def count_quantiles(counts: DataFrame, keys: list[str], value: str, count: str,
 
 
 def with_group_stats(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
-    """Join per-group aggregates to every row (partial aggregation, no group sort)."""
+    """Join per-group aggregates to every row (partial aggregation, no group sort).
+
+    The aggregates are written first, so that Spark knows their size: few groups are broadcast,
+    and the rows are not dealt by group, where one group could fill a task.
+    """
     stats = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
-    return join_keys(df, stats, keys) if keys else attach_row(df, stats)
+    return join_keys(df, materialize(stats), keys) if keys else attach_row(df, stats)

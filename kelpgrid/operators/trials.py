@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kelpgrid.functions.expressions import bilog
 from kelpgrid.functions.ordering import count_quantiles, join_keys, quantiles, with_group_stats, with_row_number, with_running
+from kelpgrid.session import materialize
 
 KEYS = ["task_id"]
 # Fixed value: an objective that says "no value".
@@ -212,7 +213,7 @@ def promising_threshold(trials: DataFrame, y: str, default: dict, quantile: floa
 
 def promising_region(trials: DataFrame, y: str, threshold: DataFrame, numeric: list[str]) -> DataFrame:
     """Range of good values per numeric knob, widened to the nearest bad value on each side."""
-    good = join_keys(trials, threshold, KEYS).withColumn("good", F.col(y) <= F.col("threshold"))
+    good = join_keys(trials, materialize(threshold), KEYS).withColumn("good", F.col(y) <= F.col("threshold"))
     long = good.select(*KEYS, "good", *[F.col(c).cast("double").alias(c) for c in numeric]).unpivot(
         [*KEYS, "good"], numeric, "knob", "v")
     values = long.groupBy(*KEYS, "knob", "v").agg(F.max("good").alias("any_good"), F.min("good").alias("all_good"))
@@ -237,7 +238,7 @@ def normalized_importance(region: DataFrame, importance: DataFrame, default: Dat
 
 def promising_categories(trials: DataFrame, y: str, threshold: DataFrame, categorical: list[str]) -> DataFrame:
     """Distinct good values per categorical knob."""
-    good = join_keys(trials, threshold, KEYS).filter(F.col(y) <= F.col("threshold"))
+    good = join_keys(trials, materialize(threshold), KEYS).filter(F.col(y) <= F.col("threshold"))
     return good.select(*KEYS, *categorical).unpivot(KEYS, categorical, "knob", "value").distinct()
 
 

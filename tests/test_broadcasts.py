@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from kelpgrid.functions.dominance import dominated, lowest_below
-from kelpgrid.functions.ordering import with_previous, with_running
-from kelpgrid.operators import components, density, nearest
+from kelpgrid.functions.ordering import with_group_stats, with_previous, with_running
+from kelpgrid.operators import density, nearest, trials
 from kelpgrid.session import materialize
 
 
@@ -47,3 +47,12 @@ def test_ring_search_does_not_broadcast_probes(spark, monkeypatch):
     assert near.count() == 120
     probes = [p for p in plans if "k_a#" in p]
     assert probes and not [p for p in probes if "BroadcastHashJoin" in p]
+
+
+def test_few_groups_do_not_deal_the_rows_by_group(spark):
+    """Statistics of three groups go to the rows; sorted by group a third of the rows would be in one task."""
+    t = spark.range(5_000_000).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("task_id"), (F.col("id") % 1000).alias("y"))
+    out = with_group_stats(t, ["task_id"], top=F.max("y"))
+    good = trials.promising_categories(t, "y", t.groupBy("task_id").agg(F.avg("y").alias("threshold")), ["y"])
+    assert "SortMergeJoin" not in plan(out) and "SortMergeJoin" not in plan(good)
+    assert out.filter("top = 999").count() == 5_000_000
