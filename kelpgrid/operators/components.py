@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from kelpgrid.functions.ordering import with_row_number
+from kelpgrid.functions.ordering import long_table, with_row_number
 from kelpgrid.session import materialize
 
 MAX_ROUNDS = 100
@@ -25,10 +25,10 @@ def _star_round(edges: DataFrame) -> DataFrame:
     """One large-star step followed by one small-star step; edges keep src > dst."""
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     low = both.groupBy("src").agg(F.min("dst").alias("m")).withColumn("m", F.least("m", "src"))
-    large = (both.join(low, "src").filter(F.col("dst") > F.col("src"))
+    large = (both.join(long_table(low), "src").filter(F.col("dst") > F.col("src"))
              .select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct())
     low2 = large.groupBy("src").agg(F.min("dst").alias("m"))
-    moved = large.join(low2, "src")
+    moved = large.join(long_table(low2), "src")
     hooked = moved.filter(F.col("dst") != F.col("m")).select(F.col("dst").alias("src"), F.col("m").alias("dst"))
     return hooked.unionByName(low2.select("src", F.col("m").alias("dst"))).distinct()
 
@@ -109,11 +109,15 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None,
         found = found.unionByName(e.select(F.col("dst").alias("node"), F.col("dst").alias("root"))).distinct()
     out = found
     if nodes is not None:
-        out = nodes.select("node").distinct().join(out, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        out = nodes.select("node").distinct().join(long_table(out), "node", "left").withColumn("root", F.coalesce("root", "node"))
     return out
 
 
 def reachable(components: DataFrame, start: DataFrame) -> DataFrame:
-    """Vertices connected to each ``start(node)``, without the start itself."""
-    s = start.join(components, "node").select(F.col("node").alias("start"), "root")
+    """Vertices connected to each ``start(node)``, without the start itself.
+
+    The starts are written, so that Spark knows their size and broadcasts few starts, not the components.
+    """
+    components = materialize(components)
+    s = materialize(materialize(start).join(components, "node").select(F.col("node").alias("start"), "root"))
     return components.join(s, "root").filter("node <> start").select("start", "node")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelpgrid.functions.expressions import hash_unit
-from kelpgrid.functions.ordering import attach_row, with_row_number
+from kelpgrid.functions.ordering import attach_row, long_table, with_row_number
 
 AXES = ("x", "y", "t")
 SAMPLE_SEED = 9961
@@ -92,7 +92,7 @@ def cell_adjacency(hist: DataFrame) -> DataFrame:
     a = a.select("src", "n1", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"),
                  (F.col("ct") + F.col("s.k")).alias("ct"))
     b = hist.select(F.col("cell_id").alias("dst"), F.col("n").alias("n2"), "cx", "cy", "ct")
-    return a.join(b, ["cx", "cy", "ct"]).select(
+    return a.join(long_table(b), ["cx", "cy", "ct"]).select(
         "src", "dst", F.sqrt(F.col("n1").cast("double") * F.col("n2")).alias("w"))
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from kelpgrid.functions.dominance import dominated, lowest_below
 from kelpgrid.functions.ordering import with_group_stats, with_previous, with_running
-from kelpgrid.operators import density, nearest, trials
+from kelpgrid.operators import components, density, grid, nearest, trials
 from kelpgrid.session import materialize
 
 
@@ -56,3 +56,12 @@ def test_few_groups_do_not_deal_the_rows_by_group(spark):
     good = trials.promising_categories(t, "y", t.groupBy("task_id").agg(F.avg("y").alias("threshold")), ["y"])
     assert "SortMergeJoin" not in plan(out) and "SortMergeJoin" not in plan(good)
     assert out.filter("top = 999").count() == 5_000_000
+
+
+def test_components_do_not_broadcast_edges(spark, monkeypatch):
+    plans = recorded(monkeypatch, components)
+    edges = materialize(spark.range(400).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")))
+    comp = components.connected_components(edges, local_edges=10)
+    assert comp.filter("root = 0").count() == 401
+    hist = materialize(spark.range(300).select((F.col("id") + 1).alias("cell_id"), (F.col("id") % 20).alias("cx"), F.floor(F.col("id") / 20).alias("cy"), F.lit(0).cast("long").alias("ct"), F.lit(2).alias("n")))
+    assert not [p for p in [*plans, plan(grid.cell_adjacency(hist))] if "BroadcastHashJoin" in p]
