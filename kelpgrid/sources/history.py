@@ -82,9 +82,12 @@ def history_objectives(runs: DataFrame) -> DataFrame:
     return runs.withColumns({"objs": objs, "constraint_values": F.transform("info.constraints", value)})
 
 
-def write_history_documents(runs: DataFrame, path: str, history: str = "file", runs_per_file: int = 10_000) -> None:
+def write_history_documents(runs: DataFrame, path: str, history: str = "file", runs_per_file: int = 10_000, packed: bool = False) -> None:
     """History documents ``{"info": ..., "data": [...]}``, one folder per history, ``runs_per_file`` runs in each.
 
+    ``packed``, for many small histories: a document is a line that also names its history and part, and a
+    file holds all documents of a task, so that the number of files does not grow with that of histories.
+
     ``runs`` has the columns of ``parse_history``; ``pos`` counts the runs of a
     history from 0.  A history of any size is written by many tasks, each of which
     holds one document at a time; every document can be read on its own.  Missing
@@ -99,14 +102,24 @@ def write_history_documents(runs: DataFrame, path: str, history: str = "file", r
     docs = rows.groupBy("history", "part").agg(F.min("info").alias("info"), F.max("info").alias("other"), F.sort_array(F.collect_list(F.struct("pos", "run"))).alias("runs"))
     infos = rows.groupBy("history").agg(F.min("info").alias("first"), F.max("info").alias("last")).withColumnRenamed("history", "__history")
     docs = docs.join(infos, F.col("history").eqNullSafe(F.col("__history")))
-    data = F.array_join(F.transform("runs", lambda x: F.concat(F.lit("\n    {\n      "), x["run"], F.lit("\n    }"))), ",")
-    text = F.concat(F.lit('{\n  "info": '), F.coalesce("info", F.lit("null")), F.lit(',\n  "data": ['), data, F.lit("\n  ]\n}"))
+    opens, ends = ("{", "}") if packed else ("\n    {\n      ", "\n    }")
+    data = F.array_join(F.transform("runs", lambda x: F.concat(F.lit(opens), x["run"], F.lit(ends))), ",")
+    info = F.coalesce("info", F.lit("null"))
+    if packed:
+        name = F.regexp_replace(F.to_json(F.struct("history", "part"), absent), r"\}$", "")
+        text = F.concat(name, F.lit(',"info":'), info, F.lit(',"data":['), data, F.lit("]}"))
+    else:
+        text = F.concat(F.lit('{\n  "info": '), info, F.lit(',\n  "data": ['), data, F.lit("\n  ]\n}"))
     checked = F.when(F.col("first") == F.col("last"), text).when(F.col("first").isNull(), text).otherwise(
         F.raise_error(F.concat(F.lit("runs disagree about info: "), F.coalesce("history", F.lit("null")))))
-    docs.select("history", "part", checked.alias("value")).write.partitionBy("history", "part").text(path)
+    if packed:
+        docs.select(checked.alias("value")).write.text(path)
+    else:
+        docs.select("history", "part", checked.alias("value")).write.partitionBy("history", "part").text(path)
 
 
-def read_history_documents(spark: SparkSession, paths: str | list[str], knobs: dict[str, str], first_n: int = -1, written: bool = False) -> DataFrame:
+def read_history_documents(spark: SparkSession, paths: str | list[str], knobs: dict[str, str], first_n: int = -1, written: bool = False,
+                           packed: bool = False) -> DataFrame:
     """Documents of any size -> the rows of ``parse_history``, one per run, by ``file``.
 
     In a document indented by two spaces every run begins on a line of its own,
@@ -115,15 +128,24 @@ def read_history_documents(spark: SparkSession, paths: str | list[str], knobs: d
     break, so no value can look like that line.  Other layouts come as one record
     and are parsed whole.  ``written``: the folder is one that
     ``write_history_documents`` made; rows are then by ``history``, counted on over
-    its documents.
+    its documents.  ``packed``: it was written so.
     """
-    source = spark.read.option("lineSep", "\n    {\n")
-    if written:
+    written = written or packed
+    source = spark.read if packed else spark.read.option("lineSep", "\n    {\n")
+    if written and not packed:
         source = source.schema("value string, history string, part long")
     key, order = ("history", ["part", "__block", "__row"]) if written else ("file", ["__block", "__row"])
-    text = source.text(paths).select(*([key, "part"] if written else [F.col("_metadata.file_path").alias("file")]), F.col("_metadata.file_path").alias("__file"),
+    text = source.text(paths)
+    if packed:
+        name = F.from_json("value", "history string, part long")
+        text = text.withColumns({"history": F.nullif(name["history"], F.lit("")), "part": name["part"]})
+    text = text.select(*([key, "part"] if written else [F.col("_metadata.file_path").alias("file")]), F.col("_metadata.file_path").alias("__file"),
                                      F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__row"), "value")
     text = materialize(text)
+    if packed:
+        whole = text.withColumn("__d", F.from_json("value", HISTORY_SCHEMA)).select(
+            "history", "part", "__block", "__row", F.col("__d.info").alias("info"), F.posexplode("__d.data").alias("__at", "r"))
+        return _numbered_runs(whole, key, order, knobs, first_n)
     is_head = F.ltrim("value").startswith("{")
     heads = text.filter(is_head).select(F.col("__file").alias("__of"), F.from_json(F.regexp_extract("value", r'(?s)^\s*\{\s*"info":\s*(\{.*\}),\s*"data":\s*\[\s*$', 1), INFO_SCHEMA).alias("info"))
     body = F.concat(F.lit("{"), F.regexp_replace("value", r"(?s)\n    \}(,|\s*\]\s*\}\s*)?$", ""), F.lit("}"))
@@ -131,7 +153,11 @@ def read_history_documents(spark: SparkSession, paths: str | list[str], knobs: d
     split = split.join(heads, F.col("__file") == F.col("__of")).drop("__of", "value")
     whole = text.filter(is_head).withColumn("__d", F.from_json("value", HISTORY_SCHEMA)).select(
         *[c for c in text.columns if c != "value"], F.col("__d.info").alias("info"), F.posexplode("__d.data").alias("__at", "r"))
-    runs = with_row_number(split.unionByName(whole), [key], [*order, "__at"], "pos").withColumn("pos", F.col("pos") - 1)
+    return _numbered_runs(split.unionByName(whole), key, order, knobs, first_n)
+
+
+def _numbered_runs(t: DataFrame, key: str, order: list[str], knobs: dict[str, str], first_n: int) -> DataFrame:
+    runs = with_row_number(t, [key], [*order, "__at"], "pos").withColumn("pos", F.col("pos") - 1)
     if first_n >= 0:
         runs = runs.filter(F.col("pos") < first_n)
     return _run_columns(runs, [key], knobs)

@@ -248,6 +248,25 @@ def test_documents_come_back(spark, tmp_path):
         HS.write_history_documents(bad, str(tmp_path / "e"))
 
 
+def test_packed_documents_come_back(spark, tmp_path):
+    """Many small histories take as many files as tasks write, not one for each document."""
+    schema = ("file string, info struct<objs:array<string>,constraints:array<string>>, pos long, configuration map<string,string>, external_metrics map<string,double>, "
+              "internal_metrics array<double>, resource map<string,double>, context array<double>, trial_state int, elapsed_time double, iter_time double")
+    info = (["-p"], [])
+    names = [*(f"h {k}/" for k in range(60)), 'a"\n}', None]
+    rows = [(f, info, i, {"a": f"v{i}", "q": '"}{\n'}, {"p": i / 3}, None, {"m": None}, [1.0 / (i + 1)], i % 2, None, 1e-300) for f in names for i in range(7)]
+    HS.write_history_documents(spark.createDataFrame(rows, schema), str(tmp_path / "d"), runs_per_file=3, packed=True)
+    files = list((tmp_path / "d").rglob("part-*"))
+    docs = [json.loads(line) for f in files for line in f.read_text().splitlines()]
+    assert len(files) <= 8 and len(docs) == 3 * len(names) and all(d["info"] == {"objs": ["-p"], "constraints": []} and len(d["data"]) <= 3 for d in docs)
+    back = HS.read_history_documents(spark, str(tmp_path / "d"), {"a": "", "q": ""}, packed=True)
+    got = {(r["history"], r["pos"]): tuple(r)[1:] for r in back.collect()}
+    assert got == {(f, i): (info, i, *rest) for f, _, i, *rest in rows}
+    bad = spark.createDataFrame([*rows, ("h 1/", (["q"], []), 7, {}, {}, None, None, None, 0, 1.0, 1.0)], schema)
+    with pytest.raises(Exception, match="runs disagree about info"):
+        HS.write_history_documents(bad, str(tmp_path / "e"), packed=True)
+
+
 def test_catalog_oversize(spark):
     text = json.dumps({"big": {"type": "integer", "min": 1024, "max": 2 ** 64, "default": 4096}, "m": {"type": "enum", "enum_values": ["on", "off"], "default": "on"}})
     rows = HS.load_knob_catalog(spark.createDataFrame([(text,)], "text string")).collect()
