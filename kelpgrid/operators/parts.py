@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpgrid.functions.ordering import attach_row, with_row_number, with_running
+from kelpgrid.functions.ordering import attach_row, long_table, with_row_number, with_running
+from kelpgrid.operators.components import LOCAL_EDGES, connected_components
 from kelpgrid.operators.grid import AXES, both_directions, cube_almost_contains, cube_contains_point
 from kelpgrid.session import materialize
 
@@ -119,28 +124,131 @@ def refine_parts(edges: DataFrame, assigned: DataFrame, max_load: int) -> DataFr
     return state
 
 
-def merge_adjacent(hist: DataFrame, edges: DataFrame, cap: int) -> DataFrame:
+def _merge_locally(cap: int):
+    """The rounds of ``merge_adjacent`` over a bounded graph: ``(part, into)`` for the groups that are absorbed.
+
+    Only groups whose best neighbour may have changed are looked at again.  Rows are edges
+    ``(src, dst, w, sa, sb)`` with src < dst; a group keeps a heap of its neighbours, best first, whose
+    outdated entries are dropped when they come up: sizes only grow, so an edge over the cap stays over it.
+    """
+    def run(batches):
+        near: dict[int, dict[int, float]] = {}
+        size, heap = {}, {}
+        for t in batches:
+            for a, b, w, sa, sb in zip(*(t[c].tolist() for c in ("src", "dst", "w", "sa", "sb"))):
+                near.setdefault(a, {})[b] = w
+                near.setdefault(b, {})[a] = w
+                size[a], size[b] = sa, sb
+        if not near:
+            return
+        label, target, wanted_by = {g: g for g in near}, {}, {g: set() for g in near}
+
+        def entry(g, other):
+            low, high = sorted((label[g], label[other]))
+            return -round(near[g][other], 9), low, high, other
+
+        def best(g):
+            h = heap[g]
+            while h:
+                other = h[0][3]
+                if other in near[g] and size[g] + size[other] <= cap and h[0] == entry(g, other):
+                    return other
+                heapq.heappop(h)
+            return None
+
+        for g in near:
+            heap[g] = [entry(g, o) for o in near[g]]
+            heapq.heapify(heap[g])
+        changed, gone = set(near), {}
+        while changed:
+            for g in changed:
+                if g in target:
+                    wanted_by[target.pop(g)].discard(g)
+                to = best(g)
+                if to is not None:
+                    target[g] = to
+                    wanted_by[to].add(g)
+            pairs = {(min(g, to), max(g, to)) for g in changed if (to := target.get(g)) is not None and target.get(to) == g}
+            changed = set()
+            for a, b in pairs:
+                if len(near[a]) < len(near[b]):
+                    a, b = b, a
+                # a keeps its neighbours and takes those of b; the smaller number names the group.
+                renamed = label[b] < label[a]
+                gone[max(label[a], label[b])] = min(label[a], label[b])
+                label[a] = min(label[a], label[b])
+                size[a] += size[b]
+                touched = set()
+                for o, w in near.pop(b).items():
+                    del near[o][b]
+                    if o != a:
+                        near[a][o] = near[o][a] = near[a].get(o, 0.0) + w
+                        touched.add(o)
+                for g in (a, b):
+                    if g in target:
+                        wanted_by[target.pop(g)].discard(g)
+                again = wanted_by.pop(b) | {o for o in wanted_by[a] if size[a] + size[o] > cap}
+                for o in near[a] if renamed else touched:
+                    heapq.heappush(heap[a], entry(a, o))
+                    heapq.heappush(heap[o], entry(o, a))
+                    again.add(o)
+                for o in again:
+                    if target.get(o) == b:
+                        del target[o]
+                del heap[b]
+                changed |= again | {a}
+            changed &= near.keys()
+        yield pd.DataFrame({"part": list(gone), "into": list(gone.values())}, dtype="int64")
+
+    return run
+
+
+def merge_adjacent(hist: DataFrame, edges: DataFrame, cap: int, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """Contract mutually best neighbouring groups while the joint count stays <= cap.
 
     The best of all edges is mutual and every round lowers the number of groups, so the rounds end.
+    A large group takes one neighbour a round, so there may be as many rounds as cells: the graph is
+    contracted with its groups, and once at most ``local_edges`` edges under the cap are left (a
+    checked count) one task finishes the rounds.
     """
-    state = materialize(hist.withColumn("part", F.col("cell_id")))
-    edges = materialize(edges)
+    size = materialize(hist.groupBy(F.col("cell_id").alias("part")).agg(F.sum("n").cast("long").alias("size")))
+    merges = []
+    g = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w").filter("src <> dst")
     while True:
-        size = state.groupBy("part").agg(F.sum("n").alias("size"))
-        g = _labelled(edges, state).filter("src_part <> dst_part").groupBy("src_part", "dst_part").agg(F.sum("w").alias("w"))
-        g = (g.join(size.select(F.col("part").alias("src_part"), F.col("size").alias("sa")), "src_part")
-             .join(size.select(F.col("part").alias("dst_part"), F.col("size").alias("sb")), "dst_part")
-             .filter(F.col("sa") + F.col("sb") <= cap))
-        low, high = F.least("src_part", "dst_part"), F.greatest("src_part", "dst_part")
-        best = g.groupBy("src_part").agg(F.max_by("dst_part", F.struct(F.round("w", 9), -low, -high)).alias("best"))
-        mutual = best.join(best.select(F.col("src_part").alias("best"), F.col("best").alias("back")), "best").filter(
-            "back = src_part and best < src_part").select(F.col("src_part").alias("part"), F.col("best").alias("into"))
-        mutual = materialize(mutual)
-        if mutual.isEmpty():
+        # Sizes only grow, so groups over the cap together stay over it, and so does whatever absorbs them: their edge is dropped.
+        g = g.groupBy("src", "dst").agg(F.sum("w").alias("w"))
+        g = materialize(g.join(size.select(F.col("part").alias("src"), F.col("size").alias("sa")), "src")
+                        .join(size.select(F.col("part").alias("dst"), F.col("size").alias("sb")), "dst").filter(F.col("sa") + F.col("sb") <= cap))
+        left = g.count()
+        if left == 0:
             break
-        state = materialize(state.join(mutual, "part", "left").withColumn("part", F.coalesce("into", "part")).drop("into"))
-    return state
+        if left <= local_edges:
+            merges.append(materialize(g.coalesce(1).mapInPandas(_merge_locally(cap), "part long, into long")))
+            break
+        rank = F.struct(F.round("w", 9), -F.col("src"), -F.col("dst"))
+        both = g.select("src", "dst", rank.alias("rank")).unionByName(g.select(F.col("dst").alias("src"), F.col("src").alias("dst"), rank.alias("rank")))
+        best = both.groupBy("src").agg(F.max_by("dst", "rank").alias("best"))
+        mutual = best.join(long_table(best.select(F.col("src").alias("best"), F.col("best").alias("back"))), "best").filter(
+            "back = src and best < src").select(F.col("src").alias("part"), F.col("best").alias("into"))
+        merges.append(materialize(mutual))
+        if merges[-1].isEmpty():
+            break
+        size = materialize(_renamed(size, merges[-1], "part").groupBy("part").agg(F.sum("size").alias("size")))
+        for end in ("src", "dst"):
+            g = _renamed(g, merges[-1], end)
+        g = g.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w").filter("src <> dst")
+    if not merges:
+        return hist.withColumn("part", F.col("cell_id"))
+    # The group a cell ends in: every absorbed group leads to a smaller one, to the end of the chain.
+    links = reduce(DataFrame.unionByName, merges)
+    ends = connected_components(links.select(F.col("part").alias("src"), F.col("into").alias("dst")))
+    return hist.join(ends.select(F.col("node").alias("cell_id"), F.col("root").alias("part")), "cell_id", "left").withColumn("part", F.coalesce("part", "cell_id"))
+
+
+def _renamed(df: DataFrame, merged: DataFrame, col: str) -> DataFrame:
+    """``df`` with the groups in ``col`` replaced by those that absorbed them."""
+    names = merged.select(F.col("part").alias(col), F.col("into").alias("__into"))
+    return df.join(long_table(names), col, "left").withColumn(col, F.coalesce("__into", col)).drop("__into")
 
 
 def seed_grow(hist: DataFrame, edges: DataFrame, cap: int, max_rounds: int = 200) -> DataFrame:

@@ -131,3 +131,55 @@ def test_parts_keep_all_cells_and_caps(spark):
     assert merged.count() == n and P.part_loads(merged).groupBy().max("load").first()[0] <= max(cap, biggest)
     grown = P.seed_grow(hist, edges, cap)
     assert grown.count() == n and grown.select("cell_id").distinct().count() == n
+
+
+def merged_by_rounds(n, edges, cap):
+    """All groups name their best neighbour under the cap, mutual ones merge, until none is left."""
+    part = {c: c for c in n}
+    while True:
+        size, w, best = {}, {}, {}
+        for c, g in part.items():
+            size[g] = size.get(g, 0) + n[c]
+        for a, b, x in edges:
+            a, b = part[a], part[b]
+            if a != b:
+                w[a, b] = w[b, a] = w.get((a, b), 0.0) + x
+        for (a, b), x in w.items():
+            if size[a] + size[b] <= cap:
+                best[a] = max(best.get(a, ((-1.0,), 0)), ((round(x, 9), -min(a, b), -max(a, b)), b))
+        into = {a: b for a, (_, b) in best.items() if b < a and best[b][1] == a}
+        if not into:
+            return part
+        part = {c: into.get(g, g) for c, g in part.items()}
+
+
+@pytest.mark.parametrize("limit", [25, 200_000])
+def test_merge_adjacent_rounds(spark, limit):
+    """Contracted graph, finished in one task below a limit: the same groups as all rounds over all cells."""
+    df = spark.createDataFrame(cloud(300, seed=3), COLS)
+    hist = P.materialize(G.cell_histogram(G.grid_cells(df, (4.0, 4.0, 4.0))))
+    edges = P.materialize(G.cell_adjacency(hist))
+    cap = hist.groupBy().sum("n").first()[0] // 4
+    want = merged_by_rounds({r["cell_id"]: r["n"] for r in hist.collect()}, [tuple(r) for r in edges.collect()], cap)
+    got = P.merge_adjacent(hist, edges, cap, local_edges=limit)
+    assert {r["cell_id"]: r["part"] for r in got.collect()} == want
+
+
+def test_merge_locally_many_graphs():
+    """The one-task rounds against all rounds, on random graphs with ties and several caps."""
+    rng = np.random.default_rng(1)
+    for trial in range(60):
+        k = int(rng.integers(2, 60))
+        n = {c: int(rng.integers(1, 9)) for c in range(1, k + 1)}
+        pairs = {tuple(sorted(map(int, rng.integers(1, k + 1, 2)))) for _ in range(4 * k)}
+        edges = [(a, b, float(np.sqrt(n[a] * n[b])) if trial % 2 else float(rng.integers(1, 4))) for a, b in sorted(pairs) if a != b]
+        cap = max(2, int(sum(n.values()) * rng.uniform(0.1, 1.1)))
+        rows = [(a, b, w, n[a], n[b]) for a, b, w in edges if n[a] + n[b] <= cap]
+        found = [t for t in P._merge_locally(cap)([pd.DataFrame(rows, columns=["src", "dst", "w", "sa", "sb"])])]
+        into = dict(zip(found[0]["part"], found[0]["into"])) if found else {}
+
+        def end(c):
+            while c in into:
+                c = into[c]
+            return c
+        assert {c: end(c) for c in n} == merged_by_rounds(n, edges, cap)
