@@ -113,17 +113,19 @@ def _codes(value: np.ndarray, rng: np.ndarray) -> np.ndarray:
     return out
 
 
-def _rising(a: np.ndarray, b: np.ndarray) -> int:
-    """Pairs with a smaller a and a smaller b: b in the order of a, split bit by bit."""
-    cur = b[np.lexsort((-b, a))]  # equal a: from large to small b, so that they do not count
+def _rising(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> int:
+    """Pairs with a smaller a and a smaller b, by the weight of the greater row: b in the order of a, split bit by bit."""
+    order = np.lexsort((-b, a))
+    cur, weight = b[order], weight[order]  # equal a: from large to small b, so that they do not count
     total = 0
     for bit in reversed(range(int(cur.max()).bit_length())):
         one, prefix = (cur >> bit) & 1, cur >> (bit + 1)
         zeros = np.concatenate(([0], np.cumsum(1 - one)))
         start = np.concatenate(([0], np.flatnonzero(prefix[1:] != prefix[:-1]) + 1))
         before = zeros[:-1] - np.repeat(zeros[start], np.diff(np.append(start, len(cur))))
-        total += int((one * before).sum())
-        cur = cur[np.argsort(cur >> bit, kind="stable")]
+        total += int((one * before * weight).sum())
+        order = np.argsort(cur >> bit, kind="stable")
+        cur, weight = cur[order], weight[order]
     return total
 
 
@@ -135,23 +137,24 @@ def _column(t: pa.Table, name: str) -> np.ndarray:
 
 def _inside(t: pa.Table) -> pa.Table:
     ra, rb = t.column("__ra").to_numpy(), t.column("__rb").to_numpy()
-    n = _rising(_codes(_column(t, "__a"), ra), _codes(_column(t, "__b"), rb))
+    n = _rising(_codes(_column(t, "__a"), ra), _codes(_column(t, "__b"), rb), t.column("__w").to_numpy())
     return pa.table({"__g": t.column("__g").slice(0, 1), "n": pa.array([n], pa.int64())})
 
 
 def _across(t: pa.Table) -> pa.Table:
     """Pairs whose second range is the same, its values ordered, and whose first ranges differ."""
     rb = t.column("__rb").to_numpy()
-    n = _rising(t.column("__ra").to_numpy(), _codes(_column(t, "__b"), rb))
+    n = _rising(t.column("__ra").to_numpy(), _codes(_column(t, "__b"), rb), t.column("__w").to_numpy())
     return pa.table({"__g": t.column("__g").slice(0, 1), "n": pa.array([n], pa.int64())})
 
 
 def _between(t: pa.Table) -> pa.Table:
     """Pairs of different ranges in both, from the counts of a bounded table of ranges."""
     a, b = (np.unique(t.column(c).to_numpy(), return_inverse=True)[1] for c in ("__ra", "__rb"))
-    table = np.zeros((a.max() + 1, b.max() + 1), np.int64)
+    table, weight = np.zeros((2, a.max() + 1, b.max() + 1), np.int64)
     np.add.at(table, (a, b), t.column("c").to_numpy())
-    n = int((table[1:, 1:] * table.cumsum(0).cumsum(1)[:-1, :-1]).sum())
+    np.add.at(weight, (a, b), t.column("w").to_numpy())
+    n = int((weight[1:, 1:] * table.cumsum(0).cumsum(1)[:-1, :-1]).sum())
     return pa.table({"__g": t.column("__g").slice(0, 1), "n": pa.array([n], pa.int64())})
 
 
@@ -162,15 +165,16 @@ def _range_of(value: str, splits: str) -> Column:
     return F.when(F.col(value).isNull(), -1).otherwise(2 * below + F.coalesce(at, F.lit(0))).cast("long")
 
 
-def rising_pairs(df: DataFrame, keys: list[str], a: str, b: str, name: str, size: int = RANGE_ROWS) -> DataFrame:
+def rising_pairs(df: DataFrame, keys: list[str], a: str, b: str, name: str, size: int = RANGE_ROWS,
+                 weight: str | None = None) -> DataFrame:
     """``(*keys, name)``: pairs of rows of a group of which one is smaller in both ``a`` and ``b``; null is the smallest value.
 
     Both values are cut into ranges at quantiles of the group; a repeated split point is a range of
     its own, in which nothing is smaller.  A pair lies in one range of a (a task orders its rows by
     a and b), else in one range of b (likewise), else in two of both (a table of counts for each group).
-    A row is shuffled twice, whatever the number of rows.
+    A row is shuffled twice, whatever the number of rows.  ``weight``: an integer column; a pair counts as often as its greater row says.
     """
-    t = materialize(df.select(*keys, F.col(a).alias("__a"), F.col(b).alias("__b")))
+    t = materialize(df.select(*keys, F.col(a).alias("__a"), F.col(b).alias("__b"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("__w")))
     counts = materialize(grouped(t, keys, "__of").groupBy("__of").agg(F.count(F.lit(1)).alias("__n")))
     top = counts.agg(F.max("__n")).first()[0] or 0
     ids = materialize(with_row_number(counts.select("__of", "__n", F.xxhash64("__of").alias("__h")), [], ["__h", "__of"], "__g"))
@@ -183,13 +187,13 @@ def rising_pairs(df: DataFrame, keys: list[str], a: str, b: str, name: str, size
         ids = materialize(ids.join(cuts, "__of"))
     t, out = grouped(t, keys, "__of").join(ids, "__of"), "__g long, n long"
     if top > size:
-        t = t.select("__g", "__a", "__b", _range_of("__a", "__as").alias("__ra"), _range_of("__b", "__bs").alias("__rb"))
+        t = t.select("__g", "__a", "__b", "__w", _range_of("__a", "__as").alias("__ra"), _range_of("__b", "__bs").alias("__rb"))
         found = t.filter("__ra % 2 = 0").groupBy("__g", "__ra").applyInArrow(_inside, out)
-        found = found.unionByName(t.filter("__rb % 2 = 0").select("__g", "__ra", "__rb", "__b").groupBy("__g", "__rb").applyInArrow(_across, out))
-        table = t.groupBy("__g", "__ra", "__rb").agg(F.count(F.lit(1)).alias("c"))
+        found = found.unionByName(t.filter("__rb % 2 = 0").select("__g", "__ra", "__rb", "__b", "__w").groupBy("__g", "__rb").applyInArrow(_across, out))
+        table = t.groupBy("__g", "__ra", "__rb").agg(F.count(F.lit(1)).alias("c"), F.sum("__w").alias("w"))
         found = found.unionByName(table.groupBy("__g").applyInArrow(_between, out))
     else:  # a group is one range, the nulls before it
-        found = t.select("__g", "__a", "__b", *[F.when(F.col(c).isNull(), -1).otherwise(0).cast("long").alias(r) for c, r in (("__a", "__ra"), ("__b", "__rb"))])
+        found = t.select("__g", "__a", "__b", "__w", *[F.when(F.col(c).isNull(), -1).otherwise(0).cast("long").alias(r) for c, r in (("__a", "__ra"), ("__b", "__rb"))])
         found = found.groupBy("__g").applyInArrow(_inside, out)
     sums = found.groupBy("__g").agg(F.sum("n").alias(name))
     sums = ids.select("__g", "__of").join(sums, "__g").select("__of", name)
