@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from functools import reduce
 
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from kelpgrid.functions.ordering import attach_row, long_table, with_row_number, with_running
 from kelpgrid.operators.components import LOCAL_EDGES, connected_components
 from kelpgrid.operators.grid import AXES, both_directions, cube_almost_contains, cube_contains_point
-from kelpgrid.session import materialize
+from kelpgrid.session import discard, materialize
 
 MORTON_BITS = 21  # three coordinates in the 63 bits of a long
 
@@ -91,37 +92,98 @@ def swap_gain(edges: DataFrame, assigned: DataFrame) -> DataFrame:
             .select("src", "dst", (F.col("gain_a") + F.col("gain_b") - 2 * F.col("w")).alias("gain")))
 
 
+def _best_target() -> tuple[Column, Column]:
+    """(target, gain) of a cell from ``to``, its weights to the parts around it; null if no move gains."""
+    own = F.coalesce(F.get(F.filter("to", lambda x: x["part"] == F.col("part")), F.lit(0))["w"], F.lit(0).cast("long"))
+    options = F.transform(F.filter("to", lambda x: x["part"] != F.col("part")),
+                          lambda x: F.struct((x["w"] - own).alias("gain"), (-x["part"]).alias("low")))
+    best = F.array_max(options)
+    return -best["low"], best["gain"]
+
+
+def _with_best(cells: DataFrame, unit: float) -> DataFrame:
+    target, gain = _best_target()
+    cells = cells.withColumns({"target": target, "gain": F.round(gain * F.lit(unit), 9)})
+    moves = F.coalesce(F.col("gain") > 1e-9, F.lit(False))
+    return cells.withColumns({"target": F.when(moves, F.col("target")), "gain": F.when(moves, F.col("gain"))})
+
+
+def _unbeaten(movers: DataFrame, pairs: DataFrame, scores: DataFrame) -> DataFrame:
+    """Movers without a better mover at the other end of their ``pairs(cell_id, gain, dst)``."""
+    theirs = scores.select(F.col("cell_id").alias("dst"), F.col("gain").alias("theirs"))
+    beaten = pairs.join(theirs, "dst").filter("theirs > gain or (theirs = gain and dst < cell_id)").select("cell_id").distinct()
+    return movers.join(beaten, "cell_id", "left_anti")
+
+
+def _added(a: str, b: str) -> Column:
+    """Weights to parts ``a`` and changes ``b`` added up; parts without an edge are dropped."""
+    both = F.concat(F.col(a), F.col(b))
+    parts = F.array_distinct(F.transform(both, lambda x: x["part"]))
+
+    def total(p):
+        of = F.filter(both, lambda x: x["part"].eqNullSafe(p))
+        add = lambda name: F.aggregate(F.transform(of, lambda x: x[name]), F.lit(0).cast("long"), lambda s, x: s + x)
+        return F.struct(p.alias("part"), add("w").alias("w"), add("m").alias("m"))
+
+    return F.filter(F.transform(parts, total), lambda x: x["m"] > 0)
+
+
 def refine_parts(edges: DataFrame, assigned: DataFrame, max_load: int) -> DataFrame:
     """Rounds of moves that raise the internal weight and keep every load <= cap, until none is left.
 
     Per round each cell names its best part; of two adjacent movers only the
     better one moves, so the gains add up; arrivals are accepted by gain until
     the target is full.  Every round raises the internal weight, so the rounds end.
+
+    A cell keeps its weights to the parts around it, and a round adds what the cells that moved
+    change there, so the edges are joined with all parts once.  Weights are whole multiples of a
+    unit, so the sums stay exact.  A mover is held against four of its neighbours first, and only those left
+    against all.
     """
-    edges = materialize(edges)
     state = materialize(assigned)
+    whole = materialize(_labelled(edges, state))
+    top = whole.groupBy("src").agg(F.sum(F.abs("w")).alias("w")).agg(F.max("w")).first()[0]
+    if not top:
+        return state
+    bits = 61 - math.ceil(math.log2(top))
+    # Read in every round: dealt into as many files as tasks, which adaptive execution would merge.
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = whole.select("src", "dst", "dst_part", F.round(F.col("w") * F.lit(2.0 ** bits)).cast("long").alias("w"))
+    links = materialize(links.repartition(tasks, "src", "dst"))
+    discard(whole)
+    # Neighbours of large weight are the likeliest to win.
+    few = links.filter("src <> dst").groupBy(F.col("src").alias("cell_id")).agg(
+        F.array_distinct(F.array(F.max_by("dst", "w"), F.max_by("dst", F.xxhash64("dst")), F.min("dst"), F.max("dst"))).alias("few"))
+    to = links.groupBy("src", "dst_part").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("m")).groupBy(F.col("src").alias("cell_id")).agg(
+        F.collect_list(F.struct(F.col("dst_part").alias("part"), "w", "m")).alias("to"))
+    cells = materialize(_with_best(state.repartition(tasks, "cell_id").join(to, "cell_id", "left").join(few, "cell_id", "left"), 2.0 ** -bits))
     while True:
-        best = (move_gain(edges, state).filter("gain > 1e-9").groupBy("cell_id")
-                .agg(F.max_by(F.struct("target", "gain"), F.struct("gain", -F.col("target"))).alias("m"))
-                .select("cell_id", "m.target", "m.gain"))
-        score = F.struct(F.col("gain"), -F.col("cell_id"))
-        ranked = best.select("cell_id", score.alias("score"))
-        clash = (both_directions(edges).select("src", "dst")
-                 .join(ranked.select(F.col("cell_id").alias("src"), F.col("score").alias("mine")), "src")
-                 .join(ranked.select(F.col("cell_id").alias("dst"), F.col("score").alias("theirs")), "dst")
-                 .filter("theirs > mine").select(F.col("src").alias("cell_id")))
-        movers = best.join(clash, "cell_id", "left_anti").join(state.select("cell_id", "n"), "cell_id")
-        movers = materialize(movers.withColumn("rank_key", -F.col("gain")))
+        scores = cells.filter("gain is not null")
+        left = _unbeaten(scores, scores.select("cell_id", "gain", F.explode("few").alias("dst")), scores)
+        left = materialize(left.select("cell_id", "n", "part", "target", "gain"))
+        near = links.join(left.select(F.col("cell_id").alias("src"), "gain"), "src").select(F.col("src").alias("cell_id"), "gain", "dst")
+        movers = materialize(_unbeaten(left, near, scores).withColumn("rank_key", -F.col("gain")))
         if movers.isEmpty():
             break
-        loads = part_loads(state).select(F.col("part").alias("target"), "load")
+        loads = part_loads(cells).select(F.col("part").alias("target"), "load")
         run = with_running(movers, ["target"], ["rank_key", "cell_id"], {"arriving": ("sum", "n")})
-        ok = run.join(loads, "target").filter(F.col("load") + F.col("arriving") <= F.lit(max_load)).select("cell_id", "target")
+        ok = run.join(loads, "target").filter(F.col("load") + F.col("arriving") <= F.lit(max_load)).select("cell_id", "part", "target")
         ok = materialize(ok)
         if ok.isEmpty():
             break
-        state = materialize(state.join(ok, "cell_id", "left").withColumn("part", F.coalesce("target", "part")).drop("target"))
-    return state
+        moved = links.select("src", "dst", "w").join(ok.select(F.col("cell_id").alias("dst"), "part", "target"), "dst")
+        change = moved.select(F.col("src").alias("cell_id"), F.explode(F.array(
+            F.struct(F.col("part"), (-F.col("w")).alias("w"), F.lit(-1).cast("long").alias("m")),
+            F.struct(F.col("target").alias("part"), F.col("w"), F.lit(1).cast("long").alias("m")))).alias("c"))
+        change = change.groupBy("cell_id", "c.part").agg(F.sum("c.w").alias("w"), F.sum("c.m").alias("m")).groupBy("cell_id").agg(
+            F.collect_list(F.struct("part", "w", "m")).alias("change"))
+        after = cells.drop("target", "gain").repartition(tasks, "cell_id").join(ok.select("cell_id", "target"), "cell_id", "left").join(change, "cell_id", "left")
+        after = after.withColumns({"part": F.coalesce("target", "part"), "to": F.when(F.col("change").isNull(), F.col("to")).otherwise(_added("to", "change"))})
+        after = materialize(_with_best(after.drop("target", "change"), 2.0 ** -bits))
+        for old in (cells, left, movers, ok):
+            discard(old)
+        cells = after
+    return cells.select(*assigned.columns)
 
 
 def _merge_locally(cap: int):

@@ -133,6 +133,49 @@ def test_parts_keep_all_cells_and_caps(spark):
     assert grown.count() == n and grown.select("cell_id").distinct().count() == n
 
 
+def refined_by_rounds(part, n, edges, cap):
+    """Moves of one round: best part of every cell, no better mover beside it, by gain until the part is full."""
+    part = dict(part)
+    while True:
+        best, load = {}, {}
+        for c in part:
+            load[part[c]] = load.get(part[c], 0) + n[c]
+            to = {}
+            for a, b, w in edges:
+                if c in (a, b):
+                    other = part[b if a == c else a]
+                    to[other] = to.get(other, 0.0) + w
+            gains = [(round(w - to.get(part[c], 0.0), 9), -p) for p, w in to.items() if p != part[c]]
+            if gains and max(gains)[0] > 1e-9:
+                best[c] = max(gains)
+        beaten = {x for a, b, _ in edges if a in best and b in best for x, y in ((a, b), (b, a)) if (best[y][0], -y) > (best[x][0], -x)}
+        moved, arriving = False, {}
+        for c in sorted(set(best) - beaten, key=lambda c: (-best[c][0], c)):
+            p = -best[c][1]
+            arriving[p] = arriving.get(p, 0) + n[c]
+            if load[p] + arriving[p] <= cap:
+                part[c], moved = p, True
+        if not moved:
+            return part
+
+
+def test_refine_parts_moves_as_by_rounds_and_labels_the_edges_once(spark, monkeypatch):
+    df = spark.createDataFrame(cloud(120, seed=5), COLS)
+    hist = P.materialize(G.cell_histogram(G.grid_cells(df, (4.0, 4.0, 4.0))))
+    edges = P.materialize(G.cell_adjacency(hist))
+    start = P.materialize(P.round_robin_parts(hist, 3))
+    cap = int(hist.groupBy().sum("n").first()[0] // 3 * 1.3)
+    rows = start.collect()
+    want = refined_by_rounds({r["cell_id"]: r["part"] for r in rows}, {r["cell_id"]: r["n"] for r in rows}, [tuple(r) for r in edges.select("src", "dst", "w").collect()], cap)
+    assert want != {r["cell_id"]: r["part"] for r in rows}
+    calls, whole = [], P._labelled
+    monkeypatch.setattr(P, "_labelled", lambda *a: calls.append(a) or whole(*a))
+    got = P.refine_parts(edges, start, cap)
+    assert got.columns == start.columns
+    assert {r["cell_id"]: r["part"] for r in got.collect()} == want
+    assert len(calls) == 1
+
+
 def merged_by_rounds(n, edges, cap):
     """All groups name their best neighbour under the cap, mutual ones merge, until none is left."""
     part = {c: c for c in n}
