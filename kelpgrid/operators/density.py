@@ -28,6 +28,8 @@ SLACK = 1e-6
 # Boxes are cut finer while their points outnumber the pairs' share of this budget.
 PAIR_BUDGET = 50_000_000
 MAX_LEVEL = 40
+# Points probe cells of 4 x 4 x 4 units: larger cells are fewer probes, each of which meets more boxes.
+WIDE = 2
 
 
 def squared_distance(a: str, b: str) -> Column:
@@ -66,13 +68,13 @@ def _coarse(df: DataFrame) -> DataFrame:
 
 
 def _cells_in_reach(df: DataFrame, eps_s: float, eps_t: float) -> DataFrame:
-    """Repeat each point for the coarse cells that its ball can meet (as key nx, ny, nt), at most 27."""
+    """Repeat each point for the wide cells that its ball can meet (as key nx, ny, nt), at most 8."""
     s, t = _edges(eps_s, eps_t)
     out = df
-    for axis, edge, reach in (("x", 2 * s, eps_s), ("y", 2 * s, eps_s), ("t", 2 * t, eps_t)):
+    for axis, edge, reach in (("x", s, eps_s), ("y", s, eps_s), ("t", t, eps_t)):
         slack = F.lit(SLACK) * (F.lit(reach) + F.abs(F.col(axis)) * F.lit(1e-6))
-        low, high = (F.floor((F.col(axis) + sign * (F.lit(reach) + slack)) / F.lit(edge)) for sign in (-1, 1))
-        at = F.col(f"c{axis}")
+        low, high = (F.floor((F.col(axis) + sign * (F.lit(reach) + slack)) / F.lit(edge * 2 ** WIDE)) for sign in (-1, 1))
+        at = F.shiftright(f"u{axis}", WIDE)
         out = out.select("*", F.explode(F.sequence(at - F.when(low < at, 1).otherwise(0), at + F.when(high > at, 1).otherwise(0))).alias(f"n{axis}"))
     return out
 
@@ -136,13 +138,14 @@ def ball_counts(queries: DataFrame, points: DataFrame, unit_table: DataFrame, ep
     Both radii are closed and a point is its own neighbour.
     """
     by = list(by)
-    # Every row becomes up to 27 probes: spread the rows evenly first (by id, so hot cells do not matter).
+    # Every row becomes several probes: spread the rows evenly first (by id, so hot cells do not matter).
     parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     even = queries.select(*by, "id", "x", "y", "t", *UNIT).repartition(parts, "id")
-    q = _cells_in_reach(_coarse(even), eps_s, eps_t).select(
+    q = _cells_in_reach(even, eps_s, eps_t).select(
         *by, *[F.col(c).alias(f"q_{c}") for c in ("id", "x", "y", "t")], "nx", "ny", "nt")
     box = _prefixed(unit_table, "b_", keep=by)
-    cand = q.join(long_table(box), [q[c] == box[c] for c in by] + [q[f"n{a}"] == box[f"b_c{a}"] for a in "xyt"])
+    box = box.withColumns({f"b_w{a}": F.shiftright(f"b_u{a}", WIDE) for a in "xyt"})
+    cand = q.join(long_table(box), [q[c] == box[c] for c in by] + [q[f"n{a}"] == box[f"b_w{a}"] for a in "xyt"])
     for c in by:
         cand = cand.drop(box[c])
     may, whole = _box_tests("q_", "b_", eps_s, eps_t, point_a=True)

@@ -133,6 +133,19 @@ def test_parts_keep_all_cells_and_caps(spark):
     assert grown.count() == n and grown.select("cell_id").distinct().count() == n
 
 
+def test_a_point_probes_at_most_eight_cells_and_meets_all_units_in_reach(spark):
+    es, et = 2.0, 3.0
+    df = spark.createDataFrame(cloud(200, seed=3), COLS)
+    keyed = D.materialize(df.select("id", "x", "y", "t", *D._keys(0, es, et)))
+    probes = D._cells_in_reach(D._coarse(keyed), es, et)
+    assert probes.groupBy("id").count().agg({"count": "max"}).first()[0] <= 8
+    got = {(r["id"], r["nx"], r["ny"], r["nt"]) for r in probes.collect()}
+    rows = keyed.collect()
+    near = [(a["id"], b["ux"] >> D.WIDE, b["uy"] >> D.WIDE, b["ut"] >> D.WIDE) for a in rows for b in rows
+            if (a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2 <= es * es and abs(a["t"] - b["t"]) <= et]
+    assert got.issuperset(near)
+
+
 def refined_by_rounds(part, n, edges, cap):
     """Moves of one round: best part of every cell, no better mover beside it, by gain until the part is full."""
     part = dict(part)
