@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import heapq
 import math
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,10 @@ from kelpgrid.operators.grid import AXES, both_directions, cube_almost_contains,
 from kelpgrid.session import discard, materialize
 
 MORTON_BITS = 21  # three coordinates in the 63 bits of a long
+NO_PART = -(1 << 63)  # a missing part
+# Links, counted in both directions, that one task holds: a graph of at most LOCAL_LINKS is refined inside one task, more in blocks.
+LOCAL_LINKS = 1_000_000
+BLOCK_LINKS = 500_000
 
 
 def round_robin_parts(hist: DataFrame, k: int) -> DataFrame:
@@ -92,98 +99,198 @@ def swap_gain(edges: DataFrame, assigned: DataFrame) -> DataFrame:
             .select("src", "dst", (F.col("gain_a") + F.col("gain_b") - 2 * F.col("w")).alias("gain")))
 
 
-def _best_target() -> tuple[Column, Column]:
-    """(target, gain) of a cell from ``to``, its weights to the parts around it; null if no move gains."""
-    own = F.coalesce(F.get(F.filter("to", lambda x: x["part"] == F.col("part")), F.lit(0))["w"], F.lit(0).cast("long"))
-    options = F.transform(F.filter("to", lambda x: x["part"] != F.col("part")),
-                          lambda x: F.struct((x["w"] - own).alias("gain"), (-x["part"]).alias("low")))
-    best = F.array_max(options)
-    return -best["low"], best["gain"]
+def _nine_digits(x: np.ndarray) -> np.ndarray:
+    """``F.round(x, 9)``: halves of the shortest decimal form go up."""
+    scaled = np.abs(x) * 1e9
+    out = np.where(scaled < 2.0 ** 52, np.copysign(np.rint(scaled) / 1e9, x), x)
+    close = (scaled < 2.0 ** 52) & (np.abs(scaled - np.floor(scaled) - 0.5) <= 2 * np.spacing(scaled))
+    out[close] = [float(Decimal(repr(v)).quantize(Decimal("1e-9"), ROUND_HALF_UP)) for v in x[close].tolist()]
+    return out
+
+
+def _best_moves(src: np.ndarray, dst: np.ndarray, w: np.ndarray, part: np.ndarray, unit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Target and gain of every cell from its links; gain 0 if no move gains.  Equal gains go to the smaller part."""
+    names, code = np.unique(part, return_inverse=True)
+    key = src.astype(np.int64) * len(names) + code[dst]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    weight, cell, to = np.add.reduceat(w[order], start), key[start] // len(names), key[start] % len(names)
+    own = np.zeros(len(part), np.int64)
+    stays = to == code[cell]
+    own[cell[stays]] = weight[stays]
+    known = names != NO_PART
+    move = np.flatnonzero(~stays & known[to] & known[code[cell]])
+    target, gain = np.full(len(part), NO_PART), np.zeros(len(part))
+    if len(move):
+        cell, to, more = cell[move], to[move], weight[move] - own[cell[move]]
+        start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        top = np.repeat(np.maximum.reduceat(more, start), np.diff(np.r_[start, len(cell)]))
+        best = np.flatnonzero(more == top)
+        best = best[np.r_[True, cell[best][1:] != cell[best][:-1]]]
+        target[cell[best]], gain[cell[best]] = names[to[best]], _nine_digits(more[best] * unit)
+    return target, np.where(gain > 1e-9, gain, 0.0)
+
+
+def _unbeaten(ids: np.ndarray, src: np.ndarray, dst: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """Which cells move: a gain, and no better mover at the other end of a link."""
+    out = gain > 0
+    ours, theirs = gain[src], gain[dst]
+    out[src[(theirs > ours) | ((theirs == ours) & (ids[dst] < ids[src]))]] = False
+    return out
+
+
+def _refined_locally(max_load: int, unit: float):
+    """All rounds of ``refine_parts`` over the links of a bounded graph: ``(cell_id, part)`` of the cells that moved.
+
+    Rows without ``src`` hold the loads of the parts.
+    """
+    def run(batches):
+        t = pa.Table.from_batches(batches)
+        is_load = t["src"].is_null().to_numpy()
+        col = lambda c, rows: t[c].filter(pa.array(rows)).to_numpy()
+        names, load = col("src_part", is_load), col("src_n", is_load)
+        order = np.argsort(names)
+        names, load = names[order], load[order]
+        ids, first, src = np.unique(col("src", ~is_load), return_index=True, return_inverse=True)
+        dst = np.searchsorted(ids, col("dst", ~is_load))
+        w, start, n = col("w", ~is_load), col("src_part", ~is_load)[first], col("src_n", ~is_load)[first]
+        part = start.copy()
+        while True:
+            target, gain = _best_moves(src, dst, w, part, unit)
+            movers = np.flatnonzero(_unbeaten(ids, src, dst, gain))
+            movers = movers[np.lexsort((ids[movers], -gain[movers], target[movers]))]
+            to, run = np.searchsorted(names, target[movers]), np.cumsum(n[movers])
+            begin = np.searchsorted(to, to)
+            ok = load[to] + run - (run - n[movers])[begin] <= max_load
+            if not ok.any():
+                break
+            movers, to = movers[ok], to[ok]
+            np.subtract.at(load, np.searchsorted(names, part[movers]), n[movers])
+            np.add.at(load, to, n[movers])
+            part[movers] = names[to]
+        moved = part != start
+        yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(part[moved])], ["cell_id", "part"])
 
+    return run
 
-def _with_best(cells: DataFrame, unit: float) -> DataFrame:
-    target, gain = _best_target()
-    cells = cells.withColumns({"target": target, "gain": F.round(gain * F.lit(unit), 9)})
-    moves = F.coalesce(F.col("gain") > 1e-9, F.lit(False))
-    return cells.withColumns({"target": F.when(moves, F.col("target")), "gain": F.when(moves, F.col("gain"))})
 
+PACKED = {"ids": np.int64, "start": np.int64, "n": np.int64, "own": np.bool_, "src": np.int32, "dst": np.int32, "w": np.int64}
 
-def _unbeaten(movers: DataFrame, pairs: DataFrame, scores: DataFrame) -> DataFrame:
-    """Movers without a better mover at the other end of their ``pairs(cell_id, gain, dst)``."""
-    theirs = scores.select(F.col("cell_id").alias("dst"), F.col("gain").alias("theirs"))
-    beaten = pairs.join(theirs, "dst").filter("theirs > gain or (theirs = gain and dst < cell_id)").select("cell_id").distinct()
-    return movers.join(beaten, "cell_id", "left_anti")
 
+def _pack(links: pa.Table) -> pa.Table:
+    """The links of a block as one row of arrays; cells are numbered by their place in ``ids``."""
+    col = lambda c: links[c].to_numpy()
+    ids, at = np.unique(np.concatenate([col("src"), col("dst")]), return_inverse=True)
+    src, dst = at[:len(links)], at[len(links):]
+    cells = {"ids": ids, "start": np.empty(len(ids), np.int64), "n": np.zeros(len(ids), np.int64), "own": np.zeros(len(ids), np.bool_)}
+    cells["start"][dst], cells["start"][src], cells["n"][src], cells["own"][src] = col("dst_part"), col("src_part"), col("src_n"), col("own")
+    order = np.argsort(src, kind="stable")
+    arrays = cells | {"src": src[order], "dst": dst[order], "w": col("w")[order]}
+    return pa.table({"block": links["block"][:1], **{c: pa.array([arrays[c].astype(kind).tobytes()], pa.binary()) for c, kind in PACKED.items()}})
 
-def _added(a: str, b: str) -> Column:
-    """Weights to parts ``a`` and changes ``b`` added up; parts without an edge are dropped."""
-    both = F.concat(F.col(a), F.col(b))
-    parts = F.array_distinct(F.transform(both, lambda x: x["part"]))
 
-    def total(p):
-        of = F.filter(both, lambda x: x["part"].eqNullSafe(p))
-        add = lambda name: F.aggregate(F.transform(of, lambda x: x[name]), F.lit(0).cast("long"), lambda s, x: s + x)
-        return F.struct(p.alias("part"), add("w").alias("w"), add("m").alias("m"))
+def _block_movers(unit: float):
+    """Movers among a block's own cells; ``moved`` holds the cells of the block that left the part they began in."""
+    def run(batches):
+        for t in batches:
+            for i in range(t.num_rows):
+                at = {c: np.frombuffer(t[c][i].as_buffer(), kind) for c, kind in PACKED.items()}
+                part, moved = at["start"].copy(), t["moved"][i]
+                if moved.is_valid:
+                    place = np.searchsorted(at["ids"], moved.values.field("cell_id").to_numpy())
+                    part[place] = moved.values.field("part").to_numpy()
+                target, gain = _best_moves(at["src"], at["dst"], at["w"], part, unit)
+                m = np.flatnonzero(_unbeaten(at["ids"], at["src"], at["dst"], gain) & at["own"])
+                yield pa.RecordBatch.from_pydict({"block": pa.repeat(t["block"][i], len(m)), "cell_id": at["ids"][m], "n": at["n"][m], "start": at["start"][m],
+                                                  "part": target[m], "gain": gain[m]})
+
+    return run
 
-    return F.filter(F.transform(parts, total), lambda x: x["m"] > 0)
 
+def _in_blocks(links: DataFrame, state: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks of cells that are close, and the cells other blocks look at: ``(cell_id, block)``.
 
-def refine_parts(edges: DataFrame, assigned: DataFrame, max_load: int) -> DataFrame:
+    A block has the links of its own cells and of their neighbours, so with the parts at their ends it knows who moves.
+    """
+    fits = lambda c: F.least(F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)), F.lit((1 << MORTON_BITS) - 1)).cast("long")
+    close = state.withColumns({c: fits(c) for c in ("cx", "cy", "ct")}).withColumn("z", morton_code()) if {"cx", "cy", "ct"} <= set(state.columns) else state.withColumn("z", F.lit(0))
+    ranked = materialize(with_row_number(close.filter("cell_id is not null").select("z", "cell_id"), [], ["z", "cell_id"], "rn"))
+    total = ranked.agg(F.max("rn").alias("total"))
+    home = materialize(attach_row(ranked, total).select("cell_id", F.floor((F.col("rn") - 1) * F.lit(blocks) / F.col("total")).alias("block")))
+    both = links.join(long_table(home.select(F.col("cell_id").alias("src"), F.col("block").alias("home"))), "src")
+    both = both.join(long_table(home.select(F.col("cell_id").alias("dst"), F.col("block").alias("beside"))), "dst")
+    both = materialize(both)
+    # A cell's links go to its own block and to those of its neighbours.
+    seen = both.select("src", F.col("beside").alias("block")).unionByName(both.select("src", F.col("home").alias("block"))).distinct()
+    held = materialize(both.join(long_table(seen), "src").withColumn("own", F.col("home") == F.col("block")))
+    packed = held.select("block", "own", "src", "dst", "w", "src_part", "dst_part", "src_n").groupBy("block").applyInArrow(
+        _pack, "block long, " + ", ".join(f"{c} binary" for c in PACKED))
+    packed = materialize(packed.repartitionByRange(blocks, "block"))
+    others = held.select(F.col("dst").alias("cell_id"), F.col("beside").alias("home"), "block").unionByName(held.select(F.col("src").alias("cell_id"), "home", "block"))
+    others = materialize(others.filter("home <> block").select("cell_id", "block").distinct())
+    for old in (ranked, home, both, held):
+        discard(old)
+    return packed, others
+
+
+def refine_parts(edges: DataFrame, assigned: DataFrame, max_load: int, local_links: int = LOCAL_LINKS, block_links: int = BLOCK_LINKS) -> DataFrame:
     """Rounds of moves that raise the internal weight and keep every load <= cap, until none is left.
 
     Per round each cell names its best part; of two adjacent movers only the
     better one moves, so the gains add up; arrivals are accepted by gain until
     the target is full.  Every round raises the internal weight, so the rounds end.
 
-    A cell keeps its weights to the parts around it, and a round adds what the cells that moved
-    change there, so the edges are joined with all parts once.  Weights are whole multiples of a
-    unit, so the sums stay exact.  A mover is held against four of its neighbours first, and only those left
-    against all.
+    The edges are joined with the parts once.  Weights are whole multiples of a unit, so sums stay exact.
+    At most ``local_links`` links (a checked count) are finished in one task.  More are dealt to blocks, and a
+    round is one job: each block names its movers from the parts as they are, a window over each target
+    accepts them, and the cells moved so far are written.  Movers have no mover beside them, so they are few.
     """
     state = materialize(assigned)
-    whole = materialize(_labelled(edges, state))
+    known = state.withColumn("part", F.struct(F.coalesce(F.col("part").cast("long"), F.lit(NO_PART)).alias("part"), F.coalesce(F.col("n").cast("long"), F.lit(0)).alias("n")))
+    whole = materialize(_labelled(edges, known))
     top = whole.groupBy("src").agg(F.sum(F.abs("w")).alias("w")).agg(F.max("w")).first()[0]
     if not top:
         return state
     bits = 61 - math.ceil(math.log2(top))
-    # Read in every round: dealt into as many files as tasks, which adaptive execution would merge.
-    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = whole.select("src", "dst", "dst_part", F.round(F.col("w") * F.lit(2.0 ** bits)).cast("long").alias("w"))
-    links = materialize(links.repartition(tasks, "src", "dst"))
+    links = whole.select("src", "dst", F.coalesce(F.round(F.col("w") * F.lit(2.0 ** bits)).cast("long"), F.lit(0)).alias("w"),
+                         F.col("src_part.part").alias("src_part"), F.col("dst_part.part").alias("dst_part"), F.col("src_part.n").alias("src_n"))
+    links = links.withColumns({c: F.col(c).cast("long") for c in ("src", "dst")})
+    loads = known.groupBy("part.part").agg(F.sum("part.n").alias("n"))
+    count = whole.count()
+    if count <= local_links:
+        none = {c: F.lit(None).cast("long") for c in ("src", "dst", "w", "dst_part")}
+        rows = links.unionByName(loads.select(F.col("part").alias("src_part"), F.col("n").alias("src_n")).withColumns(none))
+        moved = materialize(rows.coalesce(1).mapInArrow(_refined_locally(max_load, 2.0 ** -bits), "cell_id long, part long"))
+    else:
+        moved = _refined_in_blocks(*_in_blocks(links, state, math.ceil(count / block_links)), materialize(loads), max_load, 2.0 ** -bits)
     discard(whole)
-    # Neighbours of large weight are the likeliest to win.
-    few = links.filter("src <> dst").groupBy(F.col("src").alias("cell_id")).agg(
-        F.array_distinct(F.array(F.max_by("dst", "w"), F.max_by("dst", F.xxhash64("dst")), F.min("dst"), F.max("dst"))).alias("few"))
-    to = links.groupBy("src", "dst_part").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("m")).groupBy(F.col("src").alias("cell_id")).agg(
-        F.collect_list(F.struct(F.col("dst_part").alias("part"), "w", "m")).alias("to"))
-    cells = materialize(_with_best(state.repartition(tasks, "cell_id").join(to, "cell_id", "left").join(few, "cell_id", "left"), 2.0 ** -bits))
+    to = moved.select("cell_id", F.col("part").cast(state.schema["part"].dataType).alias("__to"))
+    return state.join(to, "cell_id", "left").withColumn("part", F.coalesce("__to", "part")).select(*assigned.columns)
+
+
+def _refined_in_blocks(blocks: DataFrame, others: DataFrame, loads: DataFrame, max_load: int, unit: float) -> DataFrame:
+    """The rounds of ``refine_parts`` over blocks: the cells that left the part they began in, with their part."""
+    moved = blocks.limit(0).select("block", *[F.lit(0).cast("long").alias(c) for c in ("cell_id", "n", "start", "part")], F.lit(True).alias("new"))
+    moved = materialize(moved)
     while True:
-        scores = cells.filter("gain is not null")
-        left = _unbeaten(scores, scores.select("cell_id", "gain", F.explode("few").alias("dst")), scores)
-        left = materialize(left.select("cell_id", "n", "part", "target", "gain"))
-        near = links.join(left.select(F.col("cell_id").alias("src"), "gain"), "src").select(F.col("src").alias("cell_id"), "gain", "dst")
-        movers = materialize(_unbeaten(left, near, scores).withColumn("rank_key", -F.col("gain")))
-        if movers.isEmpty():
-            break
-        loads = part_loads(cells).select(F.col("part").alias("target"), "load")
-        run = with_running(movers, ["target"], ["rank_key", "cell_id"], {"arriving": ("sum", "n")})
-        ok = run.join(loads, "target").filter(F.col("load") + F.col("arriving") <= F.lit(max_load)).select("cell_id", "part", "target")
-        ok = materialize(ok)
-        if ok.isEmpty():
-            break
-        moved = links.select("src", "dst", "w").join(ok.select(F.col("cell_id").alias("dst"), "part", "target"), "dst")
-        change = moved.select(F.col("src").alias("cell_id"), F.explode(F.array(
-            F.struct(F.col("part"), (-F.col("w")).alias("w"), F.lit(-1).cast("long").alias("m")),
-            F.struct(F.col("target").alias("part"), F.col("w"), F.lit(1).cast("long").alias("m")))).alias("c"))
-        change = change.groupBy("cell_id", "c.part").agg(F.sum("c.w").alias("w"), F.sum("c.m").alias("m")).groupBy("cell_id").agg(
-            F.collect_list(F.struct("part", "w", "m")).alias("change"))
-        after = cells.drop("target", "gain").repartition(tasks, "cell_id").join(ok.select("cell_id", "target"), "cell_id", "left").join(change, "cell_id", "left")
-        after = after.withColumns({"part": F.coalesce("target", "part"), "to": F.when(F.col("change").isNull(), F.col("to")).otherwise(_added("to", "change"))})
-        after = materialize(_with_best(after.drop("target", "change"), 2.0 ** -bits))
-        for old in (cells, left, movers, ok):
-            discard(old)
-        cells = after
-    return cells.select(*assigned.columns)
+        # Each block hears of its own cells and of the others it looks at.
+        dealt = moved.select("block", "cell_id", "part").unionByName(moved.select("cell_id", "part").join(others, "cell_id"))
+        dealt = dealt.groupBy("block").agg(F.collect_list(F.struct("cell_id", "part")).alias("moved"))
+        movers = blocks.join(dealt, "block", "left").mapInArrow(_block_movers(unit), "block long, cell_id long, n long, start long, part long, gain double")
+        now = loads.unionByName(moved.select("part", "n")).unionByName(moved.select(F.col("start").alias("part"), (-F.col("n")).alias("n")))
+        now = now.groupBy("part").agg(F.sum("n").alias("n"))
+        # The load comes before the movers, so the running sum is the load after each of them.
+        rows = movers.unionByName(now, allowMissingColumns=True)
+        arriving = Window.partitionBy("part").orderBy(F.col("gain").desc_nulls_first(), "cell_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ok = rows.withColumn("load", F.sum("n").over(arriving)).filter((F.col("load") <= F.lit(max_load)) & F.col("cell_id").isNotNull())
+        ok = ok.select("block", "cell_id", "n", "start", "part", F.lit(True).alias("new"))
+        both = moved.withColumn("new", F.lit(False)).unionByName(ok)
+        after = materialize(both.groupBy("cell_id").agg(*[F.max_by(c, "new").alias(c) for c in ("block", "n", "start", "part")], F.max("new").alias("new")))
+        if after.filter("new").isEmpty():
+            return after
+        discard(moved)
+        moved = after
 
 
 def _merge_locally(cap: int):

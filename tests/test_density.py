@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from kelpgrid.operators import density as D
 from kelpgrid.operators import grid as G
@@ -189,6 +190,35 @@ def test_refine_parts_moves_as_by_rounds_and_labels_the_edges_once(spark, monkey
     assert len(calls) == 1
 
 
+@pytest.mark.parametrize("local, block", [(1_000_000, 500_000), (0, 150)])
+def test_refine_parts_in_blocks_writes_one_table_a_round(spark, monkeypatch, local, block):
+    """Blocks and the one task move as by rounds; a cell without a neighbour and one without a part stay."""
+    df = spark.createDataFrame(pd.concat([cloud(120, seed=5), pd.DataFrame([(9000, 500.0, 500.0, 500.0)], columns=["id", "x", "y", "t"])]), COLS)
+    hist = P.materialize(G.cell_histogram(G.grid_cells(df, (4.0, 4.0, 4.0))))
+    edges = P.materialize(G.cell_adjacency(hist))
+    start = P.materialize(P.round_robin_parts(hist, 3).withColumn("part", F.when(F.col("cell_id") != 7, F.col("part"))))
+    cap = int(hist.groupBy().sum("n").first()[0] // 3 * 1.3)
+    rows = [r for r in start.collect() if r["part"] is not None]
+    kept = {r["cell_id"] for r in rows}
+    links = [tuple(r) for r in edges.select("src", "dst", "w").collect() if r["src"] in kept and r["dst"] in kept]
+    want = refined_by_rounds({r["cell_id"]: r["part"] for r in rows}, {r["cell_id"]: r["n"] for r in rows}, links, cap)
+    written, real = [], P.materialize
+    monkeypatch.setattr(P, "materialize", lambda d: written.append(d.columns) or real(d))
+    got = P.refine_parts(edges, start, cap, local, block)
+    assert {r["cell_id"]: r["part"] for r in got.collect()} == {**want, 7: None}
+    rounds = [c for c in written if "new" in c]
+    assert len(written) - len(rounds) <= 10
+    if local:
+        assert not rounds
+
+
+def test_nine_digits_round_as_in_spark(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 1, 200), rng.normal(0, 1e5, 400), rng.normal(0, 1e8, 100), [0.0, 0.5e-9, -1.5e-9, 0.1234567885, 1e17, 8e6 + 2.5e-9]])
+    want = [r["y"] for r in spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i long, x double").orderBy("i").select(F.round("x", 9).alias("y")).collect()]
+    assert P._nine_digits(x).tolist() == want
+
+
 def merged_by_rounds(n, edges, cap):
     """All groups name their best neighbour under the cap, mutual ones merge, until none is left."""
     part = {c: c for c in n}
