@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections import defaultdict
 from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpgrid.functions.ordering import attach_row, long_table, with_row_number, with_running
-from kelpgrid.operators.components import LOCAL_EDGES, connected_components
+from kelpgrid.operators.components import connected_components
 from kelpgrid.operators.grid import AXES, both_directions, cube_almost_contains, cube_contains_point
 from kelpgrid.session import discard, materialize
 
@@ -23,6 +24,8 @@ NO_PART = -(1 << 63)  # a missing part
 # Links, counted in both directions, that one task holds: a graph of at most LOCAL_LINKS is refined inside one task, more in blocks.
 LOCAL_LINKS = 1_000_000
 BLOCK_LINKS = 500_000
+MERGED_EDGES = 4_000_000  # edges under the cap that merge_adjacent finishes inside one task
+SCANNED = 64  # neighbours of a group that are looked through without a heap
 
 
 def round_robin_parts(hist: DataFrame, k: int) -> DataFrame:
@@ -294,51 +297,65 @@ def _refined_in_blocks(blocks: DataFrame, others: DataFrame, loads: DataFrame, m
 
 
 def _merge_locally(cap: int):
-    """The rounds of ``merge_adjacent`` over a bounded graph: ``(part, into)`` for the groups that are absorbed.
+    """The rounds of ``merge_adjacent`` over a bounded graph: ``(part, into)`` for the groups that are absorbed, ``into`` the last one.
 
-    Only groups whose best neighbour may have changed are looked at again.  Rows are edges
-    ``(src, dst, w, sa, sb)`` with src < dst; a group keeps a heap of its neighbours, best first, whose
-    outdated entries are dropped when they come up: sizes only grow, so an edge over the cap stays over it.
+    Rows are edges ``(src, dst, w, sa, sb)`` with src < dst.  A round looks again only at the groups that merged, at those whose
+    best neighbour is gone or too large, and at those beside a group whose edge rose: edges never fall and sizes only grow,
+    so a best neighbour that still fits is held against the risen ones alone.  Groups with many neighbours keep a heap of them,
+    best first, whose outdated entries are dropped when they come up.
     """
     def run(batches):
-        near: dict[int, dict[int, float]] = {}
-        size, heap = {}, {}
-        for t in batches:
-            for a, b, w, sa, sb in zip(*(t[c].tolist() for c in ("src", "dst", "w", "sa", "sb"))):
-                near.setdefault(a, {})[b] = w
-                near.setdefault(b, {})[a] = w
-                size[a], size[b] = sa, sb
-        if not near:
+        t = [b for b in batches if len(b)]
+        if not t:
             return
-        label, target, wanted_by = {g: g for g in near}, {}, {g: set() for g in near}
-
-        def entry(g, other):
-            low, high = sorted((label[g], label[other]))
-            return -round(near[g][other], 9), low, high, other
+        t = pd.concat(t, ignore_index=True)
+        names, at = np.unique(np.concatenate([t["src"].to_numpy(), t["dst"].to_numpy()]), return_inverse=True)
+        first, second, w = at[:len(t)], at[len(t):], t["w"].to_numpy(np.float64)
+        sizes = np.zeros(len(names), np.int64)
+        sizes[first], sizes[second] = t["sa"].to_numpy(), t["sb"].to_numpy()
+        size, groups = sizes.tolist(), list(range(len(names)))
+        near: list[dict[int, float] | None] = [{} for _ in groups]
+        for i in range(0, len(w), 100_000):
+            for a, b, x in zip(first[i:i + 100_000].tolist(), second[i:i + 100_000].tolist(), w[i:i + 100_000].tolist()):
+                a, b = groups[a], groups[b]  # one object for each number
+                near[a][b] = near[b][a] = x
+        del t, at, first, second, w
+        label, heap, gone = groups.copy(), {}, {}
+        target: list[int | None] = [None] * len(groups)
+        wanted_by, widest = defaultdict(set), defaultdict(int)
 
         def best(g):
+            mine, room = near[g], cap - size[g]
+            if g not in heap:
+                fits = [(-round(x, 9), label[o], o) for o, x in mine.items() if size[o] <= room]
+                if len(mine) <= SCANNED:
+                    return min(fits)[2] if fits else None
+                heapq.heapify(fits)
+                heap[g] = fits
             h = heap[g]
             while h:
-                other = h[0][3]
-                if other in near[g] and size[g] + size[other] <= cap and h[0] == entry(g, other):
-                    return other
+                x, name, o = h[0]
+                if o in mine and size[o] <= room and label[o] == name and -round(mine[o], 9) == x:
+                    return o
                 heapq.heappop(h)
             return None
 
-        for g in near:
-            heap[g] = [entry(g, o) for o in near[g]]
-            heapq.heapify(heap[g])
-        changed, gone = set(near), {}
-        while changed:
-            for g in changed:
-                if g in target:
-                    wanted_by[target.pop(g)].discard(g)
-                to = best(g)
-                if to is not None:
-                    target[g] = to
-                    wanted_by[to].add(g)
-            pairs = {(min(g, to), max(g, to)) for g in changed if (to := target.get(g)) is not None and target.get(to) == g}
-            changed = set()
+        def aim(g, to):
+            if target[g] is not None:
+                wanted_by[target[g]].discard(g)
+            target[g] = to
+            if to is not None:
+                wanted_by[to].add(g)
+                widest[to] = max(widest[to], size[g])
+
+        for g in groups:
+            aim(g, best(g))
+        changed = groups
+        while True:
+            pairs = {(min(g, to), max(g, to)) for g in changed if (to := target[g]) is not None and target[to] == g}
+            if not pairs:
+                break
+            again, risen = set(), defaultdict(list)
             for a, b in pairs:
                 if len(near[a]) < len(near[b]):
                     a, b = b, a
@@ -347,32 +364,56 @@ def _merge_locally(cap: int):
                 gone[max(label[a], label[b])] = min(label[a], label[b])
                 label[a] = min(label[a], label[b])
                 size[a] += size[b]
-                touched = set()
-                for o, w in near.pop(b).items():
+                mine, theirs, near[b] = near[a], near[b], None
+                heap.pop(b, None)
+                for o, x in theirs.items():
                     del near[o][b]
                     if o != a:
-                        near[a][o] = near[o][a] = near[a].get(o, 0.0) + w
-                        touched.add(o)
-                for g in (a, b):
-                    if g in target:
-                        wanted_by[target.pop(g)].discard(g)
-                again = wanted_by.pop(b) | {o for o in wanted_by[a] if size[a] + size[o] > cap}
-                for o in near[a] if renamed else touched:
-                    heapq.heappush(heap[a], entry(a, o))
-                    heapq.heappush(heap[o], entry(o, a))
-                    again.add(o)
-                for o in again:
-                    if target.get(o) == b:
-                        del target[o]
-                del heap[b]
-                changed |= again | {a}
-            changed &= near.keys()
-        yield pd.DataFrame({"part": list(gone), "into": list(gone.values())}, dtype="int64")
+                        mine[o] = near[o][a] = x = mine.get(o, 0.0) + x
+                        risen[o].append(a)
+                        if a in heap:
+                            heapq.heappush(heap[a], (-round(x, 9), label[o], o))
+                        if o in heap:
+                            heapq.heappush(heap[o], (-round(x, 9), label[a], a))
+                if renamed:
+                    for o in mine:
+                        if target[o] != a:
+                            risen[o].append(a)
+                        if o in heap:
+                            heapq.heappush(heap[o], (-round(mine[o], 9), label[a], a))
+                aim(a, None)
+                aim(b, None)
+                left = wanted_by.pop(b, set())
+                if size[a] + widest[a] > cap:
+                    left |= {o for o in wanted_by[a] if size[a] + size[o] > cap}
+                    widest[a] = max((size[o] for o in wanted_by[a] - left), default=0)
+                for o in left:
+                    wanted_by[a].discard(o)
+                    target[o] = None
+                again |= left
+                again.add(a)
+            changed = {g for g in again if near[g] is not None}
+            for g in changed:
+                aim(g, best(g))
+            for g, others in risen.items():
+                to = target[g]
+                if near[g] is None or g in again or to is None:
+                    continue
+                key = -round(near[g][to], 9), label[to]
+                for o in others:
+                    if o != to and size[g] + size[o] <= cap and (other := (-round(near[g][o], 9), label[o])) < key:
+                        key, to = other, o
+                if to != target[g]:
+                    aim(g, to)
+                    changed.add(g)
+        for g in sorted(gone):  # a group is absorbed by a smaller one
+            gone[g] = gone.get(gone[g], gone[g])
+        yield pd.DataFrame({"part": names[list(gone)], "into": names[list(gone.values())]}, dtype="int64")
 
     return run
 
 
-def merge_adjacent(hist: DataFrame, edges: DataFrame, cap: int, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def merge_adjacent(hist: DataFrame, edges: DataFrame, cap: int, local_edges: int = MERGED_EDGES) -> DataFrame:
     """Contract mutually best neighbouring groups while the joint count stays <= cap.
 
     The best of all edges is mutual and every round lowers the number of groups, so the rounds end.

@@ -269,3 +269,24 @@ def test_merge_locally_many_graphs():
                 c = into[c]
             return c
         assert {c: end(c) for c in n} == merged_by_rounds(n, edges, cap)
+
+
+def test_merge_locally_with_heaps(monkeypatch):
+    """Groups of more than three neighbours keep heaps: the same groups as by rounds."""
+    monkeypatch.setattr(P, "SCANNED", 3)
+    test_merge_locally_many_graphs()
+
+
+def test_merge_adjacent_of_over_200_000_edges_writes_few_tables(spark, monkeypatch):
+    """The rounds of a grid whose groups take one neighbour a round are not written one by one."""
+    side = 230
+    hist = spark.range(side * side).select((F.col("id") + 1).alias("cell_id"), F.floor(F.col("id") / side).alias("cx"), (F.col("id") % side).alias("cy"), F.lit(0).cast("long").alias("ct"),
+                                           (1 + F.pmod(F.xxhash64("id"), F.lit(50))).alias("n"))
+    hist = P.materialize(hist)
+    edges = P.materialize(G.cell_adjacency(hist))
+    assert edges.count() > 200_000
+    cap = hist.groupBy().sum("n").first()[0] // 8
+    written, real = [], P.materialize
+    monkeypatch.setattr(P, "materialize", lambda d: written.append(d.columns) or (pytest.fail("a table for each round") if len(written) > 4 else real(d)))
+    got = P.merge_adjacent(hist, edges, cap)
+    assert got.count() == side * side and P.part_loads(got).groupBy().max("load").first()[0] <= cap
