@@ -7,6 +7,10 @@ weigh the same, and variances are relative to the variance of the objective.
 
 from __future__ import annotations
 
+import math
+import sys
+from bisect import bisect_left
+from collections import Counter
 from itertools import combinations
 
 from pyspark.ml.feature import VectorAssembler
@@ -17,6 +21,9 @@ from pyspark.sql import functions as F
 from kelpgrid.functions.ordering import attach_row, quantiles
 from kelpgrid.session import materialize
 
+BINS = 32  # bins of a feature in boosted trees
+DRAWN = 10_000  # rows from which boosted trees take their split points
+
 
 def bin_params(df: DataFrame, numeric: dict[str, tuple[float, float]], bins: int = 10) -> DataFrame:
     """Replace numeric parameters by the number of their equal-width bin."""
@@ -97,21 +104,74 @@ def _features(df: DataFrame, cols: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=cols, outputCol="features").transform(df)
 
 
+def _drawn(df: DataFrame, share: float, seed: int) -> DataFrame:
+    """The rows that Spark's trees draw to find split points."""
+    spark = df.sparkSession
+    draw = spark._jvm.org.apache.spark.util.random.XORShiftRandom(seed).nextInt()
+    rows = df._jdf.toJavaRDD().sample(False, share, draw)
+    return DataFrame(spark._jsparkSession.createDataFrame(rows, df._jdf.schema()), spark)
+
+
+def _cuts(df: DataFrame, features: list[str], rows: int, seed: int) -> dict[str, list[float]]:
+    """The split points Spark's trees take for ``rows`` rows: between values, or near equal numbers of rows if there are more values than bins.
+
+    Spark looks at all rows up to ``DRAWN`` and draws about as many of more; what the draw falls short of counts as zeros.
+    """
+    share = min(1.0, DRAWN / max(rows, 1))
+    values = df.select(*features)
+    found = (_drawn(values, share, seed) if share < 1 else values).collect()
+    expected, most, cuts = share * rows, min(BINS, rows) - 1, {}
+    for c in features:
+        counts: dict[float, float] = Counter(r[c] for r in found if r[c] is not None and r[c] == r[c] and r[c] != 0.0)
+        total = sum(counts.values())
+        if counts and expected - total > sys.float_info.epsilon * total * 100:
+            counts[0.0] = expected - total
+        order = sorted(counts.items())
+        cuts[c] = [(x + y) / 2.0 for (x, _), (y, _) in zip(order, order[1:])]
+        if len(cuts[c]) > most:
+            between, cuts[c], stride, before = cuts[c], [], expected / (most + 1), 0.0
+            want = stride
+            for (_, n), (_, after), cut in zip(order, order[1:], between):
+                before += n
+                if abs(before - want) < abs(before + after - want):
+                    cuts[c].append(cut)
+                    want += stride
+    return cuts
+
+
+def _bin(c: str, cuts: list[float]) -> Column:
+    """Number of split points below a value; no value has no bin, which ends the job in the assembler."""
+    points = F.array(*[F.lit(x) for x in cuts]).cast("array<double>")
+    return F.when(F.col(c).isNotNull() & ~F.isnan(c), F.size(F.filter(points, lambda x: x < F.col(c))).cast("double"))
+
+
 def positive_attribution(df: DataFrame, features: list[str], y: str, seed: int = 1) -> DataFrame:
     """Mean positive effect of each parameter on the negated objective under boosted trees.
 
     The effect of a parameter in a row is the change of the prediction when the
     parameter is set to its mean.
+
+    Trees see a feature only through its at most ``BINS`` bins, and squared errors only through the number and
+    mean of the objectives, so rows in the same bins are one weighted row, in the trees and in the effects.
     """
     df = materialize(df.select(*[F.col(c).cast("double").alias(c) for c in features], (-F.col(y)).alias("__y")))
-    model = GBTRegressor(labelCol="__y", maxIter=20, maxDepth=4, seed=seed, predictionCol="__full").fit(_features(df, features))
-    base = materialize(model.transform(_features(df, features)).drop("features"))
-    means = base.agg(*[F.avg(c).alias(c) for c in features]).first()
+    whole = df.agg(F.count(F.lit(1)).alias("rows"), *[F.avg(c).alias(f"mean_{c}") for c in features]).first()
+    cuts = _cuts(df, features, whole["rows"], seed)
+    label = F.col("__y").cast("double")
+    valid = label.isNotNull() & ~F.isnan(label) & (F.abs(label) < float("inf"))
+    label = F.when(valid, label).otherwise(F.raise_error(F.lit("the objective is null, NaN or infinite")).cast("double"))
+    binned = df.select(*[_bin(c, cuts[c]).alias(c) for c in features], label.alias("__y"))
+    rows = materialize(binned.groupBy(*features).agg(F.count(F.lit(1)).cast("double").alias("__n"), F.avg("__y").alias("__y")))
+    # Split points between bins are looked for on a sample of more rows than the square of maxBins.
+    most = max(BINS, math.ceil(math.sqrt(min(rows.count(), 1_000_000))))
+    model = GBTRegressor(labelCol="__y", weightCol="__n", maxIter=20, maxDepth=4, maxBins=most, seed=seed, predictionCol="__full").fit(_features(rows, features))
+    base = materialize(model.transform(_features(rows, features)).drop("features"))
     out = None
     for c in features:
-        changed = _features(base.withColumn(c, F.lit(means[c])), features).drop("__p")
+        changed = _features(base.withColumn(c, F.lit(float(bisect_left(cuts[c], whole[f"mean_{c}"])))), features)
         p = model.setPredictionCol("__alt").transform(changed)
-        effect = p.agg(F.avg(F.greatest(F.lit(0.0), F.col("__full") - F.col("__alt"))).alias("attribution")).select(F.lit(c).alias("param"), "attribution")
+        positive = F.greatest(F.lit(0.0), F.col("__full") - F.col("__alt"))
+        effect = p.agg((F.sum(positive * F.col("__n")) / F.sum("__n")).alias("attribution")).select(F.lit(c).alias("param"), "attribution")
         out = effect if out is None else out.unionByName(effect)
     return out
 
